@@ -7,6 +7,7 @@ from __future__ import annotations
 from greenscan.config import TOKEN_PATTERN, WatermarkConfig
 from greenscan.functions.stats import normal_sf_sql, z_score_sql
 from greenscan.plans.common import CFG, CFG_DISTINCT
+from greenscan.plans.queries import CFG_SMALL_V, PROMPT_CAP, TRUNC_NOTICE
 
 
 def h60(expr: str) -> str:
@@ -65,8 +66,113 @@ SELECT id AS {id_col}, t AS num_tokens_scored, g AS num_green_tokens,
 FROM pp"""
 
 
+def status_cte(agg: str = "agg") -> str:
+    return f"""st AS (SELECT d.id, {agg}.t, {agg}.g,
+         CASE WHEN d.txt IS NULL THEN 'null_input'
+              WHEN length(d.txt) - 1 <= 1 THEN 'too_short'
+              WHEN {agg}.t IS NULL THEN 'too_few_tokens' ELSE 'ok' END AS status
+       FROM docs d LEFT JOIN {agg} ON d.id = {agg}.id)"""
+
+
+def green_mask_sql(cfg: WatermarkConfig) -> str:
+    return f"""
+WITH {token_ids_cte("documents", "doc_id", "text", cfg)},
+gm AS (SELECT id, pos, {green_sql('p', 'c', cfg)} AS green FROM bg WHERE p IS NOT NULL),
+agg AS (SELECT id, count(*)::BIGINT AS t, sum(CASE WHEN green THEN 1 ELSE 0 END)::BIGINT AS g,
+               string_agg(CASE WHEN green THEN '1' ELSE '0' END, '' ORDER BY pos) AS bits
+        FROM gm GROUP BY id),
+{status_cte()}
+SELECT st.id AS doc_id, CASE WHEN status = 'ok' THEN st.t END AS num_tokens_scored,
+       CASE WHEN status = 'ok' THEN st.g END AS num_green_tokens,
+       CASE WHEN status = 'ok' THEN agg.bits END AS mask_bits, status
+FROM st LEFT JOIN agg ON st.id = agg.id"""
+
+
+def bigram_freq_sql(cfg: WatermarkConfig) -> str:
+    return f"""
+WITH {token_ids_cte("documents", "doc_id", "text", cfg)}
+SELECT id AS doc_id, p AS prev, c AS tok, count(*)::BIGINT AS n, {green_sql('p', 'c', cfg)} AS is_green
+FROM bg WHERE p IS NOT NULL GROUP BY id, p, c"""
+
+
+def bigram_green_table_sql(cfg: WatermarkConfig) -> str:
+    return f"""
+WITH {token_ids_cte("documents", "doc_id", "text", cfg)},
+agg AS (SELECT p, c, count(*)::BIGINT AS n FROM bg WHERE p IS NOT NULL GROUP BY p, c)
+SELECT p AS prev, c AS tok, n, {green_sql('p', 'c', cfg)} AS is_green FROM agg"""
+
+
+def greenlist_explicit_sql(cfg: WatermarkConfig) -> str:
+    return f"""
+WITH {token_ids_cte("documents", "doc_id", "text", cfg)}
+SELECT id AS doc_id, count(*)::BIGINT AS num_tokens_scored,
+       sum(CASE WHEN {green_sql('p', 'c', cfg)} THEN 1 ELSE 0 END)::BIGINT AS num_green_tokens
+FROM bg WHERE p IS NOT NULL GROUP BY id"""
+
+
+def _tokens_sql(cfg: WatermarkConfig = CFG) -> str:
+    return f"regexp_extract_all(lower(text), '{cfg.token_pattern}')"
+
+
+TOKENIZE_SQL = f"""
+SELECT doc_id, len({_tokens_sql()})::BIGINT AS n_tokens, array_to_string({_tokens_sql()}, ' ') AS tokens_joined
+FROM documents"""
+
+VOCAB_CTE = f"""
+toks AS (SELECT doc_id, {_tokens_sql()} AS t FROM documents),
+pos AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM toks),
+cnt AS (SELECT token, count(*)::BIGINT AS n FROM pos GROUP BY token),
+vocab AS (SELECT token, n, (row_number() OVER (ORDER BY n DESC, token) - 1)::BIGINT AS token_id FROM cnt)"""
+
+VOCAB_BUILD_SQL = f"WITH {VOCAB_CTE} SELECT token, n, token_id FROM vocab"
+
+VOCAB_ENCODE_SQL = f"""
+WITH {VOCAB_CTE}
+SELECT pos.doc_id, count(*)::BIGINT AS n_tokens,
+       string_agg(CAST(vocab.token_id AS VARCHAR), ' ' ORDER BY pos.pos) AS ids_joined
+FROM pos JOIN vocab ON pos.token = vocab.token GROUP BY pos.doc_id"""
+
+
+def bos_strip_sql(cfg: WatermarkConfig) -> str:
+    z = z_score_sql("g", "t", cfg.gamma)
+    return f"""
+WITH {token_ids_cte("documents", "doc_id", "text", cfg)},
+agg AS (SELECT id, count(*)::BIGINT AS t,
+               sum(CASE WHEN {green_sql('p', 'c', cfg)} THEN 1 ELSE 0 END)::BIGINT AS g
+        FROM bg WHERE p IS NOT NULL GROUP BY id)
+SELECT d.id AS doc_id, agg.t AS num_tokens_scored, agg.g AS num_green_tokens, {z} AS z_score,
+       CASE WHEN agg.t IS NULL THEN 'too_few_tokens' ELSE 'ok' END AS status
+FROM docs d LEFT JOIN agg ON d.id = agg.id"""
+
+
+def prompt_truncate_sql(cap: int, notice: str) -> str:
+    t = _tokens_sql()
+    cut = f"{t}[1:{cap}]"
+    return f"""
+SELECT doc_id, len({t})::BIGINT AS n_tokens, len({cut})::BIGINT AS n_prompt,
+       CAST(len({cut}) = {cap} AS INTEGER) AS truncation_warning,
+       CASE WHEN len({cut}) = {cap} THEN array_to_string({cut}, ' ') || {sql_str(notice)} ELSE text END
+         AS prompt_text
+FROM documents"""
+
+
+def sql_str(s: str) -> str:
+    """A DuckDB string literal; newlines through chr(10)."""
+    parts = s.split("\n")
+    return " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in parts)
+
+
 ORACLE = {
     "detect_distinct": detect_sql(CFG_DISTINCT),
     "detect_standard": detect_sql(CFG),
     "detect_legacy_tail": detect_sql(CFG_DISTINCT.replace(select_green_tokens=False)),
+    "green_mask": green_mask_sql(CFG),
+    "bigram_freq": bigram_freq_sql(CFG),
+    "bigram_green_table": bigram_green_table_sql(CFG),
+    "greenlist_explicit": greenlist_explicit_sql(CFG_SMALL_V),
+    "tokenize": TOKENIZE_SQL,
+    "vocab_build": VOCAB_BUILD_SQL,
+    "vocab_encode": VOCAB_ENCODE_SQL,
+    "bos_strip": bos_strip_sql(CFG),
+    "prompt_truncate": prompt_truncate_sql(PROMPT_CAP, TRUNC_NOTICE),
 }

@@ -33,3 +33,106 @@ QUERIES = {
     "detect_standard": detect_standard,
     "detect_legacy_tail": detect_legacy_tail,
 }
+
+
+# ------------------------------------------------------------ tokens and bigrams
+from greenscan.config import WatermarkConfig  # noqa: E402
+from greenscan.functions.tokens import strip_bos, text_to_ids, tokenize as tokenize_col  # noqa: E402
+from greenscan.operators import bigrams as bg  # noqa: E402
+from greenscan.operators import vocab as vb  # noqa: E402
+from greenscan.operators.detect import detect_ids  # noqa: E402
+
+CFG_SMALL_V = WatermarkConfig(vocab_size=101, gamma=0.25)
+BOS_ID = 1
+PROMPT_CAP = 2048 - CFG.max_new_tokens  # the reference's effective cap (Q16)
+TRUNC_NOTICE = "\n\n[Prompt was truncated before generation due to length...]"
+
+
+def doc_ids(spark, sf_dir, cfg=CFG):
+    d = documents(spark, sf_dir)
+    return d.select("doc_id", text_to_ids(F.col("text"), cfg.vocab_size).alias("ids"))
+
+
+def doc_token_rows(spark, sf_dir):
+    """(doc_id, pos, token) for every token, pos from 1."""
+    d = documents(spark, sf_dir)
+    rows = d.select("doc_id", F.posexplode(tokenize_col(F.col("text"))).alias("pos", "token"))
+    return rows.withColumn("pos", F.col("pos") + 1)
+
+
+def green_mask(spark, sf_dir):
+    """Per-token green mask in order (A7), standard mode, as a '1'/'0' string."""
+    d = detect_text(documents(spark, sf_dir), CFG, "text", return_mask=True)
+    bits = F.array_join(F.transform("green_token_mask", lambda x: F.when(x, "1").otherwise("0")), "")
+    return d.select("doc_id", "num_tokens_scored", "num_green_tokens", bits.alias("mask_bits"), "status")
+
+
+def bigram_freq(spark, sf_dir):
+    return bg.bigram_freq(doc_ids(spark, sf_dir), "doc_id", "ids", CFG)
+
+
+def bigram_green_table(spark, sf_dir):
+    return bg.bigram_green_table(doc_ids(spark, sf_dir), "ids", CFG)
+
+
+def greenlist_explicit(spark, sf_dir):
+    """Green counts through a materialised greenlist (W2) and a join (J2), V = 101."""
+    cfg = CFG_SMALL_V
+    rows = bg.bigram_rows(doc_ids(spark, sf_dir, cfg), "doc_id", "ids", cfg.vocab_size)
+    table = bg.explicit_greenlist(rows.select("prev"), cfg)
+    marked = bg.green_by_table(rows, table)
+    return marked.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("num_tokens_scored"),
+        F.sum(F.col("is_green").cast("long")).alias("num_green_tokens"))
+
+
+def tokenize(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", tokenize_col(F.col("text")).alias("t"))
+    return d.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"),
+                    F.array_join("t", " ").alias("tokens_joined"))
+
+
+def vocab_build(spark, sf_dir):
+    return vb.vocab_build(doc_token_rows(spark, sf_dir))
+
+
+def vocab_encode(spark, sf_dir):
+    rows = doc_token_rows(spark, sf_dir)
+    vocab = vb.vocab_build(rows)
+    enc = vb.encode(rows, vocab)
+    ids = vb.reassemble(enc, "doc_id", "pos", "token_id", "ids")
+    return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                      F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids_joined"))
+
+
+def bos_strip(spark, sf_dir):
+    """Ids arrive with a BOS id in front (as a tokenizer adds it); detection drops it."""
+    cfg = CFG.replace(bos_id=BOS_ID)
+    d = doc_ids(spark, sf_dir).select(
+        "doc_id", F.concat(F.array(F.lit(BOS_ID).cast("bigint")), F.col("ids")).alias("ids"))
+    out = detect_ids(d, cfg, "ids")
+    return out.select("doc_id", "num_tokens_scored", "num_green_tokens", "z_score", "status")
+
+
+def prompt_truncate(spark, sf_dir):
+    """Prompt cut to the cap, flag, and the shown prompt with a notice."""
+    d = documents(spark, sf_dir).select("doc_id", "text", tokenize_col(F.col("text")).alias("t"))
+    cut = F.slice("t", 1, PROMPT_CAP)
+    flag = (F.size(cut) == F.lit(PROMPT_CAP)).cast("int")
+    shown = F.when(flag == 1, F.concat(F.array_join(cut, " "), F.lit(TRUNC_NOTICE))).otherwise(F.col("text"))
+    return d.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"),
+                    F.size(cut).cast("bigint").alias("n_prompt"), flag.alias("truncation_warning"),
+                    shown.alias("prompt_text"))
+
+
+QUERIES.update({
+    "green_mask": green_mask,
+    "bigram_freq": bigram_freq,
+    "bigram_green_table": bigram_green_table,
+    "greenlist_explicit": greenlist_explicit,
+    "tokenize": tokenize,
+    "vocab_build": vocab_build,
+    "vocab_encode": vocab_encode,
+    "bos_strip": bos_strip,
+    "prompt_truncate": prompt_truncate,
+})
