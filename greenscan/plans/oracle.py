@@ -7,7 +7,11 @@ from __future__ import annotations
 from greenscan.config import TOKEN_PATTERN, WatermarkConfig
 from greenscan.functions.stats import normal_sf_sql, z_score_sql
 from greenscan.plans.common import CFG, CFG_DISTINCT
-from greenscan.plans.queries import CFG_SMALL_V, PROMPT_CAP, TRUNC_NOTICE
+from greenscan.functions.normalize import RULESETS, CONTROL_CLASS
+from greenscan.plans.queries import (ATTACK_FROM, ATTACK_TO, CFG_SMALL_V, INJECT_COMMA, INJECT_WS,
+                                     PROMPT_CAP, TRUNC_NOTICE)
+from greenscan.functions.scripts import VOTE_SCRIPTS, re2_class
+from greenscan.operators.truecase import TOKEN as TC_TOKEN
 
 
 def h60(expr: str) -> str:
@@ -162,6 +166,50 @@ def sql_str(s: str) -> str:
     return " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in parts)
 
 
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def unicode_sql(ruleset: str) -> str:
+    t = (f"chr(65279) || replace(replace(replace(text, '. ', {lit(INJECT_WS)}), ', ', {lit(INJECT_COMMA)}), "
+         f"chr(233), 'e' || chr(769)) || chr(9) || chr(12288) || 'end'")
+    x = f"regexp_replace(nfc_normalize({t}), '{RULESETS[ruleset]}', ' ', 'g')"
+    x = f"regexp_replace(regexp_replace({x}, ' +', ' ', 'g'), '{CONTROL_CLASS}', '', 'g')"
+    return f"""
+WITH n AS (SELECT doc_id, {x} AS text_norm FROM documents)
+SELECT doc_id, text_norm, length(text_norm)::BIGINT AS n_chars FROM n"""
+
+
+def script_vote_sql() -> str:
+    att = f"translate(text, '{ATTACK_FROM}', '{ATTACK_TO}')"
+    cnt = lambda s: f"len(regexp_extract_all(a, '{re2_class(s)}'))::BIGINT"
+    cands = ", ".join(
+        f"{{'script': '{s}', 'n': {cnt(s)}, "
+        f"'first': CASE WHEN {cnt(s)} > 0 THEN strpos(a, regexp_extract(a, '{re2_class(s)}')) ELSE 0 END}}"
+        for s in VOTE_SCRIPTS)
+    return f"""
+WITH d AS (SELECT doc_id, {att} AS a FROM documents),
+c AS (SELECT doc_id, unnest([{cands}]) AS s FROM d),
+r AS (SELECT doc_id, s.script AS script, s.n AS n,
+             row_number() OVER (PARTITION BY doc_id ORDER BY s.n DESC, s.first ASC) AS rk FROM c),
+v AS (SELECT doc_id, CASE WHEN n > 0 THEN script ELSE 'COMMON' END AS target FROM r WHERE rk = 1)
+SELECT d.doc_id, {cnt('LATIN').replace('a,', 'd.a,')} AS n_latin, {cnt('CYRILLIC').replace('a,', 'd.a,')} AS n_cyrillic,
+       {cnt('GREEK').replace('a,', 'd.a,')} AS n_greek, {cnt('COMMON').replace('a,', 'd.a,')} AS n_common, v.target
+FROM d JOIN v ON d.doc_id = v.doc_id"""
+
+
+TRUECASE_MODEL_SQL = rf"""
+WITH toks AS (SELECT doc_id, regexp_extract_all(text, '{TC_TOKEN}') AS t FROM documents),
+pos AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS pos FROM toks),
+lg AS (SELECT w, lag(w) OVER (PARTITION BY doc_id ORDER BY pos) AS pw FROM pos),
+mid AS (SELECT w FROM lg WHERE pw IS NOT NULL AND pw NOT IN ('.', '!', '?')
+        AND regexp_matches(w, '^\p{{L}}')),
+cnt AS (SELECT lower(w) AS key, w AS form, count(*)::BIGINT AS n FROM mid GROUP BY 1, 2),
+best AS (SELECT key, form, n, sum(n) OVER (PARTITION BY key)::BIGINT AS n_total,
+                row_number() OVER (PARTITION BY key ORDER BY n DESC, form DESC) AS rk FROM cnt)
+SELECT key, form, n AS n_form, n_total FROM best WHERE rk = 1"""
+
+
 ORACLE = {
     "detect_distinct": detect_sql(CFG_DISTINCT),
     "detect_standard": detect_sql(CFG),
@@ -175,4 +223,9 @@ ORACLE = {
     "vocab_encode": VOCAB_ENCODE_SQL,
     "bos_strip": bos_strip_sql(CFG),
     "prompt_truncate": prompt_truncate_sql(PROMPT_CAP, TRUNC_NOTICE),
+    "unicode_whitespaces": unicode_sql("whitespaces"),
+    "unicode_ascii": unicode_sql("ascii"),
+    "unicode_idn": unicode_sql("idn"),
+    "script_vote": script_vote_sql(),
+    "truecase_model": TRUECASE_MODEL_SQL,
 }

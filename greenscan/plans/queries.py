@@ -136,3 +136,87 @@ QUERIES.update({
     "bos_strip": bos_strip,
     "prompt_truncate": prompt_truncate,
 })
+
+
+# ------------------------------------------------------------------ normalisers
+from greenscan.functions import scripts as sc  # noqa: E402
+from greenscan.functions.normalize import unicode_sanitize  # noqa: E402
+from greenscan.operators import homoglyph as hg  # noqa: E402
+from greenscan.operators import truecase as tc  # noqa: E402
+
+# Natural data has no invisible characters, no decomposed accents and no foreign
+# look-alikes, so these queries first inject them into every document (the attack
+# a normaliser must undo), the same way in Spark and in the oracle.
+INJECT_WS = ". ​ "
+INJECT_COMMA = ", ‍ "
+ATTACK_FROM, ATTACK_TO = "aeo", "аео"  # Latin a e o -> Cyrillic look-alikes
+
+
+def inject_unicode(text):
+    t = F.replace(text, F.lit(". "), F.lit(INJECT_WS))
+    t = F.replace(t, F.lit(", "), F.lit(INJECT_COMMA))
+    t = F.replace(t, F.lit("é"), F.lit("é"))
+    return F.concat(F.lit("﻿"), t, F.lit("\t　end"))
+
+
+def _unicode_query(ruleset):
+    def q(spark, sf_dir):
+        d = documents(spark, sf_dir).select("doc_id", inject_unicode(F.col("text")).alias("t"))
+        out = d.select("doc_id", unicode_sanitize(F.col("t"), ruleset).alias("text_norm"))
+        return out.select("doc_id", "text_norm", F.char_length("text_norm").cast("bigint").alias("n_chars"))
+    q.__name__ = f"unicode_{ruleset}"
+    return q
+
+
+def attacked_docs(spark, sf_dir):
+    return documents(spark, sf_dir).select(
+        "doc_id", "text", F.translate("text", ATTACK_FROM, ATTACK_TO).alias("attacked"))
+
+
+def script_vote(spark, sf_dir):
+    d = attacked_docs(spark, sf_dir)
+    return d.select("doc_id",
+                    sc.script_count(F.col("attacked"), "LATIN").alias("n_latin"),
+                    sc.script_count(F.col("attacked"), "CYRILLIC").alias("n_cyrillic"),
+                    sc.script_count(F.col("attacked"), "GREEK").alias("n_greek"),
+                    sc.script_count(F.col("attacked"), "COMMON").alias("n_common"),
+                    sc.vote(F.col("attacked")).alias("target"))
+
+
+def homoglyph_canon(spark, sf_dir):
+    d = attacked_docs(spark, sf_dir)
+    d = d.select("doc_id", "text", "attacked", sc.vote(F.col("attacked")).alias("target"))
+    c = d.select("doc_id", "target", hg.canonicalize(F.col("attacked"), spark, F.col("target")).alias("canon"),
+                 "text")
+    return c.select("doc_id", "target", (F.col("canon") == F.col("text")).alias("restored"),
+                    F.char_length("canon").cast("bigint").alias("n_chars"))
+
+
+def homoglyph_variants(spark, sf_dir):
+    words = doc_token_rows(spark, sf_dir).where(F.col("token").rlike(r"^\p{L}")) \
+        .select(F.col("token").alias("word")).distinct()
+    return hg.word_variants(words, "word", spark)
+
+
+def truecase_model(spark, sf_dir):
+    return tc.truecase_model(documents(spark, sf_dir), "text")
+
+
+def truecase_apply(spark, sf_dir):
+    """Case-scrambled documents (vowels upper-cased) restored with the corpus model."""
+    d = documents(spark, sf_dir)
+    model = tc.truecase_model(d, "text")
+    scrambled = d.select("doc_id", F.translate(F.lower("text"), "aeiou", "AEIOU").alias("text"))
+    return tc.truecase_apply(scrambled, model, "doc_id", "text")
+
+
+QUERIES.update({
+    "unicode_whitespaces": _unicode_query("whitespaces"),
+    "unicode_ascii": _unicode_query("ascii"),
+    "unicode_idn": _unicode_query("idn"),
+    "script_vote": script_vote,
+    "homoglyph_canon": homoglyph_canon,
+    "homoglyph_variants": homoglyph_variants,
+    "truecase_model": truecase_model,
+    "truecase_apply": truecase_apply,
+})
