@@ -48,11 +48,11 @@ def _horner(var: str, top: float, coeffs, last: float, denom_coeffs, denom_last:
     return f"({n} + {_lit(last)})", f"({d} + {_lit(denom_last)})"
 
 
-def erfc_sql(x: str) -> str:
-    """SQL text of erfc(x) for a DOUBLE expression ``x`` (evaluated several times:
-    pass a column name, not a costly expression)."""
-    y = f"abs({x})"
-    s = f"({y} * {y})"
+def erfc_sql(x: str, y: str | None = None, s: str | None = None) -> str:
+    """SQL text of erfc(x) for a DOUBLE expression ``x`` (read several times: pass
+    column names). ``y`` = abs(x) and ``s`` = y * y may be given as columns too."""
+    y = y or f"abs({x})"
+    s = s or f"({y} * {y})"
     n1, d1 = _horner(s, _A[4], _A[:3], _A[3], _B[:3], _B[3])
     small = f"(1.0e0 - {x} * {n1} / {d1})"
     n2, d2 = _horner(y, _C[8], _C[:7], _C[7], _D[:7], _D[7])
@@ -71,6 +71,17 @@ def normal_sf_sql(z: str) -> str:
     return f"(5.0e-1 * {erfc_sql(x)})"
 
 
+def with_normal_sf(df, z: str, out: str):
+    """Add ``out`` = P(Z > z) to a DataFrame. x, |x| and x*x are projected first so
+    the rational function reads columns: the expression stays small enough for
+    whole-stage codegen even with several p-values in one stage."""
+    x, y, s = f"_{out}_x", f"_{out}_y", f"_{out}_s"
+    df = df.withColumn(x, F.col(z) * F.lit(1.0 / math.sqrt(2.0)))
+    df = df.withColumn(y, F.abs(F.col(x))).withColumn(s, F.abs(F.col(x)) * F.abs(F.col(x)))
+    df = df.withColumn(out, F.expr(f"5.0e-1 * {erfc_sql(f'`{x}`', f'`{y}`', f'`{s}`')}"))
+    return df.drop(x, y, s)
+
+
 def normal_sf(z: Column | str) -> Column:
     """Column P(Z > z); ``z`` should be a column reference (it is read several times)."""
     name = z if isinstance(z, str) else None

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from greenscan.config import WatermarkConfig
 from greenscan.functions import greenlist as gl
 from greenscan.functions.normalize import apply_chain
-from greenscan.functions.stats import normal_sf, z_score
+from greenscan.functions.stats import with_normal_sf, z_score
 from greenscan.functions.tokens import strip_bos, text_to_ids
 
 SCORE_COLUMNS = ("num_tokens_scored", "num_green_tokens", "green_fraction", "z_score",
@@ -54,49 +54,50 @@ def distinct_green_count(codes: Column, cfg: WatermarkConfig) -> Column:
 
 def score_ids(df: DataFrame, ids_col: str, cfg: WatermarkConfig, *,
               return_mask: bool = False, threshold: Column | None = None,
-              status: Column | None = None, keep_codes: bool = False) -> DataFrame:
+              status: Column | None = None, prefix: str = "") -> DataFrame:
     """Add the score record to rows holding an ARRAY<BIGINT> of token ids.
 
-    Output columns: ``SCORE_COLUMNS`` + ``status`` (+ ``green_token_mask``).
-    Rows that cannot be scored (fewer than two tokens, Q3/Q4) get null metrics and
-    ``status = 'too_few_tokens'`` instead of an exception; ``status`` passed in
-    (e.g. the character guard) takes precedence.
+    Output columns: ``SCORE_COLUMNS`` + ``status`` (+ ``green_token_mask``), each
+    named with ``prefix``. Rows that cannot be scored (fewer than two tokens, Q3/Q4)
+    get null metrics and ``status = 'too_few_tokens'`` instead of an exception;
+    ``status`` passed in (e.g. the character guard) takes precedence.
+    Each step is its own Project so an array is built once and read by name.
     """
     if return_mask and cfg.ignore_repeated_bigrams:
         raise ValueError("Can't return the green/red mask when ignoring repeats.")
+    P = prefix
     ids = F.col(ids_col)
     n = F.size(ids)
     st = F.when(ids.isNull(), F.lit("null_input")).when(n < 2, F.lit("too_few_tokens")) \
         .otherwise(F.lit("ok"))
     if status is not None:
         st = F.coalesce(status, st)
-    cols = [c for c in df.columns if c not in ("_codes", "_flags")]
+    cols = list(df.columns)
+    tmp_arr, tmp_t, tmp_g = f"_{P}arr", f"_{P}T", f"_{P}g"
     if cfg.ignore_repeated_bigrams:
-        step = df.select(*cols, F.array_distinct(bigram_codes(ids, cfg.vocab_size)).alias("_codes"),
-                         st.alias("status"))
-        step = step.select(*cols, "status", *(["_codes"] if keep_codes else []),
-                           F.size("_codes").cast("bigint").alias("_T"),
-                           distinct_green_count(F.col("_codes"), cfg).cast("bigint").alias("_g"))
+        step = df.select(*cols, F.array_distinct(bigram_codes(ids, cfg.vocab_size)).alias(tmp_arr),
+                         st.alias(f"{P}status"))
+        step = step.select(*cols, f"{P}status", F.size(tmp_arr).cast("bigint").alias(tmp_t),
+                           distinct_green_count(F.col(tmp_arr), cfg).cast("bigint").alias(tmp_g))
     else:
-        step = df.select(*cols, green_flags(ids, cfg).alias("_flags"), st.alias("status"))
-        extra = [F.col("_flags").alias("green_token_mask")] if return_mask else []
-        step = step.select(*cols, "status", *extra,
-                           F.size("_flags").cast("bigint").alias("_T"),
-                           F.size(F.filter("_flags", lambda x: x)).cast("bigint").alias("_g"))
-    ok = F.col("status") == F.lit("ok")
-    step = step.withColumn("num_tokens_scored", F.when(ok, F.col("_T"))) \
-        .withColumn("num_green_tokens", F.when(ok, F.col("_g"))) \
-        .drop("_T", "_g")
-    step = step.withColumn("green_fraction",
-                           F.col("num_green_tokens").cast("double") / F.col("num_tokens_scored").cast("double")) \
-        .withColumn("z_score", z_score(F.col("num_green_tokens"), F.col("num_tokens_scored"), cfg.gamma))
+        step = df.select(*cols, green_flags(ids, cfg).alias(tmp_arr), st.alias(f"{P}status"))
+        extra = [F.col(tmp_arr).alias(f"{P}green_token_mask")] if return_mask else []
+        step = step.select(*cols, f"{P}status", *extra,
+                           F.size(tmp_arr).cast("bigint").alias(tmp_t),
+                           F.size(F.filter(tmp_arr, lambda x: x)).cast("bigint").alias(tmp_g))
+    ok = F.col(f"{P}status") == F.lit("ok")
+    T, G, Z = f"{P}num_tokens_scored", f"{P}num_green_tokens", f"{P}z_score"
+    step = step.withColumn(T, F.when(ok, F.col(tmp_t))).withColumn(G, F.when(ok, F.col(tmp_g))) \
+        .drop(tmp_t, tmp_g)
+    step = step.withColumn(f"{P}green_fraction", F.col(G).cast("double") / F.col(T).cast("double")) \
+        .withColumn(Z, z_score(F.col(G), F.col(T), cfg.gamma))
     thr = F.lit(float(cfg.z_threshold)) if threshold is None else \
         F.coalesce(threshold.cast("double"), F.lit(float(cfg.z_threshold)))
-    step = step.withColumn("p_value", normal_sf("z_score")) \
-        .withColumn("prediction", F.col("z_score") > thr)
-    step = step.withColumn("confidence", F.when(F.col("prediction"), F.lit(1.0) - F.col("p_value")))
-    if "green_token_mask" in step.columns:
-        step = step.withColumn("green_token_mask", F.when(ok, F.col("green_token_mask")))
+    step = with_normal_sf(step, Z, f"{P}p_value").withColumn(f"{P}prediction", F.col(Z) > thr)
+    step = step.withColumn(f"{P}confidence",
+                           F.when(F.col(f"{P}prediction"), F.lit(1.0) - F.col(f"{P}p_value")))
+    if f"{P}green_token_mask" in step.columns:
+        step = step.withColumn(f"{P}green_token_mask", F.when(ok, F.col(f"{P}green_token_mask")))
     return step
 
 
@@ -162,5 +163,5 @@ def detect_exploded(df: DataFrame, id_col: str, ids_col: str, cfg: WatermarkConf
     agg = rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("num_tokens_scored"),
                                    F.sum(F.col("green").cast("long")).alias("num_green_tokens"))
     agg = agg.withColumn("z_score", z_score(F.col("num_green_tokens"), F.col("num_tokens_scored"), cfg.gamma))
-    return agg.withColumn("p_value", normal_sf("z_score")) \
+    return with_normal_sf(agg, "z_score", "p_value") \
         .withColumn("prediction", F.col("z_score") > F.lit(float(cfg.z_threshold)))

@@ -8,8 +8,9 @@ from greenscan.config import TOKEN_PATTERN, WatermarkConfig
 from greenscan.functions.stats import normal_sf_sql, z_score_sql
 from greenscan.plans.common import CFG, CFG_DISTINCT
 from greenscan.functions.normalize import RULESETS, CONTROL_CLASS
-from greenscan.plans.queries import (ATTACK_FROM, ATTACK_TO, CFG_SMALL_V, INJECT_COMMA, INJECT_WS,
-                                     PROMPT_CAP, TRUNC_NOTICE)
+from greenscan.operators.evaluate import gamma_grid
+from greenscan.plans.queries import (ANALYSIS_METRICS, ATTACK_FROM, ATTACK_TO, CFG_SMALL_V, INJECT_COMMA,
+                                     INJECT_WS, PROMPT_CAP, SAMPLE_SEED, TOP_K, TRUNC_NOTICE)
 from greenscan.functions.scripts import VOTE_SCRIPTS, re2_class
 from greenscan.operators.truecase import TOKEN as TC_TOKEN
 
@@ -210,6 +211,193 @@ best AS (SELECT key, form, n, sum(n) OVER (PARTITION BY key)::BIGINT AS n_total,
 SELECT key, form, n AS n_form, n_total FROM best WHERE rk = 1"""
 
 
+# ------------------------------------------------------ generation / evaluation
+
+def _green_ok(cfg, p="p", c="c"):
+    return f"CASE WHEN {green_sql(p, c, cfg)} THEN 1 ELSE 0 END"
+
+
+def cand_cte(cfg: WatermarkConfig) -> str:
+    return f"""{token_ids_cte("documents", "doc_id", "text", cfg)},
+cnt AS (SELECT p AS prev, c AS tok, count(*)::BIGINT AS n FROM bg WHERE p IS NOT NULL GROUP BY p, c),
+cand AS (SELECT prev, tok, n, ln(n) AS score, {green_sql('prev', 'tok', cfg)} AS is_green FROM cnt),
+biased AS (SELECT *, score + CASE WHEN is_green THEN {float(cfg.delta)!r}e0 ELSE 0.0e0 END AS biased_score
+           FROM cand)"""
+
+
+def bias_scores_sql(cfg):
+    return f"WITH {cand_cte(cfg)} SELECT prev, tok, n, score, is_green, biased_score FROM biased"
+
+
+def greedy_next_sql(cfg):
+    return f"""
+WITH {cand_cte(cfg)},
+w AS (SELECT prev, tok AS next_tok_w, biased_score AS score_w,
+             row_number() OVER (PARTITION BY prev ORDER BY biased_score DESC, tok ASC) AS rk FROM biased),
+wo AS (SELECT prev, tok AS next_tok_wo, score AS score_wo,
+              row_number() OVER (PARTITION BY prev ORDER BY score DESC, tok ASC) AS rk FROM biased)
+SELECT w.prev, next_tok_w, score_w, next_tok_wo, score_wo
+FROM w JOIN wo ON w.prev = wo.prev AND wo.rk = 1 WHERE w.rk = 1"""
+
+
+def sampled_next_sql(cfg, seed):
+    u = (f"((CAST({h60(f"concat_ws(':', '{seed}', CAST(prev AS VARCHAR), CAST(tok AS VARCHAR))")} AS DOUBLE)"
+         f" + 0.5e0) / {float(2 ** 60)!r})")
+    return f"""
+WITH {cand_cte(cfg)},
+s AS (SELECT prev, tok, biased_score / {float(cfg.sampling_temp)!r}e0 + (-ln(-ln({u}))) AS s FROM biased),
+r AS (SELECT prev, tok, s, row_number() OVER (PARTITION BY prev ORDER BY s DESC, tok ASC) AS rk FROM s)
+SELECT prev, tok AS next_tok, s AS sample_score FROM r WHERE rk = 1"""
+
+
+def transition_table_sql(cfg, top_k):
+    return f"""
+WITH {token_ids_cte("documents", "doc_id", "text", cfg)},
+cnt AS (SELECT p AS prev, c AS tok, count(*)::BIGINT AS n FROM bg WHERE p IS NOT NULL GROUP BY p, c),
+r AS (SELECT prev, tok, n, sum(n) OVER (PARTITION BY prev)::BIGINT AS total,
+             row_number() OVER (PARTITION BY prev ORDER BY n DESC, tok ASC)::BIGINT AS rank FROM cnt)
+SELECT prev, tok, n, total, rank, ln(CAST(n AS DOUBLE) / CAST(total AS DOUBLE)) AS logit FROM r
+WHERE rank <= {top_k}"""
+
+
+def paired_cte(cfg) -> str:
+    zw = z_score_sql("wg", "wt", cfg.gamma)
+    zo = z_score_sql("og", "ot", cfg.gamma)
+    thr = f"{float(cfg.z_threshold)!r}e0"
+    return f"""{cand_cte(cfg)},
+greedy AS (SELECT prev, tok AS g FROM (SELECT prev, tok,
+             row_number() OVER (PARTITION BY prev ORDER BY biased_score DESC, tok ASC) AS rk FROM biased)
+           WHERE rk = 1),
+tri AS (SELECT id, pos, lag(c, 2) OVER (PARTITION BY id ORDER BY pos) AS pp, p, c FROM bg),
+wb AS (SELECT tri.id,
+              CASE WHEN tri.pos % 2 = 0 THEN tri.p ELSE coalesce(g2.g, tri.p) END AS wp,
+              CASE WHEN tri.pos % 2 = 0 THEN coalesce(g1.g, tri.c) ELSE tri.c END AS wc
+       FROM tri LEFT JOIN greedy g1 ON tri.p = g1.prev LEFT JOIN greedy g2 ON tri.pp = g2.prev
+       WHERE tri.p IS NOT NULL),
+wagg AS (SELECT id, count(*)::BIGINT AS wt, sum({_green_ok(cfg, 'wp', 'wc')})::BIGINT AS wg FROM wb GROUP BY id),
+oagg AS (SELECT id, count(*)::BIGINT AS ot, sum({_green_ok(cfg)})::BIGINT AS og FROM bg
+         WHERE p IS NOT NULL GROUP BY id),
+base AS (SELECT toks.id, len(toks.t)::BIGINT AS n, oagg.ot, oagg.og, wagg.wt, wagg.wg
+         FROM toks LEFT JOIN oagg ON toks.id = oagg.id LEFT JOIN wagg ON toks.id = wagg.id),
+zz AS (SELECT *, {zo} AS oz, {zw} AS wz FROM base),
+paired AS (
+SELECT CAST(id AS VARCHAR) AS id,
+       ot AS WO_num_tokens_scored, og AS WO_num_green_tokens,
+       CAST(og AS DOUBLE) / CAST(ot AS DOUBLE) AS WO_green_fraction, oz AS WO_z_score,
+       {normal_sf_sql('oz')} AS WO_p_value, oz > {thr} AS WO_prediction, n AS WO_num_output_token,
+       wt AS W_num_tokens_scored, wg AS W_num_green_tokens,
+       CAST(wg AS DOUBLE) / CAST(wt AS DOUBLE) AS W_green_fraction, wz AS W_z_score,
+       {normal_sf_sql('wz')} AS W_p_value, wz > {thr} AS W_prediction, n AS W_num_output_token
+FROM zz),
+arms AS (
+  SELECT id, 'WO' AS arm, WO_num_tokens_scored AS num_tokens_scored, WO_num_green_tokens AS num_green_tokens,
+         WO_green_fraction AS green_fraction, WO_z_score AS z_score, WO_p_value AS p_value,
+         WO_prediction AS prediction, WO_num_output_token AS num_output_token FROM paired
+  UNION ALL
+  SELECT id, 'W', W_num_tokens_scored, W_num_green_tokens, W_green_fraction, W_z_score, W_p_value,
+         W_prediction, W_num_output_token FROM paired),
+complete AS (SELECT * FROM arms WHERE num_tokens_scored IS NOT NULL AND num_green_tokens IS NOT NULL
+             AND green_fraction IS NOT NULL AND z_score IS NOT NULL AND p_value IS NOT NULL
+             AND prediction IS NOT NULL AND num_output_token IS NOT NULL)"""
+
+
+def paired_results_sql(cfg):
+    return f"WITH {paired_cte(cfg)} SELECT * FROM paired"
+
+
+def threshold_rates_sql(cfg):
+    return f"""
+WITH {paired_cte(cfg)},
+grid AS (SELECT range AS j, range / 10.0e0 AS threshold FROM range(0, 101)),
+sc AS (SELECT arm, z_score FROM arms WHERE z_score IS NOT NULL),
+r AS (SELECT g.threshold,
+        count(CASE WHEN s.arm = 'WO' AND s.z_score > g.threshold THEN 1 END)::BIGINT AS wo_pass,
+        count(CASE WHEN s.arm = 'W' AND s.z_score > g.threshold THEN 1 END)::BIGINT AS w_pass,
+        count(CASE WHEN s.arm = 'WO' THEN 1 END)::BIGINT AS n_wo,
+        count(CASE WHEN s.arm = 'W' THEN 1 END)::BIGINT AS n_w
+      FROM grid g, sc s GROUP BY g.threshold)
+SELECT threshold, CAST(wo_pass AS DOUBLE) / n_wo AS fpr, CAST(w_pass AS DOUBLE) / n_w AS tpr, n_wo, n_w FROM r"""
+
+
+def arm_summary_sql(cfg):
+    return f"""
+WITH {paired_cte(cfg)}
+SELECT arm, count(*)::BIGINT AS n_rows, count(z_score)::BIGINT AS n_scored,
+       avg(CAST(prediction AS DOUBLE)) AS predicted_rate, avg(z_score) AS mean_z,
+       stddev_samp(z_score) AS sd_z, avg(green_fraction) AS mean_green_fraction
+FROM arms GROUP BY arm"""
+
+
+def _metric_long(metrics):
+    return " UNION ALL ".join(
+        f"SELECT arm, '{m}' AS metric, CAST({m} AS DOUBLE) AS x FROM complete" for m in metrics)
+
+
+def histograms_sql(cfg, metrics, bins=20):
+    return f"""
+WITH {paired_cte(cfg)},
+lg AS ({_metric_long(metrics)}),
+rg AS (SELECT arm, metric, min(x) AS lo, max(x) AS hi FROM lg WHERE NOT isnan(x) GROUP BY arm, metric),
+b AS (SELECT lg.arm, lg.metric, rg.lo, rg.hi,
+        CAST(CASE WHEN rg.hi - rg.lo = 0 THEN 0
+             ELSE least(floor((lg.x - rg.lo) / (rg.hi - rg.lo) * {float(bins)!r}e0), {bins - 1}) END AS INTEGER) AS bin
+      FROM lg JOIN rg ON lg.arm = rg.arm AND lg.metric = rg.metric WHERE NOT isnan(lg.x))
+SELECT arm, metric, bin, lo, hi, count(*)::BIGINT AS n FROM b GROUP BY arm, metric, bin, lo, hi"""
+
+
+def pair_corr_sql(cfg, metrics):
+    from itertools import combinations
+    parts = []
+    for x, y in combinations(metrics, 2):
+        parts.append(f"SELECT arm, '{x}' AS x_col, '{y}' AS y_col, "
+                     f"count(CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN 1 END)::BIGINT AS n, "
+                     f"corr(CAST({x} AS DOUBLE), CAST({y} AS DOUBLE)) AS corr FROM complete GROUP BY arm")
+    return f"WITH {paired_cte(cfg)} " + " UNION ALL ".join(parts)
+
+
+def sweep_grid_sql(cfg, grid):
+    vals = ", ".join(f"({g!r}e0, {n})" for g, n in grid)
+    V = cfg.vocab_size
+    k = h60(f"CAST({cfg.hash_key} * p AS VARCHAR)")
+    rank = f"((({k} % {V - 1} + 1) * c + ({k} // {V - 1}) % {V}) % {V})"
+    z = "((CAST(g AS DOUBLE) - gamma * CAST(t AS DOUBLE)) / sqrt(CAST(t AS DOUBLE) * gamma * (1.0e0 - gamma)))"
+    return f"""
+WITH {token_ids_cte("documents", "doc_id", "text", cfg)},
+rk AS (SELECT id, {rank} AS r FROM bg WHERE p IS NOT NULL),
+grid AS (SELECT * FROM (VALUES {vals}) AS v(gamma, n_green)),
+agg AS (SELECT id, gamma, count(*)::BIGINT AS t,
+               sum(CASE WHEN r < n_green THEN 1 ELSE 0 END)::BIGINT AS g FROM rk, grid GROUP BY id, gamma)
+SELECT id AS doc_id, gamma, t AS num_tokens_scored, g AS num_green_tokens, {z} AS z_score,
+       {z} > {float(cfg.z_threshold)!r}e0 AS prediction FROM agg"""
+
+
+def display_table_sql(cfg):
+    thr = repr(float(cfg.z_threshold))
+    d = detect_sql(cfg)
+    rows = [
+        ("0", "'Tokens Counted (T)'", "CAST(num_tokens_scored AS VARCHAR)"),
+        ("1", "'# Tokens in Greenlist'", "CAST(num_green_tokens AS VARCHAR)"),
+        ("2", "'Fraction of T in Greenlist'", "printf('%.1f%%', green_fraction * 100.0e0)"),
+        ("3", "'z-score'", "printf('%.3g', z_score)"),
+        ("4", "'p value'", "printf('%.3g', p_value)"),
+        ("5", "'z-score Threshold'", f"'{thr}'"),
+        ("6", "'Prediction'", "CASE WHEN prediction THEN 'Watermarked' ELSE 'Human/Unwatermarked' END"),
+    ]
+    ok = " UNION ALL ".join(f"SELECT doc_id, {o} AS ord, {m} AS metric, {v} AS value FROM det WHERE status = 'ok'"
+                            for o, m, v in rows)
+    conf = ("SELECT doc_id, 7, 'Confidence', printf('%.3f%%', confidence * 100.0e0) FROM det "
+            "WHERE status = 'ok' AND prediction")
+    err = ("SELECT doc_id, 0, 'Error', CASE WHEN status = 'too_short' THEN 'string too short to compute metrics' "
+           "ELSE 'too few tokens to compute metrics' END FROM det WHERE status <> 'ok'")
+    blanks = " UNION ALL ".join(f"SELECT doc_id, {i}, '', '' FROM det WHERE status <> 'ok'" for i in range(1, 7))
+    return f"WITH det AS ({d}) SELECT doc_id, CAST(ord AS INTEGER) AS ord, metric, value FROM ({ok} UNION ALL {conf} UNION ALL {err} UNION ALL {blanks})"
+
+
+CATEGORY_CODES_SQL = """
+SELECT doc_id, lang, source, (dense_rank() OVER (ORDER BY lang) - 1)::BIGINT AS lang_code,
+       (dense_rank() OVER (ORDER BY source) - 1)::BIGINT AS source_code FROM documents"""
+
+
 ORACLE = {
     "detect_distinct": detect_sql(CFG_DISTINCT),
     "detect_standard": detect_sql(CFG),
@@ -228,4 +416,19 @@ ORACLE = {
     "unicode_idn": unicode_sql("idn"),
     "script_vote": script_vote_sql(),
     "truecase_model": TRUECASE_MODEL_SQL,
+    "bias_scores": bias_scores_sql(CFG),
+    "greedy_next": greedy_next_sql(CFG),
+    "sampled_next": sampled_next_sql(CFG, SAMPLE_SEED),
+    "transition_table": transition_table_sql(CFG, TOP_K),
+    "paired_results": paired_results_sql(CFG),
+    "threshold_rates": threshold_rates_sql(CFG),
+    "arm_summary": arm_summary_sql(CFG),
+    "histograms": histograms_sql(CFG, ANALYSIS_METRICS),
+    "pair_corr": pair_corr_sql(CFG, ANALYSIS_METRICS),
+    "sweep_grid": sweep_grid_sql(CFG, gamma_grid(vocab_size=CFG.vocab_size)),
+    "resume_anti_join": detect_sql(CFG, table="(SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))"),
+    "stream_detect": detect_sql(CFG, table="(SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))"),
+    "limit_ordered": detect_sql(CFG, table=f"(SELECT * FROM documents ORDER BY doc_id LIMIT {CFG.limit_dataset})"),
+    "display_table": display_table_sql(CFG),
+    "category_codes": CATEGORY_CODES_SQL,
 }

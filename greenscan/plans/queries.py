@@ -220,3 +220,169 @@ QUERIES.update({
     "truecase_model": truecase_model,
     "truecase_apply": truecase_apply,
 })
+
+
+# ------------------------------------------------------- generation and evaluation
+from greenscan.functions.stats import z_score as z_col  # noqa: E402
+from greenscan.functions.stats import with_normal_sf  # noqa: E402
+from greenscan.operators import evaluate as ev  # noqa: E402
+from greenscan.operators import generate as gen  # noqa: E402
+from greenscan.operators import report as rp  # noqa: E402
+from greenscan.operators.detect import score_ids  # noqa: E402
+from greenscan.sources.tables import limit_ordered as limit_rows, read_table  # noqa: E402
+
+TOP_K = 20
+GEN_MAX_NEW = 200
+SAMPLE_SEED = CFG.generation_seed
+ANALYSIS_METRICS = ("num_tokens_scored", "num_green_tokens", "green_fraction", "z_score", "p_value",
+                    "num_output_token")
+
+
+def scored_candidates(spark, sf_dir):
+    """Candidate table: every observed successor of every token, scored by log count."""
+    cnt = gen.transition_counts(doc_ids(spark, sf_dir), "ids", CFG.vocab_size)
+    return cnt.withColumn("score", F.log(F.col("n").cast("double")))
+
+
+def bias_scores(spark, sf_dir):
+    return gen.bias_scores(scored_candidates(spark, sf_dir), CFG)
+
+
+def greedy_next(spark, sf_dir):
+    c = gen.bias_scores(scored_candidates(spark, sf_dir), CFG)
+    w = gen.greedy_next(c, ["prev"], "biased_score").withColumnRenamed("next_tok", "next_tok_w") \
+        .withColumnRenamed("next_score", "score_w")
+    wo = gen.greedy_next(c, ["prev"], "score").withColumnRenamed("next_tok", "next_tok_wo") \
+        .withColumnRenamed("next_score", "score_wo")
+    return w.join(wo, "prev")
+
+
+def sampled_next(spark, sf_dir):
+    c = gen.bias_scores(scored_candidates(spark, sf_dir), CFG)
+    return gen.sampled_next(c, ["prev"], "biased_score", SAMPLE_SEED, CFG.sampling_temp)
+
+
+def transition_table(spark, sf_dir):
+    return gen.transition_table(doc_ids(spark, sf_dir), "ids", CFG.vocab_size, TOP_K)
+
+
+def paired_results(spark, sf_dir):
+    """15-column result rows: WO = the document as written, W = the same document
+    rewritten by biased greedy decoding under teacher forcing (see evaluate)."""
+    d = doc_ids(spark, sf_dir)
+    c = gen.bias_scores(scored_candidates(spark, sf_dir), CFG)
+    greedy = gen.greedy_next(c, ["prev"], "biased_score")
+    w = ev.greedy_rewrite_counts(d, "doc_id", "ids", greedy, CFG)
+    wo = score_ids(d.withColumn("WO_num_output_token", F.size("ids").cast("bigint")), "ids", CFG, prefix="WO_")
+    pair = wo.join(w, "doc_id", "left")  # J3 on the document id
+    ok = F.col("WO_status") == "ok"
+    pair = pair.withColumn("W_num_tokens_scored", F.when(ok, F.col("T"))) \
+        .withColumn("W_num_green_tokens", F.when(ok, F.col("g")))
+    pair = pair.withColumn("W_green_fraction", F.col("W_num_green_tokens").cast("double")
+                           / F.col("W_num_tokens_scored").cast("double")) \
+        .withColumn("W_z_score", z_col(F.col("W_num_green_tokens"), F.col("W_num_tokens_scored"), CFG.gamma))
+    pair = with_normal_sf(pair, "W_z_score", "W_p_value") \
+        .withColumn("W_prediction", F.col("W_z_score") > F.lit(float(CFG.z_threshold))) \
+        .withColumn("W_num_output_token", F.col("WO_num_output_token")) \
+        .withColumn("id", F.col("doc_id").cast("string"))
+    return pair.select(*ev.RESULT_COLUMNS)
+
+
+def arms_long(spark, sf_dir):
+    """Analysis reads written results, as the reference's analysis reads its result
+    file: the paired rows are checkpointed to the session's checkpoint folder, which
+    also keeps filters on result columns from being pushed into the text scan."""
+    from greenscan.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    return ev.unpivot_arms(paired_results(spark, sf_dir).checkpoint(eager=True))
+
+
+def threshold_rates(spark, sf_dir):
+    return ev.threshold_rates(arms_long(spark, sf_dir))
+
+
+def arm_summary(spark, sf_dir):
+    return ev.arm_summary(arms_long(spark, sf_dir))
+
+
+def histograms(spark, sf_dir):
+    return rp.histograms(rp.drop_incomplete(arms_long(spark, sf_dir)), "arm", ANALYSIS_METRICS)
+
+
+def pair_corr(spark, sf_dir):
+    return rp.pair_corr(rp.drop_incomplete(arms_long(spark, sf_dir)), "arm", ANALYSIS_METRICS)
+
+
+def sweep_grid(spark, sf_dir):
+    out = ev.sweep_gamma(doc_ids(spark, sf_dir), "ids", CFG, keep=("doc_id",))
+    return out.select("doc_id", "gamma", "num_tokens_scored", "num_green_tokens", "z_score", "prediction")
+
+
+def resume_anti_join(spark, sf_dir):
+    """Score only documents not already done (the labelled ids stand for them)."""
+    done = read_table(spark, sf_dir, "labels").select("doc_id")
+    todo = ev.skip_done(documents(spark, sf_dir), done, "doc_id", "doc_id")
+    return detect_text(todo, CFG, "text").select(*DETECT_COLS)
+
+
+def limit_ordered(spark, sf_dir):
+    """The first limit_dataset documents by id, scored."""
+    d = limit_rows(read_table(spark, sf_dir, "documents").select("doc_id", "text"), CFG.limit_dataset, "doc_id")
+    return detect_text(d, CFG, "text").select(*DETECT_COLS)
+
+
+def display_table(spark, sf_dir):
+    d = detect_text(documents(spark, sf_dir), CFG, "text")
+    return rp.display_rows(d, "doc_id", CFG.z_threshold)
+
+
+def category_codes(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    return rp.category_codes(d, ["lang", "source"], ["doc_id"])
+
+
+def generate_paired(spark, sf_dir):
+    """Sampled generation of both arms from every document prompt (cut to the
+    prompt cap), then detection of both and the paired result rows."""
+    d = doc_ids(spark, sf_dir)
+    prompts = d.select(F.col("doc_id").cast("string").alias("id"), F.slice("ids", 1, PROMPT_CAP).alias("ids"))
+    g = gen.generate_paired(prompts, d, CFG, "id", "ids", TOP_K, GEN_MAX_NEW)
+    return ev.paired_from_columns(g, CFG)
+
+
+QUERIES.update({
+    "bias_scores": bias_scores,
+    "greedy_next": greedy_next,
+    "sampled_next": sampled_next,
+    "transition_table": transition_table,
+    "paired_results": paired_results,
+    "threshold_rates": threshold_rates,
+    "arm_summary": arm_summary,
+    "histograms": histograms,
+    "pair_corr": pair_corr,
+    "sweep_grid": sweep_grid,
+    "resume_anti_join": resume_anti_join,
+    "limit_ordered": limit_ordered,
+    "display_table": display_table,
+    "category_codes": category_codes,
+    "generate_paired": generate_paired,
+})
+
+
+# -------------------------------------------------------------------- streaming
+from greenscan.session import scratch_path  # noqa: E402
+from greenscan.streaming import stream as st  # noqa: E402
+
+
+def stream_detect(spark, sf_dir):
+    """Documents arrive as a file stream; labelled ids count as already scored and
+    are skipped; results are appended idempotently, then read back."""
+    src = st.read_stream(spark, sf_dir, "documents.parq[u]et")
+    done = read_table(spark, sf_dir, "labels").select("doc_id")
+    scored = st.detect_stream(src, CFG, "doc_id", "text", done=done).select(*DETECT_COLS)
+    out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
+    st.run_to_completion(scored, out, ckpt, "doc_id")
+    return st.results(spark, out)
+
+
+QUERIES["stream_detect"] = stream_detect
