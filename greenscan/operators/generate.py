@@ -37,11 +37,32 @@ def transition_counts(df: DataFrame, ids_col: str, vocab_size: int) -> DataFrame
     return agg.select(F.call_function("div", F.col("_z"), v).alias("prev"), (F.col("_z") % v).alias("tok"), "n")
 
 
-def transition_table(df: DataFrame, ids_col: str, vocab_size: int, top_k: int = 20) -> DataFrame:
+def top_tokens(df: DataFrame, ids_col: str, n: int) -> DataFrame:
+    """The n most frequent token ids (tok); a per-partition top-n, then a merge."""
+    cnt = df.select(F.explode(ids_col).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
+    return cnt.orderBy(F.col("n").desc(), F.col("tok")).limit(n).select("tok")
+
+
+def top_word_ids(docs: DataFrame, text_col: str, n: int, vocab_size: int) -> DataFrame:
+    """Ids of the n most frequent alphabetic words of a text table: a model
+    vocabulary without punctuation and junk runs (tok)."""
+    from greenscan.functions.tokens import token_id, tokenize
+    words = docs.select(F.explode(tokenize(F.col(text_col))).alias("w")).where(F.col("w").rlike(r"^\p{L}+$"))
+    cnt = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    top = cnt.orderBy(F.col("n").desc(), F.col("w")).limit(n)
+    return top.select(token_id(F.col("w"), vocab_size).alias("tok")).distinct()
+
+
+def transition_table(df: DataFrame, ids_col: str, vocab_size: int, top_k: int = 20,
+                     model_tokens: DataFrame | None = None) -> DataFrame:
     """(prev, tok, n, total, rank, logit): the top_k successors of each token with
     log-probabilities; ranks by (n desc, tok). One window per prev holds at most V
-    rows (its distinct successors), whatever the corpus size."""
+    rows (its distinct successors), whatever the corpus size. ``model_tokens``
+    (a small table of ids, broadcast) keeps only bigrams between those tokens."""
     cnt = transition_counts(df, ids_col, vocab_size)
+    if model_tokens is not None:
+        top = F.broadcast(model_tokens.select("tok"))
+        cnt = cnt.join(top.withColumnRenamed("tok", "prev"), "prev", "left_semi").join(top, "tok", "left_semi")
     w = Window.partitionBy("prev").orderBy(F.col("n").desc(), F.col("tok"))
     ranked = cnt.withColumn("rank", F.row_number().over(w)) \
         .withColumn("total", F.sum("n").over(Window.partitionBy("prev")))
@@ -203,17 +224,19 @@ def _generator(tbl, cfg: WatermarkConfig, max_new: int, top_k: int):
 
 def generate_paired(prompts: DataFrame, corpus_ids: DataFrame, cfg: WatermarkConfig,
                     id_col: str = "id", ids_col: str = "ids", top_k: int = 20,
-                    max_new_tokens: int | None = None) -> DataFrame:
+                    max_new_tokens: int | None = None, model_tokens: DataFrame | None = None) -> DataFrame:
     """Both arms for every prompt: WO (no bias) and W (delta on green successors),
     ``max_new_tokens`` each (G6, G7). Prompts are id arrays; only their last token
-    conditions the bigram model. Output: ``GEN_SCHEMA`` (generated ids exclude the
-    prompt; the token counts include it, as a decoder-only model reports them).
+    conditions the bigram model; ``model_tokens`` restricts the model to a token
+    set such as :func:`top_word_ids` (others back off to unigrams). Output: ``GEN_SCHEMA`` (generated
+    ids exclude the prompt; the token counts include it, as a decoder-only model
+    reports them).
     """
     spark = prompts.sparkSession
     max_new = cfg.max_new_tokens if max_new_tokens is None else max_new_tokens
     if cfg.vocab_size * (top_k + 1) > MAX_BROADCAST_ENTRIES:
         raise ValueError("transition table would exceed the broadcast bound; lower top_k or V")
-    trans = transition_table(corpus_ids, ids_col, cfg.vocab_size, top_k)
+    trans = transition_table(corpus_ids, ids_col, cfg.vocab_size, top_k, model_tokens)
     back = unigram_table(corpus_ids, ids_col, top_k).withColumn("prev", F.lit(cfg.vocab_size).cast("bigint"))
     rows = trans.select("prev", "tok", "rank", "logit").unionByName(back.select("prev", "tok", "rank", "logit"))
     # bounded by (V + 1) * top_k rows: checked above, so collecting it is safe

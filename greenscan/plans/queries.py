@@ -233,6 +233,7 @@ from greenscan.sources.tables import limit_ordered as limit_rows, read_table  #
 
 TOP_K = 20
 GEN_MAX_NEW = 200
+MODEL_WORDS = 500
 SAMPLE_SEED = CFG.generation_seed
 ANALYSIS_METRICS = ("num_tokens_scored", "num_green_tokens", "green_fraction", "z_score", "p_value",
                     "num_output_token")
@@ -343,10 +344,13 @@ def category_codes(spark, sf_dir):
 
 def generate_paired(spark, sf_dir):
     """Sampled generation of both arms from every document prompt (cut to the
-    prompt cap), then detection of both and the paired result rows."""
+    prompt cap) with a bigram model over the most frequent words, then detection of
+    both arms and the paired result rows."""
+    docs = documents(spark, sf_dir)
     d = doc_ids(spark, sf_dir)
+    words = gen.top_word_ids(docs, "text", MODEL_WORDS, CFG.vocab_size)
     prompts = d.select(F.col("doc_id").cast("string").alias("id"), F.slice("ids", 1, PROMPT_CAP).alias("ids"))
-    g = gen.generate_paired(prompts, d, CFG, "id", "ids", TOP_K, GEN_MAX_NEW)
+    g = gen.generate_paired(prompts, d, CFG, "id", "ids", TOP_K, GEN_MAX_NEW, model_tokens=words)
     return ev.paired_from_columns(g, CFG)
 
 

@@ -11,16 +11,19 @@ from conftest import SF01
 CFG = WatermarkConfig(ignore_repeated_bigrams=True)
 
 
-def _corpus(spark):
-    d = read_table(spark, SF01, "documents").where("lang = 'en'").select(
-        "doc_id", text_to_ids(F.col("text"), CFG.vocab_size).alias("ids"))
-    return d
+def _docs(spark):
+    return read_table(spark, SF01, "documents").where("lang = 'en'")
 
 
 def _generate(spark, cfg, n_prompts=40, max_new=200):
-    corpus = _corpus(spark)
+    """The FIXTURES setup: a bigram model over the 500 most frequent words of the
+    English documents, 200 new tokens, temperature 0.7."""
+    docs = _docs(spark)
+    corpus = docs.select("doc_id", text_to_ids(F.col("text"), cfg.vocab_size).alias("ids"))
+    words = gen.top_word_ids(docs, "text", 500, cfg.vocab_size)
     prompts = corpus.orderBy("doc_id").limit(n_prompts).select(F.col("doc_id").cast("string").alias("id"), "ids")
-    return gen.generate_paired(prompts, corpus, cfg, "id", "ids", top_k=20, max_new_tokens=max_new)
+    return gen.generate_paired(prompts, corpus, cfg, "id", "ids", top_k=20, max_new_tokens=max_new,
+                               model_tokens=words)
 
 
 def test_power_and_null(spark):
