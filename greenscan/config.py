@@ -55,8 +55,9 @@ def parse_normalizers(spec) -> tuple[str, ...]:
     if spec is None or spec == "":
         return ()
     names = tuple(s.strip() for s in spec.split(",")) if isinstance(spec, str) else tuple(spec)
+    from greenscan.functions.normalize import _CUSTOM
     for n in names:
-        if n not in NORMALIZER_NAMES:
+        if n not in NORMALIZER_NAMES and n not in _CUSTOM:
             raise ValueError(f"unknown normalizer: {n!r}")
     return names
 

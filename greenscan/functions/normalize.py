@@ -66,6 +66,15 @@ def unicode_normalizer(ruleset: str):
     return apply
 
 
+_CUSTOM: dict = {}
+
+
+def register_normalizer(name: str, fn) -> None:
+    """Add a normaliser (E1): ``fn`` maps a Column to a Column (built-in functions or
+    a pandas_udf) and is applied as ``df.withColumn(col, fn(col))``."""
+    _CUSTOM[name] = fn
+
+
 def lookup(name: str):
     """Normaliser name -> ``(df, text_col) -> df`` (F1). Unknown names fail here (Q10).
 
@@ -85,6 +94,9 @@ def lookup(name: str):
     if name == "truecase":
         from greenscan.operators.truecase import truecase_normalizer
         return truecase_normalizer
+    if name in _CUSTOM:
+        fn = _CUSTOM[name]
+        return lambda df, col: df.withColumn(col, fn(F.col(col)))
     raise ValueError(f"unknown normalizer: {name!r}")
 
 
@@ -93,3 +105,11 @@ def apply_chain(df, col: str, names) -> object:
     for n in names:
         df = lookup(n)(df, col)
     return df
+
+
+def str2bool_col(v: Column) -> Column:
+    """P17 on a column: yes/true/t/y/1 and no/false/f/n/0, anything else fails."""
+    low = F.lower(v.cast("string"))
+    return F.when(low.isin("yes", "true", "t", "y", "1"), F.lit(True)) \
+        .when(low.isin("no", "false", "f", "n", "0"), F.lit(False)) \
+        .otherwise(F.raise_error(F.concat(F.lit("Boolean value expected: "), low)))

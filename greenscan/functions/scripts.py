@@ -51,3 +51,8 @@ def vote(text: Column, scripts=VOTE_SCRIPTS) -> Column:
                       F.lit(s).alias("script")) for s in scripts]
     best = F.greatest(*cands)
     return F.when(best["n"] > 0, best["script"]).otherwise(F.lit("COMMON"))
+
+
+def scripts_present(text: Column, scripts=VOTE_SCRIPTS + NEUTRAL_SCRIPTS) -> Column:
+    """The scripts that occur in a text, in list order."""
+    return F.array_compact(F.array(*[F.when(text.rlike(java_class(s)), F.lit(s)) for s in scripts]))

@@ -101,6 +101,22 @@ def score_ids(df: DataFrame, ids_col: str, cfg: WatermarkConfig, *,
     return step
 
 
+def select_fields(scores: DataFrame, keep: list[str], *, return_num_tokens_scored: bool = True,
+                  return_num_green_tokens: bool = True, return_green_fraction: bool = True,
+                  return_green_token_mask: bool = False, return_z_score: bool = True,
+                  return_p_value: bool = True, return_scores: bool = True,
+                  return_prediction: bool = True) -> DataFrame:
+    """The reference's output switches (P15, P16) as a projection: unrequested
+    fields are pruned and Catalyst drops the expressions behind them."""
+    flags = [("num_tokens_scored", return_num_tokens_scored), ("num_green_tokens", return_num_green_tokens),
+             ("green_fraction", return_green_fraction), ("green_token_mask", return_green_token_mask),
+             ("z_score", return_z_score), ("p_value", return_p_value)]
+    cols = [c for c, on in flags if on and return_scores and c in scores.columns]
+    if return_prediction:
+        cols += ["prediction", "confidence"]
+    return scores.select(*keep, *cols, "status")
+
+
 def text_guard(text: Column) -> Column:
     """Character guard of the reference's detect helper (P8): at least 3 characters."""
     return F.when(text.isNull(), F.lit("null_input")) \
@@ -109,7 +125,8 @@ def text_guard(text: Column) -> Column:
 
 def detect_text(df: DataFrame, cfg: WatermarkConfig, text_col: str = "text", *,
                 keep: list[str] | None = None, return_mask: bool = False,
-                threshold: Column | None = None, normalized_col: str | None = None) -> DataFrame:
+                threshold: Column | None = None, normalized_col: str | None = None,
+                tokenizer=None) -> DataFrame:
     """Detection over a text column: guard -> normalisers -> tokens -> ids -> score.
 
     ``keep`` lists pass-through columns (default: all but the text). The text column
@@ -119,8 +136,11 @@ def detect_text(df: DataFrame, cfg: WatermarkConfig, text_col: str = "text", *,
     base = df.select(*keep, F.col(text_col).alias("_text"), text_guard(F.col(text_col)).alias("_guard"))
     if cfg.normalizers:
         base = apply_chain(base, "_text", cfg.normalizers)
-    ids = strip_bos(text_to_ids(F.col("_text"), cfg.vocab_size, cfg.token_pattern, cfg.lowercase),
-                    cfg.bos_id)
+    # A user tokenizer is any Column -> ARRAY<BIGINT> function (for example a
+    # pandas_udf around a subword tokenizer); the default is the regex + hash path
+    raw = tokenizer(F.col("_text")) if tokenizer is not None else \
+        text_to_ids(F.col("_text"), cfg.vocab_size, cfg.token_pattern, cfg.lowercase)
+    ids = strip_bos(raw, cfg.bos_id)
     extra = [F.col("_text").alias(normalized_col)] if normalized_col else []
     base = base.select(*keep, *extra, "_guard", ids.alias("_ids"))
     out = score_ids(base, "_ids", cfg, return_mask=return_mask, threshold=threshold,

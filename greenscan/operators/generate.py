@@ -158,8 +158,13 @@ GEN_SCHEMA = T.StructType([
 ])
 
 
-def _generator(tbl, cfg: WatermarkConfig, max_new: int, top_k: int):
-    """Build the per-partition function; ``tbl`` is a broadcast dict of arrays."""
+def _generator(tbl, cfg: WatermarkConfig, max_new: int, top_k: int, model=None, hooks=()):
+    """Build the per-partition function; ``tbl`` is a broadcast dict of arrays.
+
+    ``model(cur) -> (cand, score)`` (E4) replaces the table lookup: ``cur`` holds the
+    last token of each row (-1 for none), the result two (rows, k) arrays. Each
+    hook ``(cur, cand, score) -> score`` (E2) runs after the model and before the
+    watermark bias, like a logits processor list."""
     V, G = cfg.vocab_size, cfg.n_green
     head = cfg.select_green_tokens
     seed = np.uint64(cfg.generation_seed)
@@ -174,16 +179,23 @@ def _generator(tbl, cfg: WatermarkConfig, max_new: int, top_k: int):
         cur = last.copy()
         ar = np.arange(top_k)
         for step in range(max_new):
-            idx = np.where(cur >= 0, cur, V)          # V = back-off row
-            start, end = offs[idx], offs[idx + 1]
-            empty = end == start
-            start = np.where(empty, offs[V], start)
-            end = np.where(empty, offs[V + 1], end)
-            pos = start[:, None] + ar[None, :]
-            valid = pos < end[:, None]
-            pos = np.where(valid, pos, start[:, None])
-            cand = toks[pos]
-            score = np.where(valid, logit[pos], -np.inf)
+            if model is not None:
+                cand, score = model(cur)
+                cand = np.asarray(cand, dtype=np.int64)
+                score = np.asarray(score, dtype=np.float64)
+            else:
+                idx = np.where(cur >= 0, cur, V)          # V = back-off row
+                start, end = offs[idx], offs[idx + 1]
+                empty = end == start
+                start = np.where(empty, offs[V], start)
+                end = np.where(empty, offs[V + 1], end)
+                pos = start[:, None] + ar[None, :]
+                valid = pos < end[:, None]
+                pos = np.where(valid, pos, start[:, None])
+                cand = toks[pos]
+                score = np.where(valid, logit[pos], -np.inf)
+            for hook in hooks:
+                score = hook(cur, cand, score)
             if delta != 0.0:
                 prev = np.where(cur >= 0, cur, 0)
                 rank = (a_key[prev][:, None] * cand + b_key[prev][:, None]) % V
@@ -224,7 +236,8 @@ def _generator(tbl, cfg: WatermarkConfig, max_new: int, top_k: int):
 
 def generate_paired(prompts: DataFrame, corpus_ids: DataFrame, cfg: WatermarkConfig,
                     id_col: str = "id", ids_col: str = "ids", top_k: int = 20,
-                    max_new_tokens: int | None = None, model_tokens: DataFrame | None = None) -> DataFrame:
+                    max_new_tokens: int | None = None, model_tokens: DataFrame | None = None,
+                    model=None, hooks=()) -> DataFrame:
     """Both arms for every prompt: WO (no bias) and W (delta on green successors),
     ``max_new_tokens`` each (G6, G7). Prompts are id arrays; only their last token
     conditions the bigram model; ``model_tokens`` restricts the model to a token
@@ -250,7 +263,7 @@ def generate_paired(prompts: DataFrame, corpus_ids: DataFrame, cfg: WatermarkCon
         "logit": pdf["logit"].to_numpy(dtype=np.float64),
         "a": keys["a"].to_numpy(dtype=np.int64), "b": keys["b"].to_numpy(dtype=np.int64)})
     src = prompts.select(F.col(id_col).cast("string").alias("id"), F.col(ids_col).alias("ids"))
-    return src.mapInPandas(_generator(tbl, cfg, max_new, top_k), GEN_SCHEMA)
+    return src.mapInPandas(_generator(tbl, cfg, max_new, top_k, model, tuple(hooks)), GEN_SCHEMA)
 
 
 def green_py(prev: int, toks: np.ndarray, cfg: WatermarkConfig) -> np.ndarray:

@@ -245,3 +245,58 @@ def uniq_and_sort(arr: Column) -> Column:
 def max_code_point(s: Column) -> Column:
     """Largest code point of a string."""
     return F.array_max(F.transform(F.split(s, ""), lambda c: F.ascii(c)))
+
+
+# ------------------------------------------------ script ranges
+
+def script_ranges(spark: SparkSession) -> DataFrame:
+    """(lo, hi, category): maximal runs of consecutive code points with one script,
+    derived from the character dimension (the reference's range table, S8)."""
+    t = char_table(spark).select("cp", "script")
+    from pyspark.sql import Window
+    w = Window.orderBy("cp")  # fixed-size dimension (~12.5k rows)
+    runs = t.withColumn("_brk", F.when((F.lag("script").over(w) == F.col("script"))
+                                       & (F.lag("cp").over(w) == F.col("cp") - 1), 0).otherwise(1))
+    runs = runs.withColumn("_run", F.sum("_brk").over(w))
+    return runs.groupBy("_run", "script").agg(F.min("cp").alias("lo"), F.max("cp").alias("hi")) \
+        .select("lo", "hi", F.col("script").alias("category"))
+
+
+def range_alphabet(ranges: DataFrame, categories) -> DataFrame:
+    """Characters of the given categories from a range table (A16): each range is
+    expanded with sequence(lo, hi); unknown categories fail before the job (S8)."""
+    known = set(VOTE_SCRIPTS) | set(NEUTRAL_SCRIPTS) | {"OTHER"}
+    for c in categories:
+        if c not in known:
+            raise ValueError(f"Invalid category: {c}")
+    r = ranges.where(F.col("category").isin(list(categories)))
+    return r.select(F.explode(F.sequence("lo", "hi")).alias("cp")).select(F.chr("cp").alias("ch")).distinct()
+
+
+def categorize_chars(chars: DataFrame, ranges: DataFrame, char_col: str = "ch") -> DataFrame:
+    """Code point -> category by range, first range in table order wins.
+    The range table has a fixed size; each range is expanded to its code points and
+    joined by equality, so no theta join is needed."""
+    expanded = ranges.select(F.explode(F.sequence("lo", "hi")).alias("_cp"), "category", "lo")
+    first = expanded.groupBy("_cp").agg(F.min_by("category", "lo").alias("category"))
+    c = chars.withColumn("_cp", F.ascii(F.col(char_col)))
+    return c.join(F.broadcast(first), "_cp", "left").drop("_cp")
+
+
+def all_categories(spark: SparkSession) -> DataFrame:
+    """All category names."""
+    return char_table(spark).select(F.col("script").alias("category")).distinct()
+
+
+def all_languages(spark: SparkSession) -> DataFrame:
+    """All language codes."""
+    return spark.createDataFrame([(k,) for k in sorted(LANGUAGE_EXTRA)], "lang string")
+
+
+def ascii_readings(lattices: DataFrame, key: str, lists_col: str) -> DataFrame:
+    """ASCII spellings of a string from its ASCII-only lattice (F22): a string with
+    a character that has no ASCII look-alike has none; results unique and sorted
+    by (-length, value) per key."""
+    ok = lattices.where(F.forall(lists_col, lambda l: F.size(l) > 0))
+    rows = expand_variants(ok, key, lists_col)
+    return rows.groupBy(key).agg(uniq_and_sort(F.collect_list("variant")).alias("readings"))
