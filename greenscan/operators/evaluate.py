@@ -116,27 +116,33 @@ def threshold_grid(lo: float = 0.0, hi: float = 10.0, step: float = 0.1):
 def sweep_gamma(df: DataFrame, ids_col: str, cfg: WatermarkConfig, grid=None, keep=("id",)) -> DataFrame:
     """Every text re-scored for every gamma of the grid (J8), as a sweep must.
 
-    No join: the permutation rank of each bigram does not depend on gamma, so ranks
-    are computed once per row and each grid point is a count over them; the grid
-    (a literal array) is then exploded into one row per (text, gamma).
+    No join and no per-grid-point pass: the permutation rank of a bigram does not
+    depend on gamma, so each bigram gets one bucket - how many grid sizes G_k are
+    <= its rank - and a bigram is green at grid point k exactly when its bucket is
+    <= k. One aggregation per text counts bigrams per bucket (partial aggregation:
+    a text's rows sit in one partition, so one row per text is shuffled); the green
+    count at k is a prefix sum of those counts.
     """
-    grid = grid or gamma_grid(vocab_size=cfg.vocab_size)
+    grid = sorted(grid or gamma_grid(vocab_size=cfg.vocab_size), key=lambda t: t[1])
+    V = cfg.vocab_size
     head, tail = _pairs(F.col(ids_col))
     keys = F.transform(head, lambda p: gl.seed_key(p, cfg.hash_key))
     ranks = F.zip_with(keys, tail, lambda k, c: gl.rank_from_key(k, c, cfg.vocab_size))
-    base = df.select(*keep, ranks.alias("_r"))
-    V = cfg.vocab_size
-    lit_grid = F.array(*[F.struct(F.lit(float(g)).alias("gamma"), F.lit(n).alias("n_green"))
-                         for g, n in grid])
-    if cfg.select_green_tokens:
-        count = lambda s: F.size(F.filter("_r", lambda r: r < s["n_green"]))
-    else:
-        count = lambda s: F.size(F.filter("_r", lambda r: r >= F.lit(V) - s["n_green"]))
-    per = base.select(*keep, F.size("_r").cast("bigint").alias("num_tokens_scored"),
-                      F.explode(F.transform(lit_grid, lambda s: F.struct(
-                          s["gamma"].alias("gamma"), count(s).cast("bigint").alias("g")))).alias("_s"))
+    rows = df.select(*keep, F.explode(ranks).alias("_r"))
+    # tail selection (legacy): green iff rank >= V - G  <=>  (V - 1 - rank) < G
+    r = F.col("_r") if cfg.select_green_tokens else F.lit(V - 1) - F.col("_r")
+    bucket = sum((r >= F.lit(n)).cast("int") for _, n in grid)
+    rows = rows.select(*keep, bucket.alias("_b"))
+    K = len(grid)
+    agg = rows.groupBy(*keep).agg(F.count(F.lit(1)).alias("num_tokens_scored"),
+                                  *[F.count(F.when(F.col("_b") == k, 1)).alias(f"_h{k}") for k in range(K)])
+    points = []
+    for k, (g, _) in enumerate(grid):
+        green = sum(F.col(f"_h{j}") for j in range(k + 1))
+        points.append(F.struct(F.lit(float(g)).alias("gamma"), green.cast("bigint").alias("g")))
+    per = agg.select(*keep, "num_tokens_scored", F.explode(F.array(*points)).alias("_s"))
     per = per.select(*keep, F.col("_s.gamma").alias("gamma"), "num_tokens_scored",
-                     F.col("_s.g").alias("num_green_tokens")).where(F.col("num_tokens_scored") >= 1)
+                     F.col("_s.g").alias("num_green_tokens"))
     t = F.col("num_tokens_scored").cast("double")
     g = F.col("num_green_tokens").cast("double")
     gm = F.col("gamma")

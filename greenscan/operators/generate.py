@@ -29,12 +29,19 @@ MAX_BROADCAST_ENTRIES = 50_000_000  # transition entries kept in executor memory
 
 # ------------------------------------------------------------ model tables (R2)
 
-def transition_counts(df: DataFrame, ids_col: str, vocab_size: int) -> DataFrame:
-    """(prev, tok, n) over all bigrams; partial aggregation before the shuffle."""
+def transition_counts(df: DataFrame, ids_col: str, vocab_size: int,
+                      model_tokens: DataFrame | None = None) -> DataFrame:
+    """(prev, tok, n) over all bigrams; partial aggregation before the shuffle.
+    ``model_tokens`` (a small id table, broadcast) filters bigrams before counting."""
     v = F.lit(vocab_size).cast("bigint")
     z = df.select(F.explode(bigram_codes(F.col(ids_col), vocab_size)).alias("_z"))
-    agg = z.groupBy("_z").agg(F.count(F.lit(1)).alias("n"))
-    return agg.select(F.call_function("div", F.col("_z"), v).alias("prev"), (F.col("_z") % v).alias("tok"), "n")
+    if model_tokens is None:
+        agg = z.groupBy("_z").agg(F.count(F.lit(1)).alias("n"))
+        return agg.select(F.call_function("div", F.col("_z"), v).alias("prev"), (F.col("_z") % v).alias("tok"), "n")
+    top = F.broadcast(model_tokens.select("tok"))
+    pairs = z.select(F.call_function("div", F.col("_z"), v).alias("prev"), (F.col("_z") % v).alias("tok"))
+    pairs = pairs.join(top.withColumnRenamed("tok", "prev"), "prev", "left_semi").join(top, "tok", "left_semi")
+    return pairs.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_tokens(df: DataFrame, ids_col: str, n: int) -> DataFrame:
@@ -59,10 +66,7 @@ def transition_table(df: DataFrame, ids_col: str, vocab_size: int, top_k: int =
     log-probabilities; ranks by (n desc, tok). One window per prev holds at most V
     rows (its distinct successors), whatever the corpus size. ``model_tokens``
     (a small table of ids, broadcast) keeps only bigrams between those tokens."""
-    cnt = transition_counts(df, ids_col, vocab_size)
-    if model_tokens is not None:
-        top = F.broadcast(model_tokens.select("tok"))
-        cnt = cnt.join(top.withColumnRenamed("tok", "prev"), "prev", "left_semi").join(top, "tok", "left_semi")
+    cnt = transition_counts(df, ids_col, vocab_size, model_tokens)
     w = Window.partitionBy("prev").orderBy(F.col("n").desc(), F.col("tok"))
     ranked = cnt.withColumn("rank", F.row_number().over(w)) \
         .withColumn("total", F.sum("n").over(Window.partitionBy("prev")))
@@ -71,9 +75,13 @@ def transition_table(df: DataFrame, ids_col: str, vocab_size: int, top_k: int =
                       F.log(F.col("n").cast("double") / F.col("total").cast("double")).alias("logit"))
 
 
-def unigram_table(df: DataFrame, ids_col: str, top_k: int = 20) -> DataFrame:
+def unigram_table(df: DataFrame, ids_col: str, top_k: int = 20,
+                  model_tokens: DataFrame | None = None) -> DataFrame:
     """Back-off successors: the top_k tokens overall, (tok, n, logit)."""
-    cnt = df.select(F.explode(ids_col).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
+    toks = df.select(F.explode(ids_col).alias("tok"))
+    if model_tokens is not None:
+        toks = toks.join(F.broadcast(model_tokens.select("tok")), "tok", "left_semi")
+    cnt = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
     total = cnt.select(F.sum("n").cast("double")).scalar()  # scalar subquery, one value
     # per-partition top-k, then a merge of top_k rows: the window below sees top_k rows
     top = cnt.orderBy(F.col("n").desc(), F.col("tok")).limit(top_k)
@@ -250,7 +258,8 @@ def generate_paired(prompts: DataFrame, corpus_ids: DataFrame, cfg: WatermarkCon
     if cfg.vocab_size * (top_k + 1) > MAX_BROADCAST_ENTRIES:
         raise ValueError("transition table would exceed the broadcast bound; lower top_k or V")
     trans = transition_table(corpus_ids, ids_col, cfg.vocab_size, top_k, model_tokens)
-    back = unigram_table(corpus_ids, ids_col, top_k).withColumn("prev", F.lit(cfg.vocab_size).cast("bigint"))
+    back = unigram_table(corpus_ids, ids_col, top_k, model_tokens) \
+        .withColumn("prev", F.lit(cfg.vocab_size).cast("bigint"))
     rows = trans.select("prev", "tok", "rank", "logit").unionByName(back.select("prev", "tok", "rank", "logit"))
     # bounded by (V + 1) * top_k rows: checked above, so collecting it is safe
     pdf = rows.orderBy("prev", "rank").toPandas()

@@ -53,6 +53,15 @@ def doc_ids(spark, sf_dir, cfg=CFG):
     return d.select("doc_id", text_to_ids(F.col("text"), cfg.vocab_size).alias("ids"))
 
 
+def doc_ids_by_doc(spark, sf_dir, cfg=CFG):
+    """Token ids hash-partitioned by doc_id. Queries that read the ids in several
+    branches share this one exchange (Spark reuses identical exchanges), so the
+    text is tokenised once; per-document aggregations and joins on doc_id downstream
+    need no further shuffle."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return doc_ids(spark, sf_dir, cfg).repartition(n, "doc_id")
+
+
 def doc_token_rows(spark, sf_dir):
     """(doc_id, pos, token) for every token, pos from 1."""
     d = documents(spark, sf_dir)
@@ -239,9 +248,10 @@ ANALYSIS_METRICS = ("num_tokens_scored", "num_green_tokens", "green_fraction", "
                     "num_output_token")
 
 
-def scored_candidates(spark, sf_dir):
+def scored_candidates(spark, sf_dir, ids=None):
     """Candidate table: every observed successor of every token, scored by log count."""
-    cnt = gen.transition_counts(doc_ids(spark, sf_dir), "ids", CFG.vocab_size)
+    ids = doc_ids(spark, sf_dir) if ids is None else ids
+    cnt = gen.transition_counts(ids, "ids", CFG.vocab_size)
     return cnt.withColumn("score", F.log(F.col("n").cast("double")))
 
 
@@ -270,8 +280,8 @@ def transition_table(spark, sf_dir):
 def paired_results(spark, sf_dir):
     """15-column result rows: WO = the document as written, W = the same document
     rewritten by biased greedy decoding under teacher forcing (see evaluate)."""
-    d = doc_ids(spark, sf_dir)
-    c = gen.bias_scores(scored_candidates(spark, sf_dir), CFG)
+    d = doc_ids_by_doc(spark, sf_dir)
+    c = gen.bias_scores(scored_candidates(spark, sf_dir, d), CFG)
     greedy = gen.greedy_next(c, ["prev"], "biased_score")
     w = ev.greedy_rewrite_counts(d, "doc_id", "ids", greedy, CFG)
     wo = score_ids(d.withColumn("WO_num_output_token", F.size("ids").cast("bigint")), "ids", CFG, prefix="WO_")
