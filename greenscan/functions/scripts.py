@@ -43,12 +43,35 @@ def script_of_char(ch: Column, scripts=VOTE_SCRIPTS + NEUTRAL_SCRIPTS) -> Column
     return expr
 
 
+FOREIGN_CLASS = r"[^\p{IsLatin}\p{IsCommon}\p{IsInherited}]"
+
+
+def foreign_chars(text: Column) -> Column:
+    """Characters outside LATIN/COMMON/INHERITED - usually none, so the per-script
+    counts below run over a short array instead of re-scanning the text."""
+    return F.regexp_extract_all(text, F.lit(FOREIGN_CLASS), 0)
+
+
+def fast_count(text: Column, script: str) -> Column:
+    """Characters of ``script`` in ``text``: one scan for LATIN/COMMON/INHERITED,
+    a filter over the foreign characters otherwise."""
+    if script in ("LATIN",) + NEUTRAL_SCRIPTS:
+        return script_count(text, script)
+    return F.size(F.filter(foreign_chars(text), lambda c: c.rlike(java_class(script)))).cast("bigint")
+
+
 def vote(text: Column, scripts=VOTE_SCRIPTS) -> Column:
     """Target script of a text: max count, first seen wins ties; COMMON when no
-    counted script occurs. Returns a STRING column."""
+    counted script occurs. Returns a STRING column.
+
+    Two scans of the text in the usual case (LATIN count, foreign characters);
+    first positions are only looked up for scripts that reach the maximum count."""
+    counts = {s: fast_count(text, s) for s in scripts}
+    top = F.greatest(*counts.values())
     # structs compare field by field: most characters, then earliest first position
-    cands = [F.struct(script_count(text, s).alias("n"), (-first_pos(text, s)).alias("first"),
-                      F.lit(s).alias("script")) for s in scripts]
+    cands = [F.struct(counts[s].alias("n"),
+                      F.when((counts[s] == top) & (top > 0), -first_pos(text, s)).otherwise(F.lit(0))
+                      .alias("first"), F.lit(s).alias("script")) for s in scripts]
     best = F.greatest(*cands)
     return F.when(best["n"] > 0, best["script"]).otherwise(F.lit("COMMON"))
 

@@ -52,12 +52,14 @@ def _char_rows(spark: SparkSession) -> tuple:
     return tuple((ord(c), c, s) for c, s in zip(chars, sk))
 
 
+@lru_cache(maxsize=4)
 def char_table(spark: SparkSession) -> DataFrame:
-    """(cp INT, ch STRING, skel STRING, script STRING): the character dimension."""
+    """(cp INT, ch STRING, skel STRING, script STRING): the character dimension,
+    a fixed ~12.5k rows, cached once per session."""
     schema = T.StructType([T.StructField("cp", T.IntegerType()), T.StructField("ch", T.StringType()),
                            T.StructField("skel", T.StringType())])
     df = spark.createDataFrame(list(_char_rows(spark)), schema)
-    return df.withColumn("script", F.coalesce(script_of_char(F.col("ch")), F.lit("OTHER")))
+    return df.withColumn("script", F.coalesce(script_of_char(F.col("ch")), F.lit("OTHER"))).cache()
 
 
 def confusables(spark: SparkSession) -> DataFrame:
@@ -142,14 +144,16 @@ def canon_maps(spark: SparkSession) -> dict:
     look-alike in the target script; several candidates -> the smallest code point
     (ASCII first, Q13). Characters without one are kept (Q11).
     """
-    conf = confusables(spark)
-    maps = {}
-    for target in CANON_TARGETS:
-        cand = conf.where(F.col("alt_script").isin(target, "COMMON")
-                          & ~F.col("script").isin(target, *NEUTRAL_SCRIPTS))
-        pref = F.struct((F.col("alt_script") != target).alias("k"), F.col("alt_cp"))
-        best = cand.groupBy("ch").agg(F.min_by("alt", pref).alias("alt")).orderBy("ch").collect()
-        maps[target] = ("".join(r["ch"] for r in best), "".join(r["alt"] for r in best))
+    conf = confusables(spark).withColumn("target", F.explode(F.array(*[F.lit(t) for t in CANON_TARGETS])))
+    cand = conf.where((F.col("alt_script") == F.col("target")) | (F.col("alt_script") == "COMMON")) \
+        .where((F.col("script") != F.col("target")) & ~F.col("script").isin(*NEUTRAL_SCRIPTS))
+    pref = F.struct((F.col("alt_script") != F.col("target")).alias("k"), F.col("alt_cp"))
+    # one job; the result is bounded by the fixed character dimension
+    best = cand.groupBy("target", "ch").agg(F.min_by("alt", pref).alias("alt")).orderBy("target", "ch").collect()
+    maps = {t: ("", "") for t in CANON_TARGETS}
+    for t in CANON_TARGETS:
+        rows = [r for r in best if r["target"] == t]
+        maps[t] = ("".join(r["ch"] for r in rows), "".join(r["alt"] for r in rows))
     return maps
 
 

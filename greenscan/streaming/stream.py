@@ -2,9 +2,10 @@
 idempotently (X3).
 
 Detection is row-local (no aggregation, no state), so it runs in append mode with
-any trigger. Skipping is a stream-static anti join against the results written so
-far; ``foreachBatch`` re-checks each micro-batch against the sink before
-appending, so a replayed batch after a failure does not write rows twice.
+any trigger. Skipping is a stream-static anti join against the ids already scored
+when the stream starts. ``foreachBatch`` writes each micro-batch into its own
+``_epoch=<id>`` folder with overwrite, so a batch replayed after a failure replaces
+its earlier attempt instead of adding rows, and no batch has to read the output.
 """
 
 from __future__ import annotations
@@ -36,22 +37,10 @@ def detect_stream(stream: DataFrame, cfg: WatermarkConfig, id_col: str, text_col
     return detect_text(src, cfg, text_col)
 
 
-def _existing_ids(spark: SparkSession, path: str, id_col: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).select(id_col)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
-
-
 def idempotent_sink(out_path: str, id_col: str):
-    """foreachBatch function: append only ids the sink does not hold yet."""
+    """foreachBatch function (X3): one overwrite per epoch folder."""
     def write(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        have = _existing_ids(spark, out_path, id_col)
-        new = batch if have is None else batch.join(have, id_col, "left_anti")
-        new.write.mode("append").parquet(out_path)
+        batch.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/_epoch={int(epoch_id)}")
     return write
 
 
@@ -69,7 +58,8 @@ def run_to_completion(scored: DataFrame, out_path: str, checkpoint: str, id_col:
 
 
 def results(spark: SparkSession, out_path: str) -> DataFrame:
-    return spark.read.parquet(out_path)
+    """All epochs of the sink (the epoch folder name is not a result column)."""
+    return spark.read.parquet(out_path).drop("_epoch")
 
 
 __all__ = ["read_stream", "detect_stream", "idempotent_sink", "run_to_completion", "results", "F"]
