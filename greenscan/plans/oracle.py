@@ -428,6 +428,9 @@ ORACLE = {
     "sweep_grid": sweep_grid_sql(CFG, gamma_grid(vocab_size=CFG.vocab_size)),
     "resume_anti_join": detect_sql(CFG, table="(SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))"),
     "stream_detect": detect_sql(CFG, table="(SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))"),
+    "detect_conversations": detect_sql(
+        CFG_DISTINCT, table="(SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS id, text "
+                            "FROM conversations)", id_col="id"),
     "limit_ordered": detect_sql(CFG, table=f"(SELECT * FROM documents ORDER BY doc_id LIMIT {CFG.limit_dataset})"),
     "display_table": display_table_sql(CFG),
     "category_codes": CATEGORY_CODES_SQL,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from greenscan.operators.detect import detect_text
 from greenscan.plans.common import CFG, CFG_DISTINCT, documents
+from greenscan.sources.tables import spread
 
 DETECT_COLS = ["doc_id", "num_tokens_scored", "num_green_tokens", "green_fraction",
                "z_score", "p_value", "prediction", "confidence", "status"]
@@ -400,3 +401,18 @@ def stream_detect(spark, sf_dir):
 
 
 QUERIES["stream_detect"] = stream_detect
+
+
+# ------------------------------------------------------ second text table
+from greenscan.sources.tables import prepare_dataset  # noqa: E402
+
+
+def detect_conversations(spark, sf_dir):
+    """Every conversation turn through the dataset profile (id = conv_id:turn,
+    text renamed to document), scored with distinct bigrams."""
+    d = spread(prepare_dataset(spark, sf_dir, "conversations"))
+    out = detect_text(d, CFG_DISTINCT, "document", keep=["id"])
+    return out.select("id", *DETECT_COLS[1:])
+
+
+QUERIES["detect_conversations"] = detect_conversations

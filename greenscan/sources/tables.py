@@ -55,11 +55,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 # The reference knows two news sets matched by substring; here the profiles map the
 # available text tables onto (id, document).
 PROFILES = {
-    "documents": ("documents", {"text": "document"}, lambda: F.col("doc_id").cast("string")),
+    "documents": ("documents", {"text": "document"}, lambda: F.col("doc_id").cast("string"), ["doc_id"]),
     "conversations": ("conversations", {"text": "document"},
                       lambda: F.concat_ws(":", F.col("conv_id").cast("string"),
-                                          F.col("turn").cast("string"))),
-    "benchmark": ("benchmark", {"text": "document"}, lambda: F.col("item_id").cast("string")),
+                                          F.col("turn").cast("string")), ["conv_id", "turn"]),
+    "benchmark": ("benchmark", {"text": "document"}, lambda: F.col("item_id").cast("string"), ["item_id"]),
 }
 
 
@@ -73,7 +73,7 @@ def prepare_dataset(spark: SparkSession, sf_dir: str, name: str, split: str | No
     key = next((k for k in PROFILES if k in name), None)
     if key is None:
         raise ValueError("Unknown Dataset")
-    table, renames, id_expr = PROFILES[key]
+    table, renames, id_expr, order = PROFILES[key]
     try:
         df = read_table(spark, sf_dir, table)
     except Exception as e:  # S2: load failures surface as ValueError
@@ -87,10 +87,9 @@ def prepare_dataset(spark: SparkSession, sf_dir: str, name: str, split: str | No
             df = df.where(F.col("split") == F.lit(split))
     else:
         cols.append(F.lit(split).cast("string").alias("split"))
-    out = df.select(*cols)
-    if limit is not None:
-        out = limit_ordered(out, limit, "id")
-    return out
+    if limit is not None:  # dataset order: the source key, before the id becomes a string
+        df = df.orderBy(*order).limit(limit)
+    return df.select(*cols)
 
 
 def limit_ordered(df: DataFrame, n: int | None, order_col: str) -> DataFrame:
