@@ -5,7 +5,8 @@ transition table built by Spark (R2); a real model plugs in through the same
 ``next_scores`` shape. Bias, greedy and sampled choices are DataFrame operators on
 a candidate table ``(key..., prev, tok, score)``; whole-sequence generation runs in
 ``mapInPandas``, vectorised over the rows of each Arrow batch, with the transition
-table broadcast (its size is bounded by V x top_k, checked before the broadcast).
+table broadcast (its size is bounded by the model vocabulary or by V x top_k, checked
+before anything is collected).
 """
 
 from __future__ import annotations
@@ -60,31 +61,35 @@ def top_word_ids(docs: DataFrame, text_col: str, n: int, vocab_size: int) -> Dat
     return top.select(token_id(F.col("w"), vocab_size).alias("tok")).distinct()
 
 
-def transition_table(df: DataFrame, ids_col: str, vocab_size: int, top_k: int = 20,
+def transition_table(df: DataFrame, ids_col: str, vocab_size: int, top_k: int | None = 20,
                      model_tokens: DataFrame | None = None) -> DataFrame:
-    """(prev, tok, n, total, rank, logit): the top_k successors of each token with
-    log-probabilities; ranks by (n desc, tok). One window per prev holds at most V
-    rows (its distinct successors), whatever the corpus size. ``model_tokens``
-    (a small table of ids, broadcast) keeps only bigrams between those tokens."""
+    """(prev, tok, n, total, rank, logit): successors of each token with
+    log-probabilities, ranked by (n desc, tok); ``top_k`` keeps the best k (None keeps
+    all). One window per prev holds at most V rows (its distinct successors),
+    whatever the corpus size. ``model_tokens`` (a small id table, broadcast) keeps
+    only bigrams between those tokens."""
     cnt = transition_counts(df, ids_col, vocab_size, model_tokens)
     w = Window.partitionBy("prev").orderBy(F.col("n").desc(), F.col("tok"))
     ranked = cnt.withColumn("rank", F.row_number().over(w)) \
         .withColumn("total", F.sum("n").over(Window.partitionBy("prev")))
-    out = ranked.where(F.col("rank") <= top_k)
+    out = ranked if top_k is None else ranked.where(F.col("rank") <= top_k)
     return out.select("prev", "tok", "n", "total", F.col("rank").cast("bigint").alias("rank"),
                       F.log(F.col("n").cast("double") / F.col("total").cast("double")).alias("logit"))
 
 
-def unigram_table(df: DataFrame, ids_col: str, top_k: int = 20,
+def unigram_table(df: DataFrame, ids_col: str, top_k: int | None = 20,
                   model_tokens: DataFrame | None = None) -> DataFrame:
-    """Back-off successors: the top_k tokens overall, (tok, n, logit)."""
+    """Back-off successors: (tok, n, logit, rank) over the model tokens (all of
+    them) or the top_k tokens overall. Either way the result has a parameter bound
+    (the model vocabulary, or k), which the numbering window relies on."""
+    if top_k is None and model_tokens is None:
+        raise ValueError("unigram back-off needs model_tokens or top_k")
     toks = df.select(F.explode(ids_col).alias("tok"))
     if model_tokens is not None:
         toks = toks.join(F.broadcast(model_tokens.select("tok")), "tok", "left_semi")
     cnt = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
     total = cnt.select(F.sum("n").cast("double")).scalar()  # scalar subquery, one value
-    # per-partition top-k, then a merge of top_k rows: the window below sees top_k rows
-    top = cnt.orderBy(F.col("n").desc(), F.col("tok")).limit(top_k)
+    top = cnt if top_k is None else cnt.orderBy(F.col("n").desc(), F.col("tok")).limit(top_k)
     w = Window.orderBy(F.col("n").desc(), F.col("tok"))
     return top.select("tok", "n", F.log(F.col("n").cast("double") / total).alias("logit"),
                       F.row_number().over(w).cast("bigint").alias("rank"))
@@ -109,6 +114,17 @@ def greedy_next(cands: DataFrame, keys: list[str], score_col: str, tok_col: str
     return cands.groupBy(*keys).agg(best.alias("next_tok"), F.max(score_col).alias("next_score"))
 
 
+def greedy_next_many(cands: DataFrame, keys: list[str], scores: dict, tok_col: str = "tok") -> DataFrame:
+    """Several argmax choices per key in one aggregation: ``scores`` maps an output
+    suffix to a score column, giving ``next_tok_<suffix>`` and ``score_<suffix>``."""
+    aggs = []
+    for suffix, col in scores.items():
+        aggs.append(F.max_by(F.col(tok_col), F.struct(F.col(col), (-F.col(tok_col)).alias("_neg")))
+                    .alias(f"next_tok_{suffix}"))
+        aggs.append(F.max(col).alias(f"score_{suffix}"))
+    return cands.groupBy(*keys).agg(*aggs)
+
+
 def gumbel(seed: int, parts: list[Column]) -> Column:
     """Standard Gumbel noise from a keyed hash: the same draw on every run and on
     any executor (u in (0, 1) from 60 bits of md5)."""
@@ -166,7 +182,7 @@ GEN_SCHEMA = T.StructType([
 ])
 
 
-def _generator(tbl, cfg: WatermarkConfig, max_new: int, top_k: int, model=None, hooks=()):
+def _generator(tbl, cfg: WatermarkConfig, max_new: int, width: int, model=None, hooks=()):
     """Build the per-partition function; ``tbl`` is a broadcast dict of arrays.
 
     ``model(cur) -> (cand, score)`` (E4) replaces the table lookup: ``cur`` holds the
@@ -185,7 +201,7 @@ def _generator(tbl, cfg: WatermarkConfig, max_new: int, top_k: int, model=None,
         n = len(last)
         out = np.empty((n, max_new), dtype=np.int64)
         cur = last.copy()
-        ar = np.arange(top_k)
+        ar = np.arange(width)
         for step in range(max_new):
             if model is not None:
                 cand, score = model(cur)
@@ -243,36 +259,50 @@ def _generator(tbl, cfg: WatermarkConfig, max_new: int, top_k: int, model=None,
 
 
 def generate_paired(prompts: DataFrame, corpus_ids: DataFrame, cfg: WatermarkConfig,
-                    id_col: str = "id", ids_col: str = "ids", top_k: int = 20,
+                    id_col: str = "id", ids_col: str = "ids", top_k: int | None = None,
                     max_new_tokens: int | None = None, model_tokens: DataFrame | None = None,
                     model=None, hooks=()) -> DataFrame:
     """Both arms for every prompt: WO (no bias) and W (delta on green successors),
-    ``max_new_tokens`` each (G6, G7). Prompts are id arrays; only their last token
-    conditions the bigram model; ``model_tokens`` restricts the model to a token
-    set such as :func:`top_word_ids` (others back off to unigrams). Output: ``GEN_SCHEMA`` (generated
-    ids exclude the prompt; the token counts include it, as a decoder-only model
-    reports them).
+    ``max_new_tokens`` each (G6, G7). Sampling uses the model's whole conditional
+    distribution (no top-k cut, as configured in the reference) unless ``top_k`` asks
+    for one. Prompts are id arrays; only their last token conditions the bigram
+    model; ``model_tokens`` restricts the model to a token set such as
+    :func:`top_word_ids` (others back off to unigrams). Output: ``GEN_SCHEMA``
+    (generated ids exclude the prompt; the token counts include it, as a
+    decoder-only model reports them).
     """
     spark = prompts.sparkSession
     max_new = cfg.max_new_tokens if max_new_tokens is None else max_new_tokens
-    if cfg.vocab_size * (top_k + 1) > MAX_BROADCAST_ENTRIES:
-        raise ValueError("transition table would exceed the broadcast bound; lower top_k or V")
-    trans = transition_table(corpus_ids, ids_col, cfg.vocab_size, top_k, model_tokens)
-    back = unigram_table(corpus_ids, ids_col, top_k, model_tokens) \
-        .withColumn("prev", F.lit(cfg.vocab_size).cast("bigint"))
-    rows = trans.select("prev", "tok", "rank", "logit").unionByName(back.select("prev", "tok", "rank", "logit"))
-    # bounded by (V + 1) * top_k rows: checked above, so collecting it is safe
-    pdf = rows.orderBy("prev", "rank").toPandas()
-    keys = key_table(spark, cfg).orderBy("p").toPandas()
-    counts = np.bincount(pdf["prev"].to_numpy(dtype=np.int64), minlength=cfg.vocab_size + 1)
-    offs = np.zeros(cfg.vocab_size + 2, dtype=np.int64)
-    offs[1:] = np.cumsum(counts[:cfg.vocab_size + 1])
-    tbl = spark.sparkContext.broadcast({
-        "offs": offs, "toks": pdf["tok"].to_numpy(dtype=np.int64),
-        "logit": pdf["logit"].to_numpy(dtype=np.float64),
-        "a": keys["a"].to_numpy(dtype=np.int64), "b": keys["b"].to_numpy(dtype=np.int64)})
+    keys = key_table(spark, cfg).orderBy("p").toPandas()  # V rows
+    tbl = {"a": keys["a"].to_numpy(dtype=np.int64), "b": keys["b"].to_numpy(dtype=np.int64),
+           "offs": np.zeros(cfg.vocab_size + 2, dtype=np.int64), "toks": np.zeros(1, dtype=np.int64),
+           "logit": np.zeros(1, dtype=np.float64)}
+    width = 1
+    if model is None:
+        # size bound of the broadcast model, known before the table is built
+        if model_tokens is not None:
+            n_model = model_tokens.count()  # a parameter-sized table (e.g. top 500 words)
+            bound = n_model * (n_model + 1) if top_k is None else (n_model + 1) * top_k
+        elif top_k is not None:
+            bound = (cfg.vocab_size + 1) * top_k
+        else:
+            raise ValueError("sampling without a cut needs model_tokens to bound the model")
+        if bound > MAX_BROADCAST_ENTRIES:
+            raise ValueError("transition table would exceed the broadcast bound; restrict the model")
+        trans = transition_table(corpus_ids, ids_col, cfg.vocab_size, top_k, model_tokens)
+        back = unigram_table(corpus_ids, ids_col, top_k, model_tokens) \
+            .withColumn("prev", F.lit(cfg.vocab_size).cast("bigint"))
+        rows = trans.select("prev", "tok", "rank", "logit").unionByName(back.select("prev", "tok", "rank", "logit"))
+        pdf = rows.orderBy("prev", "rank").toPandas()  # bounded as checked above
+        counts = np.bincount(pdf["prev"].to_numpy(dtype=np.int64), minlength=cfg.vocab_size + 1)
+        width = int(max(1, counts.max()))
+        offs = np.zeros(cfg.vocab_size + 2, dtype=np.int64)
+        offs[1:] = np.cumsum(counts[:cfg.vocab_size + 1])
+        tbl.update({"offs": offs, "toks": pdf["tok"].to_numpy(dtype=np.int64),
+                    "logit": pdf["logit"].to_numpy(dtype=np.float64)})
+    tbl = spark.sparkContext.broadcast(tbl)
     src = prompts.select(F.col(id_col).cast("string").alias("id"), F.col(ids_col).alias("ids"))
-    return src.mapInPandas(_generator(tbl, cfg, max_new, top_k, model, tuple(hooks)), GEN_SCHEMA)
+    return src.mapInPandas(_generator(tbl, cfg, max_new, width, model, tuple(hooks)), GEN_SCHEMA)
 
 
 def green_py(prev: int, toks: np.ndarray, cfg: WatermarkConfig) -> np.ndarray:

@@ -261,12 +261,10 @@ def bias_scores(spark, sf_dir):
 
 
 def greedy_next(spark, sf_dir):
+    """Greedy next token after every observed token, with (w) and without (wo) the
+    watermark bias - both choices in one aggregation."""
     c = gen.bias_scores(scored_candidates(spark, sf_dir), CFG)
-    w = gen.greedy_next(c, ["prev"], "biased_score").withColumnRenamed("next_tok", "next_tok_w") \
-        .withColumnRenamed("next_score", "score_w")
-    wo = gen.greedy_next(c, ["prev"], "score").withColumnRenamed("next_tok", "next_tok_wo") \
-        .withColumnRenamed("next_score", "score_wo")
-    return w.join(wo, "prev")
+    return gen.greedy_next_many(c, ["prev"], {"w": "biased_score", "wo": "score"})
 
 
 def sampled_next(spark, sf_dir):
@@ -361,7 +359,7 @@ def generate_paired(spark, sf_dir):
     d = doc_ids(spark, sf_dir)
     words = gen.top_word_ids(docs, "text", MODEL_WORDS, CFG.vocab_size)
     prompts = d.select(F.col("doc_id").cast("string").alias("id"), F.slice("ids", 1, PROMPT_CAP).alias("ids"))
-    g = gen.generate_paired(prompts, d, CFG, "id", "ids", TOP_K, GEN_MAX_NEW, model_tokens=words)
+    g = gen.generate_paired(prompts, d, CFG, "id", "ids", None, GEN_MAX_NEW, model_tokens=words)
     return ev.paired_from_columns(g, CFG)
 
 

@@ -22,8 +22,7 @@ def _generate(spark, cfg, n_prompts=40, max_new=200):
     corpus = docs.select("doc_id", text_to_ids(F.col("text"), cfg.vocab_size).alias("ids"))
     words = gen.top_word_ids(docs, "text", 500, cfg.vocab_size)
     prompts = corpus.orderBy("doc_id").limit(n_prompts).select(F.col("doc_id").cast("string").alias("id"), "ids")
-    return gen.generate_paired(prompts, corpus, cfg, "id", "ids", top_k=20, max_new_tokens=max_new,
-                               model_tokens=words)
+    return gen.generate_paired(prompts, corpus, cfg, "id", "ids", max_new_tokens=max_new, model_tokens=words)
 
 
 def test_power_and_null(spark):
