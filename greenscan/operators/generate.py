@@ -182,60 +182,134 @@ GEN_SCHEMA = T.StructType([
 ])
 
 
+def _seg_cumulative(seg_id: np.ndarray, score: np.ndarray, n_seg: int) -> np.ndarray:
+    """Per-segment softmax CDF placed on a global increasing scale: entries of
+    segment k lie in (k, k + 1], the last one at k + 1 exactly."""
+    mx = np.full(n_seg, -np.inf)
+    np.maximum.at(mx, seg_id, score)
+    w = np.exp(score - mx[seg_id])
+    tot = np.zeros(n_seg)
+    np.add.at(tot, seg_id, w)
+    cum = np.cumsum(w)
+    seg_start_cum = np.zeros(n_seg)
+    first = np.r_[0, np.flatnonzero(np.diff(seg_id)) + 1] if len(seg_id) else np.array([], dtype=np.int64)
+    seg_start_cum[seg_id[first]] = cum[first] - w[first]
+    within = (cum - seg_start_cum[seg_id]) / tot[seg_id]
+    last = np.r_[first[1:] - 1, len(seg_id) - 1] if len(seg_id) else first
+    within[last] = 1.0
+    return seg_id + within
+
+
 def _generator(tbl, cfg: WatermarkConfig, max_new: int, width: int, model=None, hooks=()):
     """Build the per-partition function; ``tbl`` is a broadcast dict of arrays.
 
-    ``model(cur) -> (cand, score)`` (E4) replaces the table lookup: ``cur`` holds the
-    last token of each row (-1 for none), the result two (rows, k) arrays. Each
-    hook ``(cur, cand, score) -> score`` (E2) runs after the model and before the
-    watermark bias, like a logits processor list."""
+    Table path: green depends only on (previous, candidate), so each previous
+    token's next-token distribution is fixed per arm; its CDF is built once per
+    task and every step draws by binary search on one keyed uniform number (exact
+    sampling, O(log k) per row). Rows whose token has no successors back off to
+    unigrams, scored per step because their greenness depends on that token.
+    ``model(cur) -> (cand, score)`` (E4) replaces the table: ``cur`` holds the last
+    token of each row (-1 for none), the result two (rows, k) arrays; each hook
+    ``(cur, cand, score) -> score`` (E2) runs before the watermark bias, like a
+    logits processor list. That path samples by the Gumbel-max trick."""
     V, G = cfg.vocab_size, cfg.n_green
     head = cfg.select_green_tokens
     seed = np.uint64(cfg.generation_seed)
+    temp = cfg.sampling_temp if cfg.use_sampling else 1.0
     np.seterr(over="ignore")
 
-    def arm(ctx, last, rowkey, delta, salt):
+    def green_of(prev, cand, a_key, b_key):
+        rank = (a_key[prev][:, None] * cand + b_key[prev][:, None]) % V if cand.ndim == 2 else \
+            (a_key[prev] * cand + b_key[prev]) % V
+        return (rank < G) if head else (rank >= V - G)
+
+    def uniform(rowkey, salt, step, extra=None):
+        x = np.uint64(salt) * np.uint64(1000003) + np.uint64(step) + seed
+        if extra is not None:
+            x = x + (extra.astype(np.uint64) << np.uint64(20))
+            h = _splitmix(rowkey[:, None] ^ _splitmix(x))
+        else:
+            h = _splitmix(rowkey ^ _splitmix(np.full_like(rowkey, x)))
+        return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+
+    def choose_dense(cand, score, rowkey, salt, step):
+        if cfg.use_sampling:
+            score = score / temp - np.log(-np.log(uniform(rowkey, salt, step, cand)))
+        best = np.max(score, axis=1)
+        tie = np.where(score == best[:, None], cand, np.iinfo(np.int64).max)
+        return tie.min(axis=1)
+
+    prepared = {}
+
+    def prepare(delta):
+        """Per-arm CDF (sampling) or argmax (greedy) for every table segment."""
+        if delta in prepared:
+            return prepared[delta]
+        t = tbl.value
+        offs, toks, logit = t["offs"], t["toks"], t["logit"]
+        n_seg = V + 1  # previous tokens 0..V-1; V is the back-off segment
+        seg = np.repeat(np.arange(n_seg + 1)[:-1], np.diff(offs)[:n_seg]) if len(toks) > 1 else np.zeros(0, int)
+        score = logit[: len(seg)].copy()
+        real = seg < V
+        if delta != 0.0 and real.any():
+            score[real] = score[real] + delta * green_of(seg[real], toks[: len(seg)][real], t["a"], t["b"])
+        if cfg.use_sampling:
+            out = ("cdf", _seg_cumulative(seg, score / temp, n_seg))
+        else:
+            best = np.full(n_seg, -1, dtype=np.int64)
+            order = np.lexsort((toks[: len(seg)], -score, seg))  # per segment: best score, smallest id
+            firsts = order[np.r_[True, np.diff(seg[order]) != 0]]
+            best[seg[firsts]] = toks[firsts]
+            out = ("argmax", best)
+        prepared[delta] = out
+        return out
+
+    def arm(last, rowkey, delta, salt):
         t = tbl.value
         offs, toks, logit = t["offs"], t["toks"], t["logit"]
         a_key, b_key = t["a"], t["b"]
         n = len(last)
         out = np.empty((n, max_new), dtype=np.int64)
         cur = last.copy()
-        ar = np.arange(width)
+        kind, prep = prepare(delta) if model is None else (None, None)
+        b_start, b_end = offs[V], offs[V + 1]
+        b_toks, b_logit = toks[b_start:b_end], logit[b_start:b_end]
         for step in range(max_new):
             if model is not None:
                 cand, score = model(cur)
                 cand = np.asarray(cand, dtype=np.int64)
                 score = np.asarray(score, dtype=np.float64)
-            else:
-                idx = np.where(cur >= 0, cur, V)          # V = back-off row
-                start, end = offs[idx], offs[idx + 1]
-                empty = end == start
-                start = np.where(empty, offs[V], start)
-                end = np.where(empty, offs[V + 1], end)
-                pos = start[:, None] + ar[None, :]
-                valid = pos < end[:, None]
-                pos = np.where(valid, pos, start[:, None])
-                cand = toks[pos]
-                score = np.where(valid, logit[pos], -np.inf)
-            for hook in hooks:
-                score = hook(cur, cand, score)
-            if delta != 0.0:
-                prev = np.where(cur >= 0, cur, 0)
-                rank = (a_key[prev][:, None] * cand + b_key[prev][:, None]) % V
-                green = (rank < G) if head else (rank >= V - G)
-                green &= (cur >= 0)[:, None]
-                score = score + delta * green
-            if cfg.use_sampling:
-                h = _splitmix(rowkey[:, None] ^ _splitmix(np.uint64(salt) * np.uint64(1000003)
-                                                          + np.uint64(step) + (cand.astype(np.uint64) << np.uint64(20))
-                                                          + seed))
-                u = ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
-                score = score / cfg.sampling_temp - np.log(-np.log(u))
-            # ties -> smallest token id (candidates are sorted by rank, not id)
-            best = np.max(score, axis=1)
-            tie = np.where(score == best[:, None], cand, np.iinfo(np.int64).max)
-            cur = tie.min(axis=1)
+                for hook in hooks:
+                    score = hook(cur, cand, score)
+                if delta != 0.0:
+                    prev = np.where(cur >= 0, cur, 0)
+                    score = score + delta * (green_of(prev, cand, a_key, b_key) & (cur >= 0)[:, None])
+                cur = choose_dense(cand, score, rowkey, salt, step)
+                out[:, step] = cur
+                continue
+            idx = np.where(cur >= 0, cur, V)
+            has = (offs[idx + 1] > offs[idx]) & (idx < V)
+            nxt = np.empty(n, dtype=np.int64)
+            if has.any():
+                rows = np.flatnonzero(has)
+                seg = idx[rows]
+                if kind == "cdf":
+                    u = uniform(rowkey[rows], salt, step)
+                    pos = np.searchsorted(prep, seg + u, side="left")
+                    pos = np.minimum(np.maximum(pos, offs[seg]), offs[seg + 1] - 1)
+                    nxt[rows] = toks[pos]
+                else:
+                    nxt[rows] = prep[seg]
+            if (~has).any():
+                rows = np.flatnonzero(~has)
+                cand = np.broadcast_to(b_toks, (len(rows), len(b_toks)))
+                score = np.broadcast_to(b_logit, cand.shape).copy()
+                if delta != 0.0:
+                    valid = cur[rows] >= 0
+                    prev = np.where(valid, cur[rows], 0)
+                    score = score + delta * (green_of(prev, cand, a_key, b_key) & valid[:, None])
+                nxt[rows] = choose_dense(cand, score, rowkey[rows], salt, step)
+            cur = nxt
             out[:, step] = cur
         return out
 
@@ -247,9 +321,9 @@ def _generator(tbl, cfg: WatermarkConfig, max_new: int, width: int, model=None,
             n_prompt = np.array([len(x) if x is not None else 0 for x in ids], dtype=np.int64)
             last = np.array([int(x[-1]) if x is not None and len(x) else -1 for x in ids], dtype=np.int64)
             rowkey = np.array([_row_hash(str(i)) for i in pdf["id"]], dtype=np.uint64)
-            wo = arm(None, last, rowkey, 0.0, 0)
+            wo = arm(last, rowkey, 0.0, 0)
             # same seed for both arms, or a continued stream (a different salt)
-            w = arm(None, last, rowkey, float(cfg.delta), 0 if cfg.seed_separately else 1)
+            w = arm(last, rowkey, float(cfg.delta), 0 if cfg.seed_separately else 1)
             total = n_prompt + max_new
             yield pd.DataFrame({
                 "id": pdf["id"].astype(str), "n_prompt": n_prompt,

@@ -59,3 +59,15 @@ def test_bias_and_choice(spark):
     assert sorted(s1) == sorted(s2)
     top = gen.beam_top(cands, ["prev"], "score", 1)
     assert top.count() == 2
+
+
+def test_segment_cdf_matches_softmax():
+    import numpy as np
+    from greenscan.operators.generate import _seg_cumulative
+    seg = np.array([0, 0, 0, 2, 2])
+    score = np.array([0.0, np.log(2.0), np.log(3.0), 1.0, 1.0])
+    g = _seg_cumulative(seg, score, 3)
+    assert np.allclose(g, [1 / 6, 3 / 6, 1.0 + 0, 2.5, 3.0]) or np.allclose(g, [1 / 6, 0.5, 1.0, 2.5, 3.0])
+    # a draw u lands on the entry whose CDF interval holds it
+    pos = np.searchsorted(g, np.array([0.1, 0.4, 0.9, 2.2, 2.7]), side="left")
+    assert list(pos) == [0, 1, 2, 3, 4]
