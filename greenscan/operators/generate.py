@@ -26,6 +26,7 @@ from greenscan.functions.tokens import md5_60
 from greenscan.operators.detect import bigram_codes
 
 MAX_BROADCAST_ENTRIES = 50_000_000  # transition entries kept in executor memory
+MAX_MODEL_TOKENS = 5_000  # a restricted model vocabulary is a parameter-sized list
 
 
 # ------------------------------------------------------------ model tables (R2)
@@ -355,7 +356,13 @@ def generate_paired(prompts: DataFrame, corpus_ids: DataFrame, cfg: WatermarkCon
     if model is None:
         # size bound of the broadcast model, known before the table is built
         if model_tokens is not None:
-            n_model = model_tokens.count()  # a parameter-sized table (e.g. top 500 words)
+            # a parameter-sized table (e.g. the top 500 words): fetch it once, checked,
+            # so the semi-joins below do not recompute it
+            toks = [int(r[0]) for r in model_tokens.select("tok").limit(MAX_MODEL_TOKENS + 1).collect()]
+            if len(toks) > MAX_MODEL_TOKENS:
+                raise ValueError(f"model_tokens holds more than {MAX_MODEL_TOKENS} tokens")
+            model_tokens = spark.createDataFrame([(t,) for t in toks], "tok bigint")
+            n_model = len(toks)
             bound = n_model * (n_model + 1) if top_k is None else (n_model + 1) * top_k
         elif top_k is not None:
             bound = (cfg.vocab_size + 1) * top_k
@@ -364,10 +371,23 @@ def generate_paired(prompts: DataFrame, corpus_ids: DataFrame, cfg: WatermarkCon
         if bound > MAX_BROADCAST_ENTRIES:
             raise ValueError("transition table would exceed the broadcast bound; restrict the model")
         trans = transition_table(corpus_ids, ids_col, cfg.vocab_size, top_k, model_tokens)
-        back = unigram_table(corpus_ids, ids_col, top_k, model_tokens) \
-            .withColumn("prev", F.lit(cfg.vocab_size).cast("bigint"))
-        rows = trans.select("prev", "tok", "rank", "logit").unionByName(back.select("prev", "tok", "rank", "logit"))
-        pdf = rows.orderBy("prev", "rank").toPandas()  # bounded as checked above
+        if top_k is None:
+            # the whole model is collected anyway (bounded as checked above); its
+            # successor marginals are the back-off unigram distribution
+            tpdf = trans.select("prev", "tok", "n", "rank", "logit").orderBy("prev", "rank").toPandas()
+            uni = tpdf.groupby("tok", as_index=False)["n"].sum()
+            uni = uni.sort_values(["n", "tok"], ascending=[False, True]).reset_index(drop=True)
+            uni["logit"] = np.log(uni["n"].to_numpy(dtype=np.float64) / float(uni["n"].sum()))
+            uni["rank"] = np.arange(1, len(uni) + 1)
+            uni["prev"] = cfg.vocab_size
+            pdf = pd.concat([tpdf[["prev", "tok", "rank", "logit"]], uni[["prev", "tok", "rank", "logit"]]],
+                            ignore_index=True)
+        else:
+            back = unigram_table(corpus_ids, ids_col, top_k, model_tokens) \
+                .withColumn("prev", F.lit(cfg.vocab_size).cast("bigint"))
+            rows = trans.select("prev", "tok", "rank", "logit").unionByName(
+                back.select("prev", "tok", "rank", "logit"))
+            pdf = rows.orderBy("prev", "rank").toPandas()  # bounded as checked above
         counts = np.bincount(pdf["prev"].to_numpy(dtype=np.int64), minlength=cfg.vocab_size + 1)
         width = int(max(1, counts.max()))
         offs = np.zeros(cfg.vocab_size + 2, dtype=np.int64)

@@ -390,11 +390,12 @@ from greenscan.streaming import stream as st  # noqa: E402
 def stream_detect(spark, sf_dir):
     """Documents arrive as a file stream; labelled ids count as already scored and
     are skipped; results are appended idempotently, then read back."""
-    src = st.read_stream(spark, sf_dir, "documents.parq[u]et")
+    src = st.read_stream(spark, sf_dir, "documents.parq[u]et").select("doc_id", "text")
     done = read_table(spark, sf_dir, "labels").select("doc_id")
-    scored = st.detect_stream(src, CFG, "doc_id", "text", done=done).select(*DETECT_COLS)
+    todo = st.skip_done_stream(src, done, "doc_id")
     out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
-    st.run_to_completion(scored, out, ckpt, "doc_id")
+    sink = st.scoring_sink(CFG, "doc_id", "text", out, DETECT_COLS)
+    st.run_to_completion(todo, out, ckpt, "doc_id", sink=sink)
     return st.results(spark, out)
 
 

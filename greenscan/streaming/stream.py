@@ -44,10 +44,26 @@ def idempotent_sink(out_path: str, id_col: str):
     return write
 
 
+def scoring_sink(cfg: WatermarkConfig, id_col: str, text_col: str, out_path: str, columns=None):
+    """foreachBatch function that scores each micro-batch and writes it to its epoch
+    folder. A micro-batch is an ordinary DataFrame here, so the parallelism guard of
+    batch scans applies: a batch read from one large file is spread over the task
+    slots; a batch with enough input splits is scored where it was read."""
+    from greenscan.sources.tables import spread
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        scored = detect_text(spread(batch.select(id_col, text_col)), cfg, text_col)
+        if columns:
+            scored = scored.select(*columns)
+        idempotent_sink(out_path, id_col)(scored, epoch_id)
+    return write
+
+
 def run_to_completion(scored: DataFrame, out_path: str, checkpoint: str, id_col: str,
-                      timeout_s: int = 600) -> None:
-    """Process everything available now, then stop (trigger availableNow)."""
-    q = (scored.writeStream.foreachBatch(idempotent_sink(out_path, id_col))
+                      timeout_s: int = 600, sink=None) -> None:
+    """Process everything available now, then stop (trigger availableNow).
+    ``sink`` replaces the plain epoch writer (e.g. :func:`scoring_sink`)."""
+    q = (scored.writeStream.foreachBatch(sink or idempotent_sink(out_path, id_col))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination(timeout_s)
     if q.isActive:
@@ -62,4 +78,10 @@ def results(spark: SparkSession, out_path: str) -> DataFrame:
     return spark.read.parquet(out_path).drop("_epoch")
 
 
-__all__ = ["read_stream", "detect_stream", "idempotent_sink", "run_to_completion", "results", "F"]
+def skip_done_stream(stream: DataFrame, done: DataFrame, id_col: str) -> DataFrame:
+    """Stream-static anti join against the ids scored before the stream."""
+    return stream.join(done.select(id_col), id_col, "left_anti")
+
+
+__all__ = ["read_stream", "detect_stream", "idempotent_sink", "scoring_sink", "skip_done_stream",
+           "run_to_completion", "results", "F"]

@@ -28,3 +28,15 @@ def test_stream_equals_batch(spark, tmp_path):
     sink(batch, 0)
     sink(batch, 0)
     assert st.results(spark, out).count() == exp.count()
+
+
+def test_scoring_sink_equals_batch(spark, tmp_path):
+    src = st.read_stream(spark, SF001, "documents.parq[u]et").select("doc_id", "text")
+    done = read_table(spark, SF001, "labels").select("doc_id")
+    out = str(tmp_path / "out")
+    st.run_to_completion(st.skip_done_stream(src, done, "doc_id"), out, str(tmp_path / "ck"), "doc_id",
+                         sink=st.scoring_sink(CFG, "doc_id", "text", out))
+    docs = read_table(spark, SF001, "documents").join(done, "doc_id", "left_anti")
+    exp = detect_text(docs.select("doc_id", "text"), CFG, "text").select("doc_id", "z_score")
+    got = st.results(spark, out).select("doc_id", "z_score")
+    assert got.count() == exp.count() and got.exceptAll(exp).count() == 0
