@@ -52,3 +52,25 @@ def is_green(prev: Column, tok: Column, cfg: WatermarkConfig) -> Column:
 
 def green_from_key(k: Column, tok: Column, cfg: WatermarkConfig) -> Column:
     return green_from_rank(rank_from_key(k, tok, cfg.vocab_size), cfg)
+
+
+def key_table(spark, cfg: WatermarkConfig):
+    """(p, a, b) for every token id 0..V-1: the greenlist key of each possible
+    predecessor, computed once in the JVM. V rows - a parameter bound - so it can
+    be broadcast; row tables then test greenness by a hash lookup and integer
+    arithmetic instead of one md5 per row."""
+    v1 = F.lit(cfg.vocab_size - 1).cast("bigint")
+    k = seed_key(F.col("id"), cfg.hash_key)
+    return spark.range(cfg.vocab_size).select(
+        F.col("id").alias("p"), (k % v1 + 1).alias("a"),
+        (F.call_function("div", k, v1) % F.lit(cfg.vocab_size)).alias("b"))
+
+
+def with_green(df, prev_col: str, tok_col: str, cfg: WatermarkConfig, out: str = "is_green"):
+    """Add the green flag of (prev, tok) rows through the broadcast key table."""
+    keys = F.broadcast(key_table(df.sparkSession, cfg).select(
+        F.col("p").alias("_gp"), F.col("a").alias("_ga"), F.col("b").alias("_gb")))
+    j = df.join(keys, df[prev_col] == keys["_gp"], "left")
+    v = F.lit(cfg.vocab_size).cast("bigint")
+    r = (F.col("_ga") * F.col(tok_col) + F.col("_gb")) % v
+    return j.withColumn(out, green_from_rank(r, cfg)).drop("_gp", "_ga", "_gb")

@@ -28,7 +28,7 @@ def bigram_freq(df: DataFrame, id_col: str, ids_col: str, cfg: WatermarkConfig)
     agg = z.groupBy(id_col, "_z").agg(F.count(F.lit(1)).alias("n"))
     out = agg.select(id_col, F.call_function("div", F.col("_z"), v).alias("prev"),
                      (F.col("_z") % v).alias("tok"), "n")
-    return out.withColumn("is_green", gl.is_green(F.col("prev"), F.col("tok"), cfg))
+    return gl.with_green(out, "prev", "tok", cfg)
 
 
 def bigram_green_table(df: DataFrame, ids_col: str, cfg: WatermarkConfig) -> DataFrame:
@@ -39,7 +39,7 @@ def bigram_green_table(df: DataFrame, ids_col: str, cfg: WatermarkConfig) -> Dat
     agg = z.groupBy("_z").agg(F.count(F.lit(1)).alias("n"))
     out = agg.select(F.call_function("div", F.col("_z"), v).alias("prev"),
                      (F.col("_z") % v).alias("tok"), "n")
-    return out.withColumn("is_green", gl.is_green(F.col("prev"), F.col("tok"), cfg))
+    return gl.with_green(out, "prev", "tok", cfg)
 
 
 def explicit_greenlist(prevs: DataFrame, cfg: WatermarkConfig, prev_col: str = "prev") -> DataFrame:

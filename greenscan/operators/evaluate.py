@@ -233,5 +233,5 @@ def greedy_rewrite_counts(df: DataFrame, id_col: str, ids_col: str, greedy: Data
     odd = F.col("i") % 2 == 1
     wp = F.when(odd, F.col("p")).otherwise(F.coalesce(F.col("_g"), F.col("p")))
     wc = F.when(odd, F.coalesce(F.col("_g"), F.col("c"))).otherwise(F.col("c"))
-    j = j.select(id_col, gl.is_green(wp, wc, cfg).alias("_green"))
+    j = gl.with_green(j.select(id_col, wp.alias("_wp"), wc.alias("_wc")), "_wp", "_wc", cfg, "_green")
     return j.groupBy(id_col).agg(F.count(F.lit(1)).alias("T"), F.sum(F.col("_green").cast("long")).alias("g"))

@@ -101,9 +101,8 @@ def unigram_table(df: DataFrame, ids_col: str, top_k: int | None = 20,
 def bias_scores(cands: DataFrame, cfg: WatermarkConfig, score_col: str = "score",
                 prev_col: str = "prev", tok_col: str = "tok") -> DataFrame:
     """Greenlist mask (G1) and ``score + delta`` on green candidates (G2), for all
-    rows at once (G3)."""
-    green = gl.is_green(F.col(prev_col), F.col(tok_col), cfg)
-    out = cands.withColumn("is_green", green)
+    rows at once (G3); keys come from the broadcast key table."""
+    out = gl.with_green(cands, prev_col, tok_col, cfg)
     return out.withColumn("biased_score", F.col(score_col) + F.when(F.col("is_green"), F.lit(float(cfg.delta)))
                           .otherwise(F.lit(0.0)))
 
@@ -153,13 +152,8 @@ def beam_top(cands: DataFrame, keys: list[str], score_col: str, n_beams: int,
 # ------------------------------------------------------- paired generation
 
 def key_table(spark, cfg: WatermarkConfig) -> DataFrame:
-    """(p, a, b) for every token id: the greenlist key of each possible predecessor,
-    computed once in the JVM; V rows."""
-    v1 = F.lit(cfg.vocab_size - 1).cast("bigint")
-    k = gl.seed_key(F.col("id"), cfg.hash_key)
-    return spark.range(cfg.vocab_size).select(
-        F.col("id").alias("p"), (k % v1 + 1).alias("a"),
-        (F.call_function("div", k, v1) % F.lit(cfg.vocab_size)).alias("b"))
+    """(p, a, b) for every token id (see greenscan.functions.greenlist.key_table)."""
+    return gl.key_table(spark, cfg)
 
 
 def _splitmix(x: np.ndarray) -> np.ndarray:
