@@ -181,6 +181,34 @@ WITH n AS (SELECT doc_id, {x} AS text_norm FROM documents)
 SELECT doc_id, text_norm, length(text_norm)::BIGINT AS n_chars FROM n"""
 
 
+def homoglyph_canon_sql(maps: dict) -> str:
+    """Vote as in script_vote_sql, then translate with the same fixed maps (literals
+    built from the ICU character dimension)."""
+    vote = script_vote_sql()
+    cases = " ".join(f"WHEN v.target = '{t}' THEN translate(d.a, {lit(src)}, {lit(dst)})"
+                     for t, (src, dst) in maps.items())
+    return f"""
+WITH sv AS ({vote}),
+d AS (SELECT doc_id, text, translate(text, '{ATTACK_FROM}', '{ATTACK_TO}') AS a FROM documents),
+c AS (SELECT d.doc_id, v.target, d.text, CASE {cases} ELSE d.a END AS canon
+      FROM d JOIN sv v ON d.doc_id = v.doc_id)
+SELECT doc_id, target, canon = text AS restored, length(canon)::BIGINT AS n_chars FROM c"""
+
+
+def dynamic_oracles() -> dict:
+    """Entries whose SQL embeds tables built in the JVM (ICU); only when a Spark
+    session is active, otherwise those queries are checked on rows only."""
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return {}
+    try:
+        from greenscan.operators.homoglyph import canon_maps
+        return {"homoglyph_canon": homoglyph_canon_sql(canon_maps(spark))}
+    except Exception:  # no JVM access (e.g. a remote session)
+        return {}
+
+
 def script_vote_sql() -> str:
     att = f"translate(text, '{ATTACK_FROM}', '{ATTACK_TO}')"
     cnt = lambda s: f"len(regexp_extract_all(a, '{re2_class(s)}'))::BIGINT"
