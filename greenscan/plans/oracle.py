@@ -426,6 +426,29 @@ SELECT doc_id, lang, source, (dense_rank() OVER (ORDER BY lang) - 1)::BIGINT AS
        (dense_rank() OVER (ORDER BY source) - 1)::BIGINT AS source_code FROM documents"""
 
 
+def truecase_apply_sql() -> str:
+    """Segments of the lower-cased text (words and everything between them), sentence
+    starts from the previous segment, learned forms by a left join, capitalised starts,
+    re-joined in order."""
+    model = TRUECASE_MODEL_SQL.strip()
+    return rf"""
+WITH model AS ({model}),
+forms AS (SELECT key, form FROM model WHERE form <> key),
+d AS (SELECT doc_id, text, regexp_extract_all(lower(translate(lower(text), 'aeiou', 'AEIOU')),
+                                              '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+') AS s FROM documents),
+seg AS (SELECT doc_id, unnest(s) AS seg, generate_subscripts(s, 1) AS i FROM d),
+ctx AS (SELECT doc_id, i, seg, lag(seg) OVER (PARTITION BY doc_id ORDER BY i) AS prev_seg,
+               first_value(seg) OVER (PARTITION BY doc_id ORDER BY i) AS first_seg FROM seg),
+st AS (SELECT ctx.doc_id, ctx.i, coalesce(forms.form, ctx.seg) AS v, regexp_matches(ctx.seg, '^[\p{{L}}\p{{N}}]') AS w,
+              (ctx.i = 1 OR (ctx.i = 2 AND NOT regexp_matches(ctx.first_seg, '^[\p{{L}}\p{{N}}]'))
+               OR regexp_matches(ctx.prev_seg, '[.!?]\s*$')) AS start
+       FROM ctx LEFT JOIN forms ON ctx.seg = forms.key),
+out AS (SELECT doc_id, string_agg(CASE WHEN start AND w THEN upper(substr(v, 1, 1)) || substr(v, 2) ELSE v END,
+                                  '' ORDER BY i) AS truecased FROM st GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(out.truecased, '') END AS truecased
+FROM d LEFT JOIN out ON d.doc_id = out.doc_id"""
+
+
 ORACLE = {
     "detect_distinct": detect_sql(CFG_DISTINCT),
     "detect_standard": detect_sql(CFG),
@@ -444,6 +467,7 @@ ORACLE = {
     "unicode_idn": unicode_sql("idn"),
     "script_vote": script_vote_sql(),
     "truecase_model": TRUECASE_MODEL_SQL,
+    "truecase_apply": truecase_apply_sql(),
     "bias_scores": bias_scores_sql(CFG),
     "greedy_next": greedy_next_sql(CFG),
     "sampled_next": sampled_next_sql(CFG, SAMPLE_SEED),
