@@ -195,6 +195,23 @@ c AS (SELECT d.doc_id, v.target, d.text, CASE {cases} ELSE d.a END AS canon
 SELECT doc_id, target, canon = text AS restored, length(canon)::BIGINT AS n_chars FROM c"""
 
 
+def homoglyph_variants_sql(rows) -> str:
+    """Per-character variant lists (fixed ICU table, as literals) joined to the
+    characters of every distinct word; lattice, spelling count and ASCII count."""
+    vals = ", ".join(f"({lit(ch)}, {lit(v)}, {nv}, {na})" for ch, v, nv, na in rows)
+    return rf"""
+WITH vt AS (SELECT * FROM (VALUES {vals}) AS t(ch, variants, nv, na)),
+toks AS (SELECT {_tokens_sql()} AS t FROM documents),
+words AS (SELECT DISTINCT w AS word FROM (SELECT unnest(t) AS w FROM toks) WHERE regexp_matches(w, '^\p{{L}}')),
+chars AS (SELECT word, unnest(regexp_extract_all(word, '.')) AS ch,
+                 generate_subscripts(regexp_extract_all(word, '.'), 1) AS i FROM words),
+j AS (SELECT c.word, c.i, coalesce(vt.variants, c.ch) AS v, coalesce(vt.nv, 1) AS nv,
+             coalesce(vt.na, CASE WHEN unicode(c.ch) < 128 THEN 1 ELSE 0 END) AS na
+      FROM chars c LEFT JOIN vt ON c.ch = vt.ch)
+SELECT word, string_agg(v, ' ' ORDER BY i) AS lattice, product(nv)::DOUBLE AS n_variants,
+       product(na)::DOUBLE AS n_ascii FROM j GROUP BY word"""
+
+
 def dynamic_oracles() -> dict:
     """Entries whose SQL embeds tables built in the JVM (ICU); only when a Spark
     session is active, otherwise those queries are checked on rows only."""
@@ -203,8 +220,12 @@ def dynamic_oracles() -> dict:
     if spark is None:
         return {}
     try:
-        from greenscan.operators.homoglyph import canon_maps
-        return {"homoglyph_canon": homoglyph_canon_sql(canon_maps(spark))}
+        from greenscan.operators.homoglyph import canon_maps, variant_table
+        vt = variant_table(spark).collect()  # fixed-size character table
+        rows = [(r.ch, "".join(r.variants), len(r.variants), sum(1 for c in r.variants if ord(c) < 128))
+                for r in vt]
+        return {"homoglyph_canon": homoglyph_canon_sql(canon_maps(spark)),
+                "homoglyph_variants": homoglyph_variants_sql(rows)}
     except Exception:  # no JVM access (e.g. a remote session)
         return {}
 
