@@ -182,9 +182,8 @@ def variant_table(spark: SparkSession, alphabet_df: DataFrame | None = None,
     """char -> sorted variants within the alphabet, hop 1 and hop 2.
 
     ``strategy`` for characters outside the alphabet: IGNORE keeps the character
-    alone, REMOVE drops it (empty list). LOAD extends the alphabet by the
-    character's own script, which the character dimension already covers: its
-    variants are then those of its script.
+    alone, REMOVE drops it (empty list); LOAD is applied by :func:`word_variants`,
+    which extends the alphabet by the scripts present before building this table.
     """
     if strategy not in (STRATEGY_LOAD, STRATEGY_IGNORE, STRATEGY_REMOVE):
         raise ValueError("Invalid strategy")
@@ -209,9 +208,18 @@ def word_variants(words: DataFrame, word_col: str, spark: SparkSession,
     The cartesian product itself is exponential in the word length; the lattice
     represents it exactly and :func:`expand_variants` enumerates it on demand.
     """
-    vt = variant_table(spark, alphabet_df, strategy)
     chars = words.select(word_col, F.posexplode(F.split(F.col(word_col), "")).alias("i", "ch")) \
         .where(F.col("ch") != "")
+    if strategy == STRATEGY_LOAD:
+        # F21, made order-free: one pre-pass collects the scripts of the characters
+        # present (a handful of names) and the alphabet is extended by all of them
+        present = chars.select("ch").distinct().join(
+            F.broadcast(char_table(spark).select("ch", "script")), "ch").select("script").distinct()
+        scripts = [r[0] for r in present.collect() if r[0] != "OTHER"]
+        base = alphabet(spark) if alphabet_df is None else alphabet_df
+        extra = char_table(spark).where(F.col("script").isin(scripts)).select("ch")
+        alphabet_df = base.select("ch").union(extra).distinct()
+    vt = variant_table(spark, alphabet_df, strategy)
     j = chars.join(F.broadcast(vt), "ch", "left")
     if strategy == STRATEGY_REMOVE:
         v = F.coalesce(F.col("variants"), F.array().cast("array<string>"))
@@ -219,6 +227,8 @@ def word_variants(words: DataFrame, word_col: str, spark: SparkSession,
         v = F.coalesce(F.col("variants"), F.array(F.col("ch")))
     j = j.withColumn("variants", v).withColumn(
         "ascii_variants", F.filter("variants", lambda c: F.ascii(c) < 128))
+    if strategy == STRATEGY_REMOVE:  # a removed character leaves the spellings
+        j = j.where(F.size("variants") > 0)
     agg = j.groupBy(word_col).agg(
         F.array_sort(F.collect_list(F.struct("i", "variants", "ascii_variants"))).alias("_l"))
     n = F.aggregate(F.transform("_l", lambda s: F.size(s["variants"]).cast("double")),

@@ -114,3 +114,13 @@ def test_truecase_model_learns_proper_nouns(spark):
                                 (2, "In Paris we met. the end")], "id int, text string")
     m = {r.key: r.form for r in tc.truecase_model(df, "text").collect()}
     assert m["paris"] == "Paris" and m["we"] == "we" and "in" not in m
+
+
+def test_variants_load_strategy(spark):
+    words = spark.createDataFrame([("аb",)], "word string")  # Cyrillic a, Latin b
+    ign = hg.word_variants(words, "word", spark, strategy=hg.STRATEGY_IGNORE).first()
+    load = hg.word_variants(words, "word", spark, strategy=hg.STRATEGY_LOAD).first()
+    rem = hg.word_variants(words, "word", spark, strategy=hg.STRATEGY_REMOVE).first()
+    assert ign.lattice.split(" ")[0] == "а"        # outside LATIN+COMMON: kept alone
+    assert len(load.lattice.split(" ")[0]) > 1     # CYRILLIC loaded: look-alikes found
+    assert rem.lattice == "bƄ" and rem.n_variants == 2.0  # removed: the spellings skip it
