@@ -12,7 +12,6 @@ before anything is collected).
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pandas as pd
@@ -404,5 +403,6 @@ def green_py(prev: int, toks: np.ndarray, cfg: WatermarkConfig) -> np.ndarray:
     return rank >= cfg.vocab_size - cfg.n_green
 
 
-__all__ = ["transition_counts", "transition_table", "unigram_table", "bias_scores", "greedy_next",
-           "sampled_next", "beam_top", "generate_paired", "gumbel", "key_table", "green_py", "math"]
+__all__ = ["transition_counts", "transition_table", "top_tokens", "top_word_ids", "unigram_table",
+           "bias_scores", "greedy_next", "greedy_next_many", "sampled_next", "beam_top", "generate_paired",
+           "gumbel", "key_table", "green_py"]

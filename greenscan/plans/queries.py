@@ -38,7 +38,7 @@ QUERIES = {
 
 # ------------------------------------------------------------ tokens and bigrams
 from greenscan.config import WatermarkConfig  # noqa: E402
-from greenscan.functions.tokens import strip_bos, text_to_ids, tokenize as tokenize_col  # noqa: E402
+from greenscan.functions.tokens import text_to_ids, tokenize as tokenize_col  # noqa: E402
 from greenscan.operators import bigrams as bg  # noqa: E402
 from greenscan.operators import vocab as vb  # noqa: E402
 from greenscan.operators.detect import detect_ids  # noqa: E402

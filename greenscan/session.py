@@ -6,7 +6,6 @@ only when it is unset - local runs and tests - do we set one of our own.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -57,5 +56,4 @@ def local_path(path: str) -> str:
     return path[len("file:"):] if path.startswith("file:") else path
 
 
-__all__ = ["get_spark", "checkpoint_root", "ensure_checkpoint_dir", "scratch_path", "local_path",
-           "os"]
+__all__ = ["get_spark", "checkpoint_root", "ensure_checkpoint_dir", "scratch_path", "local_path"]

@@ -11,7 +11,6 @@ its earlier attempt instead of adding rows, and no batch has to read the output.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from greenscan.config import WatermarkConfig
 from greenscan.operators.detect import detect_text
@@ -84,4 +83,4 @@ def skip_done_stream(stream: DataFrame, done: DataFrame, id_col: str) -> DataFra
 
 
 __all__ = ["read_stream", "detect_stream", "idempotent_sink", "scoring_sink", "skip_done_stream",
-           "run_to_completion", "results", "F"]
+           "run_to_completion", "results"]
