@@ -109,6 +109,14 @@ class WatermarkConfig:
     def replace(self, **kw) -> "WatermarkConfig":
         return dataclasses.replace(self, **kw)
 
+    @classmethod
+    def from_yaml(cls, path: str) -> "WatermarkConfig":
+        """Parameters from a YAML file with the reference's keys (S6); model and UI
+        keys are ignored, the comma list of normalisers is parsed (S7)."""
+        import yaml
+        with open(path, encoding="utf-8") as f:
+            return cls.from_mapping(yaml.safe_load(f) or {})
+
     @classmethod
     def from_mapping(cls, m: dict) -> "WatermarkConfig":
         """Build from a YAML-like mapping; unknown keys (model, UI) are ignored."""

@@ -235,3 +235,34 @@ def greedy_rewrite_counts(df: DataFrame, id_col: str, ids_col: str, greedy: Data
     wc = F.when(odd, F.coalesce(F.col("_g"), F.col("c"))).otherwise(F.col("c"))
     j = gl.with_green(j.select(id_col, wp.alias("_wp"), wc.alias("_wc")), "_wp", "_wc", cfg, "_green")
     return j.groupBy(id_col).agg(F.count(F.lit(1)).alias("T"), F.sum(F.col("_green").cast("long")).alias("g"))
+
+
+def run_evaluation(spark, cfg: WatermarkConfig, sf_dir: str, results_path: str,
+                   model_words: int = 500, fmt: str = "parquet") -> DataFrame:
+    """The batch evaluation of the reference as one job (section 3.1 of the survey):
+    dataset profile scan with split and limit -> skip ids already in the results (J1)
+    -> both arms generated (G6) -> both scored and paired (J3, P4) -> appended to the
+    results (S5) -> old and new rows together (U1).
+
+    Prompts are the documents cut to the prompt cap; the bigram model is learned from
+    the same table. The append is one write per call, so a rerun after a crash skips
+    what was written and continues.
+    """
+    from greenscan.functions.tokens import text_to_ids
+    from greenscan.operators import generate as gen
+    from greenscan.sources.tables import prepare_dataset, spread
+    cap = cfg.prompt_max_length or (2048 - cfg.max_new_tokens)
+    data = spread(prepare_dataset(spark, sf_dir, cfg.dataset_name_or_path, cfg.dataset_section,
+                                  cfg.limit_dataset))
+    existing = read_results(spark, results_path, fmt)
+    todo = skip_done(data, existing, "id", "id")
+    ids = todo.select("id", "document", text_to_ids(F.col("document"), cfg.vocab_size).alias("ids"))
+    words = gen.top_word_ids(ids, "document", model_words, cfg.vocab_size)
+    prompts = ids.select("id", F.slice("ids", 1, cap).alias("ids"))
+    arms = gen.generate_paired(prompts, ids.select("ids"), cfg, "id", "ids", None, cfg.max_new_tokens,
+                               model_tokens=words)
+    new = paired_from_columns(arms, cfg)
+    append_results(new, results_path, fmt)
+    # old rows and new ones (U1): the sink now holds both; drop the cached listing
+    spark.catalog.refreshByPath(results_path)
+    return read_results(spark, results_path, fmt)

@@ -80,3 +80,20 @@ def test_arm_summary(spark):
                                  "arm string, z_score double, prediction boolean, green_fraction double")
     r = {x.arm: x for x in ev.arm_summary(arms).collect()}
     assert r["WO"].n_rows == 2 and r["WO"].mean_z == 2.0 and r["W"].predicted_rate == 1.0
+
+
+def test_run_evaluation_resumes(spark, tmp_path):
+    import yaml
+    conf = tmp_path / "config.yaml"
+    conf.write_text(yaml.safe_dump({
+        "dataset_name_or_path": "documents", "dataset_section": None, "limit_dataset": 6,
+        "max_new_tokens": 20, "gamma": 0.25, "delta": 2.0, "normalizers": "",
+        "ignore_repeated_bigrams": False, "detection_z_threshold": 4.0, "select_green_tokens": True,
+        "model_name_or_path": "ignored", "use_gpu": True}))
+    cfg = WatermarkConfig.from_yaml(str(conf)).replace(z_threshold=4.0)
+    path = str(tmp_path / "results")
+    first = ev.run_evaluation(spark, cfg, SF001, path)
+    assert first.count() == 6 and first.columns == ev.RESULT_COLUMNS
+    again = ev.run_evaluation(spark, cfg.replace(limit_dataset=8), SF001, path)
+    assert again.count() == 8
+    assert ev.read_results(spark, path).count() == 8  # the first 6 were not redone
