@@ -234,6 +234,7 @@ def _generator(tbl, cfg: WatermarkConfig, max_new: int, width: int, model=None,
         return tie.min(axis=1)
 
     prepared = {}
+    beams = (not cfg.use_sampling) and cfg.n_beams > 1 and model is None
 
     def prepare(delta):
         """Per-arm CDF (sampling) or argmax (greedy) for every table segment."""
@@ -307,6 +308,51 @@ def _generator(tbl, cfg: WatermarkConfig, max_new: int, width: int, model=None,
             out[:, step] = cur
         return out
 
+    def dense_candidates(cur, t):
+        """(rows, width) candidates and log-probabilities from the table; rows whose
+        token has no successors use the back-off segment. Padding scores -inf."""
+        offs, toks, logit = t["offs"], t["toks"], t["logit"]
+        idx = np.where(cur >= 0, cur, V)
+        empty = (offs[idx + 1] == offs[idx]) | (idx >= V)
+        start = np.where(empty, offs[V], offs[idx])
+        end = np.where(empty, offs[V + 1], offs[idx + 1])
+        w = int(max(1, (end - start).max()))
+        pos = start[:, None] + np.arange(w)[None, :]
+        valid = pos < end[:, None]
+        pos = np.where(valid, pos, start[:, None])
+        return toks[pos], np.where(valid, logit[pos], -np.inf)
+
+    def beam_arm(last, delta):
+        """Beam search with ``cfg.n_beams`` beams (no sampling): the bias is added to
+        each candidate's log-probability, beam scores accumulate, the best final beam
+        is returned. Ties resolve by beam, then table order (deterministic)."""
+        t = tbl.value
+        a_key, b_key = t["a"], t["b"]
+        n, B = len(last), cfg.n_beams
+        rows = np.arange(n)[:, None]
+        seqs = np.zeros((n, B, max_new), dtype=np.int64)
+        beam_score = np.full((n, B), -np.inf)
+        beam_score[:, 0] = 0.0
+        cur = np.repeat(last[:, None], B, axis=1)
+        for step in range(max_new):
+            flat = cur.reshape(-1)
+            cand, score = dense_candidates(flat, t)
+            if delta != 0.0:
+                valid = flat >= 0
+                prev = np.where(valid, flat, 0)
+                score = score + delta * (green_of(prev, cand, a_key, b_key) & valid[:, None])
+            W = cand.shape[1]
+            total = (beam_score.reshape(-1)[:, None] + score).reshape(n, B * W)
+            top = np.argsort(-total, axis=1, kind="stable")[:, :B]
+            src_beam, src_cand = top // W, top % W
+            tok = cand.reshape(n, B, W)[rows, src_beam, src_cand]
+            beam_score = total[rows, top]
+            seqs = seqs[rows, src_beam]
+            seqs[:, :, step] = tok
+            cur = tok
+        best = np.argmax(beam_score, axis=1)
+        return seqs[np.arange(n), best]
+
     def run(batches):
         for pdf in batches:
             if len(pdf) == 0:
@@ -315,9 +361,12 @@ def _generator(tbl, cfg: WatermarkConfig, max_new: int, width: int, model=None,
             n_prompt = np.array([len(x) if x is not None else 0 for x in ids], dtype=np.int64)
             last = np.array([int(x[-1]) if x is not None and len(x) else -1 for x in ids], dtype=np.int64)
             rowkey = np.array([_row_hash(str(i)) for i in pdf["id"]], dtype=np.uint64)
-            wo = arm(last, rowkey, 0.0, 0)
-            # same seed for both arms, or a continued stream (a different salt)
-            w = arm(last, rowkey, float(cfg.delta), 0 if cfg.seed_separately else 1)
+            if beams:
+                wo, w = beam_arm(last, 0.0), beam_arm(last, float(cfg.delta))
+            else:
+                wo = arm(last, rowkey, 0.0, 0)
+                # same seed for both arms, or a continued stream (a different salt)
+                w = arm(last, rowkey, float(cfg.delta), 0 if cfg.seed_separately else 1)
             total = n_prompt + max_new
             yield pd.DataFrame({
                 "id": pdf["id"].astype(str), "n_prompt": n_prompt,

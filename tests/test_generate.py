@@ -71,3 +71,46 @@ def test_segment_cdf_matches_softmax():
     # a draw u lands on the entry whose CDF interval holds it
     pos = np.searchsorted(g, np.array([0.1, 0.4, 0.9, 2.2, 2.7]), side="left")
     assert list(pos) == [0, 1, 2, 3, 4]
+
+
+def _beam_setup(spark, n_prompts=6, max_new=12):
+    docs = _docs(spark)
+    corpus = docs.select("doc_id", text_to_ids(F.col("text"), CFG.vocab_size).alias("ids"))
+    words = gen.top_word_ids(docs, "text", 200, CFG.vocab_size)
+    prompts = corpus.orderBy("doc_id").limit(n_prompts).select(F.col("doc_id").cast("string").alias("id"), "ids")
+    return corpus, words, prompts
+
+
+def test_one_beam_is_greedy(spark):
+    corpus, words, prompts = _beam_setup(spark)
+    greedy = CFG.replace(use_sampling=False, n_beams=1)
+    one = CFG.replace(use_sampling=False, n_beams=2)
+    a = {r.id: list(r.W_ids) for r in gen.generate_paired(prompts, corpus, greedy, max_new_tokens=12,
+                                                          model_tokens=words).collect()}
+    b = {r.id: list(r.W_ids) for r in gen.generate_paired(prompts, corpus, one, max_new_tokens=1,
+                                                          model_tokens=words).collect()}
+    assert all(b[k] == a[k][:1] for k in a)  # first step of a beam equals the greedy choice
+
+
+def test_beam_finds_higher_scoring_sequences(spark):
+    import numpy as np
+    corpus, words, prompts = _beam_setup(spark)
+    t = gen.transition_table(corpus, "ids", CFG.vocab_size, None,
+                             spark.createDataFrame([(int(r[0]),) for r in words.collect()], "tok bigint")).toPandas()
+    lp = {(int(r.prev), int(r.tok)): r.logit for r in t.itertuples()}
+    def score(seq, last):
+        s, p = 0.0, last
+        for x in seq:
+            s += lp.get((p, x), -50.0)
+            p = x
+        return s
+    last = {str(r.doc_id): int(r.ids[-1]) for r in corpus.collect()}
+    cfg1 = CFG.replace(use_sampling=False, n_beams=1, delta=0.0)
+    cfg4 = CFG.replace(use_sampling=False, n_beams=4, delta=0.0)
+    g1 = {r.id: list(r.WO_ids) for r in gen.generate_paired(prompts, corpus, cfg1, max_new_tokens=8,
+                                                           model_tokens=words).collect()}
+    g4 = {r.id: list(r.WO_ids) for r in gen.generate_paired(prompts, corpus, cfg4, max_new_tokens=8,
+                                                           model_tokens=words).collect()}
+    for k in g1:
+        if last[k] in {p for p, _ in lp}:
+            assert score(g4[k], last[k]) >= score(g1[k], last[k]) - 1e-9
