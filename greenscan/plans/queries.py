@@ -5,9 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from greenscan.operators.detect import detect_text
+from greenscan.config import WatermarkConfig
+from greenscan.functions import scripts as sc
+from greenscan.functions.normalize import unicode_sanitize
+from greenscan.functions.stats import with_normal_sf
+from greenscan.functions.stats import z_score as z_col
+from greenscan.functions.tokens import text_to_ids
+from greenscan.functions.tokens import tokenize as tokenize_col
+from greenscan.operators import bigrams as bg
+from greenscan.operators import evaluate as ev
+from greenscan.operators import generate as gen
+from greenscan.operators import homoglyph as hg
+from greenscan.operators import report as rp
+from greenscan.operators import truecase as tc
+from greenscan.operators import vocab as vb
+from greenscan.operators.detect import detect_ids, detect_text, score_ids
 from greenscan.plans.common import CFG, CFG_DISTINCT, documents
-from greenscan.sources.tables import spread
+from greenscan.session import scratch_path
+from greenscan.sources.tables import limit_ordered as limit_rows
+from greenscan.sources.tables import prepare_dataset, read_table, spread
+from greenscan.streaming import stream as st
 
 DETECT_COLS = ["doc_id", "num_tokens_scored", "num_green_tokens", "green_fraction",
                "z_score", "p_value", "prediction", "confidence", "status"]
@@ -37,11 +54,6 @@ QUERIES = {
 
 
 # ------------------------------------------------------------ tokens and bigrams
-from greenscan.config import WatermarkConfig  # noqa: E402
-from greenscan.functions.tokens import text_to_ids, tokenize as tokenize_col  # noqa: E402
-from greenscan.operators import bigrams as bg  # noqa: E402
-from greenscan.operators import vocab as vb  # noqa: E402
-from greenscan.operators.detect import detect_ids  # noqa: E402
 
 CFG_SMALL_V = WatermarkConfig(vocab_size=101, gamma=0.25)
 BOS_ID = 1
@@ -149,10 +161,6 @@ QUERIES.update({
 
 
 # ------------------------------------------------------------------ normalisers
-from greenscan.functions import scripts as sc  # noqa: E402
-from greenscan.functions.normalize import unicode_sanitize  # noqa: E402
-from greenscan.operators import homoglyph as hg  # noqa: E402
-from greenscan.operators import truecase as tc  # noqa: E402
 
 # Natural data has no invisible characters, no decomposed accents and no foreign
 # look-alikes, so these queries first inject them into every document (the attack
@@ -233,13 +241,6 @@ QUERIES.update({
 
 
 # ------------------------------------------------------- generation and evaluation
-from greenscan.functions.stats import z_score as z_col  # noqa: E402
-from greenscan.functions.stats import with_normal_sf  # noqa: E402
-from greenscan.operators import evaluate as ev  # noqa: E402
-from greenscan.operators import generate as gen  # noqa: E402
-from greenscan.operators import report as rp  # noqa: E402
-from greenscan.operators.detect import score_ids  # noqa: E402
-from greenscan.sources.tables import limit_ordered as limit_rows, read_table  # noqa: E402
 
 TOP_K = 20
 GEN_MAX_NEW = 200
@@ -383,8 +384,6 @@ QUERIES.update({
 
 
 # -------------------------------------------------------------------- streaming
-from greenscan.session import scratch_path  # noqa: E402
-from greenscan.streaming import stream as st  # noqa: E402
 
 
 def stream_detect(spark, sf_dir):
@@ -403,7 +402,6 @@ QUERIES["stream_detect"] = stream_detect
 
 
 # ------------------------------------------------------ second text table
-from greenscan.sources.tables import prepare_dataset  # noqa: E402
 
 
 def detect_conversations(spark, sf_dir):
