@@ -55,9 +55,11 @@ def drop_controls(text: Column, as_space: bool = False) -> Column:
     return F.regexp_replace(text, CONTROL_CLASS, " " if as_space else "")
 
 
-def unicode_sanitize(text: Column, ruleset: str = "whitespaces") -> Column:
-    """The whole ``unicode`` normaliser (F1b), steps in the reference's order."""
-    return drop_controls(collapse_spaces(ruleset_to_space(nfc(text), ruleset)))
+def unicode_sanitize(text: Column, ruleset: str = "whitespaces", cc_as_space: bool = False) -> Column:
+    """The whole ``unicode`` normaliser (F1b), steps in the reference's order.
+    ``cc_as_space`` turns control characters into spaces instead of deleting them
+    (the reference deletes, which joins words on adjacent lines, Q6)."""
+    return drop_controls(collapse_spaces(ruleset_to_space(nfc(text), ruleset)), cc_as_space)
 
 
 def unicode_normalizer(ruleset: str):

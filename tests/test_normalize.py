@@ -124,3 +124,9 @@ def test_variants_load_strategy(spark):
     assert ign.lattice.split(" ")[0] == "а"        # outside LATIN+COMMON: kept alone
     assert len(load.lattice.split(" ")[0]) > 1     # CYRILLIC loaded: look-alikes found
     assert rem.lattice == "bƄ" and rem.n_variants == 2.0  # removed: the spellings skip it
+
+
+def test_controls_as_space_option(spark):
+    df = spark.createDataFrame([("x\ny",)], "t string")
+    r = df.select(unicode_sanitize(F.col("t")).alias("a"), unicode_sanitize(F.col("t"), cc_as_space=True).alias("b")).first()
+    assert r.a == "xy" and r.b == "x y"
