@@ -84,7 +84,7 @@ def test_arm_summary(spark):
 
 def test_run_evaluation_resumes(spark, tmp_path):
     import yaml
-    conf = tmp_path / "config.yaml"
+    conf = tmp_path / "params.yaml"
     conf.write_text(yaml.safe_dump({
         "dataset_name_or_path": "documents", "dataset_section": None, "limit_dataset": 6,
         "max_new_tokens": 20, "gamma": 0.25, "delta": 2.0, "normalizers": "",
