@@ -97,3 +97,16 @@ def test_run_evaluation_resumes(spark, tmp_path):
     again = ev.run_evaluation(spark, cfg.replace(limit_dataset=8), SF001, path)
     assert again.count() == 8
     assert ev.read_results(spark, path).count() == 8  # the first 6 were not redone
+
+
+def test_paired_results_independent_of_shuffle_partitions(spark):
+    from greenscan.plans.queries import paired_results
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        a = paired_results(spark, SF001).collect()
+        spark.conf.set("spark.sql.shuffle.partitions", "11")
+        b = paired_results(spark, SF001).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert sorted(a) == sorted(b) and len(a) == 200

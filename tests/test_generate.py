@@ -114,3 +114,15 @@ def test_beam_finds_higher_scoring_sequences(spark):
     for k in g1:
         if last[k] in {p for p, _ in lp}:
             assert score(g4[k], last[k]) >= score(g1[k], last[k]) - 1e-9
+
+
+def test_generation_independent_of_partitioning(spark):
+    """A row's draws depend only on the row (keyed hashes), so a recomputed task -
+    after an executor loss, or with another partitioning - yields the same arms."""
+    docs = _docs(spark)
+    corpus = docs.select("doc_id", text_to_ids(F.col("text"), CFG.vocab_size).alias("ids"))
+    words = gen.top_word_ids(docs, "text", 300, CFG.vocab_size)
+    prompts = corpus.orderBy("doc_id").limit(12).select(F.col("doc_id").cast("string").alias("id"), "ids")
+    a = gen.generate_paired(prompts.repartition(1), corpus, CFG, max_new_tokens=25, model_tokens=words)
+    b = gen.generate_paired(prompts.repartition(5, "id"), corpus, CFG, max_new_tokens=25, model_tokens=words)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
