@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from greenscan.functions.scripts import NEUTRAL_SCRIPTS, VOTE_SCRIPTS, script_of_char, vote
+from greenscan.functions.scripts import NEUTRAL_SCRIPTS, VOTE_SCRIPTS, vote
 
 STRATEGY_LOAD, STRATEGY_IGNORE, STRATEGY_REMOVE = 1, 2, 3
 CODE_RANGES = ((0x0000, 0x2FFF), (0xFF00, 0xFFEF))
@@ -44,12 +44,30 @@ def _skeletons(spark: SparkSession, chars: list[str]) -> list[str]:
     return out
 
 
+def _scripts(spark: SparkSession, chars: list[str]) -> list[str]:
+    """Script of each character with the same Java regex classes the Column
+    functions use: one JVM call per script over all characters at once."""
+    from greenscan.functions.scripts import java_class
+    jvm = spark.sparkContext._jvm
+    text = "".join(chars)
+    out = ["OTHER"] * len(chars)
+    for script in VOTE_SCRIPTS + NEUTRAL_SCRIPTS:  # first matching class wins
+        marked = jvm.java.util.regex.Pattern.compile(java_class(script)).matcher(text).replaceAll("\u0001")
+        for i, c in enumerate(marked):
+            if c == "\u0001" and out[i] == "OTHER" and chars[i] != "\u0001":
+                out[i] = script
+    return out
+
+
 @lru_cache(maxsize=4)
 def _char_rows(spark: SparkSession) -> tuple:
+    """(cp, ch, skeleton, script) for the fixed code-point range, built on the
+    driver from ICU (skeletons) and Java regex (scripts); no data involved."""
     chars = [chr(cp) for lo, hi in CODE_RANGES for cp in range(lo, hi + 1)
              if not (0xD800 <= cp <= 0xDFFF) and cp > 0x20 and chr(cp) != _SEP]
     sk = _skeletons(spark, chars)
-    return tuple((ord(c), c, s) for c, s in zip(chars, sk))
+    sc = _scripts(spark, chars)
+    return tuple((ord(c), c, s, x) for c, s, x in zip(chars, sk, sc))
 
 
 @lru_cache(maxsize=4)
@@ -57,9 +75,8 @@ def char_table(spark: SparkSession) -> DataFrame:
     """(cp INT, ch STRING, skel STRING, script STRING): the character dimension,
     a fixed ~12.5k rows, cached once per session."""
     schema = T.StructType([T.StructField("cp", T.IntegerType()), T.StructField("ch", T.StringType()),
-                           T.StructField("skel", T.StringType())])
-    df = spark.createDataFrame(list(_char_rows(spark)), schema)
-    return df.withColumn("script", F.coalesce(script_of_char(F.col("ch")), F.lit("OTHER"))).cache()
+                           T.StructField("skel", T.StringType()), T.StructField("script", T.StringType())])
+    return spark.createDataFrame(list(_char_rows(spark)), schema).cache()
 
 
 def confusables(spark: SparkSession) -> DataFrame:
@@ -141,19 +158,27 @@ def canon_maps(spark: SparkSession) -> dict:
     """target script -> (from_chars, to_chars) for ``translate``.
 
     Characters outside the target script and outside COMMON/INHERITED map to a
-    look-alike in the target script; several candidates -> the smallest code point
-    (ASCII first, Q13). Characters without one are kept (Q11).
+    look-alike (same one-character skeleton) in the target script, or in COMMON
+    when the target has none; several candidates -> the smallest code point (ASCII
+    first, Q13). Characters without one are kept (Q11). Computed on the driver from
+    the fixed character dimension.
     """
-    conf = confusables(spark).withColumn("target", F.explode(F.array(*[F.lit(t) for t in CANON_TARGETS])))
-    cand = conf.where((F.col("alt_script") == F.col("target")) | (F.col("alt_script") == "COMMON")) \
-        .where((F.col("script") != F.col("target")) & ~F.col("script").isin(*NEUTRAL_SCRIPTS))
-    pref = F.struct((F.col("alt_script") != F.col("target")).alias("k"), F.col("alt_cp"))
-    # one job; the result is bounded by the fixed character dimension
-    best = cand.groupBy("target", "ch").agg(F.min_by("alt", pref).alias("alt")).orderBy("target", "ch").collect()
-    maps = {t: ("", "") for t in CANON_TARGETS}
-    for t in CANON_TARGETS:
-        rows = [r for r in best if r["target"] == t]
-        maps[t] = ("".join(r["ch"] for r in rows), "".join(r["alt"] for r in rows))
+    rows = [r for r in _char_rows(spark) if len(r[2]) == 1]
+    by_skel: dict = {}
+    for cp, ch, skel, script in rows:
+        by_skel.setdefault(skel, []).append((cp, ch, script))
+    maps = {}
+    for target in CANON_TARGETS:
+        src, dst = [], []
+        for cp, ch, skel, script in sorted(rows, key=lambda r: r[1]):
+            if script == target or script in NEUTRAL_SCRIPTS:
+                continue
+            cands = [(alt_script != target, alt_cp, alt) for alt_cp, alt, alt_script in by_skel[skel]
+                     if alt != ch and alt_script in (target, "COMMON")]
+            if cands:
+                src.append(ch)
+                dst.append(min(cands)[2])
+        maps[target] = ("".join(src), "".join(dst))
     return maps
 
 
