@@ -52,12 +52,18 @@ def foreign_chars(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(FOREIGN_CLASS), 0)
 
 
+def has_foreign(text: Column) -> Column:
+    """Does the text hold any character outside LATIN/COMMON/INHERITED? (one scan
+    that stops at the first hit; natural Latin-script text has none)."""
+    return text.rlike(FOREIGN_CLASS)
+
+
 def fast_count(text: Column, script: str) -> Column:
-    """Characters of ``script`` in ``text``: one scan for LATIN/COMMON/INHERITED,
-    a filter over the foreign characters otherwise."""
+    """Characters of ``script`` in ``text``: a regex scan for LATIN/COMMON/INHERITED;
+    other scripts are only scanned when the text holds foreign characters at all."""
     if script in ("LATIN",) + NEUTRAL_SCRIPTS:
         return script_count(text, script)
-    return F.size(F.filter(foreign_chars(text), lambda c: c.rlike(java_class(script)))).cast("bigint")
+    return F.when(has_foreign(text), script_count(text, script)).otherwise(F.lit(0).cast("bigint"))
 
 
 def vote(text: Column, scripts=VOTE_SCRIPTS) -> Column:
