@@ -92,3 +92,32 @@ def test_model_hook(spark):
     out = gen.generate_paired(prompts, corpus, CFG.replace(use_sampling=False, delta=0.0), "id", "ids",
                               max_new_tokens=4, model=model).collect()
     assert all(list(r.WO_ids) == [6, 6, 6, 6] for r in out)
+
+
+def test_language_and_restricted_tables(spark):
+    chars = spark.createDataFrame([("é",), ("ß",), ("a",)], "ch string")
+    langs = {r.ch: r.languages for r in hg.languages_of_chars(chars, spark).collect()}
+    assert langs["é"] == ["es", "fr"] and langs["ß"] == ["de"] and len(langs["a"]) == 4
+    src = spark.createDataFrame([("а",)], "ch string")           # Cyrillic a
+    tgt = hg.alphabet(spark)                                      # LATIN + COMMON
+    alts = {r.alt for r in hg.restricted_table(spark, src, tgt).collect()}
+    assert "a" in alts and not any(0x400 <= ord(a) <= 0x4FF for a in alts)  # no Cyrillic targets
+
+
+def test_small_helpers(spark):
+    from greenscan.functions.tokens import strip_prompt
+    from greenscan.operators import report as rp
+    from greenscan.operators import vocab as vb
+    df = spark.createDataFrame([("aβc", [1, 2, 3, 4, 5], 2, "num_green_tokens / num_tokens_scored")],
+                               "s string, ids array<bigint>, n int, k string")
+    r = df.select(hg.max_code_point(F.col("s")).alias("m"), strip_prompt(F.col("ids"), F.col("n")).alias("p"),
+                  rp.format_names(F.col("k")).alias("f")).first()
+    assert r.m == ord("β") and r.p == [3, 4, 5] and r.f == "# Tokens in Greenlist / Tokens Counted (T)"
+    res = spark.createDataFrame([("1", 5, 2)], "id string, W_num_tokens_scored long, W_num_green_tokens long")
+    assert rp.arm_columns(res, "W", ["num_tokens_scored", "num_green_tokens"]).first() == (5.0, 2.0)
+    toks = spark.createDataFrame([(1, 1, "b"), (1, 2, "a"), (1, 3, "b")], "doc long, pos long, token string")
+    vocab = vb.vocab_build(toks)
+    assert {r.token: r.token_id for r in vocab.collect()} == {"b": 0, "a": 1}
+    assert vb.vocab_size_prime(vocab, reserved=1) == 3
+    back = vb.decode(vb.encode(toks, vocab), vocab, "token_id", special_ids=[1])
+    assert sorted(r.token for r in back.collect()) == ["b", "b"]
