@@ -130,3 +130,17 @@ def test_controls_as_space_option(spark):
     df = spark.createDataFrame([("x\ny",)], "t string")
     r = df.select(unicode_sanitize(F.col("t")).alias("a"), unicode_sanitize(F.col("t"), cc_as_space=True).alias("b")).first()
     assert r.a == "xy" and r.b == "x y"
+
+
+def test_truecase_in_detection_chain(spark):
+    from greenscan.config import WatermarkConfig
+    from greenscan.operators.detect import detect_text
+    cfg = WatermarkConfig(lowercase=False)
+    text = "We saw Paris today. Then we left Paris again and went home."
+    scrambled = "wE SaW pARIS tOdAy. tHeN wE LeFt PaRiS aGaIn AnD wEnT hOmE."
+    df = spark.createDataFrame([(1, text), (2, scrambled)], "id int, text string")
+    out = {r.id: (r.num_green_tokens, r.num_tokens_scored)
+           for r in detect_text(df, cfg.replace(normalizers="truecase"), "text").collect()}
+    assert out[1] == out[2]  # the scrambled copy scores like the original once truecased
+    plain = {r.id: r.num_green_tokens for r in detect_text(df, cfg, "text").collect()}
+    assert set(plain) == {1, 2}
