@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from greenscan.config import WatermarkConfig
 from greenscan.sources.tables import read_table, spread
@@ -17,6 +16,3 @@ CFG_DISTINCT = CFG.replace(ignore_repeated_bigrams=True)
 def documents(spark: SparkSession, sf_dir: str, cols=("doc_id", "text")) -> DataFrame:
     return spread(read_table(spark, sf_dir, "documents").select(*cols))
 
-
-def round6(c: str):
-    return F.round(F.col(c), 6).alias(c)
