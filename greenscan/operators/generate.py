@@ -12,6 +12,8 @@ before anything is collected).
 from __future__ import annotations
 
 import hashlib
+import sys
+import types
 
 import numpy as np
 import pandas as pd
@@ -24,6 +26,14 @@ from greenscan.functions import greenlist as gl
 from greenscan.functions.tokens import md5_60
 from greenscan.operators.detect import bigram_codes
 
+# The sampling closure runs in Python workers. Pickle this module's functions by
+# value so workers need numpy and pandas only, not an installed greenscan.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # older cloudpickle: the package must then be installed on workers
+    pass
+
 MAX_BROADCAST_ENTRIES = 50_000_000  # transition entries kept in executor memory
 MAX_MODEL_TOKENS = 5_000  # a restricted model vocabulary is a parameter-sized list
 
@@ -206,6 +216,12 @@ def _generator(tbl, cfg: WatermarkConfig, max_new: int, width: int, model=None,
     token of each row (-1 for none), the result two (rows, k) arrays; each hook
     ``(cur, cand, score) -> score`` (E2) runs before the watermark bias, like a
     logits processor list. That path samples by the Gumbel-max trick."""
+    # executors get plain values only: no greenscan class travels with the closure
+    cfg = types.SimpleNamespace(
+        vocab_size=cfg.vocab_size, n_green=cfg.n_green, select_green_tokens=cfg.select_green_tokens,
+        generation_seed=cfg.generation_seed, sampling_temp=cfg.sampling_temp,
+        use_sampling=cfg.use_sampling, n_beams=cfg.n_beams, delta=cfg.delta,
+        seed_separately=cfg.seed_separately)
     V, G = cfg.vocab_size, cfg.n_green
     head = cfg.select_green_tokens
     seed = np.uint64(cfg.generation_seed)

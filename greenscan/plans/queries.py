@@ -71,8 +71,15 @@ def doc_ids_by_doc(spark, sf_dir, cfg=CFG):
     branches share this one exchange (Spark reuses identical exchanges), so the
     text is tokenised once; per-document aggregations and joins on doc_id downstream
     need no further shuffle."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return doc_ids(spark, sf_dir, cfg).repartition(n, "doc_id")
+    d = doc_ids(spark, sf_dir, cfg)
+    # as many partitions as the input has splits (at least one per task slot), capped
+    # by the shuffle setting: the configured count at scale, a few on small inputs
+    try:
+        shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n = min(shuffle, max(spark.sparkContext.defaultParallelism, d.rdd.getNumPartitions()))
+    except Exception:
+        return d.repartition("doc_id")
+    return d.repartition(n, "doc_id")
 
 
 def doc_token_rows(spark, sf_dir):
