@@ -266,8 +266,8 @@ def _green_ok(cfg, p="p", c="c"):
     return f"CASE WHEN {green_sql(p, c, cfg)} THEN 1 ELSE 0 END"
 
 
-def cand_cte(cfg: WatermarkConfig) -> str:
-    return f"""{token_ids_cte("documents", "doc_id", "text", cfg)},
+def cand_cte(cfg: WatermarkConfig, table: str = "documents") -> str:
+    return f"""{token_ids_cte(table, "doc_id", "text", cfg)},
 cnt AS (SELECT p AS prev, c AS tok, count(*)::BIGINT AS n FROM bg WHERE p IS NOT NULL GROUP BY p, c),
 cand AS (SELECT prev, tok, n, ln(n) AS score, {green_sql('prev', 'tok', cfg)} AS is_green FROM cnt),
 biased AS (SELECT *, score + CASE WHEN is_green THEN {float(cfg.delta)!r}e0 ELSE 0.0e0 END AS biased_score
@@ -313,7 +313,7 @@ def paired_cte(cfg) -> str:
     zw = z_score_sql("wg", "wt", cfg.gamma)
     zo = z_score_sql("og", "ot", cfg.gamma)
     thr = f"{float(cfg.z_threshold)!r}e0"
-    return f"""{cand_cte(cfg)},
+    return f"""{cand_cte(cfg, "(SELECT * FROM documents WHERE doc_id IS NOT NULL)")},
 greedy AS (SELECT prev, tok AS g FROM (SELECT prev, tok,
              row_number() OVER (PARTITION BY prev ORDER BY biased_score DESC, tok ASC) AS rk FROM biased)
            WHERE rk = 1),

@@ -71,7 +71,9 @@ def doc_ids_by_doc(spark, sf_dir, cfg=CFG):
     branches share this one exchange (Spark reuses identical exchanges), so the
     text is tokenised once; per-document aggregations and joins on doc_id downstream
     need no further shuffle."""
-    d = doc_ids(spark, sf_dir, cfg)
+    # ids are NOT NULL by the input contract; filtering here (as the join would infer
+    # on one side only) keeps every branch's exchange identical, so it is reused
+    d = doc_ids(spark, sf_dir, cfg).where(F.col("doc_id").isNotNull())
     # as many partitions as the input has splits (at least one per task slot), capped
     # by the shuffle setting: the configured count at scale, a few on small inputs
     try:
