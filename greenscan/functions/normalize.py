@@ -102,10 +102,15 @@ def lookup(name: str):
     raise ValueError(f"unknown normalizer: {name!r}")
 
 
-def apply_chain(df, col: str, names) -> object:
-    """Fold the configured normalisers over ``col`` in order (F1)."""
+def apply_chain(df, col: str, names, key: str | None = None) -> object:
+    """Fold the configured normalisers over ``col`` in order (F1). ``key`` (a unique
+    row id) lets normalisers that regroup rows (truecase) avoid joining on the text."""
     for n in names:
-        df = lookup(n)(df, col)
+        if n == "truecase" and key is not None:
+            from greenscan.operators.truecase import truecase_normalizer
+            df = truecase_normalizer(df, col, key)
+        else:
+            df = lookup(n)(df, col)
     return df
 
 

@@ -126,7 +126,7 @@ def text_guard(text: Column) -> Column:
 def detect_text(df: DataFrame, cfg: WatermarkConfig, text_col: str = "text", *,
                 keep: list[str] | None = None, return_mask: bool = False,
                 threshold: Column | None = None, normalized_col: str | None = None,
-                tokenizer=None) -> DataFrame:
+                tokenizer=None, key: str | None = None) -> DataFrame:
     """Detection over a text column: guard -> normalisers -> tokens -> ids -> score.
 
     ``keep`` lists pass-through columns (default: all but the text). The text column
@@ -135,7 +135,7 @@ def detect_text(df: DataFrame, cfg: WatermarkConfig, text_col: str = "text", *,
     keep = [c for c in (keep if keep is not None else df.columns) if c != text_col]
     base = df.select(*keep, F.col(text_col).alias("_text"), text_guard(F.col(text_col)).alias("_guard"))
     if cfg.normalizers:
-        base = apply_chain(base, "_text", cfg.normalizers)
+        base = apply_chain(base, "_text", cfg.normalizers, key=key if key in keep else None)
     # A user tokenizer is any Column -> ARRAY<BIGINT> function (for example a
     # pandas_udf around a subword tokenizer); the default is the regex + hash path
     raw = tokenizer(F.col("_text")) if tokenizer is not None else \

@@ -89,11 +89,18 @@ def truecase_apply(df: DataFrame, model: DataFrame, id_col: str, text_col: str =
         .alias(out_col))
 
 
-def truecase_normalizer(df: DataFrame, col: str) -> DataFrame:
+def truecase_normalizer(df: DataFrame, col: str, key: str | None = None) -> DataFrame:
     """``truecase`` in a detection chain: the model is learned from the same table.
-    Each distinct text is truecased once and joined back on the text itself, which
-    is an exact, deterministic key (copies of a text share one result)."""
+
+    With ``key`` (a unique row id) the rows are hash-partitioned by it once; the
+    segment rows, their re-assembly and the join back then stay in those partitions
+    (one exchange of the text). Without a key, each distinct text is truecased once
+    and joined back on the text itself - exact, but the text is shuffled twice."""
     model = truecase_model(df, col)
+    if key is not None:
+        d = df.repartition(key)
+        tc = truecase_apply(d, model, key, col, "_tc_text")
+        return d.join(tc, key, "left").withColumn(col, F.col("_tc_text")).drop("_tc_text")
     texts = df.select(F.col(col).alias("_tc_key")).where(F.col("_tc_key").isNotNull()).distinct() \
         .withColumn("_tc_src", F.col("_tc_key"))
     tc = truecase_apply(texts, model, "_tc_key", "_tc_src", "_tc_text")

@@ -142,5 +142,8 @@ def test_truecase_in_detection_chain(spark):
     out = {r.id: (r.num_green_tokens, r.num_tokens_scored)
            for r in detect_text(df, cfg.replace(normalizers="truecase"), "text").collect()}
     assert out[1] == out[2]  # the scrambled copy scores like the original once truecased
+    keyed = {r.id: (r.num_green_tokens, r.num_tokens_scored)
+             for r in detect_text(df, cfg.replace(normalizers="truecase"), "text", key="id").collect()}
+    assert keyed == out
     plain = {r.id: r.num_green_tokens for r in detect_text(df, cfg, "text").collect()}
     assert set(plain) == {1, 2}
