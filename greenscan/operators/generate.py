@@ -373,9 +373,8 @@ def _generator(tbl, cfg: WatermarkConfig, max_new: int, width: int, model=None,
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            ids = pdf["ids"].tolist()
-            n_prompt = np.array([len(x) if x is not None else 0 for x in ids], dtype=np.int64)
-            last = np.array([int(x[-1]) if x is not None and len(x) else -1 for x in ids], dtype=np.int64)
+            n_prompt = pdf["n_prompt"].fillna(0).to_numpy(dtype=np.int64)
+            last = pdf["last"].fillna(-1).to_numpy(dtype=np.int64)
             rowkey = np.array([_row_hash(str(i)) for i in pdf["id"]], dtype=np.uint64)
             if beams:
                 wo, w = beam_arm(last, 0.0), beam_arm(last, float(cfg.delta))
@@ -453,7 +452,12 @@ def generate_paired(prompts: DataFrame, corpus_ids: DataFrame, cfg: WatermarkCon
         tbl.update({"offs": offs, "toks": pdf["tok"].to_numpy(dtype=np.int64),
                     "logit": pdf["logit"].to_numpy(dtype=np.float64)})
     tbl = spark.sparkContext.broadcast(tbl)
-    src = prompts.select(F.col(id_col).cast("string").alias("id"), F.col(ids_col).alias("ids"))
+    # the bigram model conditions on the prompt's last token; only that and the
+    # prompt length cross into Python, not the prompt arrays
+    n = F.size(F.col(ids_col))
+    src = prompts.select(F.col(id_col).cast("string").alias("id"),
+                         F.when(F.col(ids_col).isNull(), F.lit(0)).otherwise(n).cast("bigint").alias("n_prompt"),
+                         F.when(n > 0, F.element_at(F.col(ids_col), -1)).cast("bigint").alias("last"))
     return src.mapInPandas(_generator(tbl, cfg, max_new, width, model, tuple(hooks)), GEN_SCHEMA)
 
 
