@@ -75,10 +75,14 @@ def score_ids(df: DataFrame, ids_col: str, cfg: WatermarkConfig, *,
     cols = list(df.columns)
     tmp_arr, tmp_t, tmp_g = f"_{P}arr", f"_{P}T", f"_{P}g"
     if cfg.ignore_repeated_bigrams:
-        step = df.select(*cols, F.array_distinct(bigram_codes(ids, cfg.vocab_size)).alias(tmp_arr),
-                         st.alias(f"{P}status"))
-        step = step.select(*cols, f"{P}status", F.size(tmp_arr).cast("bigint").alias(tmp_t),
-                           distinct_green_count(F.col(tmp_arr), cfg).cast("bigint").alias(tmp_g))
+        # one key per position (as in standard mode), then distinct codes overall and
+        # distinct codes among the green positions: no per-bigram structs
+        tmp_f = f"_{P}flags"
+        step = df.select(*cols, bigram_codes(ids, cfg.vocab_size).alias(tmp_arr),
+                         green_flags(ids, cfg).alias(tmp_f), st.alias(f"{P}status"))
+        green_codes = F.filter(F.zip_with(tmp_arr, tmp_f, lambda z, f: F.when(f, z)), lambda x: x.isNotNull())
+        step = step.select(*cols, f"{P}status", F.size(F.array_distinct(tmp_arr)).cast("bigint").alias(tmp_t),
+                           F.size(F.array_distinct(green_codes)).cast("bigint").alias(tmp_g))
     else:
         step = df.select(*cols, green_flags(ids, cfg).alias(tmp_arr), st.alias(f"{P}status"))
         extra = [F.col(tmp_arr).alias(f"{P}green_token_mask")] if return_mask else []
