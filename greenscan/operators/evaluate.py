@@ -220,11 +220,13 @@ def greedy_rewrite_counts(df: DataFrame, id_col: str, ids_col: str, greedy: Data
     """
     t = F.col(ids_col)
     n = F.size(t)
-    ctx = F.transform(F.slice(t, 2, F.greatest(n - 1, F.lit(0))), lambda c, j: F.struct(
-        (j + 1).alias("i"), F.element_at(t, j + 1).alias("p"),
-        F.when(j >= 1, F.element_at(t, F.greatest(j, F.lit(1)))).alias("pp"), c.alias("c")))
-    rows = df.select(id_col, F.explode(ctx).alias("r")).select(
-        id_col, "r.i", "r.p", "r.pp", "r.c")
+    # positions i = 1..n-1 (0-based current token): shifted slices zipped natively
+    cur = F.slice(t, 2, F.greatest(n - 1, F.lit(0)))
+    prev = F.slice(t, 1, F.greatest(n - 1, F.lit(0)))
+    prev2 = F.concat(F.array(F.lit(None).cast("bigint")), F.slice(t, 1, F.greatest(n - 2, F.lit(0))))
+    ctx = F.arrays_zip(prev2.alias("pp"), prev.alias("p"), cur.alias("c"))
+    rows = df.select(id_col, F.posexplode(ctx).alias("_j", "r")).where(F.col("r.c").isNotNull()).select(
+        id_col, (F.col("_j") + 1).alias("i"), "r.p", "r.pp", "r.c")
     rows = rows.withColumn("_key", F.when(F.col("i") % 2 == 1, F.col("p")).otherwise(F.col("pp")))
     if cfg.vocab_size > 50_000_000:
         raise ValueError("greedy table too large to broadcast")
