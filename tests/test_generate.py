@@ -126,3 +126,23 @@ def test_generation_independent_of_partitioning(spark):
     a = gen.generate_paired(prompts.repartition(1), corpus, CFG, max_new_tokens=25, model_tokens=words)
     b = gen.generate_paired(prompts.repartition(5, "id"), corpus, CFG, max_new_tokens=25, model_tokens=words)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_sampler_matches_tempered_biased_softmax(spark):
+    """Brute force on a toy model: after token 1, token 2 was seen 3 times and token 3
+    once. One sampled step per prompt; 2,000 prompts (independent keyed draws) must
+    follow softmax((ln p + delta * green) / T) for each arm."""
+    import math
+    import numpy as np
+    cfg = CFG.replace(sampling_temp=0.7, delta=2.0)
+    corpus = spark.createDataFrame([(i, [1, 2]) for i in range(3)] + [(3, [1, 3])], "doc_id long, ids array<bigint>")
+    model = spark.createDataFrame([(1,), (2,), (3,)], "tok bigint")
+    prompts = spark.createDataFrame([(f"p{i}", [1]) for i in range(2000)], "id string, ids array<bigint>")
+    out = gen.generate_paired(prompts, corpus, cfg, max_new_tokens=1, model_tokens=model).collect()
+    green = gen.green_py(1, np.array([2, 3]), cfg)
+    for arm, delta in (("WO_ids", 0.0), ("W_ids", cfg.delta)):
+        s2 = (math.log(0.75) + delta * green[0]) / cfg.sampling_temp
+        s3 = (math.log(0.25) + delta * green[1]) / cfg.sampling_temp
+        p2 = math.exp(s2) / (math.exp(s2) + math.exp(s3))
+        freq = sum(1 for r in out if r[arm][0] == 2) / len(out)
+        assert abs(freq - p2) < 0.035, (arm, freq, p2)
