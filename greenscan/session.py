@@ -11,6 +11,9 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+_OWN: list[str] = []
+
+
 def get_spark(cores: int | str = 8, app: str = "greenscan") -> SparkSession:
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.ui.enabled", "false")
@@ -29,12 +32,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; set only when unset and
     the master is local (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        d = tempfile.mkdtemp(prefix="greenscan-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d
+    if d:
+        return d
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    if not _OWN:  # the setting is fixed once a session runs, so our own folder is kept here
+        _OWN.append(tempfile.mkdtemp(prefix="greenscan-ckpt-"))
+    return _OWN[0]
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -52,8 +56,4 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/greenscan/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-__all__ = ["get_spark", "checkpoint_root", "ensure_checkpoint_dir", "scratch_path", "local_path"]
+__all__ = ["get_spark", "checkpoint_root", "ensure_checkpoint_dir", "scratch_path"]
