@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+from greenscan.llm import sharding
 from greenscan.llm.common import table
+from greenscan.llm.packing import pack_documents
 from greenscan.llm.token_files import token_files
 from greenscan.llm.tokenizing import vocabulary
 
+WORD_VOCABULARY, WORD_END, SEQUENCE = "word_bpe_49k.json", 1, 4096
 BYTE_VOCABULARY, BYTE_END = "byte_bpe_50k.json", 0
+SHARDS = 40
+
+
+def op4_pattern_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY), WORD_END, SEQUENCE)
 
 
 def op6_token_files(spark, sf_dir):
     return token_files(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY), BYTE_END)
 
 
-QUERIES = {f.__name__: f for f in (op6_token_files,)}
-ORACLE: dict[str, str] = {}
+def op9_jump_sharding(spark, sf_dir):
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
+
+
+QUERIES = {f.__name__: f for f in (op4_pattern_packing, op6_token_files, op9_jump_sharding)}
+ORACLE: dict[str, str] = {"op9_jump_sharding": sharding.oracle(SHARDS)}
