@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from greenscan.llm import sharding
+from greenscan.llm import quality, sharding
 from greenscan.llm.common import table
 from greenscan.llm.packing import pack_documents
 from greenscan.llm.token_files import token_files
@@ -21,9 +21,14 @@ def op6_token_files(spark, sf_dir):
     return token_files(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY), BYTE_END)
 
 
+def op7_distribution_divergence(spark, sf_dir):
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
 def op9_jump_sharding(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
 
 
-QUERIES = {f.__name__: f for f in (op4_pattern_packing, op6_token_files, op9_jump_sharding)}
-ORACLE: dict[str, str] = {"op9_jump_sharding": sharding.oracle(SHARDS)}
+QUERIES = {f.__name__: f for f in (op4_pattern_packing, op6_token_files, op7_distribution_divergence, op9_jump_sharding)}
+ORACLE: dict[str, str] = {"op7_distribution_divergence": quality.oracle(),
+                          "op9_jump_sharding": sharding.oracle(SHARDS)}
