@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from greenscan.llm import quality, sharding
+from pyspark.sql import functions as F
+
+from greenscan.llm import quality, sharding, topk
 from greenscan.llm.common import table
 from greenscan.llm.packing import pack_documents
 from greenscan.llm.token_files import token_files
@@ -11,6 +13,7 @@ from greenscan.llm.tokenizing import vocabulary
 WORD_VOCABULARY, WORD_END, SEQUENCE = "word_bpe_49k.json", 1, 4096
 BYTE_VOCABULARY, BYTE_END = "byte_bpe_50k.json", 0
 SHARDS = 40
+QUERY_EVERY, NEIGHBOURS = 20, 20
 
 
 def op4_pattern_packing(spark, sf_dir):
@@ -25,10 +28,17 @@ def op7_distribution_divergence(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op8_ball_tree_topk(spark, sf_dir):
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0), NEIGHBOURS)
+
+
 def op9_jump_sharding(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
 
 
-QUERIES = {f.__name__: f for f in (op4_pattern_packing, op6_token_files, op7_distribution_divergence, op9_jump_sharding)}
+QUERIES = {f.__name__: f for f in (op4_pattern_packing, op6_token_files, op7_distribution_divergence, op8_ball_tree_topk,
+                                  op9_jump_sharding)}
 ORACLE: dict[str, str] = {"op7_distribution_divergence": quality.oracle(),
+                          "op8_ball_tree_topk": topk.oracle(QUERY_EVERY, NEIGHBOURS),
                           "op9_jump_sharding": sharding.oracle(SHARDS)}
