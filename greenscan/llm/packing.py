@@ -47,8 +47,8 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: i
         for batch in batches:
             rows: list[tuple] = []
             ids: list[np.ndarray] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                full = np.concatenate([enc.ids(text.as_py()), end]).astype("<u4")
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                full = np.concatenate([enc.ids(text), end]).astype("<u4")
                 for k, start in enumerate(range(0, len(full), capacity)):
                     part = full[start:start + capacity]
                     n = len(part)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from greenscan.llm import quality, sharding, topk
+from greenscan.llm import quality, sharding, topk, warc
 from greenscan.llm.common import table
 from greenscan.llm.packing import pack_documents
 from greenscan.llm.token_files import token_files
@@ -16,6 +16,11 @@ SHARDS = 40
 QUERY_EVERY, NEIGHBOURS = 20, 20
 
 
+def op1_warc_zstd(spark, sf_dir):
+    return warc.archive_pages(table(spark, sf_dir, "pages"), min_bytes=0, with_payload=False) \
+        .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_pattern_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY), WORD_END, SEQUENCE)
 
@@ -37,8 +42,9 @@ def op9_jump_sharding(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
 
 
-QUERIES = {f.__name__: f for f in (op4_pattern_packing, op6_token_files, op7_distribution_divergence, op8_ball_tree_topk,
+QUERIES = {f.__name__: f for f in (op1_warc_zstd, op4_pattern_packing, op6_token_files, op7_distribution_divergence, op8_ball_tree_topk,
                                   op9_jump_sharding)}
-ORACLE: dict[str, str] = {"op7_distribution_divergence": quality.oracle(),
+ORACLE: dict[str, str] = {"op1_warc_zstd": warc.oracle(0),
+                          "op7_distribution_divergence": quality.oracle(),
                           "op8_ball_tree_topk": topk.oracle(QUERY_EVERY, NEIGHBOURS),
                           "op9_jump_sharding": sharding.oracle(SHARDS)}

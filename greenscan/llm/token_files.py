@@ -39,12 +39,14 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, end_id: int, folder
 
     Every text is encoded whole; ``end_id`` follows each document. Null or empty texts hold
     the end id only. Rows are in ascending id order, null ids first; rows with equal ids
-    follow their texts' order, so repeated rows are all written. An empty table gives an
+    follow a hash of their texts, so repeated rows are all written. An empty table gives an
     empty manifest. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("id", "text").sortWithinPartitions("id", "text")
+    # the hash splits a hot id; texts themselves are kept out of the range samples
+    ordered = rows.repartitionByRange("id", F.xxhash64("text")) \
+        .sortWithinPartitions("id", F.xxhash64("text"), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary_path)
@@ -68,8 +70,8 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, end_id: int, folder
             col = batch.column(0)
             valid.append(np.asarray(col.is_valid(), dtype=np.uint8))
             ids.append(col.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
-            for text in batch.column(1):
-                data = enc.encode(text.as_py()) + end
+            for text in batch.column(1).to_pylist():
+                data = enc.encode(text) + end
                 sizes.append(len(data) // width)
                 held.append(data)
                 held_bytes += len(data)
@@ -132,7 +134,8 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     n_tokens (with the end id), ids_crc32 (of the ids as little-endian uint32), and the
     ids themselves if ``with_ids``."""
     schema = DIGEST + (", ids array<int>" if with_ids else "")
-    files = manifest.select("path", "width", "base")
+    n = manifest.sparkSession.sparkContext.defaultParallelism
+    files = manifest.select("path", "width", "base").repartition(n)  # one row a file
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
