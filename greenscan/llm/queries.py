@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from greenscan.llm import quality, sharding, topk, warc
+from greenscan.llm import quality, sharding, topk, toxicity, warc
 from greenscan.llm.common import table
 from greenscan.llm.packing import pack_documents
 from greenscan.llm.token_files import token_files
@@ -42,8 +42,12 @@ def op9_jump_sharding(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op10_compression_toxicity(spark, sf_dir):
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_warc_zstd, op4_pattern_packing, op6_token_files, op7_distribution_divergence, op8_ball_tree_topk,
-                                  op9_jump_sharding)}
+                                  op9_jump_sharding, op10_compression_toxicity)}
 ORACLE: dict[str, str] = {"op1_warc_zstd": warc.oracle(0),
                           "op7_distribution_divergence": quality.oracle(),
                           "op8_ball_tree_topk": topk.oracle(QUERY_EVERY, NEIGHBOURS),
