@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from greenscan.session import scratch_path
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table; Python workers started from here on look for the package where we found it."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from greenscan.llm.common import written
-from greenscan.llm.tokenizing import encoder
+from greenscan.llm.tokenizing import encoder, no_gc
 
 PIECES = ("doc_id long, piece int, start long, length int, ids_crc32 long, task int, nth long")
 
@@ -64,8 +64,12 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: i
                 out["ids"] = pa.array(ids, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(out)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with no_gc():
+            yield from cut(batches)
+
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    return rows.mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 # ---------------------------------------------------------------- the plan, from the histogram

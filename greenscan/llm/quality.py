@@ -170,7 +170,10 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "
     far = F.coalesce(F.col("class_distance") > rules.max_class_distance, F.lit(False)) \
         | F.coalesce((F.col("class_distance") > rules.both_class_distance)
                      & (F.col("word_distance") > rules.both_word_distance), F.lit(False))
-    return judged.withColumn("kept", ~F.col("base_failed") & ~far).drop("class_ref", "common_ref")
+    # one sum, not a conjunction: the optimizer would push its first half below the counts and
+    # evaluate them again inside the filter
+    reasons = F.col("base_failed").cast("int") + far.cast("int")
+    return judged.withColumn("kept", reasons == 0).drop("class_ref", "common_ref")
 
 
 RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from greenscan.llm.common import attempt_name, open_fs, shared_folder
-from greenscan.llm.tokenizing import encoder
+from greenscan.llm.tokenizing import encoder, no_gc
 
 MAGIC = b"GSTOKIDX"
 HEADER = "<8sqq"
@@ -93,7 +93,11 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, end_id: int, folder
              "width": pa.array([width], pa.int32()), "n_docs": [len(sizes)],
              "n_tokens": [int(offsets[-1])]})
 
-    ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with no_gc():
+            yield from write(batches)
+
+    ordered.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return read_manifest(spark, folder)
 
 

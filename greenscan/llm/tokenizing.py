@@ -11,7 +11,7 @@ put together:
 A worker splits a text into words, joins cached id bytes, and runs the library's BPE model
 once per distinct pre-token. Words with characters above U+017F go through the library's
 whole call, so no Unicode table of another library decides about them. The caches hold
-at most two generations of ``max_words`` entries; results do not depend on that.
+at most two generations of ``max_words`` words and ``max_lines`` lines; results do not depend on that.
 ``tests/llm/test_tokens.py`` compares with the library's own whole-text call.
 """
 
@@ -21,6 +21,7 @@ import gc
 import os
 import sys
 from array import array
+from contextlib import contextmanager
 
 import numpy as np
 import regex
@@ -65,7 +66,7 @@ class _Words(dict):
 class WordEncoder:
     """Encodes texts to little-endian id bytes (uint16, or uint32 for large vocabularies)."""
 
-    def __init__(self, path: str, max_words: int = 150_000):
+    def __init__(self, path: str, max_words: int = 300_000, max_lines: int = 40_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per Spark task
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
@@ -79,6 +80,7 @@ class WordEncoder:
         self.space = self.table[0x20] if not self.drops_space else None
         self.plain = _Words(self._cut, max_words)
         self.spaced = _Words(self._spaced_cut, max_words)
+        self.lines = _Words(self._line, max_lines)
 
     def _spaced_cut(self, word: str) -> bytes:
         if word.isalpha() and word.isascii():  # one pre-token, no pattern needed
@@ -114,29 +116,46 @@ class WordEncoder:
         if not text:
             return b""
         if self.drops_space:
-            words = text.replace("\n", " ").replace("\t", " ").split(" ")
-            return b"".join(map(self.plain.__getitem__, words))
+            try:  # lower case first where that is certain, so "The" and "the" are one entry
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+            return b"".join(map(self.lines.__getitem__, text.split("\n")))
         if _RUN.search(text):
             return b"".join(map(self.plain.__getitem__, _CUT.split(text)))
-        out, spaced, lead = [], self.spaced.__getitem__, ""
-        for line in text.split("\n"):
-            words = line.split(" ")
-            out.append(self.plain[lead + words[0]])
-            out.extend(map(spaced, words[1:]))
-            lead = "\n"
-        return b"".join(out)
+        first, *rest = text.split("\n")
+        return self.lines[first] + b"".join([self.lines["\n" + line] for line in rest])
+
+    def _line(self, line: str) -> bytes:
+        """Lines repeat in copies and shared passages, so they have a cache of their own."""
+        if self.drops_space:
+            return b"".join(map(self.plain.__getitem__, line.replace("\t", " ").split(" ")))
+        first, *rest = line.split(" ")
+        return self.plain[first] + b"".join(map(self.spaced.__getitem__, rest))
 
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode(text), dtype=self.dtype)
 
 
+@contextmanager
+def no_gc():
+    """Scanning the caches for cycles, of which they hold none, costs a fifth of an encoding
+    task; the collector rests during the task and runs once at its end."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+        gc.collect()
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder of that vocabulary file (kept while the worker lives)."""
     if path not in _ENCODERS:
-        gc.disable()  # the caches hold no cycles, and scanning them costs a fifth of the time
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 
