@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from greenscan.llm import minhash, quality, sharding, topk, toxicity, warc
+from greenscan.llm import html_extract, minhash, quality, sharding, topk, toxicity, warc
 from greenscan.llm.common import table
 from greenscan.llm.packing import pack_documents
 from greenscan.llm.token_files import token_files
@@ -21,6 +21,10 @@ def op1_warc_zstd(spark, sf_dir):
         .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_dom_tree_text(spark, sf_dir):
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_tensored_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_compression_toxicity(spark, sf_dir):
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_zstd, op3_tensored_minhash, op4_pattern_packing,
+QUERIES = {f.__name__: f for f in (op1_warc_zstd, op2_dom_tree_text, op3_tensored_minhash, op4_pattern_packing,
                                   op6_token_files, op7_distribution_divergence, op8_ball_tree_topk,
                                   op9_jump_sharding, op10_compression_toxicity)}
 ORACLE: dict[str, str] = {"op1_warc_zstd": warc.oracle(0),
