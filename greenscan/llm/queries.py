@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from greenscan.llm import html_extract, minhash, quality, sharding, topk, toxicity, warc
+from greenscan.llm import html_extract, minhash, pieces, quality, sharding, topk, toxicity, warc
 from greenscan.llm.common import table
 from greenscan.llm.packing import pack_documents
 from greenscan.llm.token_files import token_files
@@ -12,6 +12,7 @@ from greenscan.llm.tokenizing import vocabulary
 
 WORD_VOCABULARY, WORD_END, SEQUENCE = "word_bpe_49k.json", 1, 4096
 BYTE_VOCABULARY, BYTE_END = "byte_bpe_50k.json", 0
+PIECE_MODEL, PIECE_ALPHA = "piece_bpe_32k.model", 0.5
 SHARDS = 40
 QUERY_EVERY, NEIGHBOURS = 20, 20
 
@@ -33,6 +34,10 @@ def op4_pattern_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY), WORD_END, SEQUENCE)
 
 
+def op5_sampled_pieces(spark, sf_dir):
+    return pieces.sample_pieces(table(spark, sf_dir, "documents"), vocabulary(PIECE_MODEL), PIECE_ALPHA)
+
+
 def op6_token_files(spark, sf_dir):
     return token_files(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY), BYTE_END)
 
@@ -55,7 +60,7 @@ def op10_compression_toxicity(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_warc_zstd, op2_dom_tree_text, op3_tensored_minhash, op4_pattern_packing,
-                                  op6_token_files, op7_distribution_divergence, op8_ball_tree_topk,
+                                  op5_sampled_pieces, op6_token_files, op7_distribution_divergence, op8_ball_tree_topk,
                                   op9_jump_sharding, op10_compression_toxicity)}
 ORACLE: dict[str, str] = {"op1_warc_zstd": warc.oracle(0),
                           "op7_distribution_divergence": quality.oracle(),
