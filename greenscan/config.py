@@ -14,6 +14,10 @@ from dataclasses import dataclass, field
 DEFAULT_HASH_KEY = 15485863
 DEFAULT_VOCAB_SIZE = 32003  # prime, see greenscan.functions.greenlist
 TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+# Settings files: a key that is named differently here, and keys that concern the model or UI.
+KEY_NAMES = {"detection_z_threshold": "z_threshold"}
+OTHER_KEYS = frozenset({"run_gradio", "demo_public", "model_name_or_path", "load_fp16", "use_gpu",
+                        "skip_model_load"})
 SEEDING_SCHEMES = ("simple_1",)
 NORMALIZER_NAMES = ("unicode", "unicode:whitespaces", "unicode:ascii", "unicode:idn",
                     "homoglyphs", "truecase")
@@ -38,16 +42,18 @@ def next_prime(n: int) -> int:
     return n
 
 
+# The words accepted for a flag, as the reference accepts them.
+FLAG_WORDS = {word: truth for truth, words in ((True, ("yes", "true", "t", "y", "1")),
+                                               (False, ("no", "false", "f", "n", "0")))
+              for word in words}
+
+
 def str2bool(v) -> bool:
-    """Driver-side boolean parsing of user flags."""
-    if isinstance(v, bool):
-        return v
-    s = str(v).lower()
-    if s in ("yes", "true", "t", "y", "1"):
-        return True
-    if s in ("no", "false", "f", "n", "0"):
-        return False
-    raise ValueError("Boolean value expected.")
+    """A user's flag as a truth value (P17); words outside ``FLAG_WORDS`` are refused."""
+    word = str(v).strip().lower()
+    if word not in FLAG_WORDS:
+        raise ValueError(f"not a flag: {v!r} (use one of {', '.join(FLAG_WORDS)})")
+    return FLAG_WORDS[word]
 
 
 def parse_normalizers(spec) -> tuple[str, ...]:
@@ -84,14 +90,14 @@ class WatermarkConfig:
     sampling_temp: float = 0.7
     seed_separately: bool = True
     prompt_max_length: int | None = None
-    limit_dataset: int | None = 500
+    limit_dataset: int | None = None
     dataset_name_or_path: str = "documents"
     dataset_section: str | None = None
     csv_path: str | None = None
 
     def __post_init__(self):
         if self.seeding_scheme not in SEEDING_SCHEMES:
-            raise NotImplementedError(f"Unexpected seeding_scheme: {self.seeding_scheme}")
+            raise NotImplementedError(f"no such seeding scheme here: {self.seeding_scheme}")
         if not is_prime(self.vocab_size):
             raise ValueError(f"vocab_size must be prime, got {self.vocab_size}; "
                              f"use next_prime({self.vocab_size}) = {next_prime(self.vocab_size)}")
@@ -119,10 +125,15 @@ class WatermarkConfig:
 
     @classmethod
     def from_mapping(cls, m: dict) -> "WatermarkConfig":
-        """Build from a YAML-like mapping; unknown keys (model, UI) are ignored."""
-        names = {f.name for f in dataclasses.fields(cls)}
-        kw = {k: v for k, v in m.items() if k in names}
-        for k in ("select_green_tokens", "ignore_repeated_bigrams", "use_sampling", "seed_separately"):
-            if k in kw:
-                kw[k] = str2bool(kw[k])
-        return cls(**kw)
+        """Parameters of a YAML-like mapping. Keys for the model and the UI are left out;
+        any other unknown key is an error, so no setting is dropped unseen."""
+        fields = {f.name: f for f in dataclasses.fields(cls)}
+        given = {KEY_NAMES.get(k, k): v for k, v in m.items() if k not in OTHER_KEYS}
+        if unknown := sorted(set(given) - set(fields)):
+            raise ValueError(f"unknown settings: {', '.join(unknown)}")
+        for k, v in given.items():
+            if fields[k].type == "bool" and not isinstance(v, bool):
+                given[k] = str2bool(v)
+            elif fields[k].type == "float" and v is not None:
+                given[k] = float(v)
+        return cls(**given)

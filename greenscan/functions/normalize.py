@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from greenscan.config import FLAG_WORDS
+
 # Characters of the "whitespaces" ruleset, as listed by the reference.
 WHITESPACES_CLASS = (
     r"[\x{00A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{200C}\x{200D}\x{200E}\x{200F}"
@@ -102,13 +104,14 @@ def lookup(name: str):
     raise ValueError(f"unknown normalizer: {name!r}")
 
 
-def apply_chain(df, col: str, names, key: str | None = None) -> object:
+def apply_chain(df, col: str, names, key: str | None = None, models: dict | None = None) -> object:
     """Fold the configured normalisers over ``col`` in order (F1). ``key`` (a unique
-    row id) lets normalisers that regroup rows (truecase) avoid joining on the text."""
+    row id) lets normalisers that regroup rows (truecase) avoid joining on the text;
+    ``models`` gives a normaliser by name the table it was to learn from."""
     for n in names:
-        if n == "truecase" and key is not None:
+        if n == "truecase":
             from greenscan.operators.truecase import truecase_normalizer
-            df = truecase_normalizer(df, col, key)
+            df = truecase_normalizer(df, col, key, (models or {}).get(n))
         else:
             df = lookup(n)(df, col)
     return df
@@ -116,7 +119,7 @@ def apply_chain(df, col: str, names, key: str | None = None) -> object:
 
 def str2bool_col(v: Column) -> Column:
     """P17 on a column: yes/true/t/y/1 and no/false/f/n/0, anything else fails."""
-    low = F.lower(v.cast("string"))
-    return F.when(low.isin("yes", "true", "t", "y", "1"), F.lit(True)) \
-        .when(low.isin("no", "false", "f", "n", "0"), F.lit(False)) \
-        .otherwise(F.raise_error(F.concat(F.lit("Boolean value expected: "), low)))
+    word = F.lower(F.trim(v.cast("string")))
+    words = lambda truth: [w for w, t in FLAG_WORDS.items() if t is truth]
+    return F.when(word.isin(words(True)), F.lit(True)).when(word.isin(words(False)), F.lit(False)) \
+        .otherwise(F.raise_error(F.concat(F.lit("not a flag: "), word)))

@@ -62,9 +62,10 @@ def strip_prompt(out_ids: Column, n_prompt: Column) -> Column:
     return F.slice(out_ids, n_prompt + 1, F.greatest(n - n_prompt, F.lit(0)))
 
 
-def truncated_notice(redecoded: Column, flag: Column, original: Column,
-                     cap: int) -> Column:
+# Fixed value: the notice shown below a prompt that was cut.
+TRUNC_NOTICE = "\n\n[Prompt was truncated before generation due to length...]"
+
+
+def truncated_notice(redecoded: Column, flag: Column, original: Column) -> Column:
     """Prompt shown to the user with a notice when truncation happened (P10)."""
-    notice = (f"\n\n[Prompt was truncated before generation due to length "
-              f"(cap {cap} tokens)...]")
-    return F.when(flag == 1, F.concat(redecoded, F.lit(notice))).otherwise(original)
+    return F.when(flag == 1, F.concat(redecoded, F.lit(TRUNC_NOTICE))).otherwise(original)

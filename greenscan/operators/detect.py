@@ -44,14 +44,6 @@ def green_flags(ids: Column, cfg: WatermarkConfig) -> Column:
     return F.zip_with(keys, tail, lambda k, c: gl.green_from_key(k, c, cfg))
 
 
-def distinct_green_count(codes: Column, cfg: WatermarkConfig) -> Column:
-    """Green count over distinct bigram codes (A5), one md5 per distinct bigram."""
-    v = F.lit(cfg.vocab_size).cast("bigint")
-    keyed = F.transform(codes, lambda z: F.struct(
-        gl.seed_key(F.call_function("div", z, v), cfg.hash_key).alias("k"), (z % v).alias("c")))
-    return F.size(F.filter(keyed, lambda s: gl.green_from_key(s["k"], s["c"], cfg)))
-
-
 def score_ids(df: DataFrame, ids_col: str, cfg: WatermarkConfig, *,
               return_mask: bool = False, threshold: Column | None = None,
               status: Column | None = None, prefix: str = "") -> DataFrame:
@@ -115,7 +107,9 @@ def select_fields(scores: DataFrame, keep: list[str], *, return_num_tokens_score
     flags = [("num_tokens_scored", return_num_tokens_scored), ("num_green_tokens", return_num_green_tokens),
              ("green_fraction", return_green_fraction), ("green_token_mask", return_green_token_mask),
              ("z_score", return_z_score), ("p_value", return_p_value)]
-    cols = [c for c, on in flags if on and return_scores and c in scores.columns]
+    # a verdict is never shown without its p-value, whatever the other switches say
+    cols = [c for c, on in flags if (on and return_scores or c == "p_value" and return_prediction)
+            and c in scores.columns]
     if return_prediction:
         cols += ["prediction", "confidence"]
     return scores.select(*keep, *cols, "status")
@@ -130,7 +124,7 @@ def text_guard(text: Column) -> Column:
 def detect_text(df: DataFrame, cfg: WatermarkConfig, text_col: str = "text", *,
                 keep: list[str] | None = None, return_mask: bool = False,
                 threshold: Column | None = None, normalized_col: str | None = None,
-                tokenizer=None, key: str | None = None) -> DataFrame:
+                tokenizer=None, key: str | None = None, models: dict | None = None) -> DataFrame:
     """Detection over a text column: guard -> normalisers -> tokens -> ids -> score.
 
     ``keep`` lists pass-through columns (default: all but the text). The text column
@@ -139,7 +133,7 @@ def detect_text(df: DataFrame, cfg: WatermarkConfig, text_col: str = "text", *,
     keep = [c for c in (keep if keep is not None else df.columns) if c != text_col]
     base = df.select(*keep, F.col(text_col).alias("_text"), text_guard(F.col(text_col)).alias("_guard"))
     if cfg.normalizers:
-        base = apply_chain(base, "_text", cfg.normalizers, key=key if key in keep else None)
+        base = apply_chain(base, "_text", cfg.normalizers, key=key if key in keep else None, models=models)
     # A user tokenizer is any Column -> ARRAY<BIGINT> function (for example a
     # pandas_udf around a subword tokenizer); the default is the regex + hash path
     raw = tokenizer(F.col("_text")) if tokenizer is not None else \
@@ -154,9 +148,12 @@ def detect_text(df: DataFrame, cfg: WatermarkConfig, text_col: str = "text", *,
 
 def detect_ids(df: DataFrame, cfg: WatermarkConfig, ids_col: str = "ids", **kw) -> DataFrame:
     """Detection over pre-tokenised ids (the reference's tokenized_text path);
-    a leading BOS id is dropped when ``cfg.bos_id`` is set."""
+    a leading BOS id is dropped when ``cfg.bos_id`` is set. Ids that are null or outside
+    0..V-1 would alias other bigrams; such rows get the status ``bad_token_id``."""
     keep = [c for c in df.columns if c != ids_col]
     base = df.select(*keep, strip_bos(F.col(ids_col), cfg.bos_id).alias("_ids"))
+    bad = F.exists("_ids", lambda x: F.coalesce((x < 0) | (x >= cfg.vocab_size), F.lit(True)))
+    kw.setdefault("status", F.when(bad, F.lit("bad_token_id")))
     return score_ids(base, "_ids", cfg, **kw).drop("_ids")
 
 
@@ -164,7 +161,7 @@ def detect(df: DataFrame, cfg: WatermarkConfig, *, text_col: str | None = None,
            ids_col: str | None = None, **kw) -> DataFrame:
     """Exactly one of text / ids input (P18), checked when the plan is built."""
     if (text_col is None) == (ids_col is None):
-        raise ValueError("Must pass either the raw or tokenized column")
+        raise ValueError("name the text column or the ids column, and only one of them")
     if text_col is not None:
         return detect_text(df, cfg, text_col, **kw)
     return detect_ids(df, cfg, ids_col, **kw)

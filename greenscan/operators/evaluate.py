@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from greenscan.config import WatermarkConfig
 from greenscan.functions import greenlist as gl
 from greenscan.functions.stats import with_normal_sf
-from greenscan.operators.detect import score_ids
+from greenscan.operators.detect import bigram_codes, score_ids
 
 ARM_METRICS = ("num_tokens_scored", "num_green_tokens", "green_fraction", "z_score", "p_value",
                "prediction")
@@ -82,8 +82,7 @@ def skip_done(todo: DataFrame, done: DataFrame, id_col: str = "id", done_id: str
 
 
 def append_results(new: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append a batch of result rows (S5); called per batch, so a crash keeps what
-    was written (Q21)."""
+    """Append a batch of result rows (S5). What earlier calls wrote stays as it is (Q21)."""
     w = new.select(*RESULT_COLUMNS).write.mode("append")
     if fmt == "csv":
         w.option("header", True).csv(path)
@@ -128,21 +127,27 @@ def sweep_gamma(df: DataFrame, ids_col: str, cfg: WatermarkConfig, grid=None, ke
     head, tail = _pairs(F.col(ids_col))
     keys = F.transform(head, lambda p: gl.seed_key(p, cfg.hash_key))
     ranks = F.zip_with(keys, tail, lambda k, c: gl.rank_from_key(k, c, cfg.vocab_size))
-    rows = df.select(*keep, F.explode(ranks).alias("_r"))
+    if cfg.ignore_repeated_bigrams:  # equal bigrams have equal ranks: one row per distinct code
+        coded = F.zip_with(bigram_codes(F.col(ids_col), V), ranks, lambda z, r: F.struct(z.alias("z"), r.alias("r")))
+        ranks = F.transform(F.array_distinct(coded), lambda s: s["r"])
+    # texts without a bigram keep one row (null rank), so that they come out with null scores
+    rows = df.select(*keep, F.explode_outer(ranks).alias("_r"))
     # tail selection (legacy): green iff rank >= V - G  <=>  (V - 1 - rank) < G
     r = F.col("_r") if cfg.select_green_tokens else F.lit(V - 1) - F.col("_r")
     bucket = sum((r >= F.lit(n)).cast("int") for _, n in grid)
     rows = rows.select(*keep, bucket.alias("_b"))
     K = len(grid)
-    agg = rows.groupBy(*keep).agg(F.count(F.lit(1)).alias("num_tokens_scored"),
+    agg = rows.groupBy(*keep).agg(F.count("_b").alias("num_tokens_scored"),
                                   *[F.count(F.when(F.col("_b") == k, 1)).alias(f"_h{k}") for k in range(K)])
     points = []
     for k, (g, _) in enumerate(grid):
         green = sum(F.col(f"_h{j}") for j in range(k + 1))
         points.append(F.struct(F.lit(float(g)).alias("gamma"), green.cast("bigint").alias("g")))
     per = agg.select(*keep, "num_tokens_scored", F.explode(F.array(*points)).alias("_s"))
-    per = per.select(*keep, F.col("_s.gamma").alias("gamma"), "num_tokens_scored",
-                     F.col("_s.g").alias("num_green_tokens"))
+    scored = F.col("num_tokens_scored") > 0
+    per = per.select(*keep, F.col("_s.gamma").alias("gamma"),
+                     F.when(scored, F.col("num_tokens_scored")).alias("num_tokens_scored"),
+                     F.when(scored, F.col("_s.g")).alias("num_green_tokens"))
     t = F.col("num_tokens_scored").cast("double")
     g = F.col("num_green_tokens").cast("double")
     gm = F.col("gamma")
@@ -240,7 +245,7 @@ def greedy_rewrite_counts(df: DataFrame, id_col: str, ids_col: str, greedy: Data
 
 
 def run_evaluation(spark, cfg: WatermarkConfig, sf_dir: str, results_path: str,
-                   model_words: int = 500, fmt: str = "parquet") -> DataFrame:
+                   model_words: int = 500, fmt: str = "parquet", models: dict | None = None) -> DataFrame:
     """The batch evaluation of the reference as one job (section 3.1 of the survey):
     dataset profile scan with split and limit -> skip ids already in the results (J1)
     -> both arms generated (G6) -> both scored and paired (J3, P4) -> appended to the
@@ -250,17 +255,25 @@ def run_evaluation(spark, cfg: WatermarkConfig, sf_dir: str, results_path: str,
     the same table. The append is one write per call, so a rerun after a crash skips
     what was written and continues.
     """
+    from greenscan.functions.normalize import apply_chain
     from greenscan.functions.tokens import text_to_ids
     from greenscan.operators import generate as gen
+    from greenscan.operators.detect import text_guard
     from greenscan.sources.tables import prepare_dataset, spread
     cap = cfg.prompt_max_length or (2048 - cfg.max_new_tokens)
     data = spread(prepare_dataset(spark, sf_dir, cfg.dataset_name_or_path, cfg.dataset_section,
                                   cfg.limit_dataset))
     existing = read_results(spark, results_path, fmt)
-    todo = skip_done(data, existing, "id", "id")
-    ids = todo.select("id", "document", text_to_ids(F.col("document"), cfg.vocab_size).alias("ids"))
+    # cleaned text, the configured tokens; the model is learned from the whole split, done or
+    # not, so that a run in several parts gives the rows of a single run
+    clean = apply_chain(data.withColumn("document", F.col("document")), "document", cfg.normalizers, key="id",
+                        models=models)
+    ids = clean.select("id", "document", text_to_ids(
+        F.when(text_guard(F.col("document")).isNull(), F.col("document")).otherwise(F.lit("")),
+        cfg.vocab_size, cfg.token_pattern, cfg.lowercase).alias("ids"))
     words = gen.top_word_ids(ids, "document", model_words, cfg.vocab_size)
-    prompts = ids.select("id", F.slice("ids", 1, cap).alias("ids"))
+    todo = skip_done(ids, existing, "id", "id")
+    prompts = todo.select("id", F.slice("ids", 1, cap).alias("ids"))
     arms = gen.generate_paired(prompts, ids.select("ids"), cfg, "id", "ids", None, cfg.max_new_tokens,
                                model_tokens=words)
     new = paired_from_columns(arms, cfg)

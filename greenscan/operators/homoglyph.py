@@ -102,7 +102,7 @@ def alphabet(spark: SparkSession, categories=None, languages=None, chars=None) -
     if categories:
         for c in categories:
             if c not in known:
-                raise ValueError(f"Invalid category: {c}")
+                raise ValueError(f"no such script: {c}")
         parts.append(char_table(spark).where(F.col("script").isin(list(categories))).select("ch"))
     if languages:
         parts.append(language_alphabet(spark, languages))
@@ -116,6 +116,7 @@ def alphabet(spark: SparkSession, categories=None, languages=None, chars=None) -
 
 # Letters of the four test languages beyond ASCII a-z (the reference's
 # language table is missing from its checkout; this is a small stand-in, S10).
+ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 LANGUAGE_EXTRA = {
     "en": "",
     "fr": "àâæçéèêëîïôœùûüÿ",
@@ -124,25 +125,31 @@ LANGUAGE_EXTRA = {
 }
 
 
-def language_alphabet(spark: SparkSession, languages) -> DataFrame:
-    """(ch) for the given languages, upper and lower case."""
-    rows = []
-    for lang in languages:
-        if lang not in LANGUAGE_EXTRA:
-            raise ValueError(f"Invalid language code: {lang}")
-        letters = "abcdefghijklmnopqrstuvwxyz" + LANGUAGE_EXTRA[lang]
-        rows += [(lang, c) for c in letters + letters.upper()]
-    return spark.createDataFrame(rows, "lang string, ch string").select("ch").distinct()
+def language_table(spark: SparkSession, extra: dict | None = None) -> DataFrame:
+    """(lang, ch): upper and lower case letters by language (S10). ``extra`` maps language
+    codes to their letters and replaces or extends the shipped table."""
+    rows = set()
+    for lang, letters in {**{k: ASCII_LOWER + v for k, v in LANGUAGE_EXTRA.items()}, **(extra or {})}.items():
+        rows |= {(lang, c) for c in letters + letters.upper()}
+    return spark.createDataFrame(sorted(rows), "lang string, ch string")
 
 
-def languages_of_chars(chars: DataFrame, spark: SparkSession, char_col: str = "ch") -> DataFrame:
+def language_alphabet(spark: SparkSession, languages, table: DataFrame | None = None) -> DataFrame:
+    """(ch) for the given languages, upper and lower case (A16b); ``table`` (lang, ch) is a
+    user's own language table."""
+    if table is None:
+        for lang in languages:
+            if lang not in LANGUAGE_EXTRA:
+                raise ValueError(f"no alphabet for language {lang!r}")
+        table = language_table(spark)
+    return table.where(F.col("lang").isin(list(languages))).select("ch").distinct()
+
+
+def languages_of_chars(chars: DataFrame, spark: SparkSession, char_col: str = "ch",
+                       table: DataFrame | None = None) -> DataFrame:
     """Char -> set of languages whose alphabet holds it."""
-    rows = []
-    for lang, extra in LANGUAGE_EXTRA.items():
-        letters = "abcdefghijklmnopqrstuvwxyz" + extra
-        rows += [(lang, c) for c in letters + letters.upper()]
-    la = spark.createDataFrame(rows, "lang string, lch string")
-    j = chars.join(F.broadcast(la), chars[char_col] == la["lch"])
+    la = (language_table(spark) if table is None else table).select("lang", F.col("ch").alias("lch"))
+    j = chars.join(la, chars[char_col] == la["lch"])
     return j.groupBy(char_col).agg(F.array_sort(F.collect_set("lang")).alias("languages"))
 
 
@@ -211,14 +218,15 @@ def variant_table(spark: SparkSession, alphabet_df: DataFrame | None = None,
     which extends the alphabet by the scripts present before building this table.
     """
     if strategy not in (STRATEGY_LOAD, STRATEGY_IGNORE, STRATEGY_REMOVE):
-        raise ValueError("Invalid strategy")
-    alpha = alphabet(spark) if alphabet_df is None else alphabet_df
+        raise ValueError(f"no such strategy: {strategy}")
+    alpha = alphabet(spark) if alphabet_df is None else alphabet_df.select("ch").distinct()
     conf = confusables(spark).select("ch", "alt")
     t1 = conf.join(alpha.select("ch"), "ch", "left_semi") \
         .join(alpha.select(F.col("ch").alias("alt")), "alt", "left_semi")
     hop2 = t1.alias("a").join(t1.alias("b"), F.col("a.alt") == F.col("b.ch")) \
         .select(F.col("a.ch").alias("ch"), F.col("b.alt").alias("alt"))
-    allv = t1.union(hop2).union(t1.select("ch", F.col("ch").alias("alt"))).distinct()
+    # every character of the alphabet is a variant of itself, with look-alikes or without
+    allv = t1.union(hop2).union(alpha.select("ch", F.col("ch").alias("alt"))).distinct()
     grouped = allv.groupBy("ch").agg(F.collect_set("alt").alias("v"))
     # sort by (-length, value): all entries are single characters here
     return grouped.select("ch", F.array_sort("v").alias("variants"), F.lit(True).alias("in_alphabet"))
@@ -226,7 +234,7 @@ def variant_table(spark: SparkSession, alphabet_df: DataFrame | None = None,
 
 def word_variants(words: DataFrame, word_col: str, spark: SparkSession,
                   alphabet_df: DataFrame | None = None, strategy: int = STRATEGY_IGNORE,
-                  ascii_only: bool = False) -> DataFrame:
+                  languages: DataFrame | None = None) -> DataFrame:
     """Per word: the variant lattice (one sorted list per character), the number of
     spellings it encodes, and the number of ASCII spellings (F19, F20, F22).
 
@@ -236,23 +244,27 @@ def word_variants(words: DataFrame, word_col: str, spark: SparkSession,
     chars = words.select(word_col, F.posexplode(F.split(F.col(word_col), "")).alias("i", "ch")) \
         .where(F.col("ch") != "")
     if strategy == STRATEGY_LOAD:
-        # F21, made order-free: one pre-pass collects the scripts of the characters
-        # present (a handful of names) and the alphabet is extended by all of them
-        present = chars.select("ch").distinct().join(
-            F.broadcast(char_table(spark).select("ch", "script")), "ch").select("script").distinct()
-        scripts = [r[0] for r in present.collect() if r[0] != "OTHER"]
-        base = alphabet(spark) if alphabet_df is None else alphabet_df
-        extra = char_table(spark).where(F.col("script").isin(scripts)).select("ch")
-        alphabet_df = base.select("ch").union(extra).distinct()
+        # F21, made order-free: characters outside the alphabet extend it, first by the
+        # alphabets of the languages that hold them, else by their script
+        base = (alphabet(spark) if alphabet_df is None else alphabet_df).select("ch").distinct()
+        table = language_table(spark) if languages is None else languages
+        unknown = chars.select("ch").distinct().join(base, "ch", "left_anti")
+        spoken = unknown.join(table, "ch")
+        by_lang = table.join(spoken.select("lang").distinct(), "lang", "left_semi").select("ch")
+        scripts = unknown.join(spoken.select("ch").distinct(), "ch", "left_anti") \
+            .join(char_table(spark).select("ch", "script"), "ch").where("script <> 'OTHER'").select("script").distinct()
+        by_script = char_table(spark).join(scripts, "script", "left_semi").select("ch")
+        alphabet_df = base.union(by_lang).union(by_script).distinct()
     vt = variant_table(spark, alphabet_df, strategy)
-    j = chars.join(F.broadcast(vt), "ch", "left")
-    if strategy == STRATEGY_REMOVE:
+    j = chars.join(F.broadcast(vt), "ch", "left")  # bounded: one row per character of the alphabet
+    if strategy != STRATEGY_IGNORE:
         v = F.coalesce(F.col("variants"), F.array().cast("array<string>"))
     else:
         v = F.coalesce(F.col("variants"), F.array(F.col("ch")))
     j = j.withColumn("variants", v).withColumn(
         "ascii_variants", F.filter("variants", lambda c: F.ascii(c) < 128))
-    if strategy == STRATEGY_REMOVE:  # a removed character leaves the spellings
+    if strategy != STRATEGY_IGNORE:  # a removed character leaves the spellings; so does one that
+        # no language and no script could load
         j = j.where(F.size("variants") > 0)
     agg = j.groupBy(word_col).agg(
         F.array_sort(F.collect_list(F.struct("i", "variants", "ascii_variants"))).alias("_l"))
@@ -307,7 +319,7 @@ def range_alphabet(ranges: DataFrame, categories) -> DataFrame:
     known = set(VOTE_SCRIPTS) | set(NEUTRAL_SCRIPTS) | {"OTHER"}
     for c in categories:
         if c not in known:
-            raise ValueError(f"Invalid category: {c}")
+            raise ValueError(f"no such script: {c}")
     r = ranges.where(F.col("category").isin(list(categories)))
     return r.select(F.explode(F.sequence("lo", "hi")).alias("cp")).select(F.chr("cp").alias("ch")).distinct()
 

@@ -37,8 +37,23 @@ def format_names(s: Column) -> Column:
 
 
 def fmt_g3(x: Column) -> Column:
-    """Python's ``{x:.3g}``: Java's %g keeps trailing zeros, so strip them."""
-    s = F.format_string("%.3g", x)
+    """Python's ``{x:.3g}``. Python rounds the exact binary value half-even; so does
+    format_number, while %g rounds the shortest decimal form half-up. Values from 1e-4 to
+    1000 are written with as many decimals as leave three digits (their number is corrected
+    where rounding gains a digit, 9.999 -> 10.0), the others in scientific form."""
+    size = F.abs(x)
+    places = F.lit(2) - F.floor(F.log10(size)).cast("int")
+
+    def fixed(decimals: int) -> Column:
+        return F.replace(F.format_number(x, decimals), F.lit(","), F.lit(""))
+
+    s = F.lit(None).cast("string")
+    for d in range(7, -1, -1):
+        one = fixed(d)
+        gained = F.regexp_replace(one, r"^-?0?\.?0*|\.", "")  # significant digits
+        s = F.when(places == d, F.when(F.char_length(gained) > 3, fixed(max(d - 1, 0))).otherwise(one)).otherwise(s)
+    s = F.when(size == 0, F.when(x.cast("string").startswith("-"), F.lit("-0")).otherwise(F.lit("0"))) \
+        .when((size >= 9.995e-5) & (size < 999.5), s).otherwise(F.format_string("%.2e", x))
     s = F.regexp_replace(s, r"(\.\d*?)0+(e|$)", "$1$2")
     return F.when(x.isNotNull(), F.regexp_replace(s, r"\.(e|$)", "$1"))
 

@@ -72,7 +72,12 @@ def truecase_apply(df: DataFrame, model: DataFrame, id_col: str, text_col: str =
     rows = base.select(id_col, F.posexplode(F.arrays_zip(F.col("_s").alias("seg"), starts.alias("st")))
                        .alias("i", "z"))
     rows = rows.select(id_col, "i", F.col("z.seg").alias("seg"), F.col("z.st").alias("st"))
-    j = rows.join(forms, rows["seg"] == forms["_k"], "left")
+    # separators (two fifths of all segments, one blank most of them) have no learned form:
+    # they get a null key, which joins with nothing and is spread by a random salt
+    rows = rows.withColumn("_w", F.when(is_word(F.col("seg")), F.col("seg")))
+    plain = rows.where(F.col("_w").isNull()).withColumn("form", F.lit(None).cast("string"))
+    j = rows.where(F.col("_w").isNotNull()).join(forms, F.col("_w") == F.col("_k"), "left").drop("_k") \
+        .unionByName(plain)
     if sentence_start:
         val = F.when(F.col("st") & is_word(F.col("seg")), _capitalize(F.coalesce(F.col("form"), F.col("seg"))))
         val = val.otherwise(F.coalesce(F.col("form"), F.col("seg")))
@@ -89,14 +94,17 @@ def truecase_apply(df: DataFrame, model: DataFrame, id_col: str, text_col: str =
         .alias(out_col))
 
 
-def truecase_normalizer(df: DataFrame, col: str, key: str | None = None) -> DataFrame:
-    """``truecase`` in a detection chain: the model is learned from the same table.
+def truecase_normalizer(df: DataFrame, col: str, key: str | None = None,
+                        model: DataFrame | None = None) -> DataFrame:
+    """``truecase`` in a detection chain, with a ``model`` learned beforehand from text of
+    sound casing (:func:`truecase_model`). Without one it is learned from the same table, and
+    a row's result then depends on the others.
 
     With ``key`` (a unique row id) the rows are hash-partitioned by it once; the
     segment rows, their re-assembly and the join back then stay in those partitions
     (one exchange of the text). Without a key, each distinct text is truecased once
     and joined back on the text itself - exact, but the text is shuffled twice."""
-    model = truecase_model(df, col)
+    model = truecase_model(df, col) if model is None else model
     if key is not None:
         d = df.repartition(key)
         tc = truecase_apply(d, model, key, col, "_tc_text")

@@ -11,6 +11,7 @@ from greenscan.sources.tables import read_table, spread
 # batch defaults, distinct bigrams as the survey's calibration recommends.
 CFG = WatermarkConfig()
 CFG_DISTINCT = CFG.replace(ignore_repeated_bigrams=True)
+LIMIT_ROWS = 500  # limit_dataset of the reference's settings file
 
 
 def documents(spark: SparkSession, sf_dir: str, cols=("doc_id", "text")) -> DataFrame:

@@ -6,12 +6,13 @@ from __future__ import annotations
 
 from greenscan.config import WatermarkConfig
 from greenscan.functions.stats import normal_sf_sql, z_score_sql
-from greenscan.plans.common import CFG, CFG_DISTINCT
+from greenscan.plans.common import CFG, CFG_DISTINCT, LIMIT_ROWS
 from greenscan.functions.normalize import RULESETS, CONTROL_CLASS
 from greenscan.operators.evaluate import gamma_grid
 from greenscan.plans.queries import (ANALYSIS_METRICS, ATTACK_FROM, ATTACK_TO, CFG_SMALL_V, INJECT_COMMA,
-                                     INJECT_WS, PROMPT_CAP, SAMPLE_SEED, TOP_K, TRUNC_NOTICE)
+                                     INJECT_WS, PROMPT_CAP, SAMPLE_SEED)
 from greenscan.functions.scripts import VOTE_SCRIPTS, re2_class
+from greenscan.functions.tokens import TRUNC_NOTICE
 from greenscan.operators.truecase import TOKEN as TC_TOKEN
 
 
@@ -202,7 +203,7 @@ def homoglyph_variants_sql(rows) -> str:
     return rf"""
 WITH vt AS (SELECT * FROM (VALUES {vals}) AS t(ch, variants, nv, na)),
 toks AS (SELECT {_tokens_sql()} AS t FROM documents),
-words AS (SELECT DISTINCT w AS word FROM (SELECT unnest(t) AS w FROM toks) WHERE regexp_matches(w, '^\p{{L}}')),
+words AS (SELECT DISTINCT w AS word FROM (SELECT unnest(t) AS w FROM toks) WHERE regexp_matches(w, '^[\p{{L}}\p{{N}}]')),
 chars AS (SELECT word, unnest(regexp_extract_all(word, '.')) AS ch,
                  generate_subscripts(regexp_extract_all(word, '.'), 1) AS i FROM words),
 j AS (SELECT c.word, c.i, coalesce(vt.variants, c.ch) AS v, coalesce(vt.nv, 1) AS nv,
@@ -253,7 +254,7 @@ WITH toks AS (SELECT doc_id, regexp_extract_all(text, '{TC_TOKEN}') AS t FROM do
 pos AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS pos FROM toks),
 lg AS (SELECT w, lag(w) OVER (PARTITION BY doc_id ORDER BY pos) AS pw FROM pos),
 mid AS (SELECT w FROM lg WHERE pw IS NOT NULL AND pw NOT IN ('.', '!', '?')
-        AND regexp_matches(w, '^\p{{L}}')),
+        AND regexp_matches(w, '^[\p{{L}}\p{{N}}]')),
 cnt AS (SELECT lower(w) AS key, w AS form, count(*)::BIGINT AS n FROM mid GROUP BY 1, 2),
 best AS (SELECT key, form, n, sum(n) OVER (PARTITION BY key)::BIGINT AS n_total,
                 row_number() OVER (PARTITION BY key ORDER BY n DESC, form DESC) AS rk FROM cnt)
@@ -299,14 +300,13 @@ r AS (SELECT prev, tok, s, row_number() OVER (PARTITION BY prev ORDER BY s DESC,
 SELECT prev, tok AS next_tok, s AS sample_score FROM r WHERE rk = 1"""
 
 
-def transition_table_sql(cfg, top_k):
+def transition_table_sql(cfg):
     return f"""
 WITH {token_ids_cte("documents", "doc_id", "text", cfg)},
 cnt AS (SELECT p AS prev, c AS tok, count(*)::BIGINT AS n FROM bg WHERE p IS NOT NULL GROUP BY p, c),
 r AS (SELECT prev, tok, n, sum(n) OVER (PARTITION BY prev)::BIGINT AS total,
              row_number() OVER (PARTITION BY prev ORDER BY n DESC, tok ASC)::BIGINT AS rank FROM cnt)
-SELECT prev, tok, n, total, rank, ln(CAST(n AS DOUBLE) / CAST(total AS DOUBLE)) AS logit FROM r
-WHERE rank <= {top_k}"""
+SELECT prev, tok, n, total, rank, ln(CAST(n AS DOUBLE) / CAST(total AS DOUBLE)) AS logit FROM r"""
 
 
 def paired_cte(cfg) -> str:
@@ -492,7 +492,7 @@ ORACLE = {
     "bias_scores": bias_scores_sql(CFG),
     "greedy_next": greedy_next_sql(CFG),
     "sampled_next": sampled_next_sql(CFG, SAMPLE_SEED),
-    "transition_table": transition_table_sql(CFG, TOP_K),
+    "transition_table": transition_table_sql(CFG),
     "paired_results": paired_results_sql(CFG),
     "threshold_rates": threshold_rates_sql(CFG),
     "arm_summary": arm_summary_sql(CFG),
@@ -504,7 +504,7 @@ ORACLE = {
     "detect_conversations": detect_sql(
         CFG_DISTINCT, table="(SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS id, text "
                             "FROM conversations)", id_col="id"),
-    "limit_ordered": detect_sql(CFG, table=f"(SELECT * FROM documents ORDER BY doc_id LIMIT {CFG.limit_dataset})"),
+    "limit_ordered": detect_sql(CFG, table=f"(SELECT * FROM documents ORDER BY doc_id LIMIT {LIMIT_ROWS})"),
     "display_table": display_table_sql(CFG),
     "category_codes": CATEGORY_CODES_SQL,
 }

@@ -10,7 +10,7 @@ from greenscan.functions import scripts as sc
 from greenscan.functions.normalize import unicode_sanitize
 from greenscan.functions.stats import with_normal_sf
 from greenscan.functions.stats import z_score as z_col
-from greenscan.functions.tokens import text_to_ids
+from greenscan.functions.tokens import text_to_ids, truncated_notice, truncation_flag
 from greenscan.functions.tokens import tokenize as tokenize_col
 from greenscan.operators import bigrams as bg
 from greenscan.operators import evaluate as ev
@@ -20,7 +20,7 @@ from greenscan.operators import report as rp
 from greenscan.operators import truecase as tc
 from greenscan.operators import vocab as vb
 from greenscan.operators.detect import detect_ids, detect_text, score_ids
-from greenscan.plans.common import CFG, CFG_DISTINCT, documents
+from greenscan.plans.common import CFG, CFG_DISTINCT, LIMIT_ROWS, documents
 from greenscan.session import scratch_path
 from greenscan.sources.tables import limit_ordered as limit_rows
 from greenscan.sources.tables import prepare_dataset, read_table, spread
@@ -58,7 +58,6 @@ QUERIES = {
 CFG_SMALL_V = WatermarkConfig(vocab_size=101, gamma=0.25)
 BOS_ID = 1
 PROMPT_CAP = 2048 - CFG.max_new_tokens  # the reference's effective cap (Q16)
-TRUNC_NOTICE = "\n\n[Prompt was truncated before generation due to length...]"
 
 
 def doc_ids(spark, sf_dir, cfg=CFG):
@@ -70,18 +69,11 @@ def doc_ids_by_doc(spark, sf_dir, cfg=CFG):
     """Token ids hash-partitioned by doc_id. Queries that read the ids in several
     branches share this one exchange (Spark reuses identical exchanges), so the
     text is tokenised once; per-document aggregations and joins on doc_id downstream
-    need no further shuffle."""
+    need no further shuffle. The partition count is the session's, so adaptive execution
+    may coalesce it."""
     # ids are NOT NULL by the input contract; filtering here (as the join would infer
     # on one side only) keeps every branch's exchange identical, so it is reused
-    d = doc_ids(spark, sf_dir, cfg).where(F.col("doc_id").isNotNull())
-    # as many partitions as the input has splits (at least one per task slot), capped
-    # by the shuffle setting: the configured count at scale, a few on small inputs
-    try:
-        shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        n = min(shuffle, max(spark.sparkContext.defaultParallelism, d.rdd.getNumPartitions()))
-    except Exception:
-        return d.repartition("doc_id")
-    return d.repartition(n, "doc_id")
+    return doc_ids(spark, sf_dir, cfg).where(F.col("doc_id").isNotNull()).repartition("doc_id")
 
 
 def doc_token_rows(spark, sf_dir):
@@ -149,8 +141,8 @@ def prompt_truncate(spark, sf_dir):
     """Prompt cut to the cap, flag, and the shown prompt with a notice."""
     d = documents(spark, sf_dir).select("doc_id", "text", tokenize_col(F.col("text")).alias("t"))
     cut = F.slice("t", 1, PROMPT_CAP)
-    flag = (F.size(cut) == F.lit(PROMPT_CAP)).cast("int")
-    shown = F.when(flag == 1, F.concat(F.array_join(cut, " "), F.lit(TRUNC_NOTICE))).otherwise(F.col("text"))
+    flag = truncation_flag(F.col("t"), PROMPT_CAP)
+    shown = truncated_notice(F.array_join(cut, " "), flag, F.col("text"))
     return d.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"),
                     F.size(cut).cast("bigint").alias("n_prompt"), flag.alias("truncation_warning"),
                     shown.alias("prompt_text"))
@@ -220,7 +212,7 @@ def homoglyph_canon(spark, sf_dir):
 
 
 def homoglyph_variants(spark, sf_dir):
-    words = doc_token_rows(spark, sf_dir).where(F.col("token").rlike(r"^\p{L}")) \
+    words = doc_token_rows(spark, sf_dir).where(F.col("token").rlike(r"^[\p{L}\p{N}]")) \
         .select(F.col("token").alias("word")).distinct()
     return hg.word_variants(words, "word", spark)
 
@@ -251,7 +243,6 @@ QUERIES.update({
 
 # ------------------------------------------------------- generation and evaluation
 
-TOP_K = 20
 GEN_MAX_NEW = 200
 MODEL_WORDS = 500
 SAMPLE_SEED = CFG.generation_seed
@@ -283,7 +274,7 @@ def sampled_next(spark, sf_dir):
 
 
 def transition_table(spark, sf_dir):
-    return gen.transition_table(doc_ids(spark, sf_dir), "ids", CFG.vocab_size, TOP_K)
+    return gen.transition_table(doc_ids(spark, sf_dir), "ids", CFG.vocab_size, None)
 
 
 def paired_results(spark, sf_dir):
@@ -347,7 +338,7 @@ def resume_anti_join(spark, sf_dir):
 
 def limit_ordered(spark, sf_dir):
     """The first limit_dataset documents by id, scored."""
-    d = limit_rows(read_table(spark, sf_dir, "documents").select("doc_id", "text"), CFG.limit_dataset, "doc_id")
+    d = limit_rows(read_table(spark, sf_dir, "documents").select("doc_id", "text"), LIMIT_ROWS, "doc_id")
     return detect_text(d, CFG, "text").select(*DETECT_COLS)
 
 

@@ -69,17 +69,17 @@ def prepare_dataset(spark: SparkSession, sf_dir: str, name: str, split: str | No
                     limit: int | None = None) -> DataFrame:
     """Scan a profile into (id STRING, document STRING, split STRING).
 
-    ``split`` filters a ``split`` column when the table has one (pushed to the scan);
-    ``limit`` keeps the first ``limit`` rows by id, as the reference's slice does (T1).
+    ``split`` filters the table's ``split`` column (pushed to the scan) and is refused where
+    the table has none; ``limit`` keeps the first ``limit`` rows by id, as the reference's slice does (T1).
     """
     key = next((k for k in PROFILES if k in name), None)
     if key is None:
-        raise ValueError("Unknown Dataset")
+        raise ValueError(f"no profile for dataset {name!r}; profiles: {', '.join(PROFILES)}")
     table, renames, id_expr, order = PROFILES[key]
     try:
         df = read_table(spark, sf_dir, table)
     except Exception as e:  # S2: load failures surface as ValueError
-        raise ValueError(f"Failed to load dataset: {e}") from e
+        raise ValueError(f"dataset {name!r} cannot be read: {e}") from e
     cols = [id_expr().alias("id")]
     for src, dst in renames.items():
         cols.append(F.col(src).alias(dst))
@@ -87,8 +87,10 @@ def prepare_dataset(spark: SparkSession, sf_dir: str, name: str, split: str | No
         cols.append(F.col("split"))
         if split is not None:
             df = df.where(F.col("split") == F.lit(split))
+    elif split is not None:
+        raise ValueError(f"dataset {name!r} has no splits; {split!r} was asked for")
     else:
-        cols.append(F.lit(split).cast("string").alias("split"))
+        cols.append(F.lit(None).cast("string").alias("split"))
     if limit is not None:  # dataset order: the source key, before the id becomes a string
         df = df.orderBy(*order).limit(limit)
     return df.select(*cols)

@@ -3,14 +3,18 @@ idempotently (X3).
 
 Detection is row-local (no aggregation, no state), so it runs in append mode with
 any trigger. Skipping is a stream-static anti join against the ids already scored
-when the stream starts. ``foreachBatch`` writes each micro-batch into its own
-``_epoch=<id>`` folder with overwrite, so a batch replayed after a failure replaces
-its earlier attempt instead of adding rows, and no batch has to read the output.
+when the stream starts, and an anti join against the stored ids inside every batch.
+``foreachBatch`` writes each micro-batch into its own ``_run=<name>/_epoch=<id>`` folder
+with overwrite, so a batch replayed after a failure replaces its earlier attempt.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from greenscan.config import WatermarkConfig
 from greenscan.operators.detect import detect_text
@@ -36,36 +40,61 @@ def detect_stream(stream: DataFrame, cfg: WatermarkConfig, id_col: str, text_col
     return detect_text(src, cfg, text_col)
 
 
-def idempotent_sink(out_path: str, id_col: str):
-    """foreachBatch function (X3): one overwrite per epoch folder."""
+def _stored_ids(spark: SparkSession, out_path: str, id_col: str, run: str, epoch_id: int) -> DataFrame | None:
+    """Ids in the sink, without those that an earlier attempt of this very batch wrote."""
+    try:
+        stored = spark.read.option("basePath", out_path).parquet(out_path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # nothing yet
+            return None
+        raise
+    return stored.where(~((F.col("_run") == run) & (F.col("_epoch") == int(epoch_id)))).select(id_col)
+
+
+def idempotent_sink(out_path: str, id_col: str, run: str | None = None):
+    """foreachBatch function (X3). A batch goes to the folder of its run and epoch, with
+    overwrite, so a batch that is run again replaces its earlier attempt; ids that any other
+    batch has stored are skipped (J1 inside the batch), and an id is written once per batch.
+    ``run`` names the stream's checkpoint: a stream that starts over after its checkpoint was
+    lost counts its epochs from 0 again, and must not overwrite what the first one stored."""
+    run = run or uuid.uuid4().hex[:12]
+    root = out_path.rstrip("/")
+
     def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/_epoch={int(epoch_id)}")
+        stored = _stored_ids(batch.sparkSession, root, id_col, run, epoch_id)
+        fresh = batch if stored is None else batch.join(stored, id_col, "left_anti")
+        named = fresh.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+        named.unionByName(fresh.where(F.col(id_col).isNull())).write.mode("overwrite").parquet(f"{root}/_run={run}/_epoch={int(epoch_id)}")
     return write
 
 
-def scoring_sink(cfg: WatermarkConfig, id_col: str, text_col: str, out_path: str, columns=None):
+def scoring_sink(cfg: WatermarkConfig, id_col: str, text_col: str, out_path: str, columns=None,
+                 run: str | None = None):
     """foreachBatch function that scores each micro-batch and writes it to its epoch
     folder. A micro-batch is an ordinary DataFrame here, so the parallelism guard of
     batch scans applies: a batch read from one large file is spread over the task
     slots; a batch with enough input splits is scored where it was read."""
     from greenscan.sources.tables import spread
+    store = idempotent_sink(out_path, id_col, run)
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         scored = detect_text(spread(batch.select(id_col, text_col)), cfg, text_col)
         if columns:
             scored = scored.select(*columns)
-        idempotent_sink(out_path, id_col)(scored, epoch_id)
+        store(scored, epoch_id)
     return write
 
 
 def run_to_completion(scored: DataFrame, out_path: str, checkpoint: str, id_col: str,
-                      timeout_s: int = 600, sink=None) -> None:
-    """Process everything available now, then stop (trigger availableNow).
-    ``sink`` replaces the plain epoch writer (e.g. :func:`scoring_sink`)."""
+                      timeout_s: int | None = None, sink=None) -> None:
+    """Process everything available now, then stop (trigger availableNow). There is no time
+    limit unless ``timeout_s`` sets one. ``sink`` replaces the plain epoch writer (e.g.
+    :func:`scoring_sink`)."""
     q = (scored.writeStream.foreachBatch(sink or idempotent_sink(out_path, id_col))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
+    if timeout_s is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout_s):
         q.stop()
         raise TimeoutError("stream did not finish")
     if q.exception() is not None:
@@ -74,7 +103,7 @@ def run_to_completion(scored: DataFrame, out_path: str, checkpoint: str, id_col:
 
 def results(spark: SparkSession, out_path: str) -> DataFrame:
     """All epochs of the sink (the epoch folder name is not a result column)."""
-    return spark.read.parquet(out_path).drop("_epoch")
+    return spark.read.parquet(out_path).drop("_run", "_epoch")
 
 
 def skip_done_stream(stream: DataFrame, done: DataFrame, id_col: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from greenscan.config import WatermarkConfig
 from greenscan.functions.normalize import register_normalizer, str2bool_col
 from greenscan.functions.scripts import scripts_present
-from greenscan.functions.tokens import text_to_ids, truncated_notice, truncation_flag
+from greenscan.functions.tokens import TRUNC_NOTICE, text_to_ids, truncated_notice, truncation_flag
 from greenscan.operators import homoglyph as hg
 from greenscan.operators.detect import detect_text, select_fields
 from greenscan.sources.tables import prepare_dataset
@@ -68,7 +68,7 @@ def test_prompt_helpers(spark):
     flags = [r.f for r in df.select(truncation_flag(F.col("ids"), 3).alias("f")).collect()]
     assert flags == [1, 0]
     d2 = spark.createDataFrame([("cut", 1, "orig")], "r string, f int, o string")
-    assert d2.select(truncated_notice(F.col("r"), F.col("f"), F.col("o"), 3).alias("s")).first().s.startswith("cut")
+    assert d2.select(truncated_notice(F.col("r"), F.col("f"), F.col("o")).alias("s")).first().s == "cut" + TRUNC_NOTICE
 
 
 def test_prepare_dataset_profiles(spark):
