@@ -8,17 +8,26 @@ only win when nothing else is present (Q14).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import lru_cache
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# Scripts counted by the vote (the ones with Latin look-alikes plus the large
-# alphabets); characters of other scripts are left as they are.
+# The scripts of the largest alphabets; the vote counts every script (see all_scripts).
 VOTE_SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "HEBREW", "ARABIC", "HAN")
 NEUTRAL_SCRIPTS = ("COMMON", "INHERITED")
 
 
+@lru_cache(maxsize=1)
+def all_scripts() -> tuple[str, ...]:
+    """Every script that the JVM's Unicode tables name, neutral ones left out."""
+    jvm = SparkSession.active().sparkContext._jvm
+    names = (str(s) for s in jvm.java.lang.Character.UnicodeScript.values())
+    return tuple(s for s in names if s not in (*NEUTRAL_SCRIPTS, "UNKNOWN"))
+
+
 def java_class(script: str) -> str:
-    return r"\p{Is" + script.capitalize() + "}"
+    return r"\p{Is" + script + "}"
 
 
 def re2_class(script: str) -> str:
@@ -34,8 +43,9 @@ def first_pos(text: Column, script: str) -> Column:
     return F.regexp_instr(text, F.lit(java_class(script)))
 
 
-def script_of_char(ch: Column, scripts=VOTE_SCRIPTS + NEUTRAL_SCRIPTS) -> Column:
+def script_of_char(ch: Column, scripts=None) -> Column:
     """Script name of a one-character string (null when outside the list)."""
+    scripts = all_scripts() + NEUTRAL_SCRIPTS if scripts is None else scripts
     expr = None
     for s in scripts:
         cond = ch.rlike(java_class(s))
@@ -66,22 +76,43 @@ def fast_count(text: Column, script: str) -> Column:
     return F.when(has_foreign(text), script_count(text, script)).otherwise(F.lit(0).cast("bigint"))
 
 
-def vote(text: Column, scripts=VOTE_SCRIPTS) -> Column:
-    """Target script of a text: max count, first seen wins ties; COMMON when no
-    counted script occurs. Returns a STRING column.
-
-    Two scans of the text in the usual case (LATIN count, foreign characters);
-    first positions are only looked up for scripts that reach the maximum count."""
-    counts = {s: fast_count(text, s) for s in scripts}
-    top = F.greatest(*counts.values())
-    # structs compare field by field: most characters, then earliest first position
-    cands = [F.struct(counts[s].alias("n"),
-                      F.when((counts[s] == top) & (top > 0), -first_pos(text, s)).otherwise(F.lit(0))
-                      .alias("first"), F.lit(s).alias("script")) for s in scripts]
-    best = F.greatest(*cands)
-    return F.when(best["n"] > 0, best["script"]).otherwise(F.lit("COMMON"))
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once and used by name: a one-element array
+    gives it to a lambda, so the plan does not repeat its expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def scripts_present(text: Column, scripts=VOTE_SCRIPTS + NEUTRAL_SCRIPTS) -> Column:
+def vote(text: Column, scripts=None) -> Column:
+    """Target script of a text: max count, first seen wins ties; COMMON when no
+    script occurs. Returns a STRING column. All scripts are counted unless ``scripts`` names
+    some.
+
+    A text without characters outside LATIN/COMMON/INHERITED (one scan that stops at the
+    first hit) is LATIN or COMMON; only the others are counted script by script, the foreign
+    characters alone."""
+    scripts = all_scripts() if scripts is None else scripts
+    others = [s for s in scripts if s != "LATIN"]
+    latin = "LATIN" in scripts
+    n_latin = script_count(text, "LATIN") if latin else F.lit(0).cast("bigint")
+
+    def decide(chars: Column, names: Column) -> Column:
+        ranked = F.transform(F.filter(F.array_distinct(names), lambda s: s.isNotNull()), lambda s: F.struct(
+            F.size(F.filter(names, lambda x: x == s)).cast("bigint").alias("n"),
+            (-F.array_position(names, s)).alias("first"), s.alias("script")))
+        return let(F.array_max(ranked), lambda best: F.when(
+            best.isNull() | (best["n"] < n_latin), F.lit("LATIN") if latin else F.lit("COMMON"))
+            .when((best["n"] == n_latin) & (first_pos(text, "LATIN") < F.call_function(
+                "instr", text, F.get(chars, (-best["first"] - 1).cast("int")))), F.lit("LATIN"))
+            .otherwise(best["script"]))
+
+    voted = let(foreign_chars(text), lambda chars: let(
+        F.transform(chars, lambda c: script_of_char(c, others)), lambda names: decide(chars, names)))
+    return F.when(has_foreign(text), voted) \
+        .when(text.rlike(java_class("LATIN")), F.lit("LATIN") if latin else F.lit("COMMON")) \
+        .when(text.isNotNull(), F.lit("COMMON"))
+
+
+def scripts_present(text: Column, scripts=None) -> Column:
     """The scripts that occur in a text, in list order."""
+    scripts = all_scripts() + NEUTRAL_SCRIPTS if scripts is None else scripts
     return F.array_compact(F.array(*[F.when(text.rlike(java_class(s)), F.lit(s)) for s in scripts]))

@@ -5,28 +5,26 @@ The reference reads three JSON files that its checkout lacks. We derive the same
 kind of tables from public Unicode data that Spark already ships (ICU4J):
 
 * script of a character: Java regex script classes;
-* confusables: characters with the same one-character UTS #39 skeleton
-  (``SpoofChecker.getSkeleton``) are look-alikes.
+* confusables: characters with the same UTS #39 skeleton (``SpoofChecker.getSkeleton``),
+  of whatever length, are look-alikes.
 
-The character table is a fixed-size dimension (code points U+0000-U+2FFF and the
-half/full-width block, about 12.5k rows) computed once per session on the driver,
-then used as a broadcast table or as literal ``translate`` maps. Nothing in it
-grows with the data.
+The character table is a fixed-size dimension (every assigned code point, about 150k
+rows) computed once per session on the driver, then used as a broadcast table or as
+literal ``translate`` maps. Nothing in it grows with the data.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from greenscan.functions.scripts import NEUTRAL_SCRIPTS, VOTE_SCRIPTS, vote
+from greenscan.functions.scripts import NEUTRAL_SCRIPTS, all_scripts, let, vote
 
 STRATEGY_LOAD, STRATEGY_IGNORE, STRATEGY_REMOVE = 1, 2, 3
-CODE_RANGES = ((0x0000, 0x2FFF), (0xFF00, 0xFFEF))
-CANON_TARGETS = ("LATIN", "CYRILLIC", "GREEK")
 _SEP = "\u0001"  # its own skeleton; separates characters in one ICU call
 
 
@@ -45,26 +43,23 @@ def _skeletons(spark: SparkSession, chars: list[str]) -> list[str]:
 
 
 def _scripts(spark: SparkSession, chars: list[str]) -> list[str]:
-    """Script of each character with the same Java regex classes the Column
-    functions use: one JVM call per script over all characters at once."""
-    from greenscan.functions.scripts import java_class
+    """Script of each character by the JVM's Unicode tables: for every script, one regex call
+    that keeps its characters out of all of them."""
     jvm = spark.sparkContext._jvm
     text = "".join(chars)
-    out = ["OTHER"] * len(chars)
-    for script in VOTE_SCRIPTS + NEUTRAL_SCRIPTS:  # first matching class wins
-        marked = jvm.java.util.regex.Pattern.compile(java_class(script)).matcher(text).replaceAll("\u0001")
-        for i, c in enumerate(marked):
-            if c == "\u0001" and out[i] == "OTHER" and chars[i] != "\u0001":
-                out[i] = script
-    return out
+    found = {}
+    for script in all_scripts() + NEUTRAL_SCRIPTS:
+        kept = jvm.java.util.regex.Pattern.compile(r"\P{Is" + script + "}+").matcher(text).replaceAll("")
+        found.update(dict.fromkeys(kept, script))
+    return [found.get(c, "OTHER") for c in chars]
 
 
 @lru_cache(maxsize=4)
 def _char_rows(spark: SparkSession) -> tuple:
-    """(cp, ch, skeleton, script) for the fixed code-point range, built on the
-    driver from ICU (skeletons) and Java regex (scripts); no data involved."""
-    chars = [chr(cp) for lo, hi in CODE_RANGES for cp in range(lo, hi + 1)
-             if not (0xD800 <= cp <= 0xDFFF) and cp > 0x20 and chr(cp) != _SEP]
+    """(cp, ch, skeleton, script) for every assigned code point above the controls and the
+    blank, built on the driver from ICU (skeletons) and Java regex (scripts); no data
+    involved, about 150,000 rows whatever the corpus holds."""
+    chars = [c for c in map(chr, range(0x21, 0x110000)) if unicodedata.category(c) not in ("Cn", "Cs", "Co", "Cc")]
     sk = _skeletons(spark, chars)
     sc = _scripts(spark, chars)
     return tuple((ord(c), c, s, x) for c, s, x in zip(chars, sk, sc))
@@ -72,17 +67,17 @@ def _char_rows(spark: SparkSession) -> tuple:
 
 @lru_cache(maxsize=4)
 def char_table(spark: SparkSession) -> DataFrame:
-    """(cp INT, ch STRING, skel STRING, script STRING): the character dimension,
-    a fixed ~12.5k rows, cached once per session."""
+    """(cp INT, ch STRING, skel STRING, script STRING): the character dimension, a fixed
+    ~150k rows, cached once per session."""
     schema = T.StructType([T.StructField("cp", T.IntegerType()), T.StructField("ch", T.StringType()),
                            T.StructField("skel", T.StringType()), T.StructField("script", T.StringType())])
     return spark.createDataFrame(list(_char_rows(spark)), schema).cache()
 
 
 def confusables(spark: SparkSession) -> DataFrame:
-    """(ch, alt): pairs of distinct characters with the same one-character skeleton
-    (S9). Self join on the skeleton of a fixed-size table."""
-    t = char_table(spark).where(F.char_length("skel") == 1)
+    """(ch, alt): pairs of distinct characters with the same skeleton, of any length.
+    Self join on the skeleton of a fixed-size table."""
+    t = char_table(spark)
     a = t.select(F.col("ch"), F.col("cp"), F.col("skel"), F.col("script"))
     b = t.select(F.col("ch").alias("alt"), F.col("cp").alias("alt_cp"), F.col("skel").alias("s2"),
                  F.col("script").alias("alt_script"))
@@ -98,7 +93,7 @@ def alphabet(spark: SparkSession, categories=None, languages=None, chars=None) -
     if not categories and not languages and not chars:
         categories = ("LATIN", "COMMON")
     parts = []
-    known = set(VOTE_SCRIPTS) | set(NEUTRAL_SCRIPTS)
+    known = set(all_scripts()) | set(NEUTRAL_SCRIPTS)
     if categories:
         for c in categories:
             if c not in known:
@@ -165,40 +160,44 @@ def canon_maps(spark: SparkSession) -> dict:
     """target script -> (from_chars, to_chars) for ``translate``.
 
     Characters outside the target script and outside COMMON/INHERITED map to a
-    look-alike (same one-character skeleton) in the target script, or in COMMON
-    when the target has none; several candidates -> the smallest code point (ASCII
-    first, Q13). Characters without one are kept (Q11). Computed on the driver from
-    the fixed character dimension.
+    look-alike (same skeleton) in the target script, or in COMMON when the target has
+    none; several candidates -> the smallest code point (ASCII first, Q13). Characters
+    without one are kept (Q11). Every script with look-alikes has a map; "COMMON" serves
+    the others. Computed on the driver from the fixed character dimension.
     """
-    rows = [r for r in _char_rows(spark) if len(r[2]) == 1]
     by_skel: dict = {}
-    for cp, ch, skel, script in rows:
+    for cp, ch, skel, script in _char_rows(spark):
         by_skel.setdefault(skel, []).append((cp, ch, script))
-    maps = {}
-    for target in CANON_TARGETS:
-        src, dst = [], []
-        for cp, ch, skel, script in sorted(rows, key=lambda r: r[1]):
-            if script == target or script in NEUTRAL_SCRIPTS:
+    classes = [sorted(c) for c in by_skel.values() if len(c) > 1]
+    targets = {script for c in classes for _, _, script in c if script not in (*NEUTRAL_SCRIPTS, "OTHER")}
+    maps: dict = {t: ([], []) for t in [*sorted(targets), "COMMON"]}
+    for members in classes:
+        first: dict = {}
+        for _, ch, script in members:
+            first.setdefault(script, ch)
+        for _, ch, script in members:
+            if script in NEUTRAL_SCRIPTS:
                 continue
-            cands = [(alt_script != target, alt_cp, alt) for alt_cp, alt, alt_script in by_skel[skel]
-                     if alt != ch and alt_script in (target, "COMMON")]
-            if cands:
-                src.append(ch)
-                dst.append(min(cands)[2])
-        maps[target] = ("".join(src), "".join(dst))
-    return maps
+            for target, (src, dst) in maps.items():
+                alt = first.get(target) if target in first else first.get("COMMON")
+                if script != target and alt is not None and alt != ch:
+                    src.append(ch)
+                    dst.append(alt)
+    return {t: ("".join(src), "".join(dst)) for t, (src, dst) in maps.items()}
 
 
 def canonicalize(text: Column, spark: SparkSession, target: Column | None = None) -> Column:
     """Rewrite look-alike characters into the text's majority script."""
-    maps = canon_maps(spark)
-    tgt = vote(text) if target is None else target
-    expr = None
-    for script, (src, dst) in maps.items():
-        cond = tgt == F.lit(script)
-        val = F.translate(text, src, dst)
-        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-    return expr.otherwise(text)
+    maps = dict(canon_maps(spark))
+    common = maps.pop("COMMON")
+
+    def rewritten(t: Column) -> Column:
+        expr = F.when(t.isin("COMMON", "INHERITED"), text)  # nothing to rewrite into
+        for script, (src, dst) in maps.items():
+            expr = expr.when(t == F.lit(script), F.translate(text, src, dst))
+        return expr.otherwise(F.translate(text, *common))
+
+    return let(vote(text) if target is None else target, rewritten)
 
 
 def canonicalize_df(df: DataFrame, col: str) -> DataFrame:
@@ -305,7 +304,7 @@ def script_ranges(spark: SparkSession) -> DataFrame:
     derived from the character dimension (the reference's range table, S8)."""
     t = char_table(spark).select("cp", "script")
     from pyspark.sql import Window
-    w = Window.orderBy("cp")  # fixed-size dimension (~12.5k rows)
+    w = Window.orderBy("cp")  # fixed-size dimension (~150k rows)
     runs = t.withColumn("_brk", F.when((F.lag("script").over(w) == F.col("script"))
                                        & (F.lag("cp").over(w) == F.col("cp") - 1), 0).otherwise(1))
     runs = runs.withColumn("_run", F.sum("_brk").over(w))
@@ -316,7 +315,7 @@ def script_ranges(spark: SparkSession) -> DataFrame:
 def range_alphabet(ranges: DataFrame, categories) -> DataFrame:
     """Characters of the given categories from a range table (A16): each range is
     expanded with sequence(lo, hi); unknown categories fail before the job (S8)."""
-    known = set(VOTE_SCRIPTS) | set(NEUTRAL_SCRIPTS) | {"OTHER"}
+    known = set(all_scripts()) | set(NEUTRAL_SCRIPTS) | {"OTHER"}
     for c in categories:
         if c not in known:
             raise ValueError(f"no such script: {c}")

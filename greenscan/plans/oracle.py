@@ -187,7 +187,7 @@ def homoglyph_canon_sql(maps: dict) -> str:
     built from the ICU character dimension)."""
     vote = script_vote_sql()
     cases = " ".join(f"WHEN v.target = '{t}' THEN translate(d.a, {lit(src)}, {lit(dst)})"
-                     for t, (src, dst) in maps.items())
+                     for t, (src, dst) in maps.items() if t in VOTE_SCRIPTS)
     return f"""
 WITH sv AS ({vote}),
 d AS (SELECT doc_id, text, translate(text, '{ATTACK_FROM}', '{ATTACK_TO}') AS a FROM documents),
@@ -224,7 +224,7 @@ def dynamic_oracles() -> dict:
         from greenscan.operators.homoglyph import canon_maps, variant_table
         vt = variant_table(spark).collect()  # fixed-size character table
         rows = [(r.ch, "".join(r.variants), len(r.variants), sum(1 for c in r.variants if ord(c) < 128))
-                for r in vt]
+                for r in vt if len(r.variants) > 1]
         return {"homoglyph_canon": homoglyph_canon_sql(canon_maps(spark)),
                 "homoglyph_variants": homoglyph_variants_sql(rows)}
     except Exception:  # no JVM access (e.g. a remote session)
