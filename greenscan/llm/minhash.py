@@ -9,12 +9,12 @@ are runs of characters other than blank and U+0009..U+000D).
 2. Tensoring: table (i, j) is keyed by the pair (A_i, B_j), so ``tables``^2 tables of
    2 * ``rows`` hashes each cost only 2 * ``tables`` * ``rows`` minimum hashes. Two documents
    of similarity s meet with probability (1 - (1 - s^rows)^tables)^2: at 0.75 and the
-   default 2 x 11 all but 2 in 10,000 links, at 0.80 all but 3 in 100,000.
+   default 2 x 12 all but 1 in 10,000 links, at 0.80 all but 1 in 100,000.
 3. Neighbours in a bucket (in id order) are candidates first: as many pairs as rows, however
    large a bucket is. Verified links are contracted to components. Buckets that still hold
    several components are then compared completely, but only across components, in blocks of
-   bounded size, on the bitmaps; only pairs that the bitmap cannot rule out leave the task
-   and are verified. So no link that meets in a table is lost, and no group of copies is
+   bounded size, on the bitmaps; only pairs that the bitmap cannot rule out leave the task,
+   each from the first table in which the two meet, and are verified. So no link that meets in a table is lost, and no group of copies is
    expanded into its pairs.
 4. The bitmap test is exact: the parity bits in which two sets differ are at most the
    elements in which they differ, and a link allows at most a seventh of both sizes.
@@ -44,7 +44,7 @@ class NearDupParams:
     words: int = 5
     percent: int = 75   # link: 100 * intersection >= percent * union
     rows: int = 2       # minimum hashes in a sub-key
-    tables: int = 11    # sub-keys in each of the two collections
+    tables: int = 12    # sub-keys in each of the two collections
     seed: int = 20240607
 
 
@@ -183,17 +183,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, params: NearDupParams) -> DataF
 def _across(rows: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (u, v) across components inside buckets, compared in blocks.
 
-    ``rows``: key, size, node, n, component, bits. A bucket of up to BLOCK rows is one group; a
+    ``rows``: key, size, place (of the table), node, n, component, bits, a, b. A bucket of up to BLOCK rows is one group; a
     larger one is cut into blocks, and each two blocks are one group."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     cut = rows.withColumn("blocks", blocks) \
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                (F.col("block") > F.col("other")).alias("high"), "node", "n", "component", "bits")
+                (F.col("block") > F.col("other")).alias("high"), "node", "n", "component", "place",
+                "bits", "a", "b")
     grouped = cut.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def compare(node, n, comp, bits, high, alone) -> list[np.ndarray]:
+    def compare(node, n, comp, place, bits, a_keys, b_keys, high, alone) -> list[np.ndarray]:
         left = np.arange(len(node)) if alone else np.flatnonzero(~high)
         right = left if alone else np.flatnonzero(high)
         found = []
@@ -209,7 +210,11 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
                 x, y = l[x], right[y]
                 differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
                 near = _within(n[x], n[y], differ, percent)
-                u, v = node[x[near]], node[y[near]]
+                x, y = x[near], y[near]
+                # of all tables in which the two meet, the first one tells
+                at = (a_keys[x] == a_keys[y]).argmax(1) * b_keys.shape[1] + (b_keys[x] == b_keys[y]).argmax(1)
+                first = at == place[x]
+                u, v = node[x[first]], node[y[first]]
                 found.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1))
         return found
 
@@ -217,18 +222,19 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
         held: list[np.ndarray] | None = None
 
         def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-            flat = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
-            bits = batch.column(7).flatten().to_numpy(zero_copy_only=False).view(U).reshape(-1, BITS // 64)
-            return [*flat, bits]
+            flat = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(8)]
+            lists = [batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                     for k in (8, 9, 10)]
+            return [*flat, lists[0].view(U), *lists[1:]]
 
         def groups(c: list[np.ndarray], final: bool) -> tuple[list[np.ndarray], list[np.ndarray] | None]:
-            key, i, j, high, node, n, comp, bits = c
+            key, i, j, high, node, n, comp, place, bits, a_keys, b_keys = c
             new = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
             ends = [*new, len(key)] if final else list(new)
             found: list[np.ndarray] = []
             a = 0
             for b in ends:
-                found += compare(node[a:b], n[a:b], comp[a:b], bits[a:b], high[a:b], i[a] == j[a])
+                found += compare(*(x[a:b] for x in (node, n, comp, place, bits, a_keys, b_keys, high)), i[a] == j[a])
                 a = b
             return found, None if final else [x[a:] for x in c]
 
@@ -268,20 +274,20 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id
     keys = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(x, y, i * width + j))))
     order = Window.partitionBy("key").orderBy("node")
     buckets = written(
-        nodes.select("node", F.explode(keys).alias("key"))
-        .select("key", "node", F.lag("node").over(order).alias("before"), F.lead("node").over(order).alias("after"))
-        .where("before is not null or after is not null").select("key", "node", "before"), "buckets")
+        nodes.select("node", F.posexplode(keys).alias("place", "key"))
+        .select("key", "place", "node", F.lag("node").over(order).alias("before"), F.lead("node").over(order).alias("after"))
+        .where("before is not null or after is not null").select("key", "place", "node", "before"), "buckets")
 
     chain = buckets.where("before <> node").select(F.col("before").alias("u"), F.col("node").alias("v")).distinct()
     links = _verified(_plausible(chain, nodes, params.percent), texts, params)
     first = written(components(links), "components")
 
     labelled = buckets.join(first, "node", "left") \
-        .select("key", "node", F.coalesce("component", "node").alias("component"))
+        .select("key", "place", "node", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                         F.count(F.lit(1)).alias("size")) \
         .where("lo <> hi and size > 2").select("key", "size")
-    rows = labelled.join(mixed, "key").join(nodes.select("node", "n", "bits"), "node")
+    rows = labelled.join(mixed, "key").join(nodes.select("node", "n", "bits", "a", "b"), "node")
     more = _verified(_across(rows, params.percent), texts, params)
     named = more.join(first.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left") \
         .join(first.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left") \
