@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from greenscan.session import scratch_path
 
 
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table; Python workers started from here on look for the package where we found it."""
+    """The table. Python workers started from here on look for the package where we found it,
+    and get Arrow batches of at most ``BATCH_ROWS`` rows: a task holds a batch several times
+    (JVM, Arrow, Python objects), and documents may be long."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

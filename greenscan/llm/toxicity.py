@@ -37,8 +37,8 @@ LEVELS = range(1, 9)  # length differences, in bytes
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    toxic_rows: int = 4000
-    ordinary_rows: int = 10_000
+    toxic_rows: int = 3000
+    ordinary_rows: int = 8000
     max_bytes: int = 16_384
     toxic_dictionary: int = 8 << 10
     ordinary_dictionary: int = 32 << 10
@@ -68,7 +68,7 @@ def words_of(text: str | None) -> list[bytes]:
 class Gaps:
     """Length differences of words: bytes with the ordinary less bytes with the toxic dictionary."""
 
-    def __init__(self, model: ToxicityModel, bound: int = 300_000):
+    def __init__(self, model: ToxicityModel, bound: int = 200_000):
         import zstandard as zstd
         self.zstd, self.bound = zstd, bound
         self.press = [self._press(model.ordinary), self._press(model.toxic)]
@@ -102,7 +102,7 @@ class Gaps:
         for i in np.flatnonzero(gap > 0):
             self.positive[new[i]] = int(gap[i])
 
-    def counts(self, texts: list[str | None], portion: int = 200_000) -> np.ndarray:
+    def counts(self, texts: list[str | None], portion: int = 100_000) -> np.ndarray:
         """Per text: windows at or beyond each of LEVELS, then all windows."""
         out = np.zeros((len(texts), len(LEVELS) + 1))
         todo: list[tuple[int, list[bytes]]] = []
@@ -158,20 +158,20 @@ def _dictionary(samples: list[bytes], size: int, k: int) -> bytes:
         return b" ".join(samples)[-size:] + b" " + TAIL
 
 
-def toxic_samples(texts: list[list[bytes]], y: np.ndarray, p: ToxicityParams) -> list[bytes]:
+def toxic_samples(texts: list[str], y: np.ndarray, p: ToxicityParams) -> list[bytes]:
     """Per toxic document its words that hold a contrasted byte sequence."""
     def grams(word: bytes) -> set[bytes]:
         b = b" " + word
         return {b[i:i + p.gram] for i in range(max(1, len(b) - p.gram + 1))}
 
     held = (Counter(), Counter())
-    for words, label in zip(texts, y):
-        held[label].update(set().union(*map(grams, set(words))) if words else ())
+    for text, label in zip(texts, y):
+        held[label].update(set().union(*map(grams, set(words_of(text)))))
     n = [int((y == 0).sum()), int((y == 1).sum())]
     marks = {g for g, a in held[1].items() if a >= max(p.min_docs, p.min_share * n[1])
              and (a + .5) / (n[1] + 1) > p.min_ratio * (held[0][g] + .5) / (n[0] + 1)}
-    picked = ([w for w in words if not marks.isdisjoint(grams(w))]
-              for words, label in zip(texts, y) if label)
+    picked = ([w for w in words_of(text) if not marks.isdisjoint(grams(w))]
+              for text, label in zip(texts, y) if label)
     return [b" ".join(ws) + b" " for ws in picked if ws]
 
 
@@ -181,12 +181,11 @@ def fit(texts: list[str], labels: list[int], share: float, params: ToxicityParam
     none = ToxicityModel(b"", b"", np.zeros(0), min(max(share, 0.0), 1.0))
     if len(y) == 0 or y.min() == y.max():
         return none
-    words = [words_of(t) for t in texts]
-    toxic = toxic_samples(words, y, params)
+    toxic = toxic_samples(texts, y, params)
     if not toxic:
         return none
-    plain = [b" ".join(w) + b" " for w, label in zip(words, y) if not label]
-    plain = [t[i:i + 200] for t in plain for i in range(0, min(len(t), 3000), 200)]  # sample bound
+    plain = (b" ".join(words_of(t)) + b" " for t, label in zip(texts, y) if not label)
+    plain = [t[i:i + 200] for t in plain for i in range(0, min(len(t), 2000), 200)]  # sample bound
     model = ToxicityModel(_dictionary(toxic, params.toxic_dictionary, 16),
                           _dictionary(plain, params.ordinary_dictionary, 32), np.zeros(0), share)
     x = _features(Gaps(model).counts(texts))
