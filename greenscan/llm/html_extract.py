@@ -245,6 +245,9 @@ def fit(htmls: list[str], layouts: int = 4, seed: int = 7) -> Forest | None:
         if paragraphs:
             if marked:
                 pages.append(Page(_shortened(rng, marked, paragraphs), marks=True))
+                # and an article with nothing around it
+                bare = "".join(f"<p>{escape(t[:rng.randint(20, 400)], quote=False)}</p>" for t in paragraphs[:rng.randint(1, 4)])
+                pages.append(Page(f'<article data-y="1">{bare}</article>', marks=True))
             pages += [Page(layout(rng, paragraphs, others, k % 2 == 0), marks=True) for k in range(layouts)]
     if not pages:
         return None

@@ -165,8 +165,11 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "
                                  F.round(_divergence(F.col("classes"), F.col("class_ref")), 6)),
         "word_distance": F.when((F.col("n_words") >= rules.guard_words) & (F.size("common") > 0),
                                 F.round(_divergence(F.col("common"), known), 6)),
-        "base_failed": (F.col("n_words") < rules.min_words)
-        | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent)})
+        # the reference's size, times nothing, ties the verdict to the joined side: a filter on it
+        # stays above the join instead of repeating the counts inside itself
+        "base_failed": ((F.col("n_words") < rules.min_words)
+                        | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent)
+                        ).cast("int") + F.coalesce(F.size("class_ref"), F.lit(0)) * 0 > 0})
     far = F.coalesce(F.col("class_distance") > rules.max_class_distance, F.lit(False)) \
         | F.coalesce((F.col("class_distance") > rules.both_class_distance)
                      & (F.col("word_distance") > rules.both_word_distance), F.lit(False))
