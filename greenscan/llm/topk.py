@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from greenscan.llm.common import written
 
-LEAF = 64
+LEAF = 256
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -50,6 +50,7 @@ class BallTree:
     radius: np.ndarray
     parent: np.ndarray
     leaf_node: np.ndarray  # leaf -> node
+    largest: float         # component
 
 
 def build_tree(x: np.ndarray, leaf: int = LEAF) -> BallTree:
@@ -77,22 +78,21 @@ def build_tree(x: np.ndarray, leaf: int = LEAF) -> BallTree:
         todo += [(rows[side[half:]], node), (rows[side[:half]], node)]
     first, last = np.array(spans, dtype=np.int64).T
     return BallTree(np.concatenate(parts), first, last, np.array(centre), np.array(radius),
-                    np.array(parent), np.array(leaf_node))
+                    np.array(parent), np.array(leaf_node), float(np.abs(x).max(initial=0)))
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products: in doubles while every partial sum stays below 2^53."""
-    limit = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if limit < 2 ** 53:
-        return (a.astype(float) @ b.T.astype(float)).astype(np.int64)
-    return a @ b.T
+def exact_floats(a: np.ndarray, largest: float) -> np.ndarray:
+    """The vectors as doubles if their products with components up to ``largest`` are exact
+    in doubles (every partial sum below 2^53), else as they are."""
+    limit = float(np.abs(a).max(initial=0)) * largest * max(1, a.shape[1])
+    return a.astype(float) if limit < 2 ** 53 else a
 
 
 def search(tree: BallTree, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, query_id: int,
            k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
     """(ids, scores) of the k best vectors that score ``floor`` at least, own id left out."""
     q = query.astype(float)
-    slack = 1e-9 * (1.0 + float(np.abs(q).sum()) * float(np.abs(vectors).max(initial=0)))
+    slack = 1e-9 * (1.0 + float(np.abs(q).sum()) * tree.largest)
     bound = tree.centre @ q + tree.radius * np.linalg.norm(q) + slack
     above = bound.copy()
     for node in range(1, len(above)):  # a child's bound is no better than its parent's
@@ -104,7 +104,7 @@ def search(tree: BallTree, vectors: np.ndarray, ids: np.ndarray, query: np.ndarr
         if best[leaf] < kth:
             break
         rows = tree.order[tree.first[leaf]:tree.last[leaf]]
-        score = _products(vectors[rows], query[None, :])[:, 0]
+        score = (vectors[rows] @ query).astype(np.int64)
         keep = (score >= kth) & (ids[rows] != query_id)
         if not keep.any():
             continue
@@ -127,9 +127,12 @@ def _search_blocks(k: int):
         ids = left["vec_id"].to_numpy(np.int64)
         vectors = np.stack(left["v"].to_numpy()).astype(np.int64)
         tree = build_tree(vectors.astype(float))
+        asked = np.stack(right["v"].to_numpy()).astype(np.int64)
+        vectors = exact_floats(vectors, float(np.abs(asked).max(initial=0)))
+        asked = asked.astype(vectors.dtype)
         out: list[pd.DataFrame] = []
-        for q, v, low in zip(right["query_id"], right["v"], right["low"]):
-            found, score = search(tree, vectors, ids, np.asarray(v, dtype=np.int64), int(q), k,
+        for q, v, low in zip(right["query_id"], asked, right["low"]):
+            found, score = search(tree, vectors, ids, v, int(q), k,
                                   -np.inf if low is None or np.isnan(low) else float(low))
             out.append(pd.DataFrame({"query_id": int(q), "vec_id": found, "score": score}))
         return pd.concat(out, ignore_index=True)
@@ -138,7 +141,7 @@ def _search_blocks(k: int):
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shards: int | None = None,
-          shard_rows: int = 4096, block_rows: int = 1024) -> DataFrame:
+          shard_rows: int = 8192, block_rows: int = 1024) -> DataFrame:
     """The k highest-scoring vectors of every query: query_id, rank (from 1), vec_id, score.
 
     ``vectors`` and ``queries`` have (vec_id, v) as ``integer_vectors`` makes them; a query
