@@ -110,3 +110,26 @@ def test_paired_results_independent_of_shuffle_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert sorted(a) == sorted(b) and len(a) == 200
+
+
+def test_settings_are_never_dropped():
+    cfg = WatermarkConfig.from_mapping({"detection_z_threshold": "1.5", "select_green_tokens": "no", "gamma": 0.5,
+                                        "use_gpu": True, "limit_dataset": 7})
+    assert (cfg.z_threshold, cfg.select_green_tokens, cfg.gamma, cfg.limit_dataset) == (1.5, False, 0.5, 7)
+    assert WatermarkConfig().limit_dataset is None
+    for bad in ({"no_such_key": 1}, {"use_sampling": "perhaps"}):
+        with pytest.raises(ValueError):
+            WatermarkConfig.from_mapping(bad)
+
+
+def test_sweep_follows_the_distinct_setting_and_keeps_short_texts(spark):
+    df = spark.createDataFrame([("a", [1, 2, 1, 2, 1]), ("b", [5]), ("c", [])], "id string, ids array<bigint>")
+    got = {(r.id, r.num_tokens_scored) for r in ev.sweep_gamma(df, "ids", CFG.replace(ignore_repeated_bigrams=True)).collect()}
+    assert got == {("a", 2), ("b", None), ("c", None)}
+    assert {r.num_tokens_scored for r in ev.sweep_gamma(df, "ids", CFG).where("id = 'a'").collect()} == {4}
+
+
+def test_unknown_split_is_refused(spark):
+    from greenscan.sources.tables import prepare_dataset
+    with pytest.raises(ValueError):
+        prepare_dataset(spark, SF001, "documents", "nosuchsplit")

@@ -58,3 +58,11 @@ def test_category_codes(spark):
     out = rp.category_codes(d, ["lang"], ["doc_id"])
     codes = {r.lang: r.lang_code for r in out.select("lang", "lang_code").distinct().collect()}
     assert [codes[k] for k in sorted(codes)] == list(range(len(codes)))
+
+
+def test_three_digits_round_the_exact_value(spark):
+    xs = [2.125, 1.005, 8.575, 9.996, 9.9949, 0.0001, 9.9996e-5, 9.99e-5, 0.00123456, 123456.0, 999.4, 999.5,
+          100.0, 0.5, -2.125, 0.0, 12.25, 0.1235, 1e-123, 54.35, None]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = [r.s for r in df.select(rp.fmt_g3(F.col("x")).alias("s")).collect()]
+    assert got == [None if x is None else f"{x:.3g}" for x in xs]

@@ -40,3 +40,15 @@ def test_scoring_sink_equals_batch(spark, tmp_path):
     exp = detect_text(docs.select("doc_id", "text"), CFG, "text").select("doc_id", "z_score")
     got = st.results(spark, out).select("doc_id", "z_score")
     assert got.count() == exp.count() and got.exceptAll(exp).count() == 0
+
+
+def test_redelivered_ids_and_a_lost_checkpoint(spark, tmp_path):
+    out = str(tmp_path / "out")
+    rows = lambda ids: spark.createDataFrame([(i, float(k)) for k, i in enumerate(ids)], "doc_id long, z double")
+    first = st.idempotent_sink(out, "doc_id", "one")
+    first(rows([1, 2, 2]), 0)
+    first(rows([2, 3]), 1)
+    first(rows([2, 3]), 1)  # the same batch again
+    st.idempotent_sink(out, "doc_id", "two")(rows([1, 4, None, None]), 0)  # starts over at epoch 0
+    got = sorted(str(r.doc_id) for r in st.results(spark, out).collect())
+    assert got == ["1", "2", "3", "4", "None", "None"]
