@@ -5,8 +5,10 @@ Fitting (on the driver, on a bounded sample of labelled rows: at most ``toxic_ro
 ``ordinary_rows`` texts of at most ``max_bytes`` bytes, chosen by a hash of their ids):
 
 1. Toxic documents are mostly ordinary text, so the toxic dictionary is trained on their words
-   with byte sequences that are common in toxic and rare in ordinary documents; the ordinary
-   dictionary is trained on ordinary documents as they are.
+   with byte sequences that are rarer in ordinary documents by a factor and either held by a
+   share of the toxic ones or, however rare, beyond chance (``toxic_samples``). Every such
+   sequence is in the dictionary, which grows with them. The ordinary dictionary is trained on ordinary
+   documents as they are.
 2. A window is one word (long ones in overlapping parts). So short a window does not compress
    by itself, therefore each is followed by a fixed tail that also ends both dictionaries: the
    tail costs the same with either, and the lengths differ by what the word costs.
@@ -18,6 +20,7 @@ Scoring is map-only over whole texts; a worker compresses each distinct word onc
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,11 +43,12 @@ class ToxicityParams:
     toxic_rows: int = 3000
     ordinary_rows: int = 8000
     max_bytes: int = 16_384
-    toxic_dictionary: int = 8 << 10
+    toxic_dictionary: int = 8 << 10  # trained part; sequences that it misses are added
     ordinary_dictionary: int = 32 << 10
     gram: int = 5            # bytes of a contrasted sequence
     min_docs: int = 3        # toxic documents that hold it, at least
-    min_share: float = 0.025
+    min_share: float = 0.025  # share of toxic documents from which no test is asked for
+    false_share: float = 0.01  # chance sequences among those that pass the test, at most
     min_ratio: float = 8.0   # share of toxic over share of ordinary documents
     threshold: float = 0.5
 
@@ -71,14 +75,14 @@ class Gaps:
     def __init__(self, model: ToxicityModel, bound: int = 200_000):
         import zstandard as zstd
         self.zstd, self.bound = zstd, bound
-        self.press = [self._press(model.ordinary), self._press(model.toxic)]
+        self.press = [self._press(model.ordinary, 14), self._press(model.toxic, max(14, len(model.toxic).bit_length()))]
         self.seen: set[bytes] = set()
         self.positive: dict[bytes, int] = {}
 
-    def _press(self, dictionary: bytes):
+    def _press(self, dictionary: bytes, log: int):
         z = self.zstd
         params = z.ZstdCompressionParameters(
-            window_log=18, hash_log=14, chain_log=14, search_log=5, min_match=4, target_length=32,
+            window_log=max(18, log), hash_log=log, chain_log=log, search_log=5, min_match=4, target_length=32,
             strategy=z.STRATEGY_LAZY2, write_content_size=False, write_dict_id=False,
             write_checksum=False, format=z.FORMAT_ZSTD1_MAGICLESS)
         return z.ZstdCompressor(compression_params=params, dict_data=z.ZstdCompressionDict(dictionary))
@@ -158,8 +162,44 @@ def _dictionary(samples: list[bytes], size: int, k: int) -> bytes:
         return b" ".join(samples)[-size:] + b" " + TAIL
 
 
-def toxic_samples(texts: list[str], y: np.ndarray, p: ToxicityParams) -> list[bytes]:
-    """Per toxic document its words that hold a contrasted byte sequence."""
+def _whole(dictionary: bytes, runs: Counter) -> bytes:
+    """The dictionary with the contrasted runs that it misses; the commonest lie next to the end."""
+    rest = sorted((r for r in runs if r not in dictionary), key=lambda r: (runs[r], r))
+    return dictionary[:-len(TAIL)] + b"".join(rest) + b" " + TAIL if rest else dictionary
+
+
+def _beyond_chance(held: tuple[Counter, Counter], n: list[int], p: ToxicityParams) -> set[bytes]:
+    """Sequences in more toxic documents than labels dealt by chance explain: binomial tail of
+    the toxic among the documents that hold one, Benjamini-Hochberg over all sequences held by
+    ``min_docs`` documents. The more of them are toxic, the rarer ones pass."""
+    tested = [g for g in held[1].keys() | held[0].keys() if held[1][g] + held[0][g] >= p.min_docs]
+    q = n[1] / (n[0] + n[1])
+
+    def tail(a: int, b: int) -> float:
+        m = a + b
+        if a <= m * q:
+            return 1.0
+        term = math.exp(math.lgamma(m + 1) - math.lgamma(a + 1) - math.lgamma(b + 1)
+                        + a * math.log(q) + b * math.log1p(-q))
+        total, k = term, a
+        while k < m and term > total * 1e-12:
+            term *= (m - k) / (k + 1) * q / (1 - q)
+            total, k = total + term, k + 1
+        return total
+
+    of: dict[tuple[int, int], float] = {}
+    chance = np.array([of[c] if (c := (held[1][g], held[0][g])) in of else of.setdefault(c, tail(*c)) for g in tested])
+    ordered = np.sort(chance)
+    passed = np.flatnonzero(ordered <= p.false_share * np.arange(1, len(ordered) + 1) / max(1, len(ordered)))
+    limit = ordered[passed[-1]] if len(passed) else -1.0
+    return {tested[i] for i in np.flatnonzero(chance <= limit)}
+
+
+def toxic_samples(texts: list[str], y: np.ndarray, p: ToxicityParams) -> tuple[list[bytes], Counter]:
+    """Per toxic document its words that hold a contrasted byte sequence, and the parts of words
+    that such sequences make up, with the toxic documents that hold them. Contrasted is one in ``min_docs``
+    toxic documents, ``min_ratio`` times commoner there, that ``min_share`` of them hold or
+    that is beyond chance."""
     def grams(word: bytes) -> set[bytes]:
         b = b" " + word
         return {b[i:i + p.gram] for i in range(max(1, len(b) - p.gram + 1))}
@@ -168,11 +208,21 @@ def toxic_samples(texts: list[str], y: np.ndarray, p: ToxicityParams) -> list[by
     for text, label in zip(texts, y):
         held[label].update(set().union(*map(grams, set(words_of(text)))))
     n = [int((y == 0).sum()), int((y == 1).sum())]
-    marks = {g for g, a in held[1].items() if a >= max(p.min_docs, p.min_share * n[1])
+    sure = _beyond_chance(held, n, p)
+    marks = {g for g, a in held[1].items() if a >= p.min_docs and (a >= p.min_share * n[1] or g in sure)
              and (a + .5) / (n[1] + 1) > p.min_ratio * (held[0][g] + .5) / (n[0] + 1)}
-    picked = ([w for w in words_of(text) if not marks.isdisjoint(grams(w))]
-              for text, label in zip(texts, y) if label)
-    return [b" ".join(ws) + b" " for ws in picked if ws]
+    picked = [[w for w in words_of(text) if not marks.isdisjoint(grams(w))]
+              for text, label in zip(texts, y) if label]
+    runs = Counter(r for ws in picked for r in set().union(*(_runs(b" " + w, marks, p.gram) for w in set(ws))))
+    return [b" ".join(ws) + b" " for ws in picked if ws], runs
+
+
+def _runs(word: bytes, marks: set[bytes], size: int) -> set[bytes]:
+    """The longest parts of a word in which every sequence of that size is among ``marks``."""
+    at = [i for i in range(max(1, len(word) - size + 1)) if word[i:i + size] in marks]
+    first = [i for i in at if i - 1 not in at]
+    last = [i for i in at if i + 1 not in at]
+    return {word[i:j + size] for i, j in zip(first, last)}
 
 
 def fit(texts: list[str], labels: list[int], share: float, params: ToxicityParams) -> ToxicityModel:
@@ -181,12 +231,13 @@ def fit(texts: list[str], labels: list[int], share: float, params: ToxicityParam
     none = ToxicityModel(b"", b"", np.zeros(0), min(max(share, 0.0), 1.0))
     if len(y) == 0 or y.min() == y.max():
         return none
-    toxic = toxic_samples(texts, y, params)
+    toxic, runs = toxic_samples(texts, y, params)
     if not toxic:
-        return none
+        raise ValueError(f"no byte sequence tells the {int(y.sum())} toxic from the {int((1 - y).sum())} ordinary "
+                         "sampled texts; a toxic dictionary cannot be trained")
     plain = (b" ".join(words_of(t)) + b" " for t, label in zip(texts, y) if not label)
     plain = [t[i:i + 200] for t in plain for i in range(0, min(len(t), 2000), 200)]  # sample bound
-    model = ToxicityModel(_dictionary(toxic, params.toxic_dictionary, 16),
+    model = ToxicityModel(_whole(_dictionary(toxic, params.toxic_dictionary, 16), runs),
                           _dictionary(plain, params.ordinary_dictionary, 32), np.zeros(0), share)
     x = _features(Gaps(model).counts(texts))
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
@@ -203,7 +254,8 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
           id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Learn from labelled rows outside ``held_out``. Null ids, texts and labels are left out;
     an id with several labels is toxic if one of them says so. Without rows of both labels
-    every score is the share of toxic rows (0 if there is none)."""
+    every score is the share of toxic rows (0 if there is none); rows of both that no sequence
+    tells apart raise ValueError."""
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).alias("y")) \
         .where("k is not null and y is not null").where(~held_out(F.col("k"))) \
         .groupBy("k").agg(F.max("y").cast("int").alias("y"))

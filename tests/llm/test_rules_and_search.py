@@ -188,6 +188,29 @@ def test_toxicity_odd_rows(spark, labelled, odd_docs, odd_rows, no_docs):
     assert toxicity.score(long, model).count() == 3
 
 
+def test_toxicity_learns_a_wide_vocabulary():
+    """300 toxic words, each in about 1.3% of the toxic texts (under ``min_share``)."""
+    rng = np.random.default_rng(7)
+    insults = ["".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 9)) for _ in range(300)]
+
+    def text(i):
+        words = prose(i, 60).split(" ")
+        return " ".join(words[:30] + [insults[k] for k in rng.integers(0, 300, 4)] + words[30:]) if i % 3 == 0 else " ".join(words)
+
+    texts = [text(i) for i in range(3000)]
+    labels = [int(i % 3 == 0) for i in range(3000)]
+    model = toxicity.fit(texts[:2400], labels[:2400], 1 / 3, toxicity.ToxicityParams())
+    found = sum(w.encode() in model.toxic for w in insults)
+    x = toxicity._features(toxicity.Gaps(model).counts(texts[2400:]))
+    right = np.mean((x @ model.weights >= 0) == (np.array(labels[2400:]) == 1))
+    assert found >= 295 and right > 0.97
+
+
+def test_toxicity_without_a_contrast_raises():
+    with pytest.raises(ValueError):
+        toxicity.fit([prose(1, 80)] * 200, [0, 1] * 100, .5, toxicity.ToxicityParams())
+
+
 def test_labels_of_held_out_rows_are_not_read(labelled):
     docs, labels, _ = labelled
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
