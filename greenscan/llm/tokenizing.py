@@ -10,7 +10,8 @@ put together:
 
 A worker splits a text into words, joins cached id bytes, and runs the library's BPE model
 once per distinct pre-token. Words with characters above U+017F go through the library's
-whole call, so no Unicode table of another library decides about them. The caches hold
+whole call, so no Unicode table of another library decides about them; texts that hold the
+string of an added token (``<|endoftext|>``) do as well, and get its id there. The caches hold
 at most two generations of ``max_words`` words and ``max_lines`` lines; results do not depend on that.
 ``tests/llm/test_tokens.py`` compares with the library's own whole-text call.
 """
@@ -70,7 +71,9 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per Spark task
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tok.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        self.whole = any(t.normalized for t in added)  # found only after normalizing: no search here
         wide = self.tok.get_vocab_size() > 1 << 16
         self.dtype, self.code = np.dtype("<u4" if wide else "<u2"), "I" if wide else "H"
         self.model = self.tok.model
@@ -115,6 +118,8 @@ class WordEncoder:
         """The id bytes of the whole text; None is encoded as the empty text."""
         if not text:
             return b""
+        if self.whole or any([t in text for t in self.added]):
+            return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
         if self.drops_space:
             try:  # lower case first where that is certain, so "The" and "the" are one entry
                 text.encode("latin-1")

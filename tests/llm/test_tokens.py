@@ -26,6 +26,18 @@ def test_word_encoder_equals_whole_text_encoding(name, odd_rows):
     assert enc.ids(None).size == 0
 
 
+@pytest.mark.parametrize("name, ids", [("byte_bpe_50k.json", [31373, 220, 50256, 995]),
+                                       ("word_bpe_49k.json", [3306, 49407, 1002])])
+def test_added_tokens_get_their_ids(name, ids):
+    from tokenizers import Tokenizer
+    tok, enc = Tokenizer.from_file(vocabulary(name)), WordEncoder(vocabulary(name))
+    assert enc.ids("hello <|endoftext|> world").tolist() == ids
+    rng = random.Random(6)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "endoftext", "|>", " ", "\n", "  ", "\t", "The", "é", "漢", "İ", "'s", "7"]
+    for text in ("".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(4000)):
+        assert enc.ids(text).tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_files_round_trip(spark, odd_docs, odd_rows):
     path = vocabulary("byte_bpe_50k.json")
     tok = WordEncoder(path).tok
