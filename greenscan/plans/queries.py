@@ -66,14 +66,20 @@ def doc_ids(spark, sf_dir, cfg=CFG):
 
 
 def doc_ids_by_doc(spark, sf_dir, cfg=CFG):
-    """Token ids hash-partitioned by doc_id. Queries that read the ids in several
+    """Token ids hash-partitioned by ``_row``. Queries that read the ids in several
     branches share this one exchange (Spark reuses identical exchanges), so the
-    text is tokenised once; per-document aggregations and joins on doc_id downstream
+    text is tokenised once; per-document aggregations and joins on ``_row`` downstream
     need no further shuffle. The partition count is the session's, so adaptive execution
-    may coalesce it."""
-    # ids are NOT NULL by the input contract; filtering here (as the join would infer
-    # on one side only) keeps every branch's exchange identical, so it is reused
-    return doc_ids(spark, sf_dir, cfg).where(F.col("doc_id").isNotNull()).repartition("doc_id")
+    may coalesce it.
+
+    ``_row`` names a document by its id, one without an id by a hash of its token ids (null
+    ids are neither dropped nor gathered in one partition); only equal texts without an id
+    share a key. It is never null, so no join filters one branch's exchange."""
+    d = doc_ids(spark, sf_dir, cfg)
+    content = F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), " "), 256)
+    row = F.coalesce(F.concat(F.lit("id:"), F.col("doc_id").cast("string")),
+                     F.concat(F.lit("text:"), content), F.lit("none"))
+    return d.withColumn("_row", row).repartition("_row")
 
 
 def doc_token_rows(spark, sf_dir):
@@ -283,9 +289,14 @@ def paired_results(spark, sf_dir):
     d = doc_ids_by_doc(spark, sf_dir)
     c = gen.bias_scores(scored_candidates(spark, sf_dir, d), CFG)
     greedy = gen.greedy_next(c, ["prev"], "biased_score")
-    w = ev.greedy_rewrite_counts(d, "doc_id", "ids", greedy, CFG)
+    w = ev.greedy_rewrite_counts(d, "_row", "ids", greedy, CFG)
     wo = score_ids(d.withColumn("WO_num_output_token", F.size("ids").cast("bigint")), "ids", CFG, prefix="WO_")
-    pair = wo.join(w, "doc_id", "left")  # J3 on the document id
+    pair = wo.join(w, "_row", "left")  # J3 on the document
+    # equal texts without an id were counted together: T and g are multiples of one text's
+    copies = F.when(F.col("doc_id").isNull() & (F.col("WO_num_output_token") > 1),
+                    F.call_function("div", F.col("T"), F.col("WO_num_output_token") - 1)).otherwise(F.lit(1))
+    pair = pair.withColumn("g", F.call_function("div", F.col("g"), copies)) \
+        .withColumn("T", F.call_function("div", F.col("T"), copies))
     ok = F.col("WO_status") == "ok"
     pair = pair.withColumn("W_num_tokens_scored", F.when(ok, F.col("T"))) \
         .withColumn("W_num_green_tokens", F.when(ok, F.col("g")))

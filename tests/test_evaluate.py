@@ -133,3 +133,25 @@ def test_unknown_split_is_refused(spark):
     from greenscan.sources.tables import prepare_dataset
     with pytest.raises(ValueError):
         prepare_dataset(spark, SF001, "documents", "nosuchsplit")
+
+
+def test_paired_results_keep_documents_without_id(spark, tmp_path):
+    """Null ids: one row each, equal to that of the same table with ids."""
+    from pyspark.sql import functions as F
+    from greenscan.plans import queries as q
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(12)
+    docs = docs.unionByName(docs.orderBy("doc_id").limit(2).withColumn("doc_id", F.col("doc_id") + 10_000_000))
+    docs = docs.unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(-1).cast("bigint")))
+    rows = docs.collect()
+    drop = {r["doc_id"] for r in rows[:5]} | {r["doc_id"] for r in rows if r["doc_id"] >= 10_000_000 or r["doc_id"] == -1}
+    drop |= {i - 10_000_000 for i in drop if i >= 10_000_000}
+    table = spark.createDataFrame(rows, docs.schema)
+    table.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    table.withColumn("doc_id", F.when(~F.col("doc_id").isin(list(drop)), F.col("doc_id"))) \
+        .write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    a, b = (q.paired_results(spark, str(tmp_path / k)).collect() for k in "ab")
+    key = lambda r: tuple(map(str, (None if r["id"] in {str(i) for i in drop} else r["id"], *r[1:])))
+    assert len(b) == len(rows) and sum(r["id"] is None for r in b) == len(drop)
+    assert sorted(map(key, a)) == sorted(map(key, b))
+    n = {r["arm"]: r["n_rows"] for r in q.arm_summary(spark, str(tmp_path / "b")).collect()}
+    assert n == {"WO": len(rows), "W": len(rows)}
