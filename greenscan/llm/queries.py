@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from greenscan.llm import html_extract, minhash, pieces, quality, resample, sharding, topk, toxicity, trie, warc
+from greenscan.llm import html_extract, minhash, pieces, prefix_join, quality, resample, sharding, topk, toxicity, trie, warc
 from greenscan.llm.common import table
 from greenscan.llm.packing import pack_documents
 from greenscan.llm.token_files import token_files
@@ -59,6 +59,10 @@ def op10_compression_toxicity(spark, sf_dir):
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_grouped_prefix_join(spark, sf_dir):
+    return prefix_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_importance_resampling(spark, sf_dir):
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")) \
         .select("doc_id", "n_features", "weight", "score", "rank")
@@ -70,11 +74,12 @@ def op13_conversation_trie(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_warc_zstd, op2_dom_tree_text, op3_tensored_minhash, op4_pattern_packing,
                                   op5_sampled_pieces, op6_token_files, op7_distribution_divergence, op8_ball_tree_topk,
-                                  op9_jump_sharding, op10_compression_toxicity, op12_importance_resampling,
-                                  op13_conversation_trie)}
+                                  op9_jump_sharding, op10_compression_toxicity, op11_grouped_prefix_join,
+                                  op12_importance_resampling, op13_conversation_trie)}
 ORACLE: dict[str, str] = {"op1_warc_zstd": warc.oracle(0),
                           "op7_distribution_divergence": quality.oracle(),
                           "op8_ball_tree_topk": topk.oracle(QUERY_EVERY, NEIGHBOURS),
                           "op9_jump_sharding": sharding.oracle(SHARDS),
+                          "op11_grouped_prefix_join": prefix_join.oracle(),
                           "op12_importance_resampling": resample.oracle(),
                           "op13_conversation_trie": trie.oracle()}
