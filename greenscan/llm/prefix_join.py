@@ -79,7 +79,7 @@ def bits_apart(a: np.ndarray, b: np.ndarray) -> int:
         a = a[:len(a) // 2] ^ a[len(a) // 2:]
     while len(b) > len(a):
         b = b[:len(b) // 2] ^ b[len(b) // 2:]
-    return int(np.bitwise_count(a ^ b).sum())
+    return int(np.bitwise_count((a ^ b).view(U)).sum())  # of signed words it would count absolute values
 
 
 def shingle_levels(texts: DataFrame, params: JoinParams) -> tuple[np.ndarray, int]:
@@ -249,7 +249,7 @@ class _Bitmaps:
             if len(rows):
                 to = min(w, len(mine))
                 own = np.bitwise_xor.reduce(mine.reshape(-1, to), 0)
-                apart = np.bitwise_count(self._fold(w, to)[rows] ^ own).sum(1, dtype=np.int64)
+                apart = np.bitwise_count((self._fold(w, to)[rows] ^ own).view(U)).sum(1, dtype=np.int64)
                 found.append(at[rows[apart <= most[at[rows]]]])
         return np.concatenate(found) if found else np.empty(0, dtype=np.int64)
 
