@@ -11,16 +11,20 @@ from greenscan.session import scratch_path
 
 
 BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+BYTES_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table. Python workers started from here on look for the package where we found it,
-    and get Arrow batches of at most ``BATCH_ROWS`` rows: a task holds a batch several times
-    (JVM, Arrow, Python objects), and documents may be long."""
+    and get Arrow batches of at most ``BATCH_ROWS`` rows and (beyond the first row)
+    ``BATCH_BYTES`` bytes: a task holds a batch several times (JVM, Arrow, Python objects), and
+    documents may be long. Both settings stay for the session."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
         spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    if spark.conf.get(BYTES_SETTING) in ("67108864b", "67108864"):  # as delivered
+        spark.conf.set(BYTES_SETTING, f"{BATCH_BYTES}b")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -207,7 +207,7 @@ def sweep_containers(rows: DataFrame) -> DataFrame:
         .select("head", "parent", "bytes", "depth", "suffix", "n", "conv_id", "digest").mapInArrow(run, SWEPT_SQL)
 
 
-def prefix_trie(seqs: DataFrame, limit: int = 2048) -> DataFrame:
+def prefix_trie(seqs: DataFrame, limit: int = 256) -> DataFrame:
     """The nodes of the trie over (conv_id, seq), ids distinct: conv_id, depth,
     parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256. No sequences, no
     nodes."""
@@ -265,7 +265,7 @@ def prefix_trie(seqs: DataFrame, limit: int = 2048) -> DataFrame:
         F.coalesce("digest", F.lit(NO_ENDS)).alias("ends_sha256"))
 
 
-def conversation_trie(turns: DataFrame, group: int = 5, spread: int = 9, limit: int = 2048) -> DataFrame:
+def conversation_trie(turns: DataFrame, group: int = 5, spread: int = 9, limit: int = 256) -> DataFrame:
     """``prefix_trie`` of the rebuilt conversations of (conv_id, turn, role, text).
 
     Null turns come first, equal turn numbers go by the digest of role and text, null role or
