@@ -1,7 +1,8 @@
 """Script of characters and the majority vote over a text.
 
-Counting uses one regex pass per script (``\\p{IsLatin}`` etc. in Java regex), all
-inside the JVM. The vote follows the reference: most characters wins, the script
+Scripts of characters come from a sorted interval table by binary search, once per distinct
+character; only scripts that occur are then counted, by one regex pass each, all inside the
+JVM. The vote follows the reference: most characters wins, the script
 seen first wins a tie; COMMON and INHERITED (spaces, digits, punctuation, marks)
 only win when nothing else is present (Q14).
 """
@@ -13,6 +14,8 @@ from functools import lru_cache
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from greenscan.functions.codepoints import script_table
+
 # The scripts of the largest alphabets; the vote counts every script (see all_scripts).
 VOTE_SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "HEBREW", "ARABIC", "HAN")
 NEUTRAL_SCRIPTS = ("COMMON", "INHERITED")
@@ -44,13 +47,9 @@ def first_pos(text: Column, script: str) -> Column:
 
 
 def script_of_char(ch: Column, scripts=None) -> Column:
-    """Script name of a one-character string (null when outside the list)."""
-    scripts = all_scripts() + NEUTRAL_SCRIPTS if scripts is None else scripts
-    expr = None
-    for s in scripts:
-        cond = ch.rlike(java_class(s))
-        expr = F.when(cond, F.lit(s)) if expr is None else expr.when(cond, F.lit(s))
-    return expr
+    """Script name of a one-character string (null when outside the list or unassigned)."""
+    name = script_table(SparkSession.active()).lookup(F.ascii(ch))
+    return name if scripts is None else let(name, lambda n: F.when(n.isin(list(scripts)), n))
 
 
 FOREIGN_CLASS = r"[^\p{IsLatin}\p{IsCommon}\p{IsInherited}]"
@@ -88,31 +87,35 @@ def vote(text: Column, scripts=None) -> Column:
     some.
 
     A text without characters outside LATIN/COMMON/INHERITED (one scan that stops at the
-    first hit) is LATIN or COMMON; only the others are counted script by script, the foreign
-    characters alone."""
+    first hit) is LATIN or COMMON. Only in the others are scripts looked up, once per distinct
+    foreign character, and the scripts found are counted."""
     scripts = all_scripts() if scripts is None else scripts
     others = [s for s in scripts if s != "LATIN"]
     latin = "LATIN" in scripts
     n_latin = script_count(text, "LATIN") if latin else F.lit(0).cast("bigint")
 
-    def decide(chars: Column, names: Column) -> Column:
-        ranked = F.transform(F.filter(F.array_distinct(names), lambda s: s.isNotNull()), lambda s: F.struct(
-            F.size(F.filter(names, lambda x: x == s)).cast("bigint").alias("n"),
-            (-F.array_position(names, s)).alias("first"), s.alias("script")))
+    def decide(names: Column) -> Column:
+        one = lambda s: F.concat(F.lit(r"\p{Is"), s, F.lit("}"))
+        ranked = F.transform(names, lambda s: F.struct(
+            F.regexp_count(text, one(s)).cast("bigint").alias("n"),
+            (-F.regexp_instr(text, one(s))).alias("first"), s.alias("script")))
         return let(F.array_max(ranked), lambda best: F.when(
+            best.isNull() & (n_latin == 0), F.lit("COMMON")).when(
             best.isNull() | (best["n"] < n_latin), F.lit("LATIN") if latin else F.lit("COMMON"))
-            .when((best["n"] == n_latin) & (first_pos(text, "LATIN") < F.call_function(
-                "instr", text, F.get(chars, (-best["first"] - 1).cast("int")))), F.lit("LATIN"))
+            .when((best["n"] == n_latin) & (first_pos(text, "LATIN") < -best["first"]), F.lit("LATIN"))
             .otherwise(best["script"]))
 
-    voted = let(foreign_chars(text), lambda chars: let(
-        F.transform(chars, lambda c: script_of_char(c, others)), lambda names: decide(chars, names)))
+    voted = let(F.array_compact(F.array_distinct(F.transform(
+        F.array_distinct(foreign_chars(text)), lambda c: script_of_char(c, others)))), decide)
     return F.when(has_foreign(text), voted) \
         .when(text.rlike(java_class("LATIN")), F.lit("LATIN") if latin else F.lit("COMMON")) \
         .when(text.isNotNull(), F.lit("COMMON"))
 
 
 def scripts_present(text: Column, scripts=None) -> Column:
-    """The scripts that occur in a text, in list order."""
+    """The scripts that occur in a text, in list order (A13): one lookup per distinct
+    character."""
     scripts = all_scripts() + NEUTRAL_SCRIPTS if scripts is None else scripts
-    return F.array_compact(F.array(*[F.when(text.rlike(java_class(s)), F.lit(s)) for s in scripts]))
+    names = F.array_distinct(F.transform(F.array_distinct(F.split(text, "")), lambda c: script_of_char(c)))
+    return let(names, lambda found: F.filter(
+        F.split(F.lit(",".join(scripts)), ","), lambda s: F.array_contains(found, s)))

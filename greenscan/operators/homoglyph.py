@@ -4,7 +4,7 @@ J5-J7, J9, J10, A13, A15-A17, U2-U5, T2).
 The reference reads three JSON files that its checkout lacks. We derive the same
 kind of tables from public Unicode data that Spark already ships (ICU4J):
 
-* script of a character: Java regex script classes;
+* script of a character: the JVM's script of every code point, as an interval table;
 * confusables: characters with the same UTS #39 skeleton (``SpoofChecker.getSkeleton``),
   of whatever length, are look-alikes.
 
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from greenscan.functions.codepoints import IntervalTable, script_table
 from greenscan.functions.scripts import NEUTRAL_SCRIPTS, all_scripts, let, vote
 
 STRATEGY_LOAD, STRATEGY_IGNORE, STRATEGY_REMOVE = 1, 2, 3
@@ -42,27 +43,15 @@ def _skeletons(spark: SparkSession, chars: list[str]) -> list[str]:
     return out
 
 
-def _scripts(spark: SparkSession, chars: list[str]) -> list[str]:
-    """Script of each character by the JVM's Unicode tables: for every script, one regex call
-    that keeps its characters out of all of them."""
-    jvm = spark.sparkContext._jvm
-    text = "".join(chars)
-    found = {}
-    for script in all_scripts() + NEUTRAL_SCRIPTS:
-        kept = jvm.java.util.regex.Pattern.compile(r"\P{Is" + script + "}+").matcher(text).replaceAll("")
-        found.update(dict.fromkeys(kept, script))
-    return [found.get(c, "OTHER") for c in chars]
-
-
 @lru_cache(maxsize=4)
 def _char_rows(spark: SparkSession) -> tuple:
     """(cp, ch, skeleton, script) for every assigned code point above the controls and the
-    blank, built on the driver from ICU (skeletons) and Java regex (scripts); no data
+    blank, built on the driver from ICU (skeletons) and the script table; no data
     involved, about 150,000 rows whatever the corpus holds."""
     chars = [c for c in map(chr, range(0x21, 0x110000)) if unicodedata.category(c) not in ("Cn", "Cs", "Co", "Cc")]
     sk = _skeletons(spark, chars)
-    sc = _scripts(spark, chars)
-    return tuple((ord(c), c, s, x) for c, s, x in zip(chars, sk, sc))
+    table = script_table(spark)
+    return tuple((ord(c), c, s, table.find(ord(c)) or "OTHER") for c, s in zip(chars, sk))
 
 
 @lru_cache(maxsize=4)
@@ -300,37 +289,54 @@ def max_code_point(s: Column) -> Column:
 # ------------------------------------------------ script ranges
 
 def script_ranges(spark: SparkSession) -> DataFrame:
-    """(lo, hi, category): maximal runs of consecutive code points with one script,
-    derived from the character dimension (the reference's range table, S8)."""
-    t = char_table(spark).select("cp", "script")
-    from pyspark.sql import Window
-    w = Window.orderBy("cp")  # fixed-size dimension (~150k rows)
-    runs = t.withColumn("_brk", F.when((F.lag("script").over(w) == F.col("script"))
-                                       & (F.lag("cp").over(w) == F.col("cp") - 1), 0).otherwise(1))
-    runs = runs.withColumn("_run", F.sum("_brk").over(w))
-    return runs.groupBy("_run", "script").agg(F.min("cp").alias("lo"), F.max("cp").alias("hi")) \
-        .select("lo", "hi", F.col("script").alias("category"))
+    """(ord, lo, hi, category): runs of code points of one script (the reference's range
+    table, S8); ``ord`` is the table order."""
+    rows = [(i, lo, hi, name) for i, (lo, hi, name) in enumerate(script_table(spark).ranges())]
+    return spark.createDataFrame(rows, "ord int, lo int, hi int, category string")
 
 
-def range_alphabet(ranges: DataFrame, categories) -> DataFrame:
-    """Characters of the given categories from a range table (A16): each range is
-    expanded with sequence(lo, hi); unknown categories fail before the job (S8)."""
+MAX_RANGES = 100_000  # rows of a user's range table, which becomes a literal
+
+
+def interval_table(ranges: DataFrame) -> IntervalTable:
+    """A range table (lo, hi, category[, ord]) as disjoint intervals; where ranges overlap the
+    first by ``ord`` (without it by ``lo``) wins. A dimension of bounded size, checked."""
+    rows = ranges.limit(MAX_RANGES + 1).collect()
+    if len(rows) > MAX_RANGES:
+        raise ValueError(f"a range table of more than {MAX_RANGES} rows")
+    by = (lambda r: r["ord"]) if "ord" in ranges.columns else (lambda r: r["lo"])
+    return IntervalTable.of((r["lo"], r["hi"], r["category"]) for r in sorted(rows, key=by))
+
+
+def check_categories(categories) -> None:
     known = set(all_scripts()) | set(NEUTRAL_SCRIPTS) | {"OTHER"}
     for c in categories:
         if c not in known:
             raise ValueError(f"no such script: {c}")
+
+
+def range_alphabet(ranges: DataFrame, categories) -> DataFrame:
+    """Characters of the given categories from a range table (A16), one row each; unknown
+    categories fail before the job (S8). Only the intervals chosen are spelled out here;
+    lookups use :class:`IntervalTable` and never do."""
+    check_categories(categories)
     r = ranges.where(F.col("category").isin(list(categories)))
     return r.select(F.explode(F.sequence("lo", "hi")).alias("cp")).select(F.chr("cp").alias("ch")).distinct()
 
 
-def categorize_chars(chars: DataFrame, ranges: DataFrame, char_col: str = "ch") -> DataFrame:
-    """Code point -> category by range, first range in table order wins.
-    The range table has a fixed size; each range is expanded to its code points and
-    joined by equality, so no theta join is needed."""
-    expanded = ranges.select(F.explode(F.sequence("lo", "hi")).alias("_cp"), "category", "lo")
-    first = expanded.groupBy("_cp").agg(F.min_by("category", "lo").alias("category"))
-    c = chars.withColumn("_cp", F.ascii(F.col(char_col)))
-    return c.join(F.broadcast(first), "_cp", "left").drop("_cp")
+def categorize_chars(chars: DataFrame, ranges: DataFrame | IntervalTable, char_col: str = "ch") -> DataFrame:
+    """Code point -> category by range, first range in table order wins (J6, W3): a binary
+    search per row, no join. Null and empty strings and code points in no range give null."""
+    table = ranges if isinstance(ranges, IntervalTable) else interval_table(ranges)
+    return chars.withColumn("category", F.when(F.col(char_col) != "", table.lookup(F.ascii(F.col(char_col)))))
+
+
+def category_counts(df: DataFrame, text_col: str, table: IntervalTable) -> DataFrame:
+    """(ch, code_point, category, n) of every distinct character of all texts. Characters are
+    counted per partition before the shuffle; each distinct one is looked up once."""
+    chars = df.select(F.explode(F.split(F.col(text_col), "")).alias("ch")).where("ch <> ''")
+    counts = chars.groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+    return categorize_chars(counts, table).select("ch", F.ascii("ch").alias("code_point"), "category", "n")
 
 
 def all_categories(spark: SparkSession) -> DataFrame:

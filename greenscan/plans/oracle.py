@@ -10,7 +10,7 @@ from greenscan.plans.common import CFG, CFG_DISTINCT, LIMIT_ROWS
 from greenscan.functions.normalize import RULESETS, CONTROL_CLASS
 from greenscan.operators.evaluate import gamma_grid
 from greenscan.plans.queries import (ANALYSIS_METRICS, ATTACK_FROM, ATTACK_TO, CFG_SMALL_V, INJECT_COMMA,
-                                     INJECT_WS, PROMPT_CAP, SAMPLE_SEED)
+                                     INJECT_WS, PROMPT_CAP, SAMPLE_SEED, SCRIPT_SAMPLES)
 from greenscan.functions.scripts import VOTE_SCRIPTS, re2_class
 from greenscan.functions.tokens import TRUNC_NOTICE
 from greenscan.operators.truecase import TOKEN as TC_TOKEN
@@ -231,6 +231,43 @@ def dynamic_oracles() -> dict:
         return {}
 
 
+# Script names of the regex engine, whose Unicode tables are its own (not the JVM's). Fixed
+# values: Unicode script names.
+RE2_SCRIPTS = ("Latin", "Common", "Inherited", "Cyrillic", "Greek", "Armenian", "Hebrew", "Arabic", "Han", "Hiragana",
+               "Katakana", "Hangul", "Thai", "Devanagari", "Bengali", "Gurmukhi", "Gujarati", "Tamil", "Telugu", "Kannada",
+               "Malayalam", "Georgian", "Ethiopic", "Cherokee", "Khmer", "Lao", "Tibetan", "Myanmar", "Runic", "Mongolian",
+               "Tifinagh", "Yi", "Gothic")
+
+
+def sampled_sql() -> str:
+    picks = ", ".join(lit(x) for x in SCRIPT_SAMPLES)
+    n = len(SCRIPT_SAMPLES)
+    return (f"SELECT doc_id, text || ' ' || ([{picks}])[(((coalesce(doc_id, 0) % {n}) + {n}) % {n} + 1)::INT] AS text "
+            "FROM documents")
+
+
+def _script_case(ch: str) -> str:
+    whens = " ".join(f"WHEN regexp_matches({ch}, '\\p{{{s}}}') THEN '{s.upper()}'" for s in RE2_SCRIPTS)
+    return f"CASE {whens} END"
+
+
+def category_lookup_sql() -> str:
+    return f"""
+WITH d AS ({sampled_sql()}),
+c AS (SELECT unnest(regexp_extract_all(text, '(?s).')) AS ch FROM d),
+n AS (SELECT ch, count(*)::BIGINT AS n FROM c GROUP BY ch)
+SELECT ch, unicode(ch)::INTEGER AS code_point, {_script_case('ch')} AS category, n FROM n"""
+
+
+def text_scripts_sql() -> str:
+    found = ", ".join(f"CASE WHEN regexp_matches(text, '\\p{{{s}}}') THEN '{s.upper()}' END" for s in sorted(RE2_SCRIPTS, key=str.upper))
+    return f"""
+WITH d AS ({sampled_sql()}),
+f AS (SELECT doc_id, text, list_filter([{found}], lambda x: x IS NOT NULL) AS s FROM d)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(s, ',') END AS scripts,
+       CASE WHEN text IS NOT NULL THEN len(s)::BIGINT END AS n_scripts FROM f"""
+
+
 def script_vote_sql() -> str:
     att = f"translate(text, '{ATTACK_FROM}', '{ATTACK_TO}')"
     cnt = lambda s: f"len(regexp_extract_all(a, '{re2_class(s)}'))::BIGINT"
@@ -487,6 +524,8 @@ ORACLE = {
     "unicode_ascii": unicode_sql("ascii"),
     "unicode_idn": unicode_sql("idn"),
     "script_vote": script_vote_sql(),
+    "category_lookup": category_lookup_sql(),
+    "text_scripts": text_scripts_sql(),
     "truecase_model": TRUECASE_MODEL_SQL,
     "truecase_apply": truecase_apply_sql(),
     "bias_scores": bias_scores_sql(CFG),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from greenscan.config import WatermarkConfig
 from greenscan.functions import scripts as sc
+from greenscan.functions.codepoints import script_table
 from greenscan.functions.normalize import unicode_sanitize
 from greenscan.functions.stats import with_normal_sf
 from greenscan.functions.stats import z_score as z_col
@@ -198,6 +199,30 @@ def attacked_docs(spark, sf_dir):
         "doc_id", "text", F.translate("text", ATTACK_FROM, ATTACK_TO).alias("attacked"))
 
 
+# One short sample per script, put behind every document (by its id), so that lookups meet
+# scripts that the corpus lacks. Published letters, not taken from our tables.
+SCRIPT_SAMPLES = ("Ж я", "Ω λ", "Ա բ", "א ב", "ع ب", "漢字", "ひら", "カタ", "한글", "ไท", "अआ", "অআ", "ਅਆ", "અઆ", "அஆ",
+                  "అఆ", "ಅಆ", "അആ", "ქა", "አለ", "Ꭰ Ꭱ", "កខ", "ກຂ", "ཀཁ", "ကခ", "ᚠᚢ", "ᠠᠡ", "ⴰⴱ", "ꀀꀁ", "𐌰𐌱", "😀", "é́")
+
+
+def sampled_docs(spark, sf_dir):
+    pick = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(len(SCRIPT_SAMPLES))).cast("int")
+    sample = F.get(F.array(*[F.lit(x) for x in SCRIPT_SAMPLES]), pick)
+    return documents(spark, sf_dir).select("doc_id", F.concat("text", F.lit(" "), sample).alias("text"))
+
+
+def category_lookup(spark, sf_dir):
+    """Script of every character of every document by interval search."""
+    return hg.category_counts(sampled_docs(spark, sf_dir), "text", script_table(spark))
+
+
+def text_scripts(spark, sf_dir):
+    """The scripts that occur in each document, in name order."""
+    names = sorted(sc.all_scripts() + sc.NEUTRAL_SCRIPTS)
+    d = sampled_docs(spark, sf_dir).select("doc_id", sc.scripts_present(F.col("text"), names).alias("s"))
+    return d.select("doc_id", F.array_join("s", ",").alias("scripts"), F.size("s").cast("bigint").alias("n_scripts"))
+
+
 def script_vote(spark, sf_dir):
     d = attacked_docs(spark, sf_dir)
     return d.select("doc_id",
@@ -239,6 +264,8 @@ QUERIES.update({
     "unicode_whitespaces": _unicode_query("whitespaces"),
     "unicode_ascii": _unicode_query("ascii"),
     "unicode_idn": _unicode_query("idn"),
+    "category_lookup": category_lookup,
+    "text_scripts": text_scripts,
     "script_vote": script_vote,
     "homoglyph_canon": homoglyph_canon,
     "homoglyph_variants": homoglyph_variants,
