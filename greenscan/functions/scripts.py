@@ -116,6 +116,6 @@ def scripts_present(text: Column, scripts=None) -> Column:
     """The scripts that occur in a text, in list order (A13): one lookup per distinct
     character."""
     scripts = all_scripts() + NEUTRAL_SCRIPTS if scripts is None else scripts
-    names = F.array_distinct(F.transform(F.array_distinct(F.split(text, "")), lambda c: script_of_char(c)))
-    return let(names, lambda found: F.filter(
-        F.split(F.lit(",".join(scripts)), ","), lambda s: F.array_contains(found, s)))
+    names = F.array_distinct(F.transform(F.array_distinct(F.split(text, "")), lambda c: F.when(c != "", script_of_char(c))))
+    return F.when(text.isNotNull(), let(names, lambda found: F.filter(
+        F.split(F.lit(",".join(scripts)), ","), lambda s: F.array_contains(found, s))))

@@ -539,6 +539,7 @@ ORACLE = {
     "pair_corr": pair_corr_sql(CFG, ANALYSIS_METRICS),
     "sweep_grid": sweep_grid_sql(CFG, gamma_grid(vocab_size=CFG.vocab_size)),
     "resume_anti_join": detect_sql(CFG, table="(SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))"),
+    # a repeated id is scored once, whichever of its rows came first; tables at hand repeat none
     "stream_detect": detect_sql(CFG, table="(SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))"),
     "detect_conversations": detect_sql(
         CFG_DISTINCT, table="(SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS id, text "

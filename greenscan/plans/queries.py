@@ -425,14 +425,13 @@ QUERIES.update({
 
 
 def stream_detect(spark, sf_dir):
-    """Documents arrive as a file stream; labelled ids count as already scored and
-    are skipped; results are appended idempotently, then read back."""
-    src = st.read_stream(spark, sf_dir, "documents.parq[u]et").select("doc_id", "text")
+    """Documents arrive as a file stream; ids delivered again are known from keyed state,
+    labelled ids count as scored before; results are appended idempotently, then read back."""
+    src = st.skip_seen(st.read_stream(spark, sf_dir, "documents.parq[u]et"), "doc_id").select("doc_id", "text")
     done = read_table(spark, sf_dir, "labels").select("doc_id")
     todo = st.skip_done_stream(src, done, "doc_id")
     out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
-    sink = st.scoring_sink(CFG, "doc_id", "text", out, DETECT_COLS)
-    st.run_to_completion(todo, out, ckpt, "doc_id", sink=sink)
+    st.run_to_completion(todo, out, ckpt, sink=st.scoring_sink(CFG, "doc_id", "text", out, DETECT_COLS))
     return st.results(spark, out)
 
 

@@ -1,24 +1,27 @@
 """Score a stream of documents (X1), skip ids already scored (X2), append results
 idempotently (X3).
 
-Detection is row-local (no aggregation, no state), so it runs in append mode with
-any trigger. Skipping is a stream-static anti join against the ids already scored
-when the stream starts, and an anti join against the stored ids inside every batch.
-``foreachBatch`` writes each micro-batch into its own ``_run=<name>/_epoch=<id>`` folder
-with overwrite, so a batch replayed after a failure replaces its earlier attempt.
+Detection is row-local (no aggregation), so it runs in append mode with any trigger. Ids that
+the stream delivers again are known from keyed state (:mod:`greenscan.streaming.state`); ids
+scored before the stream began are a static table in a stream-static anti join. No
+micro-batch reads the sink. ``foreachBatch`` writes each micro-batch into its own
+``_run=<name>/_epoch=<id>`` folder with overwrite, so a batch replayed after a failure
+replaces its earlier attempt; the run is named by the id that the checkpoint keeps, so a
+restarted process goes on in the same folders, and a stream whose checkpoint was lost cannot
+overwrite what the first one stored.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from greenscan.config import WatermarkConfig
 from greenscan.operators.detect import detect_text
 from greenscan.sources.tables import SCHEMAS
+from greenscan.streaming.state import skip_seen
 
 
 def read_stream(spark: SparkSession, directory: str, pattern: str = "*.parquet",
@@ -40,31 +43,15 @@ def detect_stream(stream: DataFrame, cfg: WatermarkConfig, id_col: str, text_col
     return detect_text(src, cfg, text_col)
 
 
-def _stored_ids(spark: SparkSession, out_path: str, id_col: str, run: str, epoch_id: int) -> DataFrame | None:
-    """Ids in the sink, without those that an earlier attempt of this very batch wrote."""
-    try:
-        stored = spark.read.option("basePath", out_path).parquet(out_path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # nothing yet
-            return None
-        raise
-    return stored.where(~((F.col("_run") == run) & (F.col("_epoch") == int(epoch_id)))).select(id_col)
-
-
-def idempotent_sink(out_path: str, id_col: str, run: str | None = None):
-    """foreachBatch function (X3). A batch goes to the folder of its run and epoch, with
-    overwrite, so a batch that is run again replaces its earlier attempt; ids that any other
-    batch has stored are skipped (J1 inside the batch), and an id is written once per batch.
-    ``run`` names the stream's checkpoint: a stream that starts over after its checkpoint was
-    lost counts its epochs from 0 again, and must not overwrite what the first one stored."""
-    run = run or uuid.uuid4().hex[:12]
-    root = out_path.rstrip("/")
+def idempotent_sink(out_path: str, run: str | None = None):
+    """foreachBatch function (X3): a batch goes to the folder of its run and epoch, with
+    overwrite, so a batch that is run again replaces its earlier attempt. The run is ``run``,
+    else the query's id from its checkpoint."""
+    root, fallback = out_path.rstrip("/"), uuid.uuid4().hex[:12]
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        stored = _stored_ids(batch.sparkSession, root, id_col, run, epoch_id)
-        fresh = batch if stored is None else batch.join(stored, id_col, "left_anti")
-        named = fresh.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-        named.unionByName(fresh.where(F.col(id_col).isNull())).write.mode("overwrite").parquet(f"{root}/_run={run}/_epoch={int(epoch_id)}")
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        batch.write.mode("overwrite").parquet(f"{root}/_run={run or query or fallback}/_epoch={int(epoch_id)}")
     return write
 
 
@@ -75,7 +62,7 @@ def scoring_sink(cfg: WatermarkConfig, id_col: str, text_col: str, out_path: str
     batch scans applies: a batch read from one large file is spread over the task
     slots; a batch with enough input splits is scored where it was read."""
     from greenscan.sources.tables import spread
-    store = idempotent_sink(out_path, id_col, run)
+    store = idempotent_sink(out_path, run)
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         scored = detect_text(spread(batch.select(id_col, text_col)), cfg, text_col)
@@ -85,12 +72,12 @@ def scoring_sink(cfg: WatermarkConfig, id_col: str, text_col: str, out_path: str
     return write
 
 
-def run_to_completion(scored: DataFrame, out_path: str, checkpoint: str, id_col: str,
-                      timeout_s: int | None = None, sink=None) -> None:
+def run_to_completion(scored: DataFrame, out_path: str, checkpoint: str, timeout_s: int | None = None,
+                      sink=None) -> None:
     """Process everything available now, then stop (trigger availableNow). There is no time
     limit unless ``timeout_s`` sets one. ``sink`` replaces the plain epoch writer (e.g.
     :func:`scoring_sink`)."""
-    q = (scored.writeStream.foreachBatch(sink or idempotent_sink(out_path, id_col))
+    q = (scored.writeStream.foreachBatch(sink or idempotent_sink(out_path))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     if timeout_s is None:
         q.awaitTermination()
@@ -107,9 +94,11 @@ def results(spark: SparkSession, out_path: str) -> DataFrame:
 
 
 def skip_done_stream(stream: DataFrame, done: DataFrame, id_col: str) -> DataFrame:
-    """Stream-static anti join against the ids scored before the stream."""
-    return stream.join(done.select(id_col), id_col, "left_anti")
+    """Stream-static anti join against the ids scored before the stream (X2), for example
+    those of :func:`results` when a stream starts over without its checkpoint. Rows without an
+    id stay."""
+    return stream.join(done.select(F.col(id_col)), id_col, "left_anti")
 
 
-__all__ = ["read_stream", "detect_stream", "idempotent_sink", "scoring_sink", "skip_done_stream",
+__all__ = ["read_stream", "detect_stream", "idempotent_sink", "scoring_sink", "skip_done_stream", "skip_seen",
            "run_to_completion", "results"]
