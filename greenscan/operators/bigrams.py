@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from greenscan.config import WatermarkConfig
@@ -19,18 +19,35 @@ def bigram_rows(df: DataFrame, id_col: str, ids_col: str, vocab_size: int) -> Da
 
 
 def bigram_freq(df: DataFrame, id_col: str, ids_col: str, cfg: WatermarkConfig) -> DataFrame:
-    """Per document Counter of bigrams (A3) with the green flag of each.
+    """Per document Counter of bigrams (A3) with the green flag of each (J2). Every row is a
+    document of its own, also when ids repeat or are null.
 
     A document's bigrams sit in one partition, so the partial aggregate before the
-    shuffle already reduces them to distinct (id, bigram) pairs."""
+    shuffle already reduces them to distinct (document, bigram) pairs."""
     v = F.lit(cfg.vocab_size).cast("bigint")
-    z = df.select(id_col, F.explode(bigram_codes(F.col(ids_col), cfg.vocab_size)).alias("_z"))
-    agg = z.groupBy(id_col, "_z").agg(F.count(F.lit(1)).alias("n"))
+    z = df.withColumn("_row", F.monotonically_increasing_id()).select(
+        id_col, "_row", F.explode(bigram_codes(F.col(ids_col), cfg.vocab_size)).alias("_z"))
+    agg = z.groupBy("_row", id_col, "_z").agg(F.count(F.lit(1)).alias("n"))
     out = agg.select(id_col, F.call_function("div", F.col("_z"), v).alias("prev"),
                      (F.col("_z") % v).alias("tok"), "n")
     return gl.with_green(out, "prev", "tok", cfg)
 
 
+def table_counts(df: DataFrame, id_col: str, ids_col: str, cfg: WatermarkConfig) -> DataFrame:
+    """(id, num_tokens_scored, num_green_tokens) through the materialised greenlist (W2, J2):
+    one row per row, also for documents without a bigram and for repeated or null ids."""
+    v = F.lit(cfg.vocab_size).cast("bigint")
+    z = df.withColumn("_row", F.monotonically_increasing_id()).select(
+        id_col, "_row", F.explode_outer(bigram_codes(F.col(ids_col), cfg.vocab_size)).alias("_z"))
+    rows = z.select("_row", id_col, F.call_function("div", F.col("_z"), v).alias("prev"), (F.col("_z") % v).alias("tok"))
+    keys = df.sparkSession.range(cfg.vocab_size).select(F.col("id").alias("prev"))  # all keys: V of them
+    marked = green_by_table(rows, explicit_greenlist(keys, cfg))
+    return marked.groupBy("_row", id_col).agg(
+        F.count("prev").alias("num_tokens_scored"),
+        F.coalesce(F.sum((F.col("is_green") & F.col("prev").isNotNull()).cast("long")), F.lit(0)).alias("num_green_tokens")) \
+        .drop("_row")
+
+
 def bigram_green_table(df: DataFrame, ids_col: str, cfg: WatermarkConfig) -> DataFrame:
     """Corpus-wide distinct bigrams: (prev, tok, n, is_green). The hash is computed
     once per distinct bigram after the aggregation, not per occurrence."""
@@ -43,22 +60,25 @@ def bigram_green_table(df: DataFrame, ids_col: str, cfg: WatermarkConfig) -> Dat
 
 
 def explicit_greenlist(prevs: DataFrame, cfg: WatermarkConfig, prev_col: str = "prev") -> DataFrame:
-    """Materialised greenlist (W2, T3): for every key p in ``prevs``, rank all V
-    tokens by the key's permutation and keep the head (or the legacy tail).
-
-    V rows per key, so meant for small V or few keys; one key's window holds V rows.
-    Ranks come from the closed form, so the table agrees with ``is_green``.
-    """
-    V = cfg.vocab_size
-    keys = prevs.select(F.col(prev_col).alias("prev")).distinct()
-    rows = keys.select("prev", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                    F.lit(V - 1).cast("bigint"))).alias("tok"))
-    rows = rows.withColumn("_h", gl.rank(F.col("prev"), F.col("tok"), cfg))
-    w = Window.partitionBy("prev").orderBy("_h", "tok")
-    ranked = rows.withColumn("rank", F.row_number().over(w) - 1).drop("_h")
-    if cfg.select_green_tokens:
-        return ranked.where(F.col("rank") < cfg.n_green)
-    return ranked.where(F.col("rank") >= V - cfg.n_green)
+    """Materialised greenlist (W2, T3): for every key p in ``prevs``, the tokens at the head
+    (or the legacy tail) of the key's permutation with their ranks.
+
+    Rank r is held by token (r - b) / a modulo V, so only the int(V * gamma) green tokens of a
+    key are made, in order, and nothing is sorted or ranked. The inverse of a is a^(V - 2)
+    (V is prime), by squaring, once per key."""
+    V, G = cfg.vocab_size, cfg.n_green
+    v = F.lit(V).cast("bigint")
+    keys = prevs.select(F.col(prev_col).alias("prev")).where("prev is not null").distinct()
+    k = gl.seed_key(F.col("prev"), cfg.hash_key)
+    v1 = F.lit(V - 1).cast("bigint")
+    keyed = keys.select("prev", (k % v1 + 1).alias("_a"), (F.call_function("div", k, v1) % v).alias("_b"))
+    bits = F.array(*[F.lit(c == "1") for c in f"{V - 2:b}"])
+    inverse = F.aggregate(bits, F.lit(1).cast("bigint"), lambda x, one: F.when(
+        one, (x * x % v) * F.col("_a") % v).otherwise(x * x % v))
+    first, last = (0, G - 1) if cfg.select_green_tokens else (V - G, V - 1)
+    ranks = F.sequence(F.lit(first).cast("bigint"), F.lit(last).cast("bigint")) if G else F.array().cast("array<bigint>")
+    rows = keyed.select("prev", "_b", inverse.alias("_inv"), F.explode(ranks).alias("rank"))
+    return rows.select("prev", F.pmod((F.col("rank") - F.col("_b") + v) * F.col("_inv"), v).alias("tok"), "rank")
 
 
 def green_by_table(bigrams: DataFrame, greenlist: DataFrame) -> DataFrame:

@@ -8,11 +8,14 @@ are paired with an equi join on the id (J3).
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from greenscan.config import WatermarkConfig
+from greenscan.functions import codepoints as cps
 from greenscan.functions import greenlist as gl
 from greenscan.functions.stats import with_normal_sf
 from greenscan.operators.detect import bigram_codes, score_ids
@@ -131,7 +134,9 @@ def sweep_gamma(df: DataFrame, ids_col: str, cfg: WatermarkConfig, grid=None, ke
         coded = F.zip_with(bigram_codes(F.col(ids_col), V), ranks, lambda z, r: F.struct(z.alias("z"), r.alias("r")))
         ranks = F.transform(F.array_distinct(coded), lambda s: s["r"])
     # texts without a bigram keep one row (null rank), so that they come out with null scores
-    rows = df.select(*keep, F.explode_outer(ranks).alias("_r"))
+    # every row is a text of its own, also when ids repeat or are null
+    keep = ["_row", *keep]
+    rows = df.withColumn("_row", F.monotonically_increasing_id()).select(*keep, F.explode_outer(ranks).alias("_r"))
     # tail selection (legacy): green iff rank >= V - G  <=>  (V - 1 - rank) < G
     r = F.col("_r") if cfg.select_green_tokens else F.lit(V - 1) - F.col("_r")
     bucket = sum((r >= F.lit(n)).cast("int") for _, n in grid)
@@ -151,7 +156,7 @@ def sweep_gamma(df: DataFrame, ids_col: str, cfg: WatermarkConfig, grid=None, ke
     t = F.col("num_tokens_scored").cast("double")
     g = F.col("num_green_tokens").cast("double")
     gm = F.col("gamma")
-    per = per.withColumn("z_score", (g - gm * t) / F.sqrt(t * gm * (F.lit(1.0) - gm)))
+    per = per.drop("_row").withColumn("z_score", (g - gm * t) / F.sqrt(t * gm * (F.lit(1.0) - gm)))
     return with_normal_sf(per, "z_score", "p_value") \
         .withColumn("prediction", F.col("z_score") > F.lit(float(cfg.z_threshold)))
 
@@ -212,36 +217,65 @@ def arm_summary(arms: DataFrame, arm_col: str = "arm") -> DataFrame:
         F.avg("green_fraction").alias("mean_green_fraction"))
 
 
-def greedy_rewrite_counts(df: DataFrame, id_col: str, ids_col: str, greedy: DataFrame,
-                          cfg: WatermarkConfig) -> DataFrame:
-    """Watermarked arm by greedy decoding under teacher forcing (G5 with the bias
-    of G2): every second token is replaced by the biased argmax successor of the
-    original token before it; other tokens are kept. Returns per text the
-    standard-mode counts of the rewritten sequence: (id, T, g, n).
+LITERAL_V = 1 << 20  # up to this vocabulary size per-token tables are constants of the plan
 
-    The rewritten bigram at position i needs tokens i-2..i, so rows carry that
-    context; one broadcast join with the greedy table (at most V rows, one per
-    predecessor) and one aggregation per text follow (partial, then shuffle).
-    """
+
+def rewrite_counts(df: DataFrame, ids_col: str, greedy: DataFrame, cfg: WatermarkConfig) -> DataFrame:
+    """Watermarked arm by greedy decoding under teacher forcing (G5 with the bias of G2): every
+    second token is replaced by the biased argmax successor of the original token before it;
+    other tokens are kept. ``df`` with the standard-mode counts T and g of the rewritten text.
+
+    Successors and greenlist keys are arrays of V elements, constants of the plan (V is a
+    parameter), so a text is rewritten and counted in its row: nothing is exploded, joined or
+    grouped. ``greedy``: (prev, next_tok), at most V rows. Beyond ``LITERAL_V`` the successors
+    are joined to exploded rows instead, and each row is put together again."""
+    if cfg.vocab_size > LITERAL_V:
+        return _rewrite_counts_joined(df, ids_col, greedy, cfg)
+    V = cfg.vocab_size
+    succ = [-1] * V
+    for r in greedy.select("prev", "next_tok").collect():  # at most V rows
+        succ[r["prev"]] = r["next_tok"]
+    keys = [int(hashlib.md5(str(cfg.hash_key * p).encode()).hexdigest()[:15], 16) for p in range(V)]
+    successor = cps.literal_array(succ, "bigint")
+    mult = cps.literal_array([k % (V - 1) + 1 for k in keys], "bigint")
+    shift = cps.literal_array([k // (V - 1) % V for k in keys], "bigint")
+    ids = F.col(ids_col)
+
+    def chosen(before: Column, kept: Column) -> Column:
+        return F.coalesce(F.nullif(F.get(successor, before.cast("int")), F.lit(-1)), kept)
+
+    def green(i: Column) -> Column:  # the bigram of elements i - 1 and i, from 0
+        odd = i % 2 == 1
+        p, c = F.get(ids, i - 1), F.get(ids, i)
+        prev = F.when(odd, p).otherwise(chosen(F.get(ids, i - 2), p)).cast("int")
+        tok = F.when(odd, chosen(p, c)).otherwise(c)
+        return gl.green_from_rank((F.get(mult, prev) * tok + F.get(shift, prev)) % F.lit(V).cast("bigint"), cfg)
+
+    places = F.when(F.size(ids) > 1, F.sequence(F.lit(1), F.size(ids) - 1)).otherwise(F.array().cast("array<int>"))
+    out = df.withColumn("T", F.greatest(F.size(ids) - 1, F.lit(0)).cast("bigint"))
+    return out.withColumn("g", F.size(F.filter(places, green)).cast("bigint"))
+
+
+def _rewrite_counts_joined(df: DataFrame, ids_col: str, greedy: DataFrame, cfg: WatermarkConfig) -> DataFrame:
     t = F.col(ids_col)
     n = F.size(t)
-    # positions i = 1..n-1 (0-based current token): shifted slices zipped natively
     cur = F.slice(t, 2, F.greatest(n - 1, F.lit(0)))
     prev = F.slice(t, 1, F.greatest(n - 1, F.lit(0)))
     prev2 = F.concat(F.array(F.lit(None).cast("bigint")), F.slice(t, 1, F.greatest(n - 2, F.lit(0))))
     ctx = F.arrays_zip(prev2.alias("pp"), prev.alias("p"), cur.alias("c"))
-    rows = df.select(id_col, F.posexplode(ctx).alias("_j", "r")).where(F.col("r.c").isNotNull()).select(
-        id_col, (F.col("_j") + 1).alias("i"), "r.p", "r.pp", "r.c")
-    rows = rows.withColumn("_key", F.when(F.col("i") % 2 == 1, F.col("p")).otherwise(F.col("pp")))
-    if cfg.vocab_size > 50_000_000:
-        raise ValueError("greedy table too large to broadcast")
-    g = F.broadcast(greedy.select(F.col("prev").alias("_key"), F.col("next_tok").alias("_g")))
-    j = rows.join(g, "_key", "left")
-    odd = F.col("i") % 2 == 1
-    wp = F.when(odd, F.col("p")).otherwise(F.coalesce(F.col("_g"), F.col("p")))
-    wc = F.when(odd, F.coalesce(F.col("_g"), F.col("c"))).otherwise(F.col("c"))
-    j = gl.with_green(j.select(id_col, wp.alias("_wp"), wc.alias("_wc")), "_wp", "_wc", cfg, "_green")
-    return j.groupBy(id_col).agg(F.count(F.lit(1)).alias("T"), F.sum(F.col("_green").cast("long")).alias("g"))
+    rows = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_all", F.struct(*df.columns)) \
+        .select("_row", F.col("_all").alias("_kept"), F.posexplode_outer(ctx).alias("_j", "r"))
+    odd = F.col("_j") % 2 == 0
+    rows = rows.select("_row", F.when(F.col("_j") == 0, F.col("_kept")).otherwise(
+        F.when(F.col("_j").isNull(), F.col("_kept"))).alias("_kept"), odd.alias("_odd"), "r.p", "r.c",
+        F.when(odd, F.col("r.p")).otherwise(F.col("r.pp")).alias("_key"))
+    j = rows.join(greedy.select(F.col("prev").alias("_key"), F.col("next_tok").alias("_g")), "_key", "left")
+    wp = F.when(F.col("_odd"), F.col("p")).otherwise(F.coalesce("_g", "p"))
+    wc = F.when(F.col("_odd"), F.coalesce("_g", "c")).otherwise(F.col("c"))
+    j = j.select("_row", "_kept", "c", gl.is_green(wp, wc, cfg).alias("_green"))
+    agg = j.groupBy("_row").agg(F.first("_kept", ignorenulls=True).alias("_kept"), F.count("c").alias("T"),
+                                F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("_green").cast("long"))), F.lit(0)).alias("g"))
+    return agg.select("_kept.*", "T", "g")
 
 
 def run_evaluation(spark, cfg: WatermarkConfig, sf_dir: str, results_path: str,

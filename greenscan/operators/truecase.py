@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from greenscan.operators import lookup
+
 WORD = r"[\p{L}\p{N}]+"
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 SEGMENT = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
@@ -43,74 +45,53 @@ def _capitalize(w: Column) -> Column:
     return F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))
 
 
-def truecase_apply(df: DataFrame, model: DataFrame, id_col: str, text_col: str = "text",
-                   out_col: str = "truecased", sentence_start: bool = True,
-                   join_with_spaces: bool = False) -> DataFrame:
-    """Lower-case, then give each word its learned form; sentence-initial words are
-    capitalised (F11). ``sentence_start=False, join_with_spaces=True`` is the
-    tagger-only variant that joins tokens with single spaces (F12).
-
-    Only forms that differ from the lower-case key take part in the join, and the
-    join is left to adaptive execution (broadcast when measured small, skew split
-    when one word is very frequent). A document is re-assembled from its own
-    segments, bounded by its length.
-    """
-    forms = model.where(F.col("form") != F.col("key")).select(F.col("key").alias("_k"), F.col("form"))
+def truecase_rows(df: DataFrame, model: DataFrame, text_col: str, out_col: str, sentence_start: bool = True,
+                  join_with_spaces: bool = False) -> DataFrame:
+    """``df`` with ``out_col``: the text lower-cased, each word in its learned form,
+    sentence-initial words capitalised (F11). ``sentence_start=False, join_with_spaces=True``
+    is the tagger-only variant that joins tokens with single spaces (F12).
+
+    One row out per row in, whatever the ids: the distinct words of a text are looked up in
+    the model (:mod:`greenscan.operators.lookup`) and the text is rebuilt in its row. A null
+    text stays null, an empty one empty."""
     low = F.lower(F.col(text_col))
-    if join_with_spaces:
-        segs = F.regexp_extract_all(low, F.lit(TOKEN), 0)
-    else:
-        segs = F.regexp_extract_all(low, F.lit(SEGMENT), 0)
-    base = df.select(id_col, segs.alias("_s"))
+    pattern = TOKEN if join_with_spaces else SEGMENT
     is_word = lambda s: s.rlike(r"^[\p{L}\p{N}]")
+    rows = df.withColumn("_segs", F.regexp_extract_all(low, F.lit(pattern), 0))
+    head = model.orderBy(F.col("n_total").desc(), "key").limit(lookup.HEAD)
+    # equal texts have equal segments; the text names them without writing the array out
+    rows = lookup.with_dictionary(rows, "_segs", model, "key", "form", head, wanted=is_word, name=F.md5(low))
+    segs = F.col("_segs")
     # sentence start: first word, or previous non-word segment ends a sentence
     if join_with_spaces:
-        starts = sentence_start_flags(F.col("_s"))
-    else:
-        starts = F.transform("_s", lambda s, i: (i == 0) | ((i == 1) & ~is_word(F.element_at(F.col("_s"), 1)))
-                             | F.element_at(F.col("_s"), F.greatest(i, F.lit(1))).rlike(r"[.!?]\s*$"))
-    rows = base.select(id_col, F.posexplode(F.arrays_zip(F.col("_s").alias("seg"), starts.alias("st")))
-                       .alias("i", "z"))
-    rows = rows.select(id_col, "i", F.col("z.seg").alias("seg"), F.col("z.st").alias("st"))
-    # separators (two fifths of all segments, one blank most of them) have no learned form:
-    # they get a null key, which joins with nothing and is spread by a random salt
-    rows = rows.withColumn("_w", F.when(is_word(F.col("seg")), F.col("seg")))
-    plain = rows.where(F.col("_w").isNull()).withColumn("form", F.lit(None).cast("string"))
-    j = rows.where(F.col("_w").isNotNull()).join(forms, F.col("_w") == F.col("_k"), "left").drop("_k") \
-        .unionByName(plain)
-    if sentence_start:
-        val = F.when(F.col("st") & is_word(F.col("seg")), _capitalize(F.coalesce(F.col("form"), F.col("seg"))))
-        val = val.otherwise(F.coalesce(F.col("form"), F.col("seg")))
+        starts = lambda i: (i == 0) | F.get(segs, i - 1).isin(*SENTENCE_END)
     else:
-        val = F.coalesce(F.col("form"), F.col("seg"))
-    j = j.select(id_col, "i", val.alias("v"))
+        starts = lambda i: (i == 0) | ((i == 1) & ~is_word(F.get(segs, F.lit(0)))) \
+            | F.get(segs, i - 1).rlike(r"[.!?]\s*$")
+
+    def shown(s: Column, i: Column) -> Column:
+        form = F.coalesce(lookup.value_of(s), s)
+        if sentence_start:
+            form = F.when(starts(i), _capitalize(form)).otherwise(form)
+        return F.when(is_word(s), form).otherwise(s)
+
     sep = " " if join_with_spaces else ""
-    agg = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_l"))
-    out = agg.select(id_col, F.array_join(F.transform("_l", lambda s: s["v"]), sep).alias(out_col))
-    # documents with no segments (empty text) keep an empty string
-    keep = df.select(id_col, F.col(text_col).alias("_orig"))
-    return keep.join(out, id_col, "left").select(
-        id_col, F.when(F.col("_orig").isNull(), F.lit(None)).otherwise(F.coalesce(F.col(out_col), F.lit("")))
-        .alias(out_col))
+    return rows.withColumn(out_col, F.array_join(F.transform("_segs", shown), sep)).drop("_segs", lookup.DICT)
+
+
+def truecase_apply(df: DataFrame, model: DataFrame, id_col: str, text_col: str = "text",
+                   out_col: str = "truecased", sentence_start: bool = True,
+                   join_with_spaces: bool = False) -> DataFrame:
+    """(id, truecased text) of every row (F11, F12); ids may repeat and be null."""
+    return truecase_rows(df.select(id_col, text_col), model, text_col, out_col, sentence_start, join_with_spaces) \
+        .select(id_col, out_col)
 
 
 def truecase_normalizer(df: DataFrame, col: str, key: str | None = None,
                         model: DataFrame | None = None) -> DataFrame:
     """``truecase`` in a detection chain, with a ``model`` learned beforehand from text of
     sound casing (:func:`truecase_model`). Without one it is learned from the same table, and
-    a row's result then depends on the others.
-
-    With ``key`` (a unique row id) the rows are hash-partitioned by it once; the
-    segment rows, their re-assembly and the join back then stay in those partitions
-    (one exchange of the text). Without a key, each distinct text is truecased once
-    and joined back on the text itself - exact, but the text is shuffled twice."""
+    a row's result then depends on the others. Rows need no key (``key`` is accepted and not
+    used)."""
     model = truecase_model(df, col) if model is None else model
-    if key is not None:
-        d = df.repartition(key)
-        tc = truecase_apply(d, model, key, col, "_tc_text")
-        return d.join(tc, key, "left").withColumn(col, F.col("_tc_text")).drop("_tc_text")
-    texts = df.select(F.col(col).alias("_tc_key")).where(F.col("_tc_key").isNotNull()).distinct() \
-        .withColumn("_tc_src", F.col("_tc_key"))
-    tc = truecase_apply(texts, model, "_tc_key", "_tc_src", "_tc_text")
-    out = df.join(tc, df[col] == tc["_tc_key"], "left")
-    return out.withColumn(col, F.col("_tc_text")).drop("_tc_key", "_tc_text")
+    return truecase_rows(df, model, col, "_tc_text").withColumn(col, F.col("_tc_text")).drop("_tc_text")

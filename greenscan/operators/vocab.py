@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from greenscan.config import next_prime
+from greenscan.operators import lookup
 from greenscan.operators.ranking import global_row_number
 
 
@@ -56,3 +57,24 @@ def reassemble(rows: DataFrame, key: str, pos_col: str, value_col: str, out_col:
     by the document's length)."""
     agg = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(pos_col, value_col))).alias("_s"))
     return agg.select(key, F.transform("_s", lambda s: s[value_col]).alias(out_col))
+
+
+def encode_lists(df: DataFrame, vocab: DataFrame, tokens_col: str = "tokens", out_col: str = "ids",
+                 unk_id: int = -1, reserved: int = 0) -> DataFrame:
+    """Token arrays -> id arrays, one row out per row in (J4). Unknown tokens get ``unk_id``;
+    a null array stays null, an empty one empty. Ids go by frequency, so the lowest ones are
+    the head that is broadcast; the rest of the vocabulary is joined, never collected."""
+    head = vocab.where(F.col("token_id") < reserved + lookup.HEAD)
+    return lookup.replaced(df, tokens_col, out_col, vocab, "token", "token_id", head,
+                           lambda x: F.lit(unk_id).cast("bigint"))
+
+
+def decode_lists(df: DataFrame, vocab: DataFrame, ids_col: str = "ids", out_col: str = "tokens",
+                 special_ids=(), unk_token: str = "<unk>", reserved: int = 0) -> DataFrame:
+    """Id arrays -> token arrays, one row out per row in (F15). Special ids are dropped, as
+    skip_special_tokens does; ids without a token give ``unk_token``."""
+    head = vocab.where(F.col("token_id") < reserved + lookup.HEAD)
+    plain = df
+    if special_ids:
+        plain = df.withColumn(ids_col, F.filter(ids_col, lambda x: ~F.coalesce(x.isin(list(special_ids)), F.lit(False))))
+    return lookup.replaced(plain, ids_col, out_col, vocab, "token_id", "token", head, lambda x: F.lit(unk_token))

@@ -35,11 +35,12 @@ def green_sql(p: str, c: str, cfg: WatermarkConfig) -> str:
 
 def token_ids_cte(table: str, id_col: str, text_col: str, cfg: WatermarkConfig,
                   extra: str = "") -> str:
-    """(id, pos, c) per token, positions from 1; plus the guard per document."""
+    """(id, pos, c) per token, positions from 1. Every row is a document of its own: ``id``
+    numbers the rows, ``key`` is the table's id, which may repeat and be null."""
     pat = cfg.token_pattern
     src = "lower(txt)" if cfg.lowercase else "txt"
     return f"""
-docs AS (SELECT {id_col} AS id, {text_col} AS txt{extra} FROM {table}),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS id, {id_col} AS key, {text_col} AS txt{extra} FROM {table}),
 toks AS (SELECT id, regexp_extract_all({src}, '{pat}') AS t FROM docs),
 pos AS (SELECT id, unnest(t) AS w, generate_subscripts(t, 1) AS pos FROM toks),
 tid AS (SELECT id, pos, {tok_id('w', cfg)} AS c FROM pos),
@@ -55,16 +56,16 @@ sc AS (SELECT {distinct} id, p, c FROM bg WHERE p IS NOT NULL),
 agg AS (SELECT id, count(*)::BIGINT AS t,
                sum(CASE WHEN {green_sql('p', 'c', cfg)} THEN 1 ELSE 0 END)::BIGINT AS g
         FROM sc GROUP BY id),
-st AS (SELECT d.id, agg.t, agg.g,
+st AS (SELECT d.key, agg.t, agg.g,
          CASE WHEN d.txt IS NULL THEN 'null_input'
               WHEN length(d.txt) - 1 <= 1 THEN 'too_short'
               WHEN agg.t IS NULL THEN 'too_few_tokens' ELSE 'ok' END AS status
        FROM docs d LEFT JOIN agg ON d.id = agg.id),
-m AS (SELECT id, status,
+m AS (SELECT key, status,
         CASE WHEN status = 'ok' THEN t END AS t, CASE WHEN status = 'ok' THEN g END AS g FROM st),
-zz AS (SELECT id, status, t, g, {z} AS z_score FROM m),
+zz AS (SELECT key, status, t, g, {z} AS z_score FROM m),
 pp AS (SELECT *, {normal_sf_sql('z_score')} AS p_value FROM zz)
-SELECT id AS {id_col}, t AS num_tokens_scored, g AS num_green_tokens,
+SELECT key AS {id_col}, t AS num_tokens_scored, g AS num_green_tokens,
        CAST(g AS DOUBLE) / CAST(t AS DOUBLE) AS green_fraction, z_score, p_value,
        z_score > {float(cfg.z_threshold)!r}e0 AS prediction,
        CASE WHEN z_score > {float(cfg.z_threshold)!r}e0 THEN 1.0e0 - p_value END AS confidence,
@@ -73,7 +74,7 @@ FROM pp"""
 
 
 def status_cte(agg: str = "agg") -> str:
-    return f"""st AS (SELECT d.id, {agg}.t, {agg}.g,
+    return f"""st AS (SELECT d.id, d.key, {agg}.t, {agg}.g,
          CASE WHEN d.txt IS NULL THEN 'null_input'
               WHEN length(d.txt) - 1 <= 1 THEN 'too_short'
               WHEN {agg}.t IS NULL THEN 'too_few_tokens' ELSE 'ok' END AS status
@@ -88,7 +89,7 @@ agg AS (SELECT id, count(*)::BIGINT AS t, sum(CASE WHEN green THEN 1 ELSE 0 END)
                string_agg(CASE WHEN green THEN '1' ELSE '0' END, '' ORDER BY pos) AS bits
         FROM gm GROUP BY id),
 {status_cte()}
-SELECT st.id AS doc_id, CASE WHEN status = 'ok' THEN st.t END AS num_tokens_scored,
+SELECT st.key AS doc_id, CASE WHEN status = 'ok' THEN st.t END AS num_tokens_scored,
        CASE WHEN status = 'ok' THEN st.g END AS num_green_tokens,
        CASE WHEN status = 'ok' THEN agg.bits END AS mask_bits, status
 FROM st LEFT JOIN agg ON st.id = agg.id"""
@@ -97,8 +98,8 @@ FROM st LEFT JOIN agg ON st.id = agg.id"""
 def bigram_freq_sql(cfg: WatermarkConfig) -> str:
     return f"""
 WITH {token_ids_cte("documents", "doc_id", "text", cfg)}
-SELECT id AS doc_id, p AS prev, c AS tok, count(*)::BIGINT AS n, {green_sql('p', 'c', cfg)} AS is_green
-FROM bg WHERE p IS NOT NULL GROUP BY id, p, c"""
+SELECT docs.key AS doc_id, p AS prev, c AS tok, count(*)::BIGINT AS n, {green_sql('p', 'c', cfg)} AS is_green
+FROM bg JOIN docs USING (id) WHERE p IS NOT NULL GROUP BY docs.id, docs.key, p, c"""
 
 
 def bigram_green_table_sql(cfg: WatermarkConfig) -> str:
@@ -111,9 +112,9 @@ SELECT p AS prev, c AS tok, n, {green_sql('p', 'c', cfg)} AS is_green FROM agg""
 def greenlist_explicit_sql(cfg: WatermarkConfig) -> str:
     return f"""
 WITH {token_ids_cte("documents", "doc_id", "text", cfg)}
-SELECT id AS doc_id, count(*)::BIGINT AS num_tokens_scored,
-       sum(CASE WHEN {green_sql('p', 'c', cfg)} THEN 1 ELSE 0 END)::BIGINT AS num_green_tokens
-FROM bg WHERE p IS NOT NULL GROUP BY id"""
+SELECT docs.key AS doc_id, count(p)::BIGINT AS num_tokens_scored,
+       coalesce(sum(CASE WHEN p IS NOT NULL AND {green_sql('p', 'c', cfg)} THEN 1 ELSE 0 END), 0)::BIGINT AS num_green_tokens
+FROM docs LEFT JOIN bg USING (id) GROUP BY docs.id, docs.key"""
 
 
 def _tokens_sql(cfg: WatermarkConfig = CFG) -> str:
@@ -125,8 +126,8 @@ SELECT doc_id, len({_tokens_sql()})::BIGINT AS n_tokens, array_to_string({_token
 FROM documents"""
 
 VOCAB_CTE = f"""
-toks AS (SELECT doc_id, {_tokens_sql()} AS t FROM documents),
-pos AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM toks),
+toks AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, {_tokens_sql()} AS t FROM documents),
+pos AS (SELECT id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM toks),
 cnt AS (SELECT token, count(*)::BIGINT AS n FROM pos GROUP BY token),
 vocab AS (SELECT token, n, (row_number() OVER (ORDER BY n DESC, token) - 1)::BIGINT AS token_id FROM cnt)"""
 
@@ -134,9 +135,14 @@ VOCAB_BUILD_SQL = f"WITH {VOCAB_CTE} SELECT token, n, token_id FROM vocab"
 
 VOCAB_ENCODE_SQL = f"""
 WITH {VOCAB_CTE}
-SELECT pos.doc_id, count(*)::BIGINT AS n_tokens,
-       string_agg(CAST(vocab.token_id AS VARCHAR), ' ' ORDER BY pos.pos) AS ids_joined
-FROM pos JOIN vocab ON pos.token = vocab.token GROUP BY pos.doc_id"""
+SELECT toks.doc_id, len(any_value(t))::BIGINT AS n_tokens,
+       CASE WHEN any_value(t) IS NOT NULL THEN
+         coalesce(string_agg(CAST(vocab.token_id AS VARCHAR), ' ' ORDER BY pos.pos), '') END AS ids_joined
+FROM toks LEFT JOIN pos USING (id) LEFT JOIN vocab ON pos.token = vocab.token GROUP BY toks.id, toks.doc_id"""
+
+# encoding, then decoding, gives the tokens themselves
+IDS_TO_TEXT_SQL = f"""
+SELECT doc_id, len({_tokens_sql()})::BIGINT + 1 AS n_ids, array_to_string({_tokens_sql()}, ' ') AS text FROM documents"""
 
 
 def bos_strip_sql(cfg: WatermarkConfig) -> str:
@@ -146,7 +152,7 @@ WITH {token_ids_cte("documents", "doc_id", "text", cfg)},
 agg AS (SELECT id, count(*)::BIGINT AS t,
                sum(CASE WHEN {green_sql('p', 'c', cfg)} THEN 1 ELSE 0 END)::BIGINT AS g
         FROM bg WHERE p IS NOT NULL GROUP BY id)
-SELECT d.id AS doc_id, agg.t AS num_tokens_scored, agg.g AS num_green_tokens, {z} AS z_score,
+SELECT d.key AS doc_id, agg.t AS num_tokens_scored, agg.g AS num_green_tokens, {z} AS z_score,
        CASE WHEN agg.t IS NULL THEN 'too_few_tokens' ELSE 'ok' END AS status
 FROM docs d LEFT JOIN agg ON d.id = agg.id"""
 
@@ -185,15 +191,13 @@ SELECT doc_id, text_norm, length(text_norm)::BIGINT AS n_chars FROM n"""
 def homoglyph_canon_sql(maps: dict) -> str:
     """Vote as in script_vote_sql, then translate with the same fixed maps (literals
     built from the ICU character dimension)."""
-    vote = script_vote_sql()
-    cases = " ".join(f"WHEN v.target = '{t}' THEN translate(d.a, {lit(src)}, {lit(dst)})"
+    vote = script_vote_sql("d.a, d.text, ")
+    cases = " ".join(f"WHEN v.target = '{t}' THEN translate(v.a, {lit(src)}, {lit(dst)})"
                      for t, (src, dst) in maps.items() if t in VOTE_SCRIPTS)
     return f"""
-WITH sv AS ({vote}),
-d AS (SELECT doc_id, text, translate(text, '{ATTACK_FROM}', '{ATTACK_TO}') AS a FROM documents),
-c AS (SELECT d.doc_id, v.target, d.text, CASE {cases} ELSE d.a END AS canon
-      FROM d JOIN sv v ON d.doc_id = v.doc_id)
-SELECT doc_id, target, canon = text AS restored, length(canon)::BIGINT AS n_chars FROM c"""
+WITH v AS ({vote}),
+c AS (SELECT v.doc_id, v.target, v.text, CASE {cases} ELSE v.a END AS canon FROM v)
+SELECT doc_id, target, canon, canon = text AS restored, length(canon)::BIGINT AS n_chars FROM c"""
 
 
 def homoglyph_variants_sql(rows) -> str:
@@ -268,7 +272,7 @@ SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(s, ',') END AS sc
        CASE WHEN text IS NOT NULL THEN len(s)::BIGINT END AS n_scripts FROM f"""
 
 
-def script_vote_sql() -> str:
+def script_vote_sql(more: str = "") -> str:
     att = f"translate(text, '{ATTACK_FROM}', '{ATTACK_TO}')"
     cnt = lambda s: f"len(regexp_extract_all(a, '{re2_class(s)}'))::BIGINT"
     cands = ", ".join(
@@ -276,20 +280,20 @@ def script_vote_sql() -> str:
         f"'first': CASE WHEN {cnt(s)} > 0 THEN strpos(a, regexp_extract(a, '{re2_class(s)}')) ELSE 0 END}}"
         for s in VOTE_SCRIPTS)
     return f"""
-WITH d AS (SELECT doc_id, {att} AS a FROM documents),
-c AS (SELECT doc_id, unnest([{cands}]) AS s FROM d),
-r AS (SELECT doc_id, s.script AS script, s.n AS n,
-             row_number() OVER (PARTITION BY doc_id ORDER BY s.n DESC, s.first ASC) AS rk FROM c),
-v AS (SELECT doc_id, CASE WHEN n > 0 THEN script ELSE 'COMMON' END AS target FROM r WHERE rk = 1)
-SELECT d.doc_id, {cnt('LATIN').replace('a,', 'd.a,')} AS n_latin, {cnt('CYRILLIC').replace('a,', 'd.a,')} AS n_cyrillic,
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, text, {att} AS a FROM documents),
+c AS (SELECT id, unnest([{cands}]) AS s FROM d),
+r AS (SELECT id, s.script AS script, s.n AS n,
+             row_number() OVER (PARTITION BY id ORDER BY s.n DESC, s.first ASC) AS rk FROM c),
+v AS (SELECT id, CASE WHEN n > 0 THEN script WHEN n = 0 THEN 'COMMON' END AS target FROM r WHERE rk = 1)
+SELECT d.doc_id, {more}{cnt('LATIN').replace('a,', 'd.a,')} AS n_latin, {cnt('CYRILLIC').replace('a,', 'd.a,')} AS n_cyrillic,
        {cnt('GREEK').replace('a,', 'd.a,')} AS n_greek, {cnt('COMMON').replace('a,', 'd.a,')} AS n_common, v.target
-FROM d JOIN v ON d.doc_id = v.doc_id"""
+FROM d JOIN v USING (id)"""
 
 
 TRUECASE_MODEL_SQL = rf"""
-WITH toks AS (SELECT doc_id, regexp_extract_all(text, '{TC_TOKEN}') AS t FROM documents),
-pos AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS pos FROM toks),
-lg AS (SELECT w, lag(w) OVER (PARTITION BY doc_id ORDER BY pos) AS pw FROM pos),
+WITH toks AS MATERIALIZED (SELECT row_number() OVER () AS id, regexp_extract_all(text, '{TC_TOKEN}') AS t FROM documents),
+pos AS (SELECT id, unnest(t) AS w, generate_subscripts(t, 1) AS pos FROM toks),
+lg AS (SELECT w, lag(w) OVER (PARTITION BY id ORDER BY pos) AS pw FROM pos),
 mid AS (SELECT w FROM lg WHERE pw IS NOT NULL AND pw NOT IN ('.', '!', '?')
         AND regexp_matches(w, '^\p{{L}}')),
 cnt AS (SELECT lower(w) AS key, w AS form, count(*)::BIGINT AS n FROM mid GROUP BY 1, 2),
@@ -350,7 +354,7 @@ def paired_cte(cfg) -> str:
     zw = z_score_sql("wg", "wt", cfg.gamma)
     zo = z_score_sql("og", "ot", cfg.gamma)
     thr = f"{float(cfg.z_threshold)!r}e0"
-    return f"""{cand_cte(cfg, "(SELECT * FROM documents WHERE doc_id IS NOT NULL)")},
+    return f"""{cand_cte(cfg)},
 greedy AS (SELECT prev, tok AS g FROM (SELECT prev, tok,
              row_number() OVER (PARTITION BY prev ORDER BY biased_score DESC, tok ASC) AS rk FROM biased)
            WHERE rk = 1),
@@ -363,8 +367,8 @@ wb AS (SELECT tri.id,
 wagg AS (SELECT id, count(*)::BIGINT AS wt, sum({_green_ok(cfg, 'wp', 'wc')})::BIGINT AS wg FROM wb GROUP BY id),
 oagg AS (SELECT id, count(*)::BIGINT AS ot, sum({_green_ok(cfg)})::BIGINT AS og FROM bg
          WHERE p IS NOT NULL GROUP BY id),
-base AS (SELECT toks.id, len(toks.t)::BIGINT AS n, oagg.ot, oagg.og, wagg.wt, wagg.wg
-         FROM toks LEFT JOIN oagg ON toks.id = oagg.id LEFT JOIN wagg ON toks.id = wagg.id),
+base AS (SELECT docs.key AS id, len(toks.t)::BIGINT AS n, oagg.ot, oagg.og, wagg.wt, wagg.wg
+         FROM toks JOIN docs USING (id) LEFT JOIN oagg ON toks.id = oagg.id LEFT JOIN wagg ON toks.id = wagg.id),
 zz AS (SELECT *, {zo} AS oz, {zw} AS wz FROM base),
 paired AS (
 SELECT CAST(id AS VARCHAR) AS id,
@@ -451,8 +455,9 @@ def sweep_grid_sql(cfg, grid):
 WITH {token_ids_cte("documents", "doc_id", "text", cfg)},
 rk AS (SELECT id, {rank} AS r FROM bg WHERE p IS NOT NULL),
 grid AS (SELECT * FROM (VALUES {vals}) AS v(gamma, n_green)),
-agg AS (SELECT id, gamma, count(*)::BIGINT AS t,
-               sum(CASE WHEN r < n_green THEN 1 ELSE 0 END)::BIGINT AS g FROM rk, grid GROUP BY id, gamma)
+agg AS (SELECT docs.key AS id, gamma, nullif(count(r), 0)::BIGINT AS t,
+               sum(CASE WHEN r < n_green THEN 1 WHEN r IS NOT NULL THEN 0 END)::BIGINT AS g
+        FROM docs CROSS JOIN grid LEFT JOIN rk ON rk.id = docs.id GROUP BY docs.id, docs.key, gamma)
 SELECT id AS doc_id, gamma, t AS num_tokens_scored, g AS num_green_tokens, {z} AS z_score,
        {z} > {float(cfg.z_threshold)!r}e0 AS prediction FROM agg"""
 
@@ -480,8 +485,10 @@ def display_table_sql(cfg):
 
 
 CATEGORY_CODES_SQL = """
-SELECT doc_id, lang, source, (dense_rank() OVER (ORDER BY lang) - 1)::BIGINT AS lang_code,
-       (dense_rank() OVER (ORDER BY source) - 1)::BIGINT AS source_code FROM documents"""
+SELECT doc_id, lang, source,
+       CASE WHEN lang IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY lang NULLS LAST) - 1 END::BIGINT AS lang_code,
+       CASE WHEN source IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY source NULLS LAST) - 1 END::BIGINT AS source_code
+FROM documents"""
 
 
 def truecase_apply_sql() -> str:
@@ -492,20 +499,22 @@ def truecase_apply_sql() -> str:
     return rf"""
 WITH model AS ({model}),
 forms AS (SELECT key, form FROM model WHERE form <> key),
-d AS (SELECT doc_id, text, regexp_extract_all(lower(translate(lower(text), 'aeiou', 'AEIOU')),
+d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, text, regexp_extract_all(lower(translate(lower(text), 'aeiou', 'AEIOU')),
                                               '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+') AS s FROM documents),
-seg AS (SELECT doc_id, unnest(s) AS seg, generate_subscripts(s, 1) AS i FROM d),
-ctx AS (SELECT doc_id, i, seg, lag(seg) OVER (PARTITION BY doc_id ORDER BY i) AS prev_seg,
-               first_value(seg) OVER (PARTITION BY doc_id ORDER BY i) AS first_seg FROM seg),
-st AS (SELECT ctx.doc_id, ctx.i, coalesce(forms.form, ctx.seg) AS v, regexp_matches(ctx.seg, '^[\p{{L}}\p{{N}}]') AS w,
+seg AS (SELECT id, unnest(s) AS seg, generate_subscripts(s, 1) AS i FROM d),
+ctx AS (SELECT id, i, seg, lag(seg) OVER (PARTITION BY id ORDER BY i) AS prev_seg,
+               first_value(seg) OVER (PARTITION BY id ORDER BY i) AS first_seg FROM seg),
+st AS (SELECT ctx.id, ctx.i, coalesce(forms.form, ctx.seg) AS v, regexp_matches(ctx.seg, '^[\p{{L}}\p{{N}}]') AS w,
               (ctx.i = 1 OR (ctx.i = 2 AND NOT regexp_matches(ctx.first_seg, '^[\p{{L}}\p{{N}}]'))
                OR regexp_matches(ctx.prev_seg, '[.!?]\s*$')) AS start
        FROM ctx LEFT JOIN forms ON ctx.seg = forms.key),
-out AS (SELECT doc_id, string_agg(CASE WHEN start AND w THEN upper(substr(v, 1, 1)) || substr(v, 2) ELSE v END,
-                                  '' ORDER BY i) AS truecased FROM st GROUP BY doc_id)
+out AS (SELECT id, string_agg(CASE WHEN start AND w THEN upper(substr(v, 1, 1)) || substr(v, 2) ELSE v END,
+                                  '' ORDER BY i) AS truecased FROM st GROUP BY id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(out.truecased, '') END AS truecased
-FROM d LEFT JOIN out ON d.doc_id = out.doc_id"""
+FROM d LEFT JOIN out USING (id)"""
+
 
+NOT_LABELLED = "(SELECT * FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id))"
 
 ORACLE = {
     "detect_distinct": detect_sql(CFG_DISTINCT),
@@ -518,6 +527,7 @@ ORACLE = {
     "tokenize": TOKENIZE_SQL,
     "vocab_build": VOCAB_BUILD_SQL,
     "vocab_encode": VOCAB_ENCODE_SQL,
+    "ids_to_text": IDS_TO_TEXT_SQL,
     "bos_strip": bos_strip_sql(CFG),
     "prompt_truncate": prompt_truncate_sql(PROMPT_CAP, TRUNC_NOTICE),
     "unicode_whitespaces": unicode_sql("whitespaces"),
@@ -538,13 +548,13 @@ ORACLE = {
     "histograms": histograms_sql(CFG, ANALYSIS_METRICS),
     "pair_corr": pair_corr_sql(CFG, ANALYSIS_METRICS),
     "sweep_grid": sweep_grid_sql(CFG, gamma_grid(vocab_size=CFG.vocab_size)),
-    "resume_anti_join": detect_sql(CFG, table="(SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))"),
+    "resume_anti_join": detect_sql(CFG, table=NOT_LABELLED),
     # a repeated id is scored once, whichever of its rows came first; tables at hand repeat none
-    "stream_detect": detect_sql(CFG, table="(SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))"),
+    "stream_detect": detect_sql(CFG, table=NOT_LABELLED),
     "detect_conversations": detect_sql(
-        CFG_DISTINCT, table="(SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS id, text "
+        CFG_DISTINCT, table="(SELECT concat_ws(':', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR)) AS id, text "
                             "FROM conversations)", id_col="id"),
-    "limit_ordered": detect_sql(CFG, table=f"(SELECT * FROM documents ORDER BY doc_id LIMIT {LIMIT_ROWS})"),
+    "limit_ordered": detect_sql(CFG, table=f"(SELECT * FROM documents ORDER BY doc_id NULLS FIRST LIMIT {LIMIT_ROWS})"),
     "display_table": display_table_sql(CFG),
     "category_codes": CATEGORY_CODES_SQL,
 }

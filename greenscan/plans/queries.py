@@ -22,7 +22,7 @@ from greenscan.operators import truecase as tc
 from greenscan.operators import vocab as vb
 from greenscan.operators.detect import detect_ids, detect_text, score_ids
 from greenscan.plans.common import CFG, CFG_DISTINCT, LIMIT_ROWS, documents
-from greenscan.session import scratch_path
+from greenscan.session import kept, scratch_path
 from greenscan.sources.tables import limit_ordered as limit_rows
 from greenscan.sources.tables import prepare_dataset, read_table, spread
 from greenscan.streaming import stream as st
@@ -66,23 +66,6 @@ def doc_ids(spark, sf_dir, cfg=CFG):
     return d.select("doc_id", text_to_ids(F.col("text"), cfg.vocab_size).alias("ids"))
 
 
-def doc_ids_by_doc(spark, sf_dir, cfg=CFG):
-    """Token ids hash-partitioned by ``_row``. Queries that read the ids in several
-    branches share this one exchange (Spark reuses identical exchanges), so the
-    text is tokenised once; per-document aggregations and joins on ``_row`` downstream
-    need no further shuffle. The partition count is the session's, so adaptive execution
-    may coalesce it.
-
-    ``_row`` names a document by its id, one without an id by a hash of its token ids (null
-    ids are neither dropped nor gathered in one partition); only equal texts without an id
-    share a key. It is never null, so no join filters one branch's exchange."""
-    d = doc_ids(spark, sf_dir, cfg)
-    content = F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), " "), 256)
-    row = F.coalesce(F.concat(F.lit("id:"), F.col("doc_id").cast("string")),
-                     F.concat(F.lit("text:"), content), F.lit("none"))
-    return d.withColumn("_row", row).repartition("_row")
-
-
 def doc_token_rows(spark, sf_dir):
     """(doc_id, pos, token) for every token, pos from 1."""
     d = documents(spark, sf_dir)
@@ -107,13 +90,7 @@ def bigram_green_table(spark, sf_dir):
 
 def greenlist_explicit(spark, sf_dir):
     """Green counts through a materialised greenlist (W2) and a join (J2), V = 101."""
-    cfg = CFG_SMALL_V
-    rows = bg.bigram_rows(doc_ids(spark, sf_dir, cfg), "doc_id", "ids", cfg.vocab_size)
-    table = bg.explicit_greenlist(rows.select("prev"), cfg)
-    marked = bg.green_by_table(rows, table)
-    return marked.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("num_tokens_scored"),
-        F.sum(F.col("is_green").cast("long")).alias("num_green_tokens"))
+    return bg.table_counts(doc_ids(spark, sf_dir, CFG_SMALL_V), "doc_id", "ids", CFG_SMALL_V)
 
 
 def tokenize(spark, sf_dir):
@@ -126,13 +103,32 @@ def vocab_build(spark, sf_dir):
     return vb.vocab_build(doc_token_rows(spark, sf_dir))
 
 
+SPECIAL_IDS = 2  # ids kept free below the vocabulary: unknown (0), begin of text (1)
+
+
+def encoded_docs(spark, sf_dir):
+    """(doc_id, tokens, ids) and the vocabulary. Tokens are written once: the vocabulary, the
+    lookups and the rebuilt arrays read them from there."""
+    d = kept(documents(spark, sf_dir).select("doc_id", tokenize_col(F.col("text")).alias("tokens")), "tokens")
+    vocab = kept(vb.vocab_build(d.select(F.explode("tokens").alias("token")), reserved=SPECIAL_IDS), "vocabulary")
+    return vb.encode_lists(d, vocab, "tokens", "ids", unk_id=0, reserved=SPECIAL_IDS), vocab
+
+
 def vocab_encode(spark, sf_dir):
-    rows = doc_token_rows(spark, sf_dir)
-    vocab = vb.vocab_build(rows)
-    enc = vb.encode(rows, vocab)
-    ids = vb.reassemble(enc, "doc_id", "pos", "token_id", "ids")
+    """Every document as ids of the learned vocabulary (J4), one row per row."""
+    ids, _ = encoded_docs(spark, sf_dir)
+    shown = F.transform("ids", lambda x: (x - SPECIAL_IDS).cast("string"))
     return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-                      F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids_joined"))
+                      F.array_join(shown, " ").alias("ids_joined"))
+
+
+def ids_to_text(spark, sf_dir):
+    """Ids with a begin-of-text id in front back to text, special ids skipped."""
+    ids, vocab = encoded_docs(spark, sf_dir)
+    begun = ids.select("doc_id", F.concat(F.array(F.lit(BOS_ID).cast("bigint")), "ids").alias("ids"))
+    back = vb.decode_lists(begun.withColumn("n_ids", F.size("ids").cast("bigint")), vocab, "ids", "tokens",
+                           special_ids=range(SPECIAL_IDS), reserved=SPECIAL_IDS)
+    return back.select("doc_id", "n_ids", F.array_join("tokens", " ").alias("text"))
 
 
 def bos_strip(spark, sf_dir):
@@ -163,6 +159,7 @@ QUERIES.update({
     "tokenize": tokenize,
     "vocab_build": vocab_build,
     "vocab_encode": vocab_encode,
+    "ids_to_text": ids_to_text,
     "bos_strip": bos_strip,
     "prompt_truncate": prompt_truncate,
 })
@@ -238,7 +235,7 @@ def homoglyph_canon(spark, sf_dir):
     d = d.select("doc_id", "text", "attacked", sc.vote(F.col("attacked")).alias("target"))
     c = d.select("doc_id", "target", hg.canonicalize(F.col("attacked"), spark, F.col("target")).alias("canon"),
                  "text")
-    return c.select("doc_id", "target", (F.col("canon") == F.col("text")).alias("restored"),
+    return c.select("doc_id", "target", "canon", (F.col("canon") == F.col("text")).alias("restored"),
                     F.char_length("canon").cast("bigint").alias("n_chars"))
 
 
@@ -312,18 +309,13 @@ def transition_table(spark, sf_dir):
 
 def paired_results(spark, sf_dir):
     """15-column result rows: WO = the document as written, W = the same document
-    rewritten by biased greedy decoding under teacher forcing (see evaluate)."""
-    d = doc_ids_by_doc(spark, sf_dir)
+    rewritten by biased greedy decoding under teacher forcing (see evaluate). Both arms are
+    scored in the document's row."""
+    d = doc_ids(spark, sf_dir)
     c = gen.bias_scores(scored_candidates(spark, sf_dir, d), CFG)
     greedy = gen.greedy_next(c, ["prev"], "biased_score")
-    w = ev.greedy_rewrite_counts(d, "_row", "ids", greedy, CFG)
-    wo = score_ids(d.withColumn("WO_num_output_token", F.size("ids").cast("bigint")), "ids", CFG, prefix="WO_")
-    pair = wo.join(w, "_row", "left")  # J3 on the document
-    # equal texts without an id were counted together: T and g are multiples of one text's
-    copies = F.when(F.col("doc_id").isNull() & (F.col("WO_num_output_token") > 1),
-                    F.call_function("div", F.col("T"), F.col("WO_num_output_token") - 1)).otherwise(F.lit(1))
-    pair = pair.withColumn("g", F.call_function("div", F.col("g"), copies)) \
-        .withColumn("T", F.call_function("div", F.col("T"), copies))
+    d = d.withColumn("WO_num_output_token", F.size("ids").cast("bigint"))
+    pair = score_ids(ev.rewrite_counts(d, "ids", greedy, CFG), "ids", CFG, prefix="WO_")
     ok = F.col("WO_status") == "ok"
     pair = pair.withColumn("W_num_tokens_scored", F.when(ok, F.col("T"))) \
         .withColumn("W_num_green_tokens", F.when(ok, F.col("g")))
@@ -337,13 +329,26 @@ def paired_results(spark, sf_dir):
     return pair.select(*ev.RESULT_COLUMNS)
 
 
+_RESULTS: dict[tuple, str] = {}
+
+
+def written_results(spark, sf_dir):
+    """The paired rows as a result file. Analysis reads it, as the reference's analysis does;
+    it is written once per session and state of the table (files, sizes and times), so the
+    analyses recompute nothing."""
+    files = read_table(spark, sf_dir, "documents").select(
+        "_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("long").alias("at"))
+    state = tuple(sorted(tuple(r) for r in files.distinct().collect()))
+    key = (spark.sparkContext.applicationId, state)
+    if key not in _RESULTS:
+        path = scratch_path(spark, "paired-results")
+        paired_results(spark, sf_dir).write.parquet(path)
+        _RESULTS[key] = path
+    return ev.read_results(spark, _RESULTS[key])
+
+
 def arms_long(spark, sf_dir):
-    """Analysis reads written results, as the reference's analysis reads its result
-    file: the paired rows are checkpointed to the session's checkpoint folder, which
-    also keeps filters on result columns from being pushed into the text scan."""
-    from greenscan.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    return ev.unpivot_arms(paired_results(spark, sf_dir).checkpoint(eager=True))
+    return ev.unpivot_arms(written_results(spark, sf_dir))
 
 
 def threshold_rates(spark, sf_dir):

@@ -56,4 +56,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/greenscan/{name}-{uuid.uuid4().hex[:12]}"
 
 
-__all__ = ["get_spark", "checkpoint_root", "ensure_checkpoint_dir", "scratch_path"]
+def kept(df, name: str):
+    """The rows written as a Parquet table under the checkpoint folder and read again: computed
+    once, whatever reads them, and read column by column."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+__all__ = ["get_spark", "checkpoint_root", "ensure_checkpoint_dir", "kept", "scratch_path"]
