@@ -72,7 +72,7 @@ def fast_count(text: Column, script: str) -> Column:
     other scripts are only scanned when the text holds foreign characters at all."""
     if script in ("LATIN",) + NEUTRAL_SCRIPTS:
         return script_count(text, script)
-    return F.when(has_foreign(text), script_count(text, script)).otherwise(F.lit(0).cast("bigint"))
+    return F.when(has_foreign(text), script_count(text, script)).when(text.isNotNull(), F.lit(0).cast("bigint"))
 
 
 def let(value: Column, body) -> Column:

@@ -279,20 +279,23 @@ def _rewrite_counts_joined(df: DataFrame, ids_col: str, greedy: DataFrame, cfg:
 
 
 def run_evaluation(spark, cfg: WatermarkConfig, sf_dir: str, results_path: str,
-                   model_words: int = 500, fmt: str = "parquet", models: dict | None = None) -> DataFrame:
+                   model_words: int = 500, fmt: str = "parquet", models: dict | None = None,
+                   batches: int = 16) -> DataFrame:
     """The batch evaluation of the reference as one job (section 3.1 of the survey):
     dataset profile scan with split and limit -> skip ids already in the results (J1)
     -> both arms generated (G6) -> both scored and paired (J3, P4) -> appended to the
-    results (S5) -> old and new rows together (U1).
+    results batch by batch (S5, Q21) -> old and new rows together (U1).
 
     Prompts are the documents cut to the prompt cap; the bigram model is learned from
-    the same table. The append is one write per call, so a rerun after a crash skips
-    what was written and continues.
+    the same table. Rows are appended in ``batches`` parts, dealt by their ids; a run that is
+    cut off leaves the parts that were written, and the next one skips their ids.
     """
     from greenscan.functions.normalize import apply_chain
     from greenscan.functions.tokens import text_to_ids
     from greenscan.operators import generate as gen
+    from greenscan.operators.batches import batch_of
     from greenscan.operators.detect import text_guard
+    from greenscan.session import kept
     from greenscan.sources.tables import prepare_dataset, spread
     cap = cfg.prompt_max_length or (2048 - cfg.max_new_tokens)
     data = spread(prepare_dataset(spark, sf_dir, cfg.dataset_name_or_path, cfg.dataset_section,
@@ -307,11 +310,15 @@ def run_evaluation(spark, cfg: WatermarkConfig, sf_dir: str, results_path: str,
         cfg.vocab_size, cfg.token_pattern, cfg.lowercase).alias("ids"))
     words = gen.top_word_ids(ids, "document", model_words, cfg.vocab_size)
     todo = skip_done(ids, existing, "id", "id")
-    prompts = todo.select("id", F.slice("ids", 1, cap).alias("ids"))
-    arms = gen.generate_paired(prompts, ids.select("ids"), cfg, "id", "ids", None, cfg.max_new_tokens,
-                               model_tokens=words)
-    new = paired_from_columns(arms, cfg)
-    append_results(new, results_path, fmt)
+    prompts = kept(todo.select("id", F.slice("ids", 1, cap).alias("ids"),
+                               batch_of(F.coalesce("id", F.lit("")), batches).alias("_batch")), "prompts")
+    for k in range(batches):
+        part = prompts.where(F.col("_batch") == k).drop("_batch")
+        if part.isEmpty():
+            continue
+        arms = gen.generate_paired(part, ids.select("ids"), cfg, "id", "ids", None, cfg.max_new_tokens,
+                                   model_tokens=words)
+        append_results(paired_from_columns(arms, cfg), results_path, fmt)
     # old rows and new ones (U1): the sink now holds both; drop the cached listing
     spark.catalog.refreshByPath(results_path)
     return read_results(spark, results_path, fmt)

@@ -153,7 +153,7 @@ agg AS (SELECT id, count(*)::BIGINT AS t,
                sum(CASE WHEN {green_sql('p', 'c', cfg)} THEN 1 ELSE 0 END)::BIGINT AS g
         FROM bg WHERE p IS NOT NULL GROUP BY id)
 SELECT d.key AS doc_id, agg.t AS num_tokens_scored, agg.g AS num_green_tokens, {z} AS z_score,
-       CASE WHEN agg.t IS NULL THEN 'too_few_tokens' ELSE 'ok' END AS status
+       CASE WHEN d.txt IS NULL THEN 'null_input' WHEN agg.t IS NULL THEN 'too_few_tokens' ELSE 'ok' END AS status
 FROM docs d LEFT JOIN agg ON d.id = agg.id"""
 
 
@@ -386,7 +386,7 @@ arms AS (
   UNION ALL
   SELECT id, 'W', W_num_tokens_scored, W_num_green_tokens, W_green_fraction, W_z_score, W_p_value,
          W_prediction, W_num_output_token FROM paired),
-complete AS (SELECT * FROM arms WHERE num_tokens_scored IS NOT NULL AND num_green_tokens IS NOT NULL
+complete AS (SELECT * FROM arms WHERE id IS NOT NULL AND num_tokens_scored IS NOT NULL AND num_green_tokens IS NOT NULL
              AND green_fraction IS NOT NULL AND z_score IS NOT NULL AND p_value IS NOT NULL
              AND prediction IS NOT NULL AND num_output_token IS NOT NULL)"""
 
@@ -548,6 +548,7 @@ ORACLE = {
     "histograms": histograms_sql(CFG, ANALYSIS_METRICS),
     "pair_corr": pair_corr_sql(CFG, ANALYSIS_METRICS),
     "sweep_grid": sweep_grid_sql(CFG, gamma_grid(vocab_size=CFG.vocab_size)),
+    "batched_results": detect_sql(CFG),
     "resume_anti_join": detect_sql(CFG, table=NOT_LABELLED),
     # a repeated id is scored once, whichever of its rows came first; tables at hand repeat none
     "stream_detect": detect_sql(CFG, table=NOT_LABELLED),

@@ -13,6 +13,7 @@ from greenscan.functions.stats import with_normal_sf
 from greenscan.functions.stats import z_score as z_col
 from greenscan.functions.tokens import text_to_ids, truncated_notice, truncation_flag
 from greenscan.functions.tokens import tokenize as tokenize_col
+from greenscan.operators import batches as bt
 from greenscan.operators import bigrams as bg
 from greenscan.operators import evaluate as ev
 from greenscan.operators import generate as gen
@@ -372,6 +373,29 @@ def sweep_grid(spark, sf_dir):
     return out.select("doc_id", "gamma", "num_tokens_scored", "num_green_tokens", "z_score", "prediction")
 
 
+RESULT_BATCHES = 8
+
+
+def batched_results(spark, sf_dir):
+    """Detection written batch by batch with a manifest (S5, Q21): the run is cut off after
+    three batches, started again, and ends with the rows of a single run."""
+    class Stopped(Exception):
+        pass
+
+    def stop(k):
+        if k == 2:
+            raise Stopped
+
+    folder = scratch_path(spark, "batched-results")
+    work = lambda rows: detect_text(rows, CFG, "text").select(*DETECT_COLS)
+    run = lambda **kw: bt.run_batches(documents(spark, sf_dir), folder, "doc_id", work, RESULT_BATCHES, "detect_standard", **kw)
+    try:
+        run(after=stop)
+    except Stopped:
+        pass
+    return run()
+
+
 def resume_anti_join(spark, sf_dir):
     """Score only documents not already done (the labelled ids stand for them)."""
     done = read_table(spark, sf_dir, "labels").select("doc_id")
@@ -418,6 +442,7 @@ QUERIES.update({
     "histograms": histograms,
     "pair_corr": pair_corr,
     "sweep_grid": sweep_grid,
+    "batched_results": batched_results,
     "resume_anti_join": resume_anti_join,
     "limit_ordered": limit_ordered,
     "display_table": display_table,
