@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from greenscan.functions import codepoints as cps
 from greenscan.functions.codepoints import IntervalTable, script_table
 from greenscan.functions.scripts import NEUTRAL_SCRIPTS, all_scripts, let, vote
 
@@ -76,7 +77,46 @@ def confusables(spark: SparkSession) -> DataFrame:
         .distinct()
 
 
-def alphabet(spark: SparkSession, categories=None, languages=None, chars=None) -> DataFrame:
+def alphabet_intervals(spark: SparkSession, categories=None, languages=None, chars=None,
+                       table: dict | DataFrame | None = None) -> cps.Intervals:
+    """Union of category alphabets, language alphabets and explicit chars as an interval set
+    (U2, S10); LATIN + COMMON when nothing is given. ``table`` is a user's language table: a
+    dict (replaces or extends the shipped one) or a (lang, ch) DataFrame (replaces it). Unknown
+    categories and languages are refused."""
+    if not categories and not languages and not chars:
+        categories = ("LATIN", "COMMON")
+    parts = [cps.of_chars(chars or ())]
+    if categories:
+        check_categories(categories)
+        parts.append(tuple((lo, hi) for lo, hi, name in script_table(spark).ranges() if name in set(categories)))
+    if languages:
+        letters = language_letters(table)
+        for lang in languages:
+            if lang not in letters:
+                raise ValueError(f"no alphabet for language {lang!r}")
+            parts.append(cps.of_chars(letters[lang]))
+    return cps.union(*parts)
+
+
+MAX_LETTERS = 200_000  # rows of a user's (lang, ch) table
+
+
+def language_letters(table: dict | DataFrame | None = None) -> dict[str, set[str]]:
+    """Language -> its letters in both cases, from the shipped table and a user's."""
+    if isinstance(table, DataFrame):
+        rows = table.select("lang", "ch").distinct().limit(MAX_LETTERS + 1).collect()
+        if len(rows) > MAX_LETTERS:
+            raise ValueError(f"a language table of more than {MAX_LETTERS} rows")
+        out: dict[str, set[str]] = {}
+        for r in rows:
+            out.setdefault(r["lang"], set()).add(r["ch"])
+        return out
+    known = {**{k: ASCII_LOWER + v for k, v in LANGUAGE_EXTRA.items()}, **(table or {})}
+    return {lang: set(letters) | set("".join(letters).upper()) for lang, letters in known.items()}
+
+
+def alphabet(spark: SparkSession, categories=None, languages=None, chars=None,
+             table: dict | DataFrame | None = None) -> DataFrame:
     """Union of category alphabets, language alphabets and explicit chars (U2);
     LATIN + COMMON when nothing is given. Unknown names fail here (S8, A16b)."""
     if not categories and not languages and not chars:
@@ -89,7 +129,7 @@ def alphabet(spark: SparkSession, categories=None, languages=None, chars=None) -
                 raise ValueError(f"no such script: {c}")
         parts.append(char_table(spark).where(F.col("script").isin(list(categories))).select("ch"))
     if languages:
-        parts.append(language_alphabet(spark, languages))
+        parts.append(language_alphabet(spark, languages, table))
     if chars:
         parts.append(spark.createDataFrame([(c,) for c in chars], "ch string"))
     out = parts[0]
@@ -112,21 +152,19 @@ LANGUAGE_EXTRA = {
 def language_table(spark: SparkSession, extra: dict | None = None) -> DataFrame:
     """(lang, ch): upper and lower case letters by language (S10). ``extra`` maps language
     codes to their letters and replaces or extends the shipped table."""
-    rows = set()
-    for lang, letters in {**{k: ASCII_LOWER + v for k, v in LANGUAGE_EXTRA.items()}, **(extra or {})}.items():
-        rows |= {(lang, c) for c in letters + letters.upper()}
-    return spark.createDataFrame(sorted(rows), "lang string, ch string")
+    rows = sorted((lang, c) for lang, letters in language_letters(extra).items() for c in letters)
+    return spark.createDataFrame(rows, "lang string, ch string")
 
 
 def language_alphabet(spark: SparkSession, languages, table: DataFrame | None = None) -> DataFrame:
     """(ch) for the given languages, upper and lower case (A16b); ``table`` (lang, ch) is a
-    user's own language table."""
-    if table is None:
-        for lang in languages:
-            if lang not in LANGUAGE_EXTRA:
-                raise ValueError(f"no alphabet for language {lang!r}")
-        table = language_table(spark)
-    return table.where(F.col("lang").isin(list(languages))).select("ch").distinct()
+    user's own language table. Names that the table lacks are refused."""
+    letters = language_letters(table)
+    for lang in languages:
+        if lang not in letters:
+            raise ValueError(f"no alphabet for language {lang!r}")
+    chars = sorted({c for lang in languages for c in letters[lang]})
+    return spark.createDataFrame([(c,) for c in chars], "ch string")
 
 
 def languages_of_chars(chars: DataFrame, spark: SparkSession, char_col: str = "ch",
@@ -220,48 +258,51 @@ def variant_table(spark: SparkSession, alphabet_df: DataFrame | None = None,
     return grouped.select("ch", F.array_sort("v").alias("variants"), F.lit(True).alias("in_alphabet"))
 
 
+def intervals_of(alphabet_df: DataFrame) -> cps.Intervals:
+    """An alphabet (ch) as an interval set; it has at most as many rows as Unicode has
+    characters."""
+    return cps.of_chars(r["ch"] for r in alphabet_df.select("ch").where("length(ch) = 1").distinct().collect())
+
+
+def loaded_alphabet(words: DataFrame, word_col: str, base: cps.Intervals,
+                    languages: dict | DataFrame | None = None) -> cps.Intervals:
+    """LOAD (F21), made order-free: characters of the words outside the alphabet extend it,
+    first by the alphabets of all languages that hold them, else by their script. The distinct
+    characters outside (no more than Unicode has) come to the driver."""
+    spark = words.sparkSession
+    chars = words.select(F.explode(F.array_distinct(F.split(word_col, ""))).alias("ch")).where("ch <> ''")
+    unknown = [r["ch"] for r in chars.where(~cps.contains(base, F.ascii("ch"))).distinct().collect()]
+    letters, table = language_letters(languages), script_table(spark)
+    spoken = {lang for lang, known in letters.items() if any(c in known for c in unknown)}
+    heard = {c for lang in spoken for c in letters[lang]}
+    names = {table.find(ord(c)) for c in unknown if c not in heard}
+    return cps.union(base, cps.of_chars(heard), ((lo, hi) for lo, hi, name in table.ranges() if name in names))
+
+
 def word_variants(words: DataFrame, word_col: str, spark: SparkSession,
                   alphabet_df: DataFrame | None = None, strategy: int = STRATEGY_IGNORE,
-                  languages: DataFrame | None = None) -> DataFrame:
-    """Per word: the variant lattice (one sorted list per character), the number of
-    spellings it encodes, and the number of ASCII spellings (F19, F20, F22).
+                  languages: dict | DataFrame | None = None) -> DataFrame:
+    """Per word: the variant lattice (the sorted variants of each character, separated by
+    blanks), the number of spellings it encodes, and the number of ASCII spellings (F19, F20,
+    F22), computed in the word's row.
 
     The cartesian product itself is exponential in the word length; the lattice
-    represents it exactly and :func:`expand_variants` enumerates it on demand.
+    represents it exactly, and :mod:`greenscan.operators.spellings` gives the n-th spelling.
+    A word whose characters are all removed keeps its row, with no spelling.
     """
-    chars = words.select(word_col, F.posexplode(F.split(F.col(word_col), "")).alias("i", "ch")) \
-        .where(F.col("ch") != "")
+    from greenscan.operators import spellings as sp
+    if strategy not in (STRATEGY_LOAD, STRATEGY_IGNORE, STRATEGY_REMOVE):
+        raise ValueError(f"no such strategy: {strategy}")
+    base = alphabet_intervals(spark) if alphabet_df is None else intervals_of(alphabet_df)
     if strategy == STRATEGY_LOAD:
-        # F21, made order-free: characters outside the alphabet extend it, first by the
-        # alphabets of the languages that hold them, else by their script
-        base = (alphabet(spark) if alphabet_df is None else alphabet_df).select("ch").distinct()
-        table = language_table(spark) if languages is None else languages
-        unknown = chars.select("ch").distinct().join(base, "ch", "left_anti")
-        spoken = unknown.join(table, "ch")
-        by_lang = table.join(spoken.select("lang").distinct(), "lang", "left_semi").select("ch")
-        scripts = unknown.join(spoken.select("ch").distinct(), "ch", "left_anti") \
-            .join(char_table(spark).select("ch", "script"), "ch").where("script <> 'OTHER'").select("script").distinct()
-        by_script = char_table(spark).join(scripts, "script", "left_semi").select("ch")
-        alphabet_df = base.union(by_lang).union(by_script).distinct()
-    vt = variant_table(spark, alphabet_df, strategy)
-    j = chars.join(F.broadcast(vt), "ch", "left")  # bounded: one row per character of the alphabet
-    if strategy != STRATEGY_IGNORE:
-        v = F.coalesce(F.col("variants"), F.array().cast("array<string>"))
-    else:
-        v = F.coalesce(F.col("variants"), F.array(F.col("ch")))
-    j = j.withColumn("variants", v).withColumn(
-        "ascii_variants", F.filter("variants", lambda c: F.ascii(c) < 128))
-    if strategy != STRATEGY_IGNORE:  # a removed character leaves the spellings; so does one that
-        # no language and no script could load
-        j = j.where(F.size("variants") > 0)
-    agg = j.groupBy(word_col).agg(
-        F.array_sort(F.collect_list(F.struct("i", "variants", "ascii_variants"))).alias("_l"))
-    n = F.aggregate(F.transform("_l", lambda s: F.size(s["variants"]).cast("double")),
-                    F.lit(1.0), lambda a, x: a * x)
-    na = F.aggregate(F.transform("_l", lambda s: F.size(s["ascii_variants"]).cast("double")),
-                     F.lit(1.0), lambda a, x: a * x)
-    lattice = F.array_join(F.transform("_l", lambda s: F.array_join(s["variants"], "")), " ")
-    return agg.select(word_col, lattice.alias("lattice"), n.alias("n_variants"), na.alias("n_ascii"))
+        base = loaded_alphabet(words, word_col, base, languages)
+    table = sp.variants(spark, base)
+    rows = words.select(word_col, F.explode(F.array(F.struct(
+        table.lattice(F.col(word_col), strategy).alias("l"), table.ascii_lattice(F.col(word_col), strategy).alias("a")))).alias("_v"))
+    count = lambda lists: F.when(F.size(lists) == 0, F.lit(0.0)).otherwise(F.aggregate(
+        lists, F.lit(1.0), lambda n, v: n * F.char_length(v).cast("double")))
+    return rows.select(word_col, F.array_join("_v.l", " ").alias("lattice"), count(F.col("_v.l")).alias("n_variants"),
+                       count(F.col("_v.a")).alias("n_ascii"))
 
 
 def expand_variants(lattice_rows: DataFrame, key: str, lists_col: str) -> DataFrame:
@@ -344,9 +385,9 @@ def all_categories(spark: SparkSession) -> DataFrame:
     return char_table(spark).select(F.col("script").alias("category")).distinct()
 
 
-def all_languages(spark: SparkSession) -> DataFrame:
-    """All language codes."""
-    return spark.createDataFrame([(k,) for k in sorted(LANGUAGE_EXTRA)], "lang string")
+def all_languages(spark: SparkSession, table: dict | DataFrame | None = None) -> DataFrame:
+    """All language codes (U5), of the shipped table and a user's."""
+    return spark.createDataFrame([(k,) for k in sorted(language_letters(table))], "lang string")
 
 
 def ascii_readings(lattices: DataFrame, key: str, lists_col: str) -> DataFrame:

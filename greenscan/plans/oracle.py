@@ -207,7 +207,7 @@ def homoglyph_variants_sql(rows) -> str:
     return rf"""
 WITH vt AS (SELECT * FROM (VALUES {vals}) AS t(ch, variants, nv, na)),
 toks AS (SELECT {_tokens_sql()} AS t FROM documents),
-words AS (SELECT DISTINCT w AS word FROM (SELECT unnest(t) AS w FROM toks) WHERE regexp_matches(w, '^[\p{{L}}\p{{N}}]')),
+words AS (SELECT DISTINCT unnest(t) AS word FROM toks),
 chars AS (SELECT word, unnest(regexp_extract_all(word, '.')) AS ch,
                  generate_subscripts(regexp_extract_all(word, '.'), 1) AS i FROM words),
 j AS (SELECT c.word, c.i, coalesce(vt.variants, c.ch) AS v, coalesce(vt.nv, 1) AS nv,
@@ -217,6 +217,36 @@ SELECT word, string_agg(v, ' ' ORDER BY i) AS lattice, product(nv)::DOUBLE AS n_
        product(na)::DOUBLE AS n_ascii FROM j GROUP BY word"""
 
 
+# The ASCII characters that the published confusables table holds for one another,
+# and the letters of the attack. Every other ASCII character only reads as itself.
+ASCII_CLASSES = ("1Il|", "0O", "'`")
+
+
+def variant_spellings_sql() -> str:
+    pairs = [(a, b) for c in ASCII_CLASSES for a in c for b in c]
+    pairs += [(x, y) for x, y in zip(ATTACK_TO, ATTACK_FROM)]
+    pairs += [(chr(c), chr(c)) for c in range(33, 127) if not any(chr(c) in k for k in ASCII_CLASSES)]
+    vals = ", ".join(f"({lit(a)}, {lit(b)})" for a, b in pairs)
+    tokens = f"regexp_extract_all(lower(translate(text, '{ATTACK_FROM}', '{ATTACK_TO}')), '{CFG.token_pattern}')"
+    return f"""
+WITH RECURSIVE look AS (SELECT * FROM (VALUES {vals}) AS t(ch, alt)),
+words AS (SELECT DISTINCT unnest({tokens}) AS word FROM documents),
+made AS (SELECT word, 0 AS i, '' AS spelling FROM words
+  UNION ALL SELECT m.word, m.i + 1, m.spelling || look.alt FROM made m JOIN look ON look.ch = m.word[m.i + 1])
+SELECT word, row_number() OVER (PARTITION BY word ORDER BY spelling) - 1 AS n, spelling
+FROM made WHERE i = length(word)"""
+
+
+def variant_strategies_sql() -> str:
+    known = "".join(f"\\p{{{s}}}" for s in RE2_SCRIPTS)
+    n = lambda c: f"len(regexp_extract_all(word, '[{c}]'))::BIGINT"
+    return f"""
+WITH d AS ({sampled_sql()}),
+words AS (SELECT DISTINCT unnest({_tokens_sql()}) AS word FROM d)
+SELECT word, length(word)::BIGINT AS n_ignore, {n('\\p{Latin}\\p{Common}')} AS n_remove,
+       {n('\\x00-\\x7F')} AS n_ascii, {n(known)} AS n_load FROM words"""
+
+
 def dynamic_oracles() -> dict:
     """Entries whose SQL embeds tables built in the JVM (ICU); only when a Spark
     session is active, otherwise those queries are checked on rows only."""
@@ -536,6 +566,8 @@ ORACLE = {
     "script_vote": script_vote_sql(),
     "category_lookup": category_lookup_sql(),
     "text_scripts": text_scripts_sql(),
+    "variant_spellings": variant_spellings_sql(),
+    "variant_strategies": variant_strategies_sql(),
     "truecase_model": TRUECASE_MODEL_SQL,
     "truecase_apply": truecase_apply_sql(),
     "bias_scores": bias_scores_sql(CFG),

@@ -19,6 +19,7 @@ from greenscan.operators import evaluate as ev
 from greenscan.operators import generate as gen
 from greenscan.operators import homoglyph as hg
 from greenscan.operators import report as rp
+from greenscan.operators import spellings as sp
 from greenscan.operators import truecase as tc
 from greenscan.operators import vocab as vb
 from greenscan.operators.detect import detect_ids, detect_text, score_ids
@@ -241,11 +242,40 @@ def homoglyph_canon(spark, sf_dir):
 
 
 def homoglyph_variants(spark, sf_dir):
-    words = doc_token_rows(spark, sf_dir).where(F.col("token").rlike(r"^[\p{L}\p{N}]")) \
-        .select(F.col("token").alias("word")).distinct()
+    words = doc_token_rows(spark, sf_dir).select(F.col("token").alias("word")).distinct()
     return hg.word_variants(words, "word", spark)
 
 
+SPELLING_SCRIPTS = ("LATIN", "COMMON", "CYRILLIC")
+
+
+def attacked_words(spark, sf_dir):
+    """Distinct tokens of the attacked documents."""
+    d = attacked_docs(spark, sf_dir).select(F.explode(tokenize_col(F.col("attacked"))).alias("word"))
+    return d.distinct()
+
+
+def variant_spellings(spark, sf_dir):
+    """Every ASCII reading of every distinct word of the attacked documents, one row each, by
+    its number (F19, F22); a word with a character that has no ASCII look-alike has none."""
+    table = sp.variants(spark, hg.alphabet_intervals(spark, SPELLING_SCRIPTS))
+    words = attacked_words(spark, sf_dir).select("word", table.ascii_lattice(F.col("word")).alias("lists"))
+    return sp.spelling_rows(words, "lists", ["word"])
+
+
+def variant_strategies(spark, sf_dir):
+    """Characters of each distinct word that IGNORE, REMOVE and LOAD keep with the alphabet
+    LATIN + COMMON (F20, F21), and the readings when characters without one are left out."""
+    base = sampled_docs(spark, sf_dir).select(F.explode(tokenize_col(F.col("text"))).alias("word")).distinct()
+    table = sp.variants(spark, hg.alphabet_intervals(spark))
+    n = lambda strategy: F.size(table.lattice(F.col("word"), strategy)).cast("bigint")
+    loaded = hg.word_variants(base, "word", spark, strategy=hg.STRATEGY_LOAD).select(
+        "word", F.when(F.col("lattice") == "", F.lit(0)).otherwise(F.size(F.split("lattice", " "))).cast("bigint").alias("n_load"))
+    readable = F.size(table.ascii_lattice(F.col("word"), ascii_strategy=hg.STRATEGY_REMOVE)).cast("bigint")
+    return base.select("word", n(hg.STRATEGY_IGNORE).alias("n_ignore"), n(hg.STRATEGY_REMOVE).alias("n_remove"),
+                       readable.alias("n_ascii")).join(loaded, "word", "left")
+
+
 def truecase_model(spark, sf_dir):
     return tc.truecase_model(documents(spark, sf_dir), "text")
 
@@ -267,6 +297,8 @@ QUERIES.update({
     "script_vote": script_vote,
     "homoglyph_canon": homoglyph_canon,
     "homoglyph_variants": homoglyph_variants,
+    "variant_spellings": variant_spellings,
+    "variant_strategies": variant_strategies,
     "truecase_model": truecase_model,
     "truecase_apply": truecase_apply,
 })
