@@ -165,6 +165,12 @@ def size(intervals: Iterable[tuple[int, int]]) -> int:
     return sum(hi - lo + 1 for lo, hi in intervals)
 
 
+def regex_class(intervals: Iterable[tuple[int, int]]) -> str:
+    """A Java regex class of the set, for counting over whole texts in one pass."""
+    parts = "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in normal(intervals))
+    return f"[{parts}]" if parts else "(?!)"
+
+
 def contains(intervals: Iterable[tuple[int, int]], cp: Column) -> Column:
     """Whether a code point lies in the set."""
     table = IntervalTable.of((lo, hi, "in") for lo, hi in normal(intervals))
@@ -172,4 +178,4 @@ def contains(intervals: Iterable[tuple[int, int]], cp: Column) -> Column:
 
 
 __all__ = ["IntervalTable", "contains", "disjoint", "find_sorted", "intersection", "literal_array", "normal",
-           "of_chars", "probes", "rank_sorted", "script_table", "size", "union"]
+           "of_chars", "probes", "rank_sorted", "regex_class", "script_table", "size", "union"]

@@ -158,6 +158,46 @@ def beam_top(cands: DataFrame, keys: list[str], score_col: str, n_beams: int,
     return cands.withColumn("beam", F.row_number().over(w)).where(F.col("beam") <= n_beams)
 
 
+BEAM_ROWS = 4_000_000  # candidate rows up to which they are broadcast; V * n_beams bounds them
+
+
+def beam_step(beams: DataFrame, cands: DataFrame, n_beams: int, vocab_size: int, score_col: str = "score") -> DataFrame:
+    """One step of beam search for every row at once (T5): ``beams`` (row, beam, tok, score) ->
+    (row, beam, tok, back, score), the ``n_beams`` best continuations of each row over all its
+    beams, ``back`` naming the beam they continue. Equal scores go to the smaller beam, then to
+    the better candidate, then to the smaller token. Beams without a successor end.
+
+    Only the ``n_beams`` best candidates of a token can get into any row's best, so the
+    candidate table is cut to V * n_beams rows first: a row's window then holds at most
+    n_beams^2, however common a token is."""
+    w = Window.partitionBy("prev").orderBy(F.col(score_col).desc(), F.col("tok"))
+    top = cands.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_beams) \
+        .select(F.col("prev").alias("_prev"), F.col("tok").alias("_tok"), F.col(score_col).alias("_s"))
+    if vocab_size * n_beams <= BEAM_ROWS:
+        top = F.broadcast(top)
+    grown = beams.join(top, F.col("tok") == F.col("_prev")) \
+        .select("row", F.col("beam").alias("back"), F.col("_tok").alias("tok"), (F.col("score") + F.col("_s")).alias("score"), "_s")
+    best = Window.partitionBy("row").orderBy(F.col("score").desc(), "back", F.col("_s").desc(), "tok")
+    return grown.withColumn("beam", F.row_number().over(best)).where(F.col("beam") <= n_beams) \
+        .select("row", "beam", "tok", "back", "score")
+
+
+def beam_search(starts: DataFrame, cands: DataFrame, n_beams: int, steps: int, vocab_size: int,
+                score_col: str = "score") -> DataFrame:
+    """(row, step, beam, tok, back, score) of ``steps`` beam steps from (row, tok); the back
+    pointers give every beam's path. Each step is written before the next one reads it."""
+    from functools import reduce
+
+    from greenscan.session import kept
+    zero = F.lit(0).cast(dict(cands.dtypes)[score_col])
+    beams = starts.where(F.col("tok").isNotNull()).select("row", F.lit(1).alias("beam"), "tok", zero.alias("score"))
+    told = []
+    for k in range(1, steps + 1):
+        beams = kept(beam_step(beams, cands, n_beams, vocab_size, score_col), "beams")
+        told.append(beams.withColumn("step", F.lit(k)))
+    return reduce(DataFrame.unionByName, told)
+
+
 # ------------------------------------------------------- paired generation
 
 def key_table(spark, cfg: WatermarkConfig) -> DataFrame:

@@ -175,6 +175,45 @@ def languages_of_chars(chars: DataFrame, spark: SparkSession, char_col: str = "c
     return j.groupBy(char_col).agg(F.array_sort(F.collect_set("lang")).alias("languages"))
 
 
+def language_bits(table: dict | DataFrame | None = None) -> tuple[list[str], dict[str, int]]:
+    """The languages in order, and per letter the bitmap of the languages whose alphabet holds
+    it (J9, A17). At most 62 languages fit one BIGINT."""
+    letters = language_letters(table)
+    names = sorted(letters)
+    if len(names) > 62:
+        raise ValueError("more than 62 languages")
+    bits: dict[str, int] = {}
+    for i, lang in enumerate(names):
+        for c in letters[lang]:
+            bits[c] = bits.get(c, 0) | 1 << i
+    return names, bits
+
+
+def text_languages(text: Column, table: dict | DataFrame | None = None) -> tuple[Column, Column]:
+    """(languages whose alphabet holds every letter of the text, languages that hold one of
+    them), sorted arrays: the bitmaps of its distinct letters joined bit by bit. A text without
+    letters is possible in every language and shows none; null gives null."""
+    names, bits = language_bits(table)
+    keys = sorted((ord(c), c) for c in bits if len(c) == 1)
+    letters = F.filter(F.array_distinct(F.split(text, "")), lambda c: c.rlike(r"\p{L}"))
+    if keys:
+        masks = F.transform(letters, lambda c: F.coalesce(cps.find_sorted(
+            cps.literal_array([k for k, _ in keys], "int"), cps.literal_array([bits[c] for _, c in keys], "bigint"),
+            F.ascii(c), cps.probes(len(keys))), F.lit(0).cast("bigint")))
+    else:
+        masks = F.transform(letters, lambda c: F.lit(0).cast("bigint"))
+    full = F.lit((1 << len(names)) - 1).cast("bigint")
+    both = let(masks, lambda m: F.struct(
+        F.aggregate(m, full, lambda a, x: a.bitwiseAND(x)).alias("every"),
+        F.aggregate(m, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x)).alias("some")))
+
+    def shown(mask: Column) -> Column:
+        each = [F.when(mask.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(n)) for i, n in enumerate(names)]
+        return F.when(text.isNotNull(), F.array_compact(F.array(*each)) if each else F.array().cast("array<string>"))
+
+    return shown(both["every"]), shown(both["some"])
+
+
 def restricted_table(spark: SparkSession, source: DataFrame, target: DataFrame) -> DataFrame:
     """Confusables whose char is in ``source`` and alternative in ``target``."""
     conf = confusables(spark)

@@ -139,6 +139,31 @@ def pair_corr(df: DataFrame, group_col: str, columns) -> DataFrame:
     return out.select(group_col, "r.x_col", "r.y_col", "r.n", "r.corr")
 
 
+def pair_bins(df: DataFrame, group_col: str, columns, bins: int = 10) -> DataFrame:
+    """Sparse two-dimensional histogram of every pair of columns per group (A19): (group,
+    x_col, y_col, x_bin, y_bin, n), cells that hold rows only. Each value is binned once in its
+    row; one unpivot gives the pairs, counted per partition before the shuffle. Pairs with a
+    null or NaN are left out, so the cells of a pair sum to its rows in :func:`pair_corr`
+    wherever the columns hold no NaN. The ranges are one row per group."""
+    value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    ranges = df.groupBy(group_col).agg(*[x for c in columns for x in (
+        F.min(value(c)).alias(f"_lo_{c}"), F.max(value(c)).alias(f"_hi_{c}"))])
+    ranges = ranges.withColumnRenamed(group_col, "_group")
+
+    def bin_of(c: str) -> Column:
+        lo, width = F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}")
+        at = F.least(F.floor((value(c) - lo) / width * F.lit(float(bins))), F.lit(bins - 1))
+        return F.when(value(c).isNotNull(), F.when(width == 0, F.lit(0)).otherwise(at)).cast("int")
+
+    binned = df.join(ranges, F.col(group_col).eqNullSafe(F.col("_group"))) \
+        .select(group_col, *[bin_of(c).alias(f"_b_{c}") for c in columns])
+    pairs = F.array(*[F.struct(F.lit(x).alias("x_col"), F.lit(y).alias("y_col"), F.col(f"_b_{x}").alias("x_bin"),
+                               F.col(f"_b_{y}").alias("y_bin")) for x, y in combinations(columns, 2)])
+    rows = binned.select(group_col, F.explode(pairs).alias("p")).select(group_col, "p.*") \
+        .where("x_bin is not null and y_bin is not null")
+    return rows.groupBy(group_col, "x_col", "y_col", "x_bin", "y_bin").agg(F.count(F.lit(1)).alias("n"))
+
+
 def category_codes(df: DataFrame, columns, key_cols) -> DataFrame:
     """String columns -> integer codes by sorted distinct value (P7), as pandas
     ``category`` codes are. Distinct values are numbered by a distributed global

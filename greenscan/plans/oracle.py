@@ -9,7 +9,8 @@ from greenscan.functions.stats import normal_sf_sql, z_score_sql
 from greenscan.plans.common import CFG, CFG_DISTINCT, LIMIT_ROWS
 from greenscan.functions.normalize import RULESETS, CONTROL_CLASS
 from greenscan.operators.evaluate import gamma_grid
-from greenscan.plans.queries import (ANALYSIS_METRICS, ATTACK_FROM, ATTACK_TO, CFG_SMALL_V, INJECT_COMMA,
+from greenscan.plans.queries import (ANALYSIS_METRICS, ATTACK_FROM, ATTACK_ONE, ATTACK_TO, BEAM_STEPS, BEAMS, CFG_CLEAN,
+                                     CFG_SMALL_V, INJECT_COMMA,
                                      INJECT_WS, PROMPT_CAP, SAMPLE_SEED, SCRIPT_SAMPLES)
 from greenscan.functions.scripts import VOTE_SCRIPTS, re2_class
 from greenscan.functions.tokens import TRUNC_NOTICE
@@ -178,10 +179,12 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+INJECTED = (f"chr(65279) || replace(replace(replace(text, '. ', {lit(INJECT_WS)}), ', ', {lit(INJECT_COMMA)}), "
+            f"chr(233), 'e' || chr(769)) || chr(9) || chr(12288) || 'end'")
+
+
 def unicode_sql(ruleset: str) -> str:
-    t = (f"chr(65279) || replace(replace(replace(text, '. ', {lit(INJECT_WS)}), ', ', {lit(INJECT_COMMA)}), "
-         f"chr(233), 'e' || chr(769)) || chr(9) || chr(12288) || 'end'")
-    x = f"regexp_replace(nfc_normalize({t}), '{RULESETS[ruleset]}', ' ', 'g')"
+    x = f"regexp_replace(nfc_normalize({INJECTED}), '{RULESETS[ruleset]}', ' ', 'g')"
     x = f"regexp_replace(regexp_replace({x}, ' +', ' ', 'g'), '{CONTROL_CLASS}', '', 'g')"
     return f"""
 WITH n AS (SELECT doc_id, {x} AS text_norm FROM documents)
@@ -521,7 +524,7 @@ SELECT doc_id, lang, source,
 FROM documents"""
 
 
-def truecase_apply_sql() -> str:
+def truecase_apply_sql(source: str = "SELECT doc_id, translate(lower(text), 'aeiou', 'AEIOU') AS text FROM documents") -> str:
     """Segments of the lower-cased text (words and everything between them), sentence
     starts from the previous segment, learned forms by a left join, capitalised starts,
     re-joined in order."""
@@ -529,8 +532,8 @@ def truecase_apply_sql() -> str:
     return rf"""
 WITH model AS ({model}),
 forms AS (SELECT key, form FROM model WHERE form <> key),
-d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, text, regexp_extract_all(lower(translate(lower(text), 'aeiou', 'AEIOU')),
-                                              '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+') AS s FROM documents),
+d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, text, regexp_extract_all(lower(text),
+                                              '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+') AS s FROM ({source})),
 seg AS (SELECT id, unnest(s) AS seg, generate_subscripts(s, 1) AS i FROM d),
 ctx AS (SELECT id, i, seg, lag(seg) OVER (PARTITION BY id ORDER BY i) AS prev_seg,
                first_value(seg) OVER (PARTITION BY id ORDER BY i) AS first_seg FROM seg),
@@ -544,6 +547,77 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(out.truecased,
 FROM d LEFT JOIN out USING (id)"""
 
 
+def detect_normalized_sql() -> str:
+    """The chain step by step: attack, Unicode cleaning, the one look-alike back where Latin
+    letters are in the majority, casing, detection; the guard looks at the text as it came."""
+    attacked = f"translate(translate(lower({INJECTED}), 'aeiu', 'AEIU'), '{ATTACK_ONE[0]}', '{ATTACK_ONE[1]}')"
+    clean = f"regexp_replace(nfc_normalize({attacked}), '{RULESETS['whitespaces']}', ' ', 'g')"
+    clean = f"regexp_replace(regexp_replace({clean}, ' +', ' ', 'g'), '{CONTROL_CLASS}', '', 'g')"
+    n = lambda s: f"len(regexp_extract_all(x, '\\p{{{s}}}'))"
+    source = (f"SELECT doc_id, CASE WHEN {n('Latin')} > {n('Cyrillic')} THEN translate(x, '{ATTACK_ONE[1]}', '{ATTACK_ONE[0]}') "
+              f"ELSE x END AS text FROM (SELECT doc_id, {clean} AS x FROM documents)")
+    return detect_sql(CFG_CLEAN, table=f"(SELECT doc_id, truecased AS text FROM ({truecase_apply_sql(source)}))")
+
+
+# The letters of the four languages beyond a-z.
+LETTERS = {"en": "", "fr": "àâæçéèêëîïôœùûüÿ", "de": "äöüß", "es": "áéíñóúü"}
+
+
+def _letters(lang: str) -> str:
+    return "a-zA-Z" + LETTERS[lang] + "".join(c.upper() for c in LETTERS[lang] if len(c.upper()) == 1) + ("S" if lang == "de" else "")
+
+
+def alphabet_sets_sql() -> str:
+    n = lambda c: f"len(regexp_extract_all(text, '[{c}]'))::BIGINT"
+    common = "\\p{Common}"
+    whens = " ".join(f"WHEN lang = '{k}' THEN {n(_letters(k) + common)}" for k in LETTERS)
+    return f"""
+SELECT doc_id, lang, n_inside, length(text)::BIGINT - n_inside AS n_outside, n_shared
+FROM (SELECT doc_id, lang, text, CASE WHEN text IS NULL THEN NULL {whens} ELSE {n(common)} END AS n_inside,
+             {n('a-zA-Z')} AS n_shared FROM documents)"""
+
+
+def text_languages_sql() -> str:
+    every = ", ".join(f"CASE WHEN NOT regexp_matches(regexp_replace(text, '[{_letters(k)}]', '', 'g'), '\\p{{L}}') THEN '{k}' END"
+                      for k in sorted(LETTERS))
+    some = ", ".join(f"CASE WHEN regexp_matches(text, '[{_letters(k)}]') THEN '{k}' END" for k in sorted(LETTERS))
+    shown = lambda x: f"CASE WHEN text IS NOT NULL THEN array_to_string(list_filter([{x}], lambda k: k IS NOT NULL), ',') END"
+    return f"SELECT doc_id, {shown(every)} AS languages_all, {shown(some)} AS languages_any FROM ({sampled_sql()})"
+
+
+def pair_bins_sql(cfg, metrics, bins=10):
+    from itertools import combinations
+    low = ", ".join(f"min({m}::DOUBLE) AS lo_{m}, max({m}::DOUBLE) AS hi_{m}" for m in metrics)
+    cell = ", ".join(f"""CASE WHEN hi_{m} = lo_{m} THEN 0
+        ELSE least(floor(({m}::DOUBLE - lo_{m}) / (hi_{m} - lo_{m}) * {float(bins)!r}e0), {bins - 1}) END::INTEGER AS b_{m}"""
+                     for m in metrics)
+    parts = " UNION ALL ".join(f"SELECT arm, '{x}' AS x_col, '{y}' AS y_col, b_{x} AS x_bin, b_{y} AS y_bin, count(*)::BIGINT AS n "
+                               f"FROM cells GROUP BY arm, b_{x}, b_{y}" for x, y in combinations(metrics, 2))
+    return f"""
+WITH {paired_cte(cfg)},
+spans AS (SELECT arm, {low} FROM complete GROUP BY arm),
+cells AS (SELECT arm, {cell} FROM complete JOIN spans USING (arm))
+{parts}"""
+
+
+def beam_step_sql(cfg, beams, steps):
+    made = ""
+    for k in range(1, steps + 1):
+        made += f""",
+g{k} AS (SELECT b.id, b.beam AS back, c.tok, b.score + c.score AS score,
+          row_number() OVER (PARTITION BY b.id ORDER BY b.score + c.score DESC, b.beam, c.score DESC, c.tok) AS beam
+        FROM b{k - 1} b JOIN cand c ON c.prev = b.tok),
+b{k} AS (SELECT id, {k} AS step, beam, tok, back, score FROM g{k} WHERE beam <= {beams})"""
+    told = " UNION ALL ".join(f"SELECT * FROM b{k}" for k in range(1, steps + 1))
+    return f"""
+WITH {token_ids_cte("documents", "doc_id", "text", cfg)},
+cnt AS (SELECT p AS prev, c AS tok, count(*)::BIGINT AS n FROM bg WHERE p IS NOT NULL GROUP BY p, c),
+cand AS (SELECT prev, tok, round(ln(n::DOUBLE / sum(n) OVER (PARTITION BY prev)::DOUBLE) * 1e6)::BIGINT AS score FROM cnt),
+b0 AS (SELECT id, 0 AS step, 1 AS beam, arg_max(c, pos) AS tok, 0::BIGINT AS back, 0::BIGINT AS score FROM tid GROUP BY id){made}
+SELECT docs.key AS doc_id, t.step::INTEGER AS step, t.beam::INTEGER AS beam, t.tok, t.back::INTEGER AS back, t.score
+FROM ({told}) t JOIN docs USING (id)"""
+
+
 NOT_LABELLED = "(SELECT * FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id))"
 
 ORACLE = {
@@ -570,6 +644,11 @@ ORACLE = {
     "variant_strategies": variant_strategies_sql(),
     "truecase_model": TRUECASE_MODEL_SQL,
     "truecase_apply": truecase_apply_sql(),
+    "detect_normalized": detect_normalized_sql(),
+    "alphabet_sets": alphabet_sets_sql(),
+    "text_languages": text_languages_sql(),
+    "pair_bins": pair_bins_sql(CFG, ANALYSIS_METRICS),
+    "beam_step": beam_step_sql(CFG, BEAMS, BEAM_STEPS),
     "bias_scores": bias_scores_sql(CFG),
     "greedy_next": greedy_next_sql(CFG),
     "sampled_next": sampled_next_sql(CFG, SAMPLE_SEED),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from greenscan.config import WatermarkConfig
+from greenscan.functions import codepoints as cps
 from greenscan.functions import scripts as sc
 from greenscan.functions.codepoints import script_table
 from greenscan.functions.normalize import unicode_sanitize
@@ -276,6 +279,28 @@ def variant_strategies(spark, sf_dir):
                        readable.alias("n_ascii")).join(loaded, "word", "left")
 
 
+def alphabet_sets(spark, sf_dir):
+    """Characters of each document inside the union of its language's alphabet with COMMON,
+    outside it, and inside the alphabet that all four languages share (A16, A16b, U2, S10)."""
+    spoken = {lang: hg.alphabet_intervals(spark, languages=[lang]) for lang in sorted(hg.language_letters())}
+    common = hg.alphabet_intervals(spark, ["COMMON"])
+    shared = reduce(cps.intersection, spoken.values())
+    count = lambda s: F.regexp_count("text", F.lit(cps.regex_class(s))).cast("bigint")
+    inside = F.when(F.col("text").isNull(), F.lit(None))
+    for lang, letters in spoken.items():
+        inside = inside.when(F.col("lang") == lang, count(cps.union(letters, common)))
+    d = documents(spark, sf_dir, ("doc_id", "text", "lang")).withColumn("n_inside", inside.otherwise(count(common)))
+    return d.select("doc_id", "lang", "n_inside", (F.char_length("text") - F.col("n_inside")).alias("n_outside"),
+                    count(shared).alias("n_shared"))
+
+
+def text_languages(spark, sf_dir):
+    """Languages whose alphabet holds every letter of a document, and some of them."""
+    every, some = hg.text_languages(F.col("text"))
+    return sampled_docs(spark, sf_dir).select("doc_id", F.array_join(every, ",").alias("languages_all"),
+                                              F.array_join(some, ",").alias("languages_any"))
+
+
 def truecase_model(spark, sf_dir):
     return tc.truecase_model(documents(spark, sf_dir), "text")
 
@@ -288,7 +313,22 @@ def truecase_apply(spark, sf_dir):
     return tc.truecase_apply(scrambled, model, "doc_id", "text")
 
 
+CFG_CLEAN = CFG.replace(normalizers="unicode,homoglyphs,truecase", lowercase=False)
+ATTACK_ONE = ("o", "о")  # the attack that detect_normalized undoes: one Latin letter by a Cyrillic one
+
+
+def detect_normalized(spark, sf_dir):
+    """Detection after the whole chain of normalisers (F1, the reference's default): documents
+    with invisible characters, look-alikes and scrambled case are cleaned, their casing comes
+    from a model learned on the documents as written."""
+    model = kept(tc.truecase_model(documents(spark, sf_dir), "text"), "truecase-model")
+    d = documents(spark, sf_dir).select("doc_id", F.translate(F.translate(F.lower(inject_unicode(F.col("text"))), "aeiu", "AEIU"),
+                                                              *ATTACK_ONE).alias("text"))
+    return detect_text(d, CFG_CLEAN, "text", models={"truecase": model}).select(*DETECT_COLS)
+
+
 QUERIES.update({
+    "detect_normalized": detect_normalized,
     "unicode_whitespaces": _unicode_query("whitespaces"),
     "unicode_ascii": _unicode_query("ascii"),
     "unicode_idn": _unicode_query("idn"),
@@ -299,6 +339,8 @@ QUERIES.update({
     "homoglyph_variants": homoglyph_variants,
     "variant_spellings": variant_spellings,
     "variant_strategies": variant_strategies,
+    "alphabet_sets": alphabet_sets,
+    "text_languages": text_languages,
     "truecase_model": truecase_model,
     "truecase_apply": truecase_apply,
 })
@@ -400,6 +442,26 @@ def pair_corr(spark, sf_dir):
     return rp.pair_corr(rp.drop_incomplete(arms_long(spark, sf_dir)), "arm", ANALYSIS_METRICS)
 
 
+def pair_bins(spark, sf_dir):
+    return rp.pair_bins(rp.drop_incomplete(arms_long(spark, sf_dir)), "arm", ANALYSIS_METRICS)
+
+
+BEAMS, BEAM_STEPS = 3, 2
+
+
+def beam_step(spark, sf_dir):
+    """Two steps of beam search behind the last token of every document, with back pointers
+    (T5). Scores are whole millionths of the log probability, so ties are exact."""
+    ids = kept(doc_ids(spark, sf_dir).withColumn("row", F.monotonically_increasing_id()), "prompts")
+    counts = gen.transition_counts(ids, "ids", CFG.vocab_size)
+    total = counts.groupBy(F.col("prev").alias("_p")).agg(F.sum("n").alias("total"))
+    cands = kept(counts.join(total, F.col("prev") == F.col("_p")).select(
+        "prev", "tok", F.round(F.log(F.col("n").cast("double") / F.col("total")) * 1e6).cast("bigint").alias("score")), "candidates")
+    starts = ids.select("row", F.try_element_at("ids", F.lit(-1)).alias("tok"))
+    found = gen.beam_search(starts, cands, BEAMS, BEAM_STEPS, CFG.vocab_size)
+    return found.join(ids.select("row", "doc_id"), "row").select("doc_id", "step", "beam", "tok", "back", "score")
+
+
 def sweep_grid(spark, sf_dir):
     out = ev.sweep_gamma(doc_ids(spark, sf_dir), "ids", CFG, keep=("doc_id",))
     return out.select("doc_id", "gamma", "num_tokens_scored", "num_green_tokens", "z_score", "prediction")
@@ -473,6 +535,8 @@ QUERIES.update({
     "arm_summary": arm_summary,
     "histograms": histograms,
     "pair_corr": pair_corr,
+    "pair_bins": pair_bins,
+    "beam_step": beam_step,
     "sweep_grid": sweep_grid,
     "batched_results": batched_results,
     "resume_anti_join": resume_anti_join,

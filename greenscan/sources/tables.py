@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from greenscan.sources.validate import check_columns, validated
+
 SCHEMAS = {
     "documents": T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -76,9 +78,11 @@ def prepare_dataset(spark: SparkSession, sf_dir: str, name: str, split: str | No
     if key is None:
         raise ValueError(f"no profile for dataset {name!r}; profiles: {', '.join(PROFILES)}")
     table, renames, id_expr, order = PROFILES[key]
-    try:
-        df = read_table(spark, sf_dir, table)
-    except Exception as e:  # S2: load failures surface as ValueError
+    try:  # S2: load failures surface as ValueError, before any job reads rows
+        needed = T.StructType([f for f in SCHEMAS[table].fields if f.name in {*renames, *order}])
+        df, _ = validated(spark, f"{sf_dir.rstrip('/')}/{table}.parquet")
+        check_columns(df.schema, needed, table)
+    except ValueError as e:
         raise ValueError(f"dataset {name!r} cannot be read: {e}") from e
     cols = [id_expr().alias("id")]
     for src, dst in renames.items():
