@@ -33,6 +33,9 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _RUN = regex.compile(r"\s[ \n]|^[ \n]|\s$")  # white space next to a cut: split with care
 _CUT = regex.compile(r"(?<=\S)(?=[ \n])", regex.V1)
+# White space other than the blank and the line feed.
+_OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_ASCII_SPACE = _OTHER_SPACE[:8]
 LAST = "\u017f"  # up to here letters are the same in every Unicode version
 _STOPS = frozenset(".,")
 
@@ -45,6 +48,15 @@ def _byte_chars() -> dict[int, int]:
     return {b: b for b in keep} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+def _runs(text: str) -> bool:
+    """Whether white space stands next to a cut (or at an end). Searches for fixed strings rule
+    that out for most texts; the pattern decides only about the others."""
+    if " \n" in text or "  " in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1].isspace():
+        return True
+    others = _ASCII_SPACE if text.isascii() else _OTHER_SPACE
+    return any([c in text for c in others]) and _RUN.search(text) is not None
+
+
 class _Words(dict):
     """word -> id bytes, filled on demand; two generations, so that frequent words outlive
     the emptying at ``bound`` entries."""
@@ -53,6 +65,13 @@ class _Words(dict):
         super().__init__()
         self.make, self.bound, self.old = make, bound, {}
 
+    def peek(self, word: str) -> bytes:
+        """The id bytes of ``word``, made if need be but not kept."""
+        out = self.get(word)
+        if out is None:
+            out = self.old.get(word)
+        return self.make(word) if out is None else out
+
     def __missing__(self, word: str) -> bytes:
         out = self.old.get(word)
         if out is None:
@@ -84,12 +103,15 @@ class WordEncoder:
         self.plain = _Words(self._cut, max_words)
         self.spaced = _Words(self._spaced_cut, max_words)
         self.lines = _Words(self._line, max_lines)
+        self.prefix = chr(self.space) if self.space else ""
+        self.stops = {c: self._cut(c) for c in _STOPS}
 
     def _spaced_cut(self, word: str) -> bytes:
-        if word.isalpha() and word.isascii():  # one pre-token, no pattern needed
-            return self._merge(chr(self.space) + word)
-        if word[-1:] in _STOPS and word[:-1].isalpha():  # a letter run, then one stop
-            return self.spaced[word[:-1]] + self.plain[word[-1]]
+        if word.isascii():
+            if word.isalpha():  # one pre-token, no pattern needed
+                return self._merge(self.prefix + word)
+            if word[-1:] in _STOPS and word[:-1].isalpha():  # a letter run, then one stop
+                return self.spaced.peek(word[:-1]) + self.stops[word[-1]]
         return self._cut(" " + word)
 
     def _cut(self, text: str) -> bytes:
@@ -98,7 +120,7 @@ class WordEncoder:
         if self.drops_space:
             text = text.lower()
             if text[-1:] in _STOPS and text[:-1].isalpha():
-                return self.plain[text[:-1]] + self.plain[text[-1]]
+                return self.plain.peek(text[:-1]) + self.stops[text[-1]]
         if not text.isalpha():
             found = self.find(text)
             if len(found) != 1 or found[0] != text:
@@ -127,7 +149,7 @@ class WordEncoder:
             except UnicodeEncodeError:
                 pass
             return b"".join(map(self.lines.__getitem__, text.split("\n")))
-        if _RUN.search(text):
+        if _runs(text):
             return b"".join(map(self.plain.__getitem__, _CUT.split(text)))
         first, *rest = text.split("\n")
         return self.lines[first] + b"".join([self.lines["\n" + line] for line in rest])
