@@ -86,7 +86,7 @@ class _Words(dict):
 class WordEncoder:
     """Encodes texts to little-endian id bytes (uint16, or uint32 for large vocabularies)."""
 
-    def __init__(self, path: str, max_words: int = 200_000, max_lines: int = 20_000):
+    def __init__(self, path: str, max_words: int = 400_000, max_lines: int = 4_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per Spark task
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)

@@ -21,6 +21,7 @@ Scoring is map-only over whole texts; a worker compresses each distinct word onc
 from __future__ import annotations
 
 import math
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -233,10 +234,11 @@ def fit(texts: list[str], labels: list[int], share: float, params: ToxicityParam
         return none
     toxic, runs = toxic_samples(texts, y, params)
     if not toxic:
-        raise ValueError(f"no byte sequence tells the {int(y.sum())} toxic from the {int((1 - y).sum())} ordinary "
-                         "sampled texts; a toxic dictionary cannot be trained")
+        warnings.warn(f"no byte sequence tells the {int(y.sum())} toxic from the {int((1 - y).sum())} ordinary "
+                      f"sampled texts: every document gets the share of toxic rows, {none.prior:.4f}", stacklevel=2)
+        return none
     plain = (b" ".join(words_of(t)) + b" " for t, label in zip(texts, y) if not label)
-    plain = [t[i:i + 200] for t in plain for i in range(0, min(len(t), 2000), 200)]  # sample bound
+    plain = [t[i:i + 200] for t in plain for i in range(0, len(t), 200)]  # whole texts
     model = ToxicityModel(_whole(_dictionary(toxic, params.toxic_dictionary, 16), runs),
                           _dictionary(plain, params.ordinary_dictionary, 32), np.zeros(0), share)
     x = _features(Gaps(model).counts(texts))
@@ -254,8 +256,8 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
           id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Learn from labelled rows outside ``held_out``. Null ids, texts and labels are left out;
     an id with several labels is toxic if one of them says so. Without rows of both labels
-    every score is the share of toxic rows (0 if there is none); rows of both that no sequence
-    tells apart raise ValueError."""
+    every score is the share of toxic rows (0 if there is none); so it is, with a warning, where
+    no sequence tells the rows of both apart."""
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).alias("y")) \
         .where("k is not null and y is not null").where(~held_out(F.col("k"))) \
         .groupBy("k").agg(F.max("y").cast("int").alias("y"))

@@ -150,15 +150,12 @@ class ArchiveWriter:
     def _train(self) -> None:
         import zstandard as zstd
         held, self.held = self.held, None
-        given = None
-        if len(held) >= 16:  # fewer samples make no dictionary; frames then stand alone
-            try:  # k and d given: one pass, no search for them
-                given = zstd.train_dictionary(DICTIONARY_BYTES, [r[:16384] for r in held], k=512, d=8)
-            except zstd.ZstdError:
-                given = None
-        if given is not None:
-            data = given.as_bytes()
-            self._write(struct.pack("<II", SKIPPABLE, len(data)) + data)
+        try:  # k and d given: one pass, no search for them
+            data = zstd.train_dictionary(DICTIONARY_BYTES, held, k=512, d=8).as_bytes()
+        except zstd.ZstdError:  # too few or too small samples to train on
+            data = raw_dictionary(held)
+        given = zstd.ZstdCompressionDict(data)
+        self._write(struct.pack("<II", SKIPPABLE, len(data)) + data)
         self.press = zstd.ZstdCompressor(level=3, dict_data=given, write_content_size=True,
                                          write_checksum=True, write_dict_id=True)
         for record in held:
@@ -171,6 +168,13 @@ class ArchiveWriter:
         return self.path, self.n_records, self.n_bytes
 
 
+def raw_dictionary(records: list[bytes]) -> bytes:
+    """A dictionary of plain content, for archives too small to train one: the records' ends,
+    newest last, and the fixed part of a record's header, so it is never empty."""
+    content = b"".join(r[-(DICTIONARY_BYTES // max(1, len(records))):] for r in records) + b"WARC/1.1\r\nContent-Length: "
+    return content[-DICTIONARY_BYTES:]
+
+
 def read_archive(path: str, block: int = 1 << 20) -> Iterator[dict]:
     """The records of one archive in order, holding one record and one block at a time."""
     import zstandard as zstd
