@@ -3,6 +3,9 @@
 Start tags imply the end tags that pages leave out (p, li, table cells, options); end tags
 close up to their element or are ignored; pages may stop anywhere. Inline elements join the
 text around them, every other element bounds a block, and <br> is white space.
+
+Reading takes time in proportion to the page, whatever it holds: no character is looked at more
+than a few times, and open elements are found by name, not by walking up the stack.
 """
 
 from __future__ import annotations
@@ -24,12 +27,54 @@ CLOSES = {  # a start tag ends an open element of these names, up to the nearest
     "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td"}, {"table"}),
     "body": ({"head"}, set())}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)
-|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[a-zA-Z/][^<]*\Z""", re.S | re.X)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"[>\"']")
+SOUND = re.compile(r"""(?:[^<>"']|="[^"<>]*"|='[^'<>]*')*+>""")  # stops at any "<", so no text is scanned twice
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 MARK = re.compile(r'\bdata-y="([01])"')
 
 
+class _Tags:
+    """Finds where tags end. A quote opens a value only behind an equals sign. It is taken for
+    a slip, and the tag ends at the first ">" behind it, if it never closes or if a tag ends
+    and another begins before it closes. Once a tag runs to the end of the page for its quotes,
+    the rest of the page is read without regard to quotes."""
+
+    def __init__(self, html: str):
+        self.html, self.quotes, self.no_end = html, True, False
+        self.gone: set[str] = set()  # quote characters that do not occur any more
+
+    def _next_end(self, at: int) -> int:
+        end = -1 if self.no_end else self.html.find(">", at)
+        self.no_end |= end < 0
+        return end
+
+    def end(self, at: int) -> int:
+        """Place of the ">" that ends the tag whose name ends at ``at``; -1 if none does."""
+        html, pos = self.html, at
+        if (m := SOUND.match(html, at)) is not None:
+            return m.end() - 1
+        while self.quotes:
+            m = STOP.search(html, pos)
+            if m is None:
+                self.quotes = False
+                break
+            if m[0] == ">":
+                return m.start()
+            pos = m.start() + 1
+            if html[at:pos - 1].rstrip()[-1:] != "=" if pos - at < 64 else html[pos - 65:pos - 1].rstrip()[-1:] != "=":
+                continue
+            close = -1 if m[0] in self.gone else html.find(m[0], pos)
+            if close < 0:
+                self.gone.add(m[0])
+                return self._next_end(pos)
+            gt = html.find(">", pos, close)
+            if 0 <= gt < html.find("<", pos, close):
+                return gt
+            pos = close + 1
+        return self._next_end(at)
+
+
 class Page:
     """Element arrays in document order (row 0 is the page itself) and text blocks."""
 
@@ -46,9 +91,14 @@ class Page:
 
     def _read(self, html: str, marks: bool) -> None:
         stack: list[tuple[str, int]] = [("#page", 0)]  # open elements; -1: inline
+        places: dict[str, list[int]] = {}              # name -> its places in the stack
+        blocks = [0]                                   # places of the open blocks
         node, silent, links, linked = 0, 0, 0, 0
         run: list[str] = []
-        at, n = 0, len(html)
+        n = len(html)
+
+        def topmost(names) -> int:
+            return max((places[x][-1] for x in names if places.get(x)), default=0)
 
         def flush() -> None:
             nonlocal linked
@@ -65,79 +115,91 @@ class Page:
             nonlocal node, silent, links
             while len(stack) > to:
                 name, row = stack.pop()
+                places[name].pop()
                 if name in SILENT:
                     silent -= 1
                 if name == "a":
                     links -= 1
                 if row >= 0:
+                    blocks.pop()
                     flush()
                     self.last[row] = len(self.tag) - 1
                     node = self.parent[row]
 
-        for m in TOKEN.finditer(html):
-            if m.start() < at:
-                continue  # inside raw text
-            if m.start() > at and not silent:
-                run.append(html[at:m.start()])
+        def say(to: int) -> None:
+            nonlocal linked
+            if to > told and not silent:
+                run.append(html[told:to])
                 if links:
-                    linked += m.start() - at
-            at = m.end()
-            name = m[2]
-            if name is None:
+                    linked += to - told
+
+        tags, at, told = _Tags(html), 0, 0  # text up to ``told`` is in the run or silent
+        while at < n:
+            lt = html.find("<", at)
+            if lt < 0:
+                break
+            kind = html[lt + 1:lt + 2]
+            if kind and kind in "!?":
+                say(lt)
+                comment = html.startswith("<!--", lt)
+                end = html.find("-->", lt + 4) if comment else html.find(">", lt + 2)
+                at = told = n if end < 0 else end + (3 if comment else 1)
+                continue
+            # a name may hold "<", so none is looked for where no tag can end any more
+            m = None if tags.no_end else NAME.match(html, lt + 1 + (kind == "/"))
+            end = tags.end(m.end()) if m else -1
+            if end < 0:
+                # a tag that the page's end cuts off; elsewhere "<" is a character
+                if (kind == "/" or kind.isascii() and kind.isalpha()) and html.find("<", lt + 1) < 0:
+                    say(lt)
+                    at = told = n
+                else:
+                    at = lt + 1
                 continue
-            name = name.lower()
-            if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        close(k)
-                        break
+            say(lt)
+            at = told = end + 1
+            name, attrs = m[0].lower(), html[m.end():end]
+            if kind == "/":
+                if places.get(name):
+                    close(places[name][-1])
                 continue
             if name == "br":
                 if not silent:
                     run.append(" ")
                 continue
-            if name in BLOCK:
-                if name not in ("html", "body", "head"):
-                    for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                        if stack[k][0] == "p":
-                            close(k)
-                            break
-                        if stack[k][1] >= 0:
-                            break
+            if name in BLOCK and name not in ("html", "body", "head") and stack[blocks[-1]][0] == "p":
+                close(blocks[-1])  # a block ends an open paragraph
             if name in CLOSES:
                 ends, bound = CLOSES[name]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in bound:
-                        break
-                    if stack[k][0] in ends:
-                        close(k)
-                        break
+                if (k := topmost(ends)) > topmost(bound):
+                    close(k)
             row = -1
             if name in BLOCK:
                 flush()
                 row = len(self.tag)
                 self.tag.append(name)
-                self.attrs.append(m[3])
+                self.attrs.append(attrs)
                 self.parent.append(node)
                 self.depth.append(self.depth[node] + 1)
                 self.last.append(row)
                 self.tags_inside.append(0)
-                found = MARK.search(m[3]) if marks else None
+                found = MARK.search(attrs) if marks else None
                 self.mark.append(int(found[1]) if found else -1)
             else:
                 self.tags_inside[node] += 1
-            if name in VOID or m[3].endswith("/") and row < 0 and name not in RAW:
+            if name in VOID or attrs.endswith("/") and row < 0 and name not in RAW:
                 continue
             if row >= 0:
                 node = row
+                blocks.append(len(stack))
+            places.setdefault(name, []).append(len(stack))
             stack.append((name, row))
             silent += name in SILENT
             links += name == "a"
             if name in RAW:
                 end = re.compile(f"</{name}(?=[\\s/>])", re.I).search(html, at)
-                at = end.start() if end else n
-        if at < n and not silent:
-            run.append(html[at:])
+                at = told = end.start() if end else n
+        say(n)
         close(1)
         flush()
         self.last[0] = len(self.tag) - 1

@@ -271,11 +271,16 @@ def fit(htmls: list[str], layouts: int = 4, seed: int = 7) -> Forest | None:
 
 def train(pages: DataFrame, sample: int = 200, id_col: str = "page_id", html_col: str = "html",
           max_bytes: int = 65_536) -> Forest | None:
-    """Fit on at most ``sample`` pages of at most ``max_bytes`` bytes, chosen by a hash."""
+    """Fit on at most ``sample`` pages of at most ``max_bytes`` bytes, chosen by a hash. The
+    smallest hashes are found first, without the pages; only pages up to the last of them are
+    then fetched, so what the driver gets does not grow with the table."""
     rows = pages.select(F.col(id_col).alias("k"), F.col(html_col).alias("h")) \
-        .where(F.col("h").isNotNull() & (F.octet_length("h") <= max_bytes)) \
-        .orderBy(F.xxhash64("k", "h")).limit(sample).collect()
-    return fit([r["h"] for r in rows])
+        .where(F.col("h").isNotNull() & (F.octet_length("h") <= max_bytes)).withColumn("s", F.xxhash64("k", "h"))
+    chosen = rows.select("s").orderBy("s").limit(sample).collect()
+    if not chosen:
+        return None
+    got = rows.where(F.col("s") <= chosen[-1]["s"]).orderBy("s", "h").limit(sample).collect()
+    return fit([r["h"] for r in got])
 
 
 def extract(pages: DataFrame, forest: Forest | None, id_col: str = "page_id", url_col: str = "url",

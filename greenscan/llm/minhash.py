@@ -12,29 +12,31 @@ are runs of characters other than blank and U+0009..U+000D).
    default 2 x 12 all but 1 in 10,000 links, at 0.80 all but 1 in 100,000.
 3. Neighbours in a bucket (in id order) are candidates first: as many pairs as rows, however
    large a bucket is. Verified links are contracted to components. Buckets that still hold
-   several components are then compared completely, but only across components, in blocks of
-   bounded size, on the bitmaps; only pairs that the bitmap cannot rule out leave the task,
-   each from the first table in which the two meet, and are verified. So no link that meets in a table is lost, and no group of copies is
-   expanded into its pairs.
-4. The bitmap test is exact: the parity bits in which two sets differ are at most the
-   elements in which they differ, and a link allows at most a seventh of both sizes.
+   several components are then compared completely, but only across components: every member
+   has a home block of bounded size, and members outside the bucket's largest component (only
+   they) visit every block. Pairs that the bitmaps cannot rule out leave the task, each from the
+   first table in which the two meet, and are verified. So no link that meets in a table is
+   lost, and no group of copies is expanded into its pairs.
+4. The bitmap test is exact (:mod:`greenscan.llm.bitmaps`): a link allows sets to differ in at
+   most a seventh of both sizes; bitmaps grow with the sets, so they tell long texts apart too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from greenscan.llm.bitmaps import Bitmaps, apart_at_most, parity_bits, plausible
 from greenscan.llm.common import written
 from greenscan.llm.components import components
 
-BITS = 1024
-BLOCK = 512
+BLOCK = 1024
 U = np.uint64
 WORD_SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -123,13 +125,14 @@ def sketches(docs: DataFrame, params: NearDupParams, id_col: str = "doc_id", tex
             for text in batch.column(1).to_pylist():
                 x = shingler.shingles(text)
                 cols["n"].append(len(x))
-                cols["f1"].append(mix(x + U(1)).sum(dtype=U).view(np.int64))
-                cols["f2"].append(mix(x * U(3) + U(7)).sum(dtype=U).view(np.int64))
+                # equal digests of the whole sorted set are the full comparison of equal sets
+                f1, f2 = np.frombuffer(blake2b(x.tobytes(), digest_size=16).digest(), dtype=np.int64)
+                cols["f1"].append(f1)
+                cols["f2"].append(f2)
                 keys = mix((_signature(x, factors).reshape(2, m, r) * join).sum(2, dtype=U)) if len(x) else None
                 cols["a"].append(keys[0].view(np.int64) if len(x) else [])
                 cols["b"].append(keys[1].view(np.int64) if len(x) else [])
-                odd = np.bincount((x >> U(20)).astype(np.int64) % BITS, minlength=BITS) & 1
-                cols["bits"].append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                cols["bits"].append(parity_bits(x))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": batch.column(0), **{c: pa.array(cols[c], pa.int64()) for c in ("n", "f1", "f2")},
@@ -152,22 +155,6 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, items array<long>")
 
 
-def _within(n1, n2, differ, percent: int):
-    """Whether sets of these sizes that differ in ``differ`` elements at least can be linked:
-    100 I >= percent (n1 + n2 - I) and n1 + n2 - 2 I >= differ."""
-    return differ * (100 + percent) <= (100 - percent) * (n1 + n2)
-
-
-def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that sizes and bitmaps cannot rule out, with set sizes."""
-    a = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("bu"))
-    b = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv"))
-    both = pairs.join(a, "u").join(b, "v")
-    differ = F.aggregate(F.zip_with("bu", "bv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return both.where(_within(F.col("nu"), F.col("nv"), F.abs(F.col("nu") - F.col("nv")), percent)) \
-        .where(_within(F.col("nu"), F.col("nv"), differ, percent)).select("u", "v")
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, params: NearDupParams) -> DataFrame:
     """The pairs whose full sets are similar enough; only their documents are read again."""
     pairs = written(pairs.select("u", "v"), "candidates")
@@ -181,78 +168,46 @@ def _verified(pairs: DataFrame, docs: DataFrame, params: NearDupParams) -> DataF
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (u, v) across components inside buckets, compared in blocks.
-
-    ``rows``: key, size, place (of the table), node, n, component, bits, a, b. A bucket of up to BLOCK rows is one group; a
-    larger one is cut into blocks, and each two blocks are one group."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    cut = rows.withColumn("blocks", blocks) \
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                (F.col("block") > F.col("other")).alias("high"), "node", "n", "component", "place",
-                "bits", "a", "b")
-    grouped = cut.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def compare(node, n, comp, place, bits, a_keys, b_keys, high, alone) -> list[np.ndarray]:
-        left = np.arange(len(node)) if alone else np.flatnonzero(~high)
-        right = left if alone else np.flatnonzero(high)
-        found = []
-        for a in range(0, len(left), 64):
-            l = left[a:a + 64]
-            ok = comp[l][:, None] != comp[right][None, :]
-            if alone:
-                ok &= l[:, None] < right[None, :]
-            n1, n2 = n[l][:, None], n[right][None, :]
-            ok &= _within(n1, n2, np.abs(n1 - n2), percent)
-            x, y = np.nonzero(ok)
-            if len(x):
-                x, y = l[x], right[y]
-                differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
-                near = _within(n[x], n[y], differ, percent)
-                x, y = x[near], y[near]
-                # of all tables in which the two meet, the first one tells
-                at = (a_keys[x] == a_keys[y]).argmax(1) * b_keys.shape[1] + (b_keys[x] == b_keys[y]).argmax(1)
-                first = at == place[x]
-                u, v = node[x[first]], node[y[first]]
-                found.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1))
-        return found
+    """Candidate pairs (u, v) across components inside buckets, from (key, block, guest, main,
+    comp, node, n, place, bits, a, b): each block's guests are compared with its members."""
+    grouped = rows.repartition("key", "block").sortWithinPartitions("key", "block", "guest", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-
-        def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-            flat = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(8)]
-            lists = [batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                     for k in (8, 9, 10)]
-            return [*flat, lists[0].view(U), *lists[1:]]
-
-        def groups(c: list[np.ndarray], final: bool) -> tuple[list[np.ndarray], list[np.ndarray] | None]:
-            key, i, j, high, node, n, comp, place, bits, a_keys, b_keys = c
-            new = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-            ends = [*new, len(key)] if final else list(new)
-            found: list[np.ndarray] = []
-            a = 0
-            for b in ends:
-                found += compare(*(x[a:b] for x in (node, n, comp, place, bits, a_keys, b_keys, high)), i[a] == j[a])
-                a = b
-            return found, None if final else [x[a:] for x in c]
-
-        def out(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_pydict({"u": pairs[:, 0], "v": pairs[:, 1]})
+        at, home, table, found = None, [], None, []
+
+        def meet(comp_i, node_i, n_i, place, mine, a_i, b_i) -> None:
+            main, comp, node, n, bits, a_keys, b_keys = table
+            most = apart_at_most(n_i, n, percent)
+            ok = (comp != comp_i) & (np.abs(n - n_i) <= most) & (main | (node > node_i))
+            near = bits.near(mine, ok, most)
+            if len(near):
+                # of all tables in which the two meet, the first one tells
+                first = (a_keys[near] == a_i).argmax(1) * b_keys.shape[1] + (b_keys[near] == b_i).argmax(1)
+                v = node[near[first == place]]
+                if len(v):
+                    found.append(np.stack([np.minimum(v, node_i), np.maximum(v, node_i)], 1))
 
         for batch in batches:
-            if batch.num_rows:
-                c = columns(batch)
-                c = c if held is None else [np.concatenate(x) for x in zip(held, c)]
-                found, held = groups(c, False)
-                yield from out(found)
-        if held is not None and len(held[0]):
-            yield from out(groups(held, True)[0])
+            flat = [c.to_pylist() for c in batch.columns[:8]]
+            lists = batch.columns[8:]
+            for i, (key, block, guest, main, comp, node, n, place) in enumerate(zip(*flat)):
+                if (key, block) != at:
+                    at, home, table = (key, block), [], None
+                mine, a_i, b_i = (np.array(c[i].values) for c in lists)
+                if not guest:  # those at home stand first
+                    home.append((main, comp, node, n, mine, a_i, b_i))
+                elif home:
+                    if table is None:
+                        cols = list(zip(*home))
+                        table = [*map(np.array, cols[:4]), Bitmaps(cols[4]), np.stack(cols[5]), np.stack(cols[6])]
+                    meet(comp, node, n, place, mine, a_i, b_i)
+            if found:
+                u, v = np.unique(np.concatenate(found), axis=0).T
+                found = []
+                yield pa.RecordBatch.from_pydict({"u": u, "v": v})
 
-    return grouped.mapInArrow(run, "u long, v long").distinct()
+    return grouped.select("key", "block", "guest", "main", "comp", "node", "n", "place", "bits", "a", "b") \
+        .mapInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id_col: str = "doc_id",
@@ -279,7 +234,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id
         .where("before is not null or after is not null").select("key", "place", "node", "before"), "buckets")
 
     chain = buckets.where("before <> node").select(F.col("before").alias("u"), F.col("node").alias("v")).distinct()
-    links = _verified(_plausible(chain, nodes, params.percent), texts, params)
+    links = _verified(plausible(chain, nodes, params.percent), texts, params)
     first = written(components(links), "components")
 
     labelled = buckets.join(first, "node", "left") \
@@ -287,7 +242,18 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                         F.count(F.lit(1)).alias("size")) \
         .where("lo <> hi and size > 2").select("key", "size")
-    rows = labelled.join(mixed, "key").join(nodes.select("node", "n", "bits", "a", "b"), "node")
+    inside = labelled.join(written(mixed, "mixed"), "key")
+    main = inside.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k")) \
+        .groupBy("key").agg(F.max(F.struct("k", "component"))["component"].alias("main"))
+    placed = inside.join(main, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")) \
+        .withColumn("main", F.col("component") == F.col("main"))
+    home = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    stands = F.array(F.struct(home.alias("block"), F.lit(False).alias("guest")))
+    visits = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
+                         lambda b: F.struct(b.alias("block"), F.lit(True).alias("guest")))
+    rows = placed.withColumn("at", F.explode(F.when(F.col("main"), stands).otherwise(F.concat(stands, visits)))) \
+        .select("key", "at.block", "at.guest", "main", F.col("component").alias("comp"), "node", "place") \
+        .join(nodes.select("node", "n", "bits", "a", "b"), "node")
     more = _verified(_across(rows, params.percent), texts, params)
     named = more.join(first.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left") \
         .join(first.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left") \

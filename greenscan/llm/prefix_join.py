@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from greenscan.llm.bitmaps import Bitmaps, needed, parity_bits, plausible
 from greenscan.llm.common import written
 from greenscan.llm.components import components
 from greenscan.llm.minhash import Shingler, mix
 
 U = np.uint64
 CHUNK = 4096          # counters in one row on their way to the sum
-MIN_BITS = 256
 BLOCK = 1024          # members of a list that have their home in one block
 SPLITS = 64           # parts of a hot list
 HOT = 1 << 16         # sets on a counter from which its elements' lists are cut, if also
@@ -59,29 +59,6 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _needed(n1, n2, percent: int):
-    """Smallest intersection of linked sets of these sizes."""
-    return -(-(n1 + n2) * percent // (100 + percent))
-
-
-def parity_bits(x: np.ndarray) -> np.ndarray:
-    """Which of 2^k bits an odd number of the elements falls on, as 64-bit words."""
-    bits = MIN_BITS
-    while bits * 2 < len(x):
-        bits *= 2
-    odd = np.bincount((x & U(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-
-
-def bits_apart(a: np.ndarray, b: np.ndarray) -> int:
-    """Bits in which two bitmaps differ, the larger folded onto the smaller."""
-    while len(a) > len(b):
-        a = a[:len(a) // 2] ^ a[len(a) // 2:]
-    while len(b) > len(a):
-        b = b[:len(b) // 2] ^ b[len(b) // 2:]
-    return int(np.bitwise_count((a ^ b).view(U)).sum())  # of signed words it would count absolute values
-
-
 def shingle_levels(texts: DataFrame, params: JoinParams) -> tuple[np.ndarray, int]:
     """Level of every counter (twice the binary logarithm of how many sets' elements fall
     there), and the level from which elements are hot. Tasks send their counters in chunks,
@@ -168,21 +145,6 @@ def profiles(rows: DataFrame, levels: np.ndarray, hot: int, params: JoinParams)
     return rows.mapInArrow(run, PROFILE)
 
 
-def _near_bits(pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (nu, bu, nv, bv, ...) that sizes and bitmaps cannot rule out."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nu, nv = (batch.column(c).to_numpy() for c in ("nu", "nv"))
-            most = nu + nv - 2 * _needed(nu, nv, percent)
-            ok = np.abs(nu - nv) <= most
-            bu, bv = batch.column("bu"), batch.column("bv")
-            for i in np.flatnonzero(ok):
-                ok[i] = bits_apart(bu[i].values.to_numpy(), bv[i].values.to_numpy()) <= most[i]
-            yield batch.select(["u", "v"]).filter(pa.array(ok))
-
-    return pairs.select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(run, "u long, v long")
-
-
 def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, params: JoinParams) -> DataFrame:
     """The pairs of nodes whose full sets are linked; only their texts are read again."""
     need = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
@@ -222,36 +184,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, params: JoinP
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, params: JoinParams) -> DataFrame:
     """Distinct pairs that pass sizes and bitmaps, written."""
-    a = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("bu"))
-    b = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv"))
-    return written(_near_bits(pairs.distinct().join(a, "u").join(b, "v"), params.percent), "candidates")
-
-
-class _Bitmaps:
-    """The bitmaps of a block's rows, one matrix for each width, folded on demand."""
-
-    def __init__(self, bits: list[np.ndarray]):
-        widths = np.array([len(b) for b in bits])
-        self.at = {int(w): np.flatnonzero(widths == w) for w in np.unique(widths)}
-        self.folded = {(w, w): np.stack([bits[i] for i in at]) for w, at in self.at.items()}
-
-    def _fold(self, w: int, to: int) -> np.ndarray:
-        if (w, to) not in self.folded:
-            m = self._fold(w, to * 2)
-            self.folded[w, to] = m[:, :to] ^ m[:, to:]
-        return self.folded[w, to]
-
-    def near(self, mine: np.ndarray, ok: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Of the rows flagged in ``ok``, those at most ``most`` bits away from ``mine``."""
-        found = []
-        for w, at in self.at.items():
-            rows = np.flatnonzero(ok[at])
-            if len(rows):
-                to = min(w, len(mine))
-                own = np.bitwise_xor.reduce(mine.reshape(-1, to), 0)
-                apart = np.bitwise_count((self._fold(w, to)[rows] ^ own).view(U)).sum(1, dtype=np.int64)
-                found.append(at[rows[apart <= most[at[rows]]]])
-        return np.concatenate(found) if found else np.empty(0, dtype=np.int64)
+    return written(plausible(pairs.distinct(), nodes, params.percent), "candidates")
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
@@ -265,7 +198,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
 
         def meet(comp_i: int, node_i: int, n_i: int, pos_i: int, mine: np.ndarray) -> None:
             main, comp, node, n, pos = table[0]
-            need = _needed(n_i, n, percent)
+            need = needed(n_i, n, percent)
             most = n_i + n - 2 * need
             # what stands before the shared element and what follows bound the intersection
             ok = (comp != comp_i) & (np.abs(n - n_i) <= most) & (main | (node > node_i)) \
@@ -286,7 +219,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
                 elif home:
                     if table is None:
                         cols = list(zip(*home))
-                        table = [np.array(c) for c in cols[:5]], _Bitmaps(cols[5])
+                        table = [np.array(c) for c in cols[:5]], Bitmaps(cols[5])
                     meet(comp, node, n, pos, mine)
             if found:
                 u, v = np.unique(np.concatenate(found), axis=0).T

@@ -4,7 +4,10 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from greenscan.llm import minhash
+from greenscan.llm.bitmaps import apart_at_most, bits_apart, parity_bits
 from greenscan.llm.components import components
 
 from llm_texts import prose
@@ -80,17 +83,55 @@ def test_odd_rows(spark, odd_docs, odd_rows, no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0 and minhash.keep_one(no_docs).count() == 0
 
 
-def test_bitmap_never_rules_out_a_link():
-    rng = np.random.default_rng(0)
-    for _ in range(300):
-        n, d = int(rng.integers(1, 400)), int(rng.integers(0, 60))
-        a = rng.integers(0, 2 ** 63, n).astype(np.uint64)
-        b = np.unique(np.concatenate([a[d:], rng.integers(0, 2 ** 63, d).astype(np.uint64)]))
-        a = np.unique(a)
-        bits = [np.bincount((x >> np.uint64(20)).astype(np.int64) % minhash.BITS, minlength=minhash.BITS) & 1 for x in (a, b)]
-        common = len(np.intersect1d(a, b))
-        linked = 100 * common >= 75 * (len(a) + len(b) - common)
-        assert not linked or minhash._within(len(a), len(b), int((bits[0] ^ bits[1]).sum()), 75)
+def test_one_outsider_in_a_large_bucket_visits_and_the_rest_stays(spark):
+    """A bucket of 3,000 linked sets and one outsider: only the outsider is copied to blocks."""
+    rng = np.random.default_rng(1)
+    bits = [[int(x) for x in rng.integers(-2 ** 62, 2 ** 62, 4)] for _ in range(3001)]
+    keys = [list(range(12))] * 2
+    rows = [(7, i % 3, guest, i > 0, 0 if i else 1, i, 200, 0, bits[i], *keys) for i in range(3001)
+            for guest in ([False] if i else [False, True])]
+    rows += [(7, b, True, False, 1, 0, 200, 0, bits[0], *keys) for b in (1, 2)]
+    df = spark.createDataFrame(rows, "key long, block int, guest boolean, main boolean, comp long, node long, n long, "
+                                     "place int, bits array<long>, a array<long>, b array<long>")
+    assert minhash._across(df, 75).collect() == []  # random bitmaps lie far apart
+    near = df.withColumn("bits", F.array(*[F.lit(0)] * 4).cast("array<long>"))
+    got = {(r.u, r.v) for r in minhash._across(near, 75).collect()}
+    assert got == {(0, i) for i in range(1, 3001)}
+
+
+def test_links_of_long_texts_in_one_bucket(spark):
+    """Sets of 5,000 shingles that share half are told apart by their bitmaps."""
+    base = prose(41, 2600)
+    rows = [(i, base + " " + prose(50 + i, 2600)) for i in range(12)]
+    rows += [(100, rows[0][1] + " more words at the end"), (101, rows[5][1].replace("the", "a", 3))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows)
+    x = [minhash.Shingler(5).shingles(t) for _, t in rows[:12]]
+    assert all(bits_apart(parity_bits(x[0]), parity_bits(y)) > apart_at_most(len(x[0]), len(y), 75) for y in x[1:])
+
+
+def test_recall_near_the_limit(spark):
+    """Pairs of similarity 0.75 to 0.80, each alone: found and missed links counted."""
+    rng = random.Random(77)
+    rows, linked = [], 0
+    for k in range(400):
+        words = prose(1000 + k, 160).split()
+        other = list(words)
+        for i in rng.sample(range(160), 4):
+            other[i] += "x"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    want = brute_pairs(rows)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[b] == a for a, b in want)
+    assert len(want) > 100 and found >= 0.995 * len(want)
+    assert all(got[b] == b for a, b in zip(range(0, 800, 2), range(1, 800, 2)) if (a, b) not in want)
+
+
+def brute_pairs(rows):
+    s = {i: sets(t) for i, t in rows}
+    return {(a, a + 1) for a in range(0, len(rows), 2)
+            if 100 * (n := len(s[a] & s[a + 1])) >= 75 * (len(s[a]) + len(s[a + 1]) - n)}
 
 
 def test_shingler_matches_plain_sets():

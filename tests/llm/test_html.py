@@ -1,11 +1,13 @@
 """op2: the reader, the trees, the decoding, and extraction from layouts not trained on."""
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from greenscan.llm import dom
 from greenscan.llm import html_extract as hx
 from greenscan.llm.dom import Page, attribute_words
 from greenscan.llm.trees import boost
@@ -112,3 +114,62 @@ def test_odd_pages(spark, forest):
                           (None, "u", "Some words that stay here.", 26)], key=str)
     assert hx.extract_pages(df.limit(0)).count() == 0
     assert hx.extract(df, None).where(F.col("text") != "").count() == 0
+
+
+SHAPES = ['<a b=" ', "<b>", '<a b=">" ', '<p class="x>text ', "<a b='\" ", "<td></td>", "<body>", "<hr>", "<!-- x ", "<x", "</i>",
+          "<title>", "<div><li>", "& ", '<a b=" > c=\' ']
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+@pytest.mark.parametrize("before,after", [("", ""), ("<b>" * 50_000, "</i>" * 50_000), ("<li><table><td>" + "<div>" * 20_000, "")])
+def test_broken_pages_take_linear_time(shape, before, after):
+    page = before + shape * ((1 << 20) // len(shape)) + after
+    began = time.process_time()
+    dom.Page(page)
+    assert time.process_time() - began < 4  # a megabyte; quadratic reading took minutes
+
+
+def test_markup_of_broken_tags_is_no_text():
+    texts = lambda h: [b[1] for b in dom.Page(h).blocks]
+    assert texts('<p class="x>hello world</p><p>next') == ["hello world", "next"]
+    assert texts('<p title="a > b">one <a data-h="<b>x</b>">two</a> don\'t <i don\'t>3 < 4</i>') == ["one two don't 3 < 4"]
+    assert texts("a <b") == ["a"] and texts("x <3 y < z") == ["x <3 y < z"]
+
+
+def test_reading_matches_the_tree_that_was_written():
+    """Random trees of blocks and inline elements, written as HTML: the blocks of text are those
+    that a walk over the tree itself gives."""
+    rng = random.Random(6)
+
+    def tree(depth):
+        kids = [rng.choice(["one", "two &amp; three", "  four\n", "é"]) if rng.random() < .6 or depth == 0 else
+                (rng.choice(["div", "section", "ul", "b", "a", "span"]), tree(depth - 1)) for _ in range(rng.randint(0, 5))]
+        return kids
+
+    def write(kids):
+        return "".join(k if isinstance(k, str) else
+                       f'<{k[0]} class="c > d" title=\'x\' {rng.choice(["", "hidden"])}>{write(k[1])}</{k[0]}>' for k in kids)
+
+    def walk(kids, out, run):
+        for k in kids:
+            if isinstance(k, str):
+                run.append(k.replace("&amp;", "&"))
+            elif k[0] in ("div", "section", "ul"):
+                end(out, run)
+                walk(k[1], out, run)
+                end(out, run)
+            else:
+                walk(k[1], out, run)
+        return out
+
+    def end(out, run):
+        text = " ".join("".join(run).split())
+        run.clear()
+        if text:
+            out.append(text)
+
+    for _ in range(300):
+        kids, run = tree(4), []
+        want = walk(kids, [], run)
+        end(want, run)
+        assert [b[1] for b in dom.Page(write(kids)).blocks] == want

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from greenscan.llm import prefix_join as P
+from greenscan.llm.bitmaps import bits_apart
 
 from llm_texts import prose
 
@@ -124,17 +125,17 @@ def test_bitmaps_never_rule_out_a_link():
             continue
         apart = len(a) + len(b) - 2 * len(np.intersect1d(a, b))
         x, y = P.parity_bits(a), P.parity_bits(b)
-        assert len(x) * 64 >= max(256, len(a) / 2) and P.bits_apart(x, y) <= apart
-        maps = P._Bitmaps([y, x])
-        assert list(maps.near(x, np.array([True, False]), np.array([P.bits_apart(x, y), -1]))) == [0]
-        assert P.bits_apart(x, y) == 0 or not len(maps.near(x, np.array([True, False]), np.array([P.bits_apart(x, y) - 1, -1])))
+        assert len(x) * 64 >= max(256, len(a) / 2) and bits_apart(x, y) <= apart
+        maps = P.Bitmaps([y, x])
+        assert list(maps.near(x, np.array([True, False]), np.array([bits_apart(x, y), -1]))) == [0]
+        assert bits_apart(x, y) == 0 or not len(maps.near(x, np.array([True, False]), np.array([bits_apart(x, y) - 1, -1])))
 
 
 def test_prefixes_of_linked_sets_meet():
     for n1 in range(1, 60):
         for n2 in range(n1, 60):
             for percent in (75, 90, 100):
-                need = P._needed(n1, n2, percent)
+                need = P.needed(n1, n2, percent)
                 if need <= n1:
                     assert need * (100 + percent) >= percent * (n1 + n2) > (need - 1) * (100 + percent)
                     # without a common prefix element, what is left of one set is too small
