@@ -1,6 +1,6 @@
 """Parity bitmaps of sets: an exact test that rules out pairs of sets that differ too much.
 
-A bitmap has a power of two of bits of at least half the set's size (and ``MIN_BITS``); bit i
+A bitmap has a power of two of bits in proportion to the set's size (at least ``MIN_BITS``); bit i
 tells whether an odd number of elements falls on it. Folding the larger bitmap of two onto the
 smaller gives that of the smaller width, and bits that differ never outnumber elements that do.
 """
@@ -28,10 +28,13 @@ def apart_at_most(n1, n2, percent: int):
     return n1 + n2 - 2 * needed(n1, n2, percent)
 
 
-def parity_bits(x: np.ndarray) -> np.ndarray:
-    """Which of 2^k bits an odd number of the elements falls on, as 64-bit words."""
+def parity_bits(x: np.ndarray, per_element: float = 0.5) -> np.ndarray:
+    """Which of 2^k bits an odd number of the elements falls on, as 64-bit words. At least
+    ``per_element`` bits for each: sets that share nothing then differ in about half of them,
+    which must be more than linked sets may differ in (0.5 does for limits from 90 percent on,
+    1 from 75 percent on)."""
     bits = MIN_BITS
-    while bits * 2 < len(x):
+    while bits < per_element * len(x):
         bits *= 2
     odd = np.bincount((x & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)

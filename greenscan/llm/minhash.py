@@ -132,7 +132,7 @@ def sketches(docs: DataFrame, params: NearDupParams, id_col: str = "doc_id", tex
                 keys = mix((_signature(x, factors).reshape(2, m, r) * join).sum(2, dtype=U)) if len(x) else None
                 cols["a"].append(keys[0].view(np.int64) if len(x) else [])
                 cols["b"].append(keys[1].view(np.int64) if len(x) else [])
-                cols["bits"].append(parity_bits(x))
+                cols["bits"].append(parity_bits(x, 1.0))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": batch.column(0), **{c: pa.array(cols[c], pa.int64()) for c in ("n", "f1", "f2")},

@@ -107,7 +107,17 @@ def test_links_of_long_texts_in_one_bucket(spark):
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows)
     x = [minhash.Shingler(5).shingles(t) for _, t in rows[:12]]
-    assert all(bits_apart(parity_bits(x[0]), parity_bits(y)) > apart_at_most(len(x[0]), len(y), 75) for y in x[1:])
+    assert all(bits_apart(parity_bits(x[0], 1.0), parity_bits(y, 1.0)) > apart_at_most(len(x[0]), len(y), 75) for y in x[1:])
+
+
+@pytest.mark.parametrize("n", [60, 200, 300, 500, 900, 3000, 20_000])
+def test_bitmaps_exclude_sets_that_share_little(n):
+    rng = np.random.default_rng(n)
+    draw = lambda k: rng.integers(0, 2 ** 63, k).astype(np.uint64)
+    for share in (0, .3, .5):
+        common = draw(int(n * share))
+        a, b = (np.unique(np.concatenate([common, draw(n - len(common))])) for _ in "ab")
+        assert bits_apart(parity_bits(a, 1.0), parity_bits(b, 1.0)) > apart_at_most(len(a), len(b), 75)
 
 
 def test_recall_near_the_limit(spark):
