@@ -29,6 +29,7 @@ from greenscan.llm.tokenizing import encoder, no_gc
 MAGIC = b"GSTOKIDX"
 HEADER = "<8sqq"
 FLUSH_BYTES = 8 << 20
+CACHED_WORDS = 400_000  # a writer holds little else, so its cache may be larger
 
 MANIFEST = "part int, path string, width int, n_docs long, n_tokens long"
 
@@ -49,7 +50,7 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, end_id: int, folder
         .sortWithinPartitions("id", F.xxhash64("text"), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary_path)
+        enc = encoder(vocabulary_path, max_words=CACHED_WORDS)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         width = enc.dtype.itemsize
         part = TaskContext.get().partitionId()

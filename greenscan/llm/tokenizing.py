@@ -86,7 +86,7 @@ class _Words(dict):
 class WordEncoder:
     """Encodes texts to little-endian id bytes (uint16, or uint32 for large vocabularies)."""
 
-    def __init__(self, path: str, max_words: int = 400_000, max_lines: int = 4_000):
+    def __init__(self, path: str, max_words: int = 200_000, max_lines: int = 4_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per Spark task
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
@@ -177,14 +177,14 @@ def no_gc():
         gc.collect()
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, max_words: int = 200_000) -> WordEncoder:
     """The worker's encoder of that vocabulary file (kept while the worker lives)."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (path, max_words) not in _ENCODERS:
+        _ENCODERS[path, max_words] = WordEncoder(path, max_words)
+    return _ENCODERS[path, max_words]
 
 
 def vocabulary(name: str) -> str:
