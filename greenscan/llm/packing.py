@@ -32,15 +32,17 @@ PIECES = ("doc_id long, piece int, start long, length int, ids_crc32 long, task
 
 
 def token_pieces(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int,
-                 id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
+                 cached_words: int = 400_000) -> DataFrame:
     """One row per piece: at most ``capacity`` ids of one document, in document order.
 
     ``task`` and ``nth`` number the pieces of equal length inside the task. A null or empty
     text is one piece holding the end id; null ids and repeated rows are pieces like any
-    other; other columns are ignored."""
+    other; very long texts are cut, never dropped; other columns are ignored. ``cached_words``
+    trades a worker's memory for time, not results."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary_path)
+        enc = encoder(vocabulary_path, cached_words)
         end = np.array([end_id], dtype=enc.dtype)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
@@ -210,10 +212,10 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, vocabulary_path: str, end_id: int = 1, capacity: int = 4096,
-                   id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cached_words: int = 400_000) -> DataFrame:
     """Every piece with its place: doc_id, piece, start, length, ids_crc32 (unsigned crc32 of
     the ids as little-endian uint32), sequence_id, offset, and the ids if ``with_ids``."""
-    out = pack(token_pieces(docs, vocabulary_path, end_id, capacity, id_col, text_col, with_ids), capacity)
+    out = pack(token_pieces(docs, vocabulary_path, end_id, capacity, id_col, text_col, with_ids, cached_words), capacity)
     keep = ["doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32",
             "sequence_id", "offset"]
     return out.select(*keep, *(["ids"] if with_ids else []))
