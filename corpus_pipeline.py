@@ -7,7 +7,10 @@ and read again by the next.
 
 Nulls and odd rows: a null text counts as empty; quality rules reject it (fewer than ten
 words). Rows without an id pass every stage that accepts their text and are packed with a
-null id. Empty tables give an empty result.
+null id. Rows that repeat an id are one document to the near-duplicate stage and are each packed.
+Ties (equal texts) leave the smallest id. Very long texts are read whole and cut into pieces.
+Extra columns pass through to the packing stage, whatever their names. Empty tables give an
+empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from greenscan.llm.common import table, written
 from greenscan.llm.tokenizing import vocabulary
 
 VOCABULARY, END_ID, CAPACITY = "word_bpe_49k.json", 1, 4096
+CACHED_WORDS = 200_000  # workers of earlier stages are still alive beside the packer's
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and its place there."""
-    return packing.pack_documents(docs, vocabulary(VOCABULARY), END_ID, CAPACITY)
+    return packing.pack_documents(docs, vocabulary(VOCABULARY), END_ID, CAPACITY, cached_words=CACHED_WORDS)
 
 
 STAGES = [("toxicity", drop_toxic), ("quality_rules", keep_quality),
