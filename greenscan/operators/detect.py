@@ -56,7 +56,7 @@ def score_ids(df: DataFrame, ids_col: str, cfg: WatermarkConfig, *,
     Each step is its own Project so an array is built once and read by name.
     """
     if return_mask and cfg.ignore_repeated_bigrams:
-        raise ValueError("Can't return the green/red mask when ignoring repeats.")
+        raise ValueError("a mask per position needs every bigram counted: switch off ignore_repeated_bigrams")
     P = prefix
     ids = F.col(ids_col)
     n = F.size(ids)
