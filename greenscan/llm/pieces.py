@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,6 @@ class PieceSampler:
     """Lattices of units, kept up to ``max_units``, and sampling of whole texts."""
 
     def __init__(self, path: str, alpha: float = 0.5, max_units: int = 200_000):
-        import ahocorasick
         import sentencepiece
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = sp.get_piece_size()
@@ -55,10 +55,7 @@ class PieceSampler:
         if whole:
             raise ValueError(f"pieces reach over the cuts between units: {whole[:5]}")
         self.log_weight = np.log(self.weight)
-        self.matcher = ahocorasick.Automaton()
-        for p, i in self.piece.items():
-            self.matcher.add_word(p, len(p) << 20 | i)
-        self.matcher.make_automaton()
+        self._read_backwards()
         self.single = np.array([ord(p) for p in self.piece if len(p) == 1], dtype=np.uint32)
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(self.size) if sp.is_byte(i)}
         self.text = [b""] * self.size
@@ -71,6 +68,61 @@ class PieceSampler:
         self.max_units = max_units
         self._empty()
 
+    def _read_backwards(self) -> None:
+        """The trie of the reversed pieces as arrays: a step from a node over a character is one
+        entry of ``step_key`` (node << 21 | code point, sorted), and leads to ``step_to``."""
+        step: dict[int, int] = {}
+        last = [-1]                           # node -> the piece read in full there, or -1
+        for p, i in self.piece.items():
+            node = 0
+            for c in reversed(p):
+                key = node << 21 | ord(c)
+                if key not in step:
+                    step[key] = len(last)
+                    last.append(-1)
+                node = step[key]
+            last[node] = i
+        key, to = (np.fromiter(x, np.int64, len(step)) for x in (step.keys(), step.values()))
+        order = np.argsort(key)
+        self.step_key, self.step_to, self.step_piece = key[order], to[order], np.array(last)
+        roots = self.step_key < 1 << 21
+        self.first_step = np.zeros(1 << 21, dtype=np.int64)
+        self.first_step[self.step_key[roots]] = self.step_to[roots]
+
+    def _edges(self, chars: np.ndarray, other: np.ndarray, spelled: np.ndarray):
+        """From node, to node and id of all edges, by to node and longest first; ``other`` are the
+        places of characters without a piece. All places walk back together, a character a step;
+        the separators, also the one that place -1 wraps to, lead nowhere."""
+        count = np.zeros(len(chars) + 1, dtype=np.int64)
+        found = []
+        at = np.arange(len(chars))
+        node = self.first_step[chars]
+        back = 0
+        while True:
+            live = node > 0
+            at, node, back = at[live], node[live], back + 1
+            if not len(at):
+                break
+            piece = self.step_piece[node]
+            hit = piece >= 0
+            b, k = at[hit] + 1, piece[hit]
+            if back == 1:
+                b, k = np.concatenate([b, other + 1]), np.concatenate([k, spelled])
+            found.append((b, k, count[b]))
+            count[b] += 1
+            key = node << 21 | chars[at - back].astype(np.int64)
+            near = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
+            node = np.where(self.step_key[near] == key, self.step_to[near], 0)
+        if not found:                          # no character is a piece's last one
+            found.append((other + 1, spelled, np.zeros(len(other), np.int64)))
+            count[other + 1] = 1
+        last = np.cumsum(count) - 1
+        a, k = (np.empty(int(count.sum()), dtype=np.int64) for _ in range(2))
+        for n, (b, piece, shorter) in enumerate(found):
+            place = last[b] - shorter
+            a[place], k[place] = b - n - 1, piece
+        return a, np.repeat(np.arange(len(count)), count), k
+
     def _empty(self) -> None:
         self.unit: dict[str, int] = {}
         self.node0 = np.zeros(0, np.int64)    # unit -> its first node
@@ -88,23 +140,17 @@ class PieceSampler:
         return self.spelled[char]
 
     def _learn(self, new: list[str]) -> None:
-        """Append the lattices of new units: the edges into each node, longest first (the order
-        in which the matcher finds them), with their cumulative backward shares. Nothing here depends on which units come together."""
+        """Append the lattices of new units: the edges into each node, longest first,
+        with their cumulative backward shares. Nothing here depends on which units come together."""
         lengths = np.array([len(u) for u in new], dtype=np.int64)
         bases = np.cumsum(lengths + 1) - lengths - 1           # one node before each character, one at the end
         joined = "\0".join(new) + "\0"                          # no piece holds the separator
-        found = np.fromiter((e << 32 | v for e, v in self.matcher.iter(joined)), np.int64)
-        b = (found >> 32) + 1
-        a, k = b - (found >> 20 & 0xFFF), found & 0xFFFFF
         chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         bare = ~np.isin(chars, self.single)
         bare[bases + lengths] = False                          # the separators
         at = np.flatnonzero(bare)
         spelled = np.fromiter((self._spell(chr(c)) for c in chars[at]), np.int64, len(at))
-        if len(at):
-            a, b, k = np.concatenate([a, at]), np.concatenate([b, at + 1]), np.concatenate([k, spelled])
-            order = np.argsort(b, kind="stable")
-            a, b, k = a[order], b[order], k[order]
+        a, b, k = self._edges(chars, at, spelled)
         log_w = np.where(k < self.size, self.log_weight[np.minimum(k, self.size - 1)], 0.0)
         longest = int(lengths.max())
         place = (b - np.repeat(bases, lengths + 1)[b]).astype(np.int16 if longest < 1 << 15 else np.int64)
@@ -166,7 +212,7 @@ class PieceSampler:
         if new:
             self._learn(new)
         get = self.unit.__getitem__
-        unit = np.fromiter((k for t in todo for k in map(get, t)), np.int64, n)
+        unit = np.fromiter(map(get, chain.from_iterable(todo)), np.int64, n)
         row = np.repeat(np.arange(len(todo)), counts)
         place = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
         seed = _mix(_mix(keys.astype(np.int64).view(U) + U(0x9E3779B97F4A7C15))[row] + place.astype(U))

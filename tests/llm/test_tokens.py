@@ -153,3 +153,19 @@ def test_samples_follow_the_lattice_distribution():
         drawn[tuple(x.tolist())] = drawn.get(tuple(x.tolist()), 0) + 1
     assert set(drawn) <= set(weights)
     assert sum(abs(w / total - drawn.get(k, 0) / n) for k, w in weights.items()) / 2 < 0.03
+
+
+def test_lattice_edges_are_all_pieces_by_end_longest_first():
+    model = pieces.PieceSampler(vocabulary("piece_bpe_32k.model"))
+    rng = random.Random(3)
+    alphabet = list("abeinrst▁▁.,0é漢Я\x01") + [pieces.LITERAL, "𓀀", "the", "▁read"]
+    units = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 30))) for _ in range(300)] + ["𓀀"]
+    for batch in (units, units[-1:]):  # the last one holds no piece at all
+        joined = "\0".join(batch) + "\0"
+        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        bare = np.array([i for i, c in enumerate(joined) if c != "\0" and c not in model.piece], dtype=np.int64)
+        got = list(zip(*(x.tolist() for x in model._edges(chars, bare, np.full(len(bare), -7)))))
+        want = [(a, b, model.piece.get(joined[a:b], -7)) for b in range(1, len(joined) + 1)
+                for a in range(max(0, b - 40), b)
+                if joined[a:b] in model.piece or (a + 1 == b and a in bare)]
+        assert got == want
