@@ -161,6 +161,59 @@ def sweep_gamma(df: DataFrame, ids_col: str, cfg: WatermarkConfig, grid=None, ke
         .withColumn("prediction", F.col("z_score") > F.lit(float(cfg.z_threshold)))
 
 
+def sweep_surface(df: DataFrame, ids_col: str, cfg: WatermarkConfig, grid=None, lo: float = 0.0,
+                  hi: float = 10.0, step: float = 0.5) -> DataFrame:
+    """Detections at every point of gamma x threshold x repeats x head/tail (J8, A21): (gamma,
+    ignore_repeated, select_green, threshold, n_scored, n_detected, rate).
+
+    All settings come from one pass, without a join and without an exploded bigram. A bigram's
+    rank depends on none of them, so a text sorts its ranks once together with the green sizes of
+    the grid; the place of a size among them is the number of ranks below it, the prefix sum over
+    gamma. A text then gives one number per setting, how many thresholds its z passes; these are
+    counted (partially first: at most settings x thresholds rows a task), and the suffix sums of
+    the counts are the sums over the threshold. Green in the tail is V - G ranks or more.
+
+    Texts without a bigram, null ones included, are not scored; a setting without a scored text
+    has no row, so an empty table gives none. With ``lo`` other than 0, z - lo is compared."""
+    V = cfg.vocab_size
+    grid = sorted(grid or gamma_grid(vocab_size=V), key=lambda t: t[1])
+    sizes = sorted({n for _, n in grid} | {V - n for _, n in grid})
+    head, tail = _pairs(F.col(ids_col))
+    keys = F.transform(head, lambda p: gl.seed_key(p, cfg.hash_key))
+    ranks = F.zip_with(keys, tail, lambda k, c: gl.rank_from_key(k, c, V))
+    coded = df.select(F.zip_with(bigram_codes(F.col(ids_col), V), ranks,
+                                 lambda z, r: F.struct(z.alias("z"), r.alias("r"))).alias("_c"))
+    coded = coded.where(F.size("_c") > 0).select("_c", F.array_distinct("_c").alias("_d"))
+    marks = F.array(*[F.lit(2 * n).cast("bigint") for n in sizes])  # ranks are made odd: no ties
+    merged = coded.select(*[F.sort_array(F.concat(F.transform(c, lambda s: s["r"] * 2 + 1), marks)).alias(c)
+                            for c in ("_c", "_d")])
+    points = []
+    for c, distinct in (("_c", False), ("_d", True)):
+        total = F.size(c) - F.lit(len(sizes))
+        below = {n: F.array_position(c, F.lit(2 * n).cast("bigint")) - F.lit(i + 1) for i, n in enumerate(sizes)}
+        for gamma, n in grid:
+            for first, g in ((True, below[n]), (False, total - below[V - n])):
+                points.append(F.struct(F.lit(float(gamma)).alias("gamma"), F.lit(distinct).alias("ignore_repeated"),
+                                       F.lit(first).alias("select_green"), total.cast("double").alias("t"),
+                                       g.cast("double").alias("g")))
+    per = merged.select(F.explode(F.array(*points)).alias("p")).select("p.*")
+    gm, t = F.col("gamma"), F.col("t")
+    z = (F.col("g") - gm * t) / F.sqrt(t * gm * (F.lit(1.0) - gm))
+    js, _ = threshold_grid(lo, hi, step)
+    setting = ["gamma", "ignore_repeated", "select_green"]
+    n_thr, start = len(js), F.lit(float(lo))
+    hist = per.select(*setting, passes_count(z - start, n_thr, step).alias("m")) \
+        .groupBy(*setting, "m").agg(F.count(F.lit(1)).alias("c"))
+    counts = hist.groupBy(*setting).agg(F.collect_list(F.struct("m", "c")).alias("h"), F.sum("c").alias("n_scored"))
+    passed = F.transform(F.array(*[F.lit(j) for j in js]), lambda j: F.struct(
+        (start + j / F.lit(1.0 / step)).alias("threshold"),
+        F.aggregate(F.filter("h", lambda e: e["m"] > j), F.lit(0).cast("bigint"),
+                    lambda acc, e: acc + e["c"]).alias("n_detected")))
+    return counts.select(*setting, "n_scored", F.explode(passed).alias("r")).select(
+        *setting, F.col("r.threshold").alias("threshold"), "n_scored", F.col("r.n_detected").alias("n_detected"),
+        (F.col("r.n_detected") / F.col("n_scored")).alias("rate"))
+
+
 def _pairs(ids: Column):
     n = F.size(ids)
     return (F.slice(ids, 1, F.greatest(n - 1, F.lit(0))), F.slice(ids, 2, F.greatest(n - 1, F.lit(0))))

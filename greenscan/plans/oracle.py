@@ -495,6 +495,29 @@ SELECT id AS doc_id, gamma, t AS num_tokens_scored, g AS num_green_tokens, {z} A
        {z} > {float(cfg.z_threshold)!r}e0 AS prediction FROM agg"""
 
 
+def sweep_surface_sql(cfg, grid, thresholds=21, per_unit=2):
+    """Every text re-scored at every point of the grid, every score held against every threshold."""
+    vals = ", ".join(f"({g!r}e0, {n})" for g, n in grid)
+    V = cfg.vocab_size
+    k = h60(f"CAST({cfg.hash_key} * p AS VARCHAR)")
+    return f"""
+WITH {token_ids_cte("documents", "doc_id", "text", cfg)},
+sc AS (SELECT false AS ignore_repeated, id, p, c FROM bg WHERE p IS NOT NULL
+       UNION ALL SELECT DISTINCT true, id, p, c FROM bg WHERE p IS NOT NULL),
+rk AS (SELECT ignore_repeated, id, ((({k} % {V - 1} + 1) * c + ({k} // {V - 1}) % {V}) % {V}) AS r FROM sc),
+grid AS (SELECT * FROM (VALUES {vals}) AS v(gamma, n_green), (VALUES (true), (false)) AS w(select_green)),
+agg AS (SELECT ignore_repeated, select_green, gamma, id, CAST(count(*) AS DOUBLE) AS t,
+               CAST(count(CASE WHEN (select_green AND r < n_green) OR (NOT select_green AND r >= {V} - n_green)
+                               THEN 1 END) AS DOUBLE) AS g
+        FROM rk CROSS JOIN grid GROUP BY ALL),
+z AS (SELECT *, (g - gamma * t) / sqrt(t * gamma * (1.0e0 - gamma)) AS z FROM agg),
+thr AS (SELECT i / {float(per_unit)!r}e0 AS threshold FROM range({thresholds}) AS x(i))
+SELECT gamma, ignore_repeated, select_green, threshold, count(*)::BIGINT AS n_scored,
+       count(CASE WHEN z > threshold THEN 1 END)::BIGINT AS n_detected,
+       CAST(count(CASE WHEN z > threshold THEN 1 END) AS DOUBLE) / count(*) AS rate
+FROM z CROSS JOIN thr GROUP BY gamma, ignore_repeated, select_green, threshold"""
+
+
 def display_table_sql(cfg):
     thr = repr(float(cfg.z_threshold))
     d = detect_sql(cfg)
@@ -659,6 +682,7 @@ ORACLE = {
     "histograms": histograms_sql(CFG, ANALYSIS_METRICS),
     "pair_corr": pair_corr_sql(CFG, ANALYSIS_METRICS),
     "sweep_grid": sweep_grid_sql(CFG, gamma_grid(vocab_size=CFG.vocab_size)),
+    "sweep_surface": sweep_surface_sql(CFG, gamma_grid(vocab_size=CFG.vocab_size)),
     "batched_results": detect_sql(CFG),
     "resume_anti_join": detect_sql(CFG, table=NOT_LABELLED),
     # a repeated id is scored once, whichever of its rows came first; tables at hand repeat none

@@ -467,6 +467,11 @@ def sweep_grid(spark, sf_dir):
     return out.select("doc_id", "gamma", "num_tokens_scored", "num_green_tokens", "z_score", "prediction")
 
 
+def sweep_surface(spark, sf_dir):
+    """Detections over gamma, threshold, repeats and head/tail from one pass."""
+    return ev.sweep_surface(doc_ids(spark, sf_dir), "ids", CFG)
+
+
 RESULT_BATCHES = 8
 
 
@@ -538,6 +543,7 @@ QUERIES.update({
     "pair_bins": pair_bins,
     "beam_step": beam_step,
     "sweep_grid": sweep_grid,
+    "sweep_surface": sweep_surface,
     "batched_results": batched_results,
     "resume_anti_join": resume_anti_join,
     "limit_ordered": limit_ordered,

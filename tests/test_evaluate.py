@@ -155,3 +155,23 @@ def test_paired_results_keep_documents_without_id(spark, tmp_path):
     assert sorted(map(key, a)) == sorted(map(key, b))
     n = {r["arm"]: r["n_rows"] for r in q.arm_summary(spark, str(tmp_path / "b")).collect()}
     assert n == {"WO": len(rows), "W": len(rows)}
+
+
+def test_surface_equals_detection_at_every_setting(spark):
+    d = _doc_ids(spark).limit(40)
+    odd = spark.createDataFrame([(None, []), (7, [5]), (7, [5, 6, 5, 6, 5, 6])], d.schema)
+    d = d.unionByName(odd).unionByName(odd.where("size(ids) = 6")).withColumn("extra", F.lit(1)).cache()
+    grid = [(g, int(CFG.vocab_size * g)) for g in (0.25, 0.5, 0.75)]  # 0.25 and 0.75: sizes of head and tail are close
+    got = {(r.gamma, r.ignore_repeated, r.select_green, r.threshold): (r.n_scored, r.n_detected, r.rate)
+           for r in ev.sweep_surface(d, "ids", CFG, grid, lo=-1.0, hi=4.0, step=0.5).collect()}
+    assert len(got) == 3 * 2 * 2 * 11
+    for gamma, _ in grid:
+        for distinct in (False, True):
+            for head in (True, False):
+                cfg = CFG.replace(gamma=gamma, ignore_repeated_bigrams=distinct, select_green_tokens=head)
+                z = [r.z_score for r in detect_ids(d, cfg, "ids").where("z_score IS NOT NULL").collect()]
+                assert len(z) == 42
+                for thr in (-1.0, 0.0, 0.5, 2.0, 4.0):
+                    hits = sum(x > thr for x in z)
+                    assert got[gamma, distinct, head, thr] == (42, hits, hits / 42)
+    assert ev.sweep_surface(odd.where("size(ids) < 2"), "ids", CFG).collect() == []
