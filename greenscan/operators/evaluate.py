@@ -178,15 +178,15 @@ def sweep_surface(df: DataFrame, ids_col: str, cfg: WatermarkConfig, grid=None,
     V = cfg.vocab_size
     grid = sorted(grid or gamma_grid(vocab_size=V), key=lambda t: t[1])
     sizes = sorted({n for _, n in grid} | {V - n for _, n in grid})
-    head, tail = _pairs(F.col(ids_col))
-    keys = F.transform(head, lambda p: gl.seed_key(p, cfg.hash_key))
-    ranks = F.zip_with(keys, tail, lambda k, c: gl.rank_from_key(k, c, V))
-    coded = df.select(F.zip_with(bigram_codes(F.col(ids_col), V), ranks,
-                                 lambda z, r: F.struct(z.alias("z"), r.alias("r"))).alias("_c"))
-    coded = coded.where(F.size("_c") > 0).select("_c", F.array_distinct("_c").alias("_d"))
+    codes = df.select(bigram_codes(F.col(ids_col), V).alias("_c")).where(F.size("_c") > 0)
+    codes = codes.select("_c", F.array_distinct("_c").alias("_d"))  # plain numbers: told apart by hash
+
+    def odd_rank(z: Column) -> Column:
+        key = gl.seed_key(F.call_function("div", z, F.lit(V).cast("bigint")), cfg.hash_key)
+        return gl.rank_from_key(key, z % F.lit(V), V) * 2 + 1
+
     marks = F.array(*[F.lit(2 * n).cast("bigint") for n in sizes])  # ranks are made odd: no ties
-    merged = coded.select(*[F.sort_array(F.concat(F.transform(c, lambda s: s["r"] * 2 + 1), marks)).alias(c)
-                            for c in ("_c", "_d")])
+    merged = codes.select(*[F.sort_array(F.concat(F.transform(c, odd_rank), marks)).alias(c) for c in ("_c", "_d")])
     points = []
     for c, distinct in (("_c", False), ("_d", True)):
         total = F.size(c) - F.lit(len(sizes))
