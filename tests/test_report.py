@@ -66,3 +66,17 @@ def test_three_digits_round_the_exact_value(spark):
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     got = [r.s for r in df.select(rp.fmt_g3(F.col("x")).alias("s")).collect()]
     assert got == [None if x is None else f"{x:.3g}" for x in xs]
+
+
+def test_pair_bins_broadcasts_the_ranges(spark):
+    """The ranges, one row per group, never send the rows of a group to one task."""
+    df = spark.createDataFrame([("W", 1.0, 2.0), ("WO", 2.0, 3.0), (None, 0.0, 1.0)], "arm string, a double, b double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = rp.pair_bins(df, "arm", ["a", "b"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sum(r.n for r in out.collect()) == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
