@@ -175,3 +175,23 @@ def test_surface_equals_detection_at_every_setting(spark):
                     hits = sum(x > thr for x in z)
                     assert got[gamma, distinct, head, thr] == (42, hits, hits / 42)
     assert ev.sweep_surface(odd.where("size(ids) < 2"), "ids", CFG).collect() == []
+
+
+def test_rewrite_counts_give_both_arms(spark, monkeypatch):
+    """Both arms from one pass, equal by the literal and the joined way, with odd rows."""
+    from greenscan.functions import greenlist as gl
+    rows = [(1, [5, 6, 7, 5, 6]), (1, [5, 6, 7, 5, 6]), (2, [5]), (3, []), (4, None), (None, [7, 5])]
+    d = spark.createDataFrame(rows, "id long, ids array<long>").withColumn("n", F.size("ids"))
+    greedy = spark.createDataFrame([(5, 9), (7, 11)], "prev long, next_tok long")
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    got = sorted((tuple(r) for r in ev.rewrite_counts(d, "ids", greedy, CFG).collect()), key=key)
+    monkeypatch.setattr(ev, "LITERAL_V", 1)
+    joined = sorted((tuple(r) for r in ev.rewrite_counts(d, "ids", greedy, CFG).collect()), key=key)
+    assert got == joined and len(got) == len(rows)
+    written = {tuple(r) for r in detect_ids(d.where("size(ids) > 1"), CFG, "ids")
+               .select("id", "num_tokens_scored", "num_green_tokens").collect()}
+    assert {(r[0], r[2], r[3]) for r in got if r[1] is not None and r[1] > 1} == written
+    monkeypatch.undo()
+    plan = ev.rewrite_counts(d, "ids", greedy, CFG)._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "md5" not in plan
+    assert gl.LITERAL_V >= CFG.vocab_size
