@@ -195,3 +195,9 @@ def test_rewrite_counts_give_both_arms(spark, monkeypatch):
     plan = ev.rewrite_counts(d, "ids", greedy, CFG)._jdf.queryExecution().executedPlan().toString()
     assert "lambda" not in plan and "md5" not in plan
     assert gl.LITERAL_V >= CFG.vocab_size
+
+
+def test_surface_makes_ids_and_codes_once(spark):
+    """Texts are hashed once for the filter and once for the codes, and no ranks are sorted."""
+    plan = ev.sweep_surface(_doc_ids(spark), "ids", CFG)._jdf.queryExecution().executedPlan().toString()
+    assert "sort_array" not in plan and plan.count("md5(") <= 2
