@@ -88,3 +88,14 @@ def test_a_range_table_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(hg, "MAX_RANGES", 2)
     with pytest.raises(ValueError):
         hg.interval_table(spark.createDataFrame([(1, 2, "A")] * 3, "lo int, hi int, category string"))
+
+
+def test_runs_count_like_single_characters(spark):
+    from greenscan.functions.scripts import class_count
+    sets = [((0x41, 0x5A), (0x61, 0x7A), (0xE0, 0xFF), (0x1F600, 0x1F64F)), ((0x80, 0x10FFFF),), ((0x20, 0x2F),), ()]
+    texts = ["", None, "aé😀 b-]^\\[&&", "ÿÀ\n\t ж", "!!", "漢字a"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for s in sets:
+        for r in df.select("t", class_count(F.col("t"), cps.regex_runs(s)).alias("n")).collect():
+            want = None if r.t is None else sum(any(lo <= ord(c) <= hi for lo, hi in s) for c in r.t)
+            assert r.n == want, (r.t, s)
