@@ -130,3 +130,22 @@ def test_pair_bins_sum_to_the_pairs(spark):
     assert got[("W", "x", "y", 0, 0)] == 1 and got[("W", "x", "y", 3, 3)] == 1
     assert got[("W", "x", "z", 2, 0)] == 1 and sum(n for k, n in got.items() if k[0] == "W" and k[1:3] == ("x", "z")) == 3
     assert sum(n for k, n in got.items() if k[0] == "WO" and k[1:3] == ("x", "y")) == 1 and got[(None, "x", "y", 0, 0)] == 1
+
+
+def test_languages_take_few_characters_apart(spark):
+    """Letters of every alphabet are told by one scan; the same languages, also without any
+    shared letter, and with letters in no alphabet."""
+    own = {"xx": "ab", "yy": "bc", "zz": "b"}
+    df = spark.createDataFrame([("b",), ("ab",), ("cb 1",), ("ж",), ("12",), ("",), (None,)], "t string")
+    for table in (None, own):
+        every, some = hg.text_languages(F.col("t"), table)
+        letters = hg.language_letters(table)
+        for r in df.select("t", every.alias("e"), some.alias("s")).collect():
+            if r.t is None:
+                assert r.e is None and r.s is None
+                continue
+            known = [c for c in r.t if c.isalpha()]
+            assert r.e == sorted(k for k, v in letters.items() if all(c in v for c in known))
+            assert r.s == sorted(k for k, v in letters.items() if any(c in v for c in known))
+    plan = df.select(hg.text_languages(F.col("t"))[0])._jdf.queryExecution().executedPlan().toString()
+    assert "split(regexp_replace(" in plan
