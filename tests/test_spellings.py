@@ -149,3 +149,16 @@ def test_languages_take_few_characters_apart(spark):
             assert r.s == sorted(k for k, v in letters.items() if any(c in v for c in known))
     plan = df.select(hg.text_languages(F.col("t"))[0])._jdf.queryExecution().executedPlan().toString()
     assert "split(regexp_replace(" in plan
+
+
+def test_lists_named_by_row_numbers(spark):
+    """Row numbers give the rows that digests give, without a digest of every list."""
+    vocab = spark.createDataFrame([("a", 3, 2), ("b", 2, 3)], "token string, n long, token_id long")
+    df = spark.createDataFrame([(0, ["a", "b", "x"]), (1, ["a", "b", "x"]), (2, []), (3, None)], "r long, tokens array<string>")
+    by_content = vb.encode_lists(df, vocab, unk_id=0, reserved=2)
+    by_row = vb.encode_lists(df, vocab, unk_id=0, reserved=2, row="r")
+    rows = lambda d: sorted((r.r, r.ids) for r in d.collect())
+    assert rows(by_row) == rows(by_content) == [(0, [2, 3, 0]), (1, [2, 3, 0]), (2, []), (3, None)]
+    assert "md5" not in by_row._jdf.queryExecution().executedPlan().toString()
+    back = vb.decode_lists(by_row.select("r", "ids"), vocab, out_col="back", reserved=2, row="r")
+    assert {r.r: r.back for r in back.collect()}[0] == ["a", "b", "<unk>"]
