@@ -71,8 +71,8 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, end_id: int, folder
             col = batch.column(0)
             valid.append(np.asarray(col.is_valid(), dtype=np.uint8))
             ids.append(col.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
-            for text in batch.column(1).to_pylist():
-                data = enc.encode(text) + end
+            for data in enc.encode_many(batch.column(1).to_pylist()):
+                data += end
                 sizes.append(len(data) // width)
                 held.append(data)
                 held_bytes += len(data)

@@ -11,7 +11,9 @@ put together:
 A worker splits a text into words, joins cached id bytes, and runs the library's BPE model
 once per distinct pre-token. Words with characters above U+017F go through the library's
 whole call, so no Unicode table of another library decides about them; texts that hold the
-string of an added token (``<|endoftext|>``) do as well, and get its id there. The caches hold
+string of an added token (``<|endoftext|>``) do as well, and get its id there. Many texts
+are encoded together: Arrow splits them and names their distinct words, and only these pass
+through the cache (``encode_many``). The caches hold
 at most two generations of ``max_words`` words and ``max_lines`` lines; results do not depend on that.
 ``tests/llm/test_tokens.py`` compares with the library's own whole-text call.
 """
@@ -23,8 +25,12 @@ import os
 import sys
 from array import array
 from contextlib import contextmanager
+from itertools import repeat
+from string import punctuation
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 # The pre-token patterns named in the two vocabulary files.
@@ -38,6 +44,7 @@ _OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u20
 _ASCII_SPACE = _OTHER_SPACE[:8]
 LAST = "\u017f"  # up to here letters are the same in every Unicode version
 _STOPS = frozenset(".,")
+MANY_CHARS = 16 << 20  # texts encoded together; a longer one is encoded alone
 
 
 def _byte_chars() -> dict[int, int]:
@@ -105,6 +112,9 @@ class WordEncoder:
         self.lines = _Words(self._line, max_lines)
         self.prefix = chr(self.space) if self.space else ""
         self.stops = {c: self._cut(c) for c in _STOPS}
+        self.tails = _Words(lambda rest: np.frombuffer(self._cut(rest), self.dtype).tolist(), max_words)
+        self.feed_ids = np.frombuffer(self._cut("\n"), self.dtype).tolist()
+        self._forget()
 
     def _spaced_cut(self, word: str) -> bytes:
         if word.isascii():
@@ -161,6 +171,76 @@ class WordEncoder:
         first, *rest = line.split(" ")
         return self.plain[first] + b"".join(map(self.spaced.__getitem__, rest))
 
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """``encode`` of every text. Texts without white space next to a cut are taken together."""
+        out: list[bytes | None] = [None] * len(texts)
+        held, chars = [], 0
+        for i, text in enumerate(texts):
+            if not text or self.drops_space or self.whole or len(text) > MANY_CHARS or text[0].isspace() \
+                    or _runs(text) or any([t in text for t in self.added]):
+                out[i] = self.encode(text)
+                continue
+            if chars + len(text) > MANY_CHARS:
+                self._encode_held(texts, held, out)
+                held, chars = [], 0
+            held.append(i)
+            chars += len(text)
+        if held:
+            self._encode_held(texts, held, out)
+        return out
+
+    def _encode_held(self, texts: list[str | None], held: list[int], out: list[bytes | None]) -> None:
+        """A line feed is put before every text, so that all words behind no blank begin with one;
+        its ids, always a pre-token of their own before a character, are left out again."""
+        words = pc.split_pattern(pa.array(["\n" + texts[i].replace("\n", " \n") for i in held], pa.string()), " ")
+        named = words.values.dictionary_encode()
+        word = self._numbers(named.dictionary.to_numpy(zero_copy_only=False).tolist())[named.indices.to_numpy()]
+        n = self.word_size[word]
+        end = np.cumsum(n)
+        ids = self.word_ids[np.repeat(self.word_first[word] - end + n, n) + np.arange(end[-1])]
+        ends = end[words.offsets.to_numpy()[1:] - 1]
+        for i, a, b in zip(held, [0, *ends[:-1].tolist()], ends.tolist()):
+            out[i] = ids[a + len(self.feed_ids):b].tobytes()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.word_first = self.word_size = np.zeros(0, np.int64)
+        self.word_ids = np.zeros(0, self.dtype)
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """The numbers of distinct words, each behind a blank unless it begins with a line feed;
+        the ids of number k are ``word_size[k]`` of ``word_ids`` from ``word_first[k]`` on."""
+        if len(self.number) >= 2 * self.plain.bound:  # as many as the two generations hold
+            self._forget()
+        number = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(number < 0)
+        new = [words[i] for i in unknown.tolist()]
+        ids: list[int] = []
+        ends: list[int] = []
+        merged, table = self.model.tokenize, self.table
+        for w in new:
+            feed = w[:1] == "\n"
+            run = (w[1:] if feed else w).rstrip(punctuation)
+            if run.isalpha() and (run.isascii() or max(run) <= LAST):  # one pre-token, and one of the punctuation
+                chars = run if run.isascii() else run.encode("utf-8").decode("latin-1").translate(table)
+                if feed:
+                    ids += self.feed_ids
+                ids += [t.id for t in merged(chars if feed else self.prefix + chars)]
+                rest = len(w) - len(run) - feed
+                if rest:
+                    ids += self.tails[w[-rest:]]
+            else:
+                ids += np.frombuffer(self._cut(w if feed else " " + w), self.dtype).tolist()
+            ends.append(len(ids))
+        known = len(self.number)
+        number[unknown] = np.arange(known, known + len(new))
+        self.number.update(zip(new, range(known, known + len(new))))
+        size = np.diff(np.array([0, *ends], dtype=np.int64))
+        self.word_first = np.concatenate([self.word_first, len(self.word_ids) + np.cumsum(size) - size])
+        self.word_size = np.concatenate([self.word_size, size])
+        self.word_ids = np.concatenate([self.word_ids, np.array(ids, dtype=self.dtype)])
+        return number
+
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode(text), dtype=self.dtype)
 

@@ -26,6 +26,28 @@ def test_word_encoder_equals_whole_text_encoding(name, odd_rows):
     assert enc.ids(None).size == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_texts_encoded_together_equal_the_library(name, odd_rows):
+    enc = WordEncoder(vocabulary(name), max_words=50, max_lines=5)
+    rng = random.Random(8)
+    parts = list("ab  \n.,'s0éßñ\x85\xa0\x1c漢Аª_!#") + [" it's", "\n's", " foo###", " été,", "\nÉA!!", "\n\xa0\xa0a", "\n\t\ta", " x.'", "<|endoftext|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(4000)]
+    texts += ["\xa0\xa0a b", "'s a", "the of\nthe of, the. " * 50 + "end"] + [r[1] or "" for r in odd_rows]
+    want = [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    got = [x for a in range(0, len(texts), 300) for x in enc.encode_many(texts[a:a + 300])]
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in got] == want
+    assert enc.encode_many([None, "", "a"]) == [b"", b"", enc.encode("a")] and enc.encode_many([]) == []
+
+
+def test_a_batch_looks_up_its_distinct_words_only():
+    enc = WordEncoder(vocabulary("byte_bpe_50k.json"))
+    asked = []
+    numbers = enc._numbers
+    enc._numbers = lambda words: asked.append(len(words)) or numbers(words)
+    assert enc.encode_many(["the of and, the of\nthe"] * 500) == [enc.encode("the of and, the of\nthe")] * 500
+    assert asked == [4]
+
+
 @pytest.mark.parametrize("name, ids", [("byte_bpe_50k.json", [31373, 220, 50256, 995]),
                                        ("word_bpe_49k.json", [3306, 49407, 1002])])
 def test_added_tokens_get_their_ids(name, ids):
