@@ -38,6 +38,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def _placed(held: np.ndarray, n: int, new: np.ndarray) -> np.ndarray:
+    """``held`` with ``new`` behind its first ``n`` values, in place while there is room."""
+    if n + len(new) > len(held):
+        grown = np.empty(max(n + len(new), len(held) * 3 // 2), dtype=held.dtype)
+        grown[:n] = held[:n]
+        held = grown
+    held[n:n + len(new)] = new
+    return held
+
+
 class PieceSampler:
     """Lattices of units, kept up to ``max_units``, and sampling of whole texts."""
 
@@ -70,7 +80,8 @@ class PieceSampler:
 
     def _read_backwards(self) -> None:
         """The trie of the reversed pieces as arrays: a step from a node over a character is one
-        entry of ``step_key`` (node << 21 | code point, sorted), and leads to ``step_to``."""
+        key (node << 21 | code point) of a hash table with linear probing, a quarter full at most,
+        and leads to the node beside it."""
         step: dict[int, int] = {}
         last = [-1]                           # node -> the piece read in full there, or -1
         for p, i in self.piece.items():
@@ -83,11 +94,40 @@ class PieceSampler:
                 node = step[key]
             last[node] = i
         key, to = (np.fromiter(x, np.int64, len(step)) for x in (step.keys(), step.values()))
-        order = np.argsort(key)
-        self.step_key, self.step_to, self.step_piece = key[order], to[order], np.array(last)
-        roots = self.step_key < 1 << 21
+        self.step_piece = np.array(last)
+        roots = key < 1 << 21
         self.first_step = np.zeros(1 << 21, dtype=np.int64)
-        self.first_step[self.step_key[roots]] = self.step_to[roots]
+        self.first_step[key[roots]] = to[roots]
+        bits = max(4, (4 * len(key)).bit_length())
+        self.slot_shift = U(64 - bits)
+        self.slot_key = np.full(1 << bits, -1, dtype=np.int64)
+        self.slot_to = np.zeros(1 << bits, dtype=np.int64)
+        at = self._slots(key)
+        while len(key):  # all keys try their next slot; the first one to name an empty slot gets it
+            at &= len(self.slot_key) - 1
+            free = np.flatnonzero(self.slot_key[at] < 0)
+            slots, who = np.unique(at[free], return_index=True)
+            self.slot_key[slots], self.slot_to[slots] = key[free[who]], to[free[who]]
+            left = np.ones(len(key), dtype=bool)
+            left[free[who]] = False
+            key, to, at = key[left], to[left], at[left] + 1
+
+    def _slots(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(U) * U(0x9E3779B97F4A7C15)) >> self.slot_shift).astype(np.int64)
+
+    def _step(self, key: np.ndarray) -> np.ndarray:
+        """The node that each step leads to, 0 where there is none."""
+        at = self._slots(key)
+        held = self.slot_key[at]
+        node = np.where(held == key, self.slot_to[at], 0)
+        far = np.flatnonzero((held != key) & (held >= 0))
+        while len(far):
+            at[far] = (at[far] + 1) & (len(self.slot_key) - 1)
+            held = self.slot_key[at[far]]
+            hit = held == key[far]
+            node[far[hit]] = self.slot_to[at[far[hit]]]
+            far = far[~hit & (held >= 0)]
+        return node
 
     def _edges(self, chars: np.ndarray, other: np.ndarray, spelled: np.ndarray):
         """From node, to node and id of all edges, by to node and longest first; ``other`` are the
@@ -110,9 +150,7 @@ class PieceSampler:
                 b, k = np.concatenate([b, other + 1]), np.concatenate([k, spelled])
             found.append((b, k, count[b]))
             count[b] += 1
-            key = node << 21 | chars[at - back].astype(np.int64)
-            near = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
-            node = np.where(self.step_key[near] == key, self.step_to[near], 0)
+            node = self._step(node << 21 | chars[at - back].astype(np.int64))
         if not found:                          # no character is a piece's last one
             found.append((other + 1, spelled, np.zeros(len(other), np.int64)))
             count[other + 1] = 1
@@ -125,6 +163,7 @@ class PieceSampler:
 
     def _empty(self) -> None:
         self.unit: dict[str, int] = {}
+        self.n_nodes = self.n_edges = 0       # the arrays below are longer: they grow by doubling
         self.node0 = np.zeros(0, np.int64)    # unit -> its first node
         self.length = np.zeros(0, np.int64)
         self.first = np.zeros(0, np.int64)    # node -> the first edge into it
@@ -175,15 +214,15 @@ class PieceSampler:
         share[head + width - 1] = 2.0                          # the last edge takes what is left
         first = np.zeros(len(chars), dtype=np.int64)
         first[b[head]] = head
-        known = len(self.unit)
-        self.unit.update((u, known + i) for i, u in enumerate(new))
-        nodes, edges = len(self.first), len(self.share)
-        self.node0 = np.concatenate([self.node0, nodes + bases])
-        self.length = np.concatenate([self.length, lengths])
-        self.first = np.concatenate([self.first, edges + first])
-        self.share = np.concatenate([self.share, share])
-        self.edge_from = np.concatenate([self.edge_from, (nodes + a).astype(np.int32)])
-        self.edge_id = np.concatenate([self.edge_id, k.astype(np.int32)])
+        known, nodes, edges = len(self.unit), self.n_nodes, self.n_edges
+        self.unit.update(zip(new, range(known, known + len(new))))
+        self.node0 = _placed(self.node0, known, nodes + bases)
+        self.length = _placed(self.length, known, lengths)
+        self.first = _placed(self.first, nodes, edges + first)
+        self.share = _placed(self.share, edges, share)
+        self.edge_from = _placed(self.edge_from, edges, nodes + a)
+        self.edge_id = _placed(self.edge_id, edges, k)
+        self.n_nodes, self.n_edges = nodes + len(chars), edges + len(a)
 
     def encode(self, texts: list[str | None], keys: np.ndarray) -> list[np.ndarray]:
         """The sampled piece ids of every text; null and empty texts have none."""
@@ -206,9 +245,10 @@ class PieceSampler:
         if n == 0:
             return [np.zeros(0, np.int32) for _ in todo]
         words = set().union(*todo)
-        if len(self.unit) + len(words) > self.max_units:
-            self._empty()
         new = [w for w in words if w not in self.unit]
+        if len(self.unit) + len(new) > self.max_units:
+            self._empty()
+            new = list(words)
         if new:
             self._learn(new)
         get = self.unit.__getitem__

@@ -191,3 +191,33 @@ def test_lattice_edges_are_all_pieces_by_end_longest_first():
                 for a in range(max(0, b - 40), b)
                 if joined[a:b] in model.piece or (a + 1 == b and a in bare)]
         assert got == want
+
+
+def test_steps_of_the_reversed_trie():
+    model = pieces.PieceSampler(vocabulary("piece_bpe_32k.model"))
+    by_end = {}
+    for p in model.piece:
+        for k in range(1, len(p) + 1):
+            by_end.setdefault(p[-k:], None)
+
+    def walk(s):
+        node = 0
+        for c in reversed(s):
+            node = int(model._step(np.array([node << 21 | ord(c)]))[0])
+        return node
+
+    rng = random.Random(9)
+    for s in rng.sample(sorted(by_end), 500):
+        assert walk(s) > 0 and model.step_piece[walk(s)] == model.piece.get(s, -1)
+        odd = "\x02" + s
+        assert odd in by_end or model._step(np.array([walk(s) << 21 | 2]))[0] == 0
+
+
+def test_known_units_are_kept_while_new_ones_fit():
+    model = pieces.PieceSampler(vocabulary("piece_bpe_32k.model"), max_units=6)
+    learned, learn = [], model._learn
+    model._learn = lambda new: learned.append(sorted(new)) or learn(new)
+    keys = np.arange(1)
+    for text in ("a b c d", "a b c d e", "f g h"):
+        assert model.decode(model.encode([text], keys)[0]) == text
+    assert learned[1] == ["▁e"] and len(learned[2]) == 3 and len(model.unit) == 3
