@@ -175,3 +175,24 @@ def test_truecase_in_detection_chain(spark):
     assert keyed == out
     plain = {r.id: r.num_green_tokens for r in detect_text(df, cfg, "text").collect()}
     assert set(plain) == {1, 2}
+
+
+def test_vote_takes_no_array_of_all_foreign_characters(spark):
+    """Counts and votes by taking runs out, against a plain count of every character's script."""
+    from greenscan.functions import scripts as sc
+    from greenscan.functions.codepoints import script_table
+    texts = ["", None, "abc", "12 !", "аbв", "bаab", "аb", "bа", "ωаω b", "аω漢漢", "́́a", "͸a", "͸ж", "͸", "a漢字б漢", "é٣ж"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    table = script_table(spark)
+    names = ("LATIN", "CYRILLIC", "GREEK", "COMMON")
+    out = df.select("i", sc.vote(F.col("t")).alias("v"), *[sc.fast_count(F.col("t"), s).alias(s) for s in names])
+    for r in out.collect():
+        t = texts[r.i]
+        if t is None:
+            assert list(r[1:]) == [None] * 5
+            continue
+        found = [table.find(ord(c)) for c in t]
+        assert [r[s] for s in names] == [found.count(s) for s in names]
+        real = [s for s in found if s not in (None, "COMMON", "INHERITED")]
+        assert r.v == (max(real, key=lambda s: (real.count(s), -real.index(s))) if real else "COMMON"), t
+    assert "regexp_extract_all" not in out._jdf.queryExecution().executedPlan().toString()
