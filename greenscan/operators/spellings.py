@@ -19,6 +19,7 @@ from greenscan.functions.scripts import let
 from greenscan.operators import homoglyph as hg
 
 BLOCK = 4096
+SEGMENT = 64  # spellings of neighbouring characters that are made once per word
 _SEP = "\u0001"
 
 
@@ -31,18 +32,28 @@ class Variants:
         self.keys = sorted(map(ord, many))
         self.values = [many[chr(k)] for k in self.keys]
 
-    def _values(self, cp: Column, values: list[str]) -> Column:
-        if not self.keys:
-            return F.lit(None).cast("string")
+    def _values(self, cp: Column, values: list[str], alone: Column, alone_of) -> Column:
+        """The value of a code point, ``alone`` where it has none. ``alone_of`` gives the same of a
+        plain code point: near code points take all from one array."""
         shown = F.split(F.lit(_SEP.join(values)), _SEP)
-        return cps.find_sorted(cps.literal_array(self.keys, "int"), shown, cp, cps.probes(len(self.keys)))
+        far = F.coalesce(cps.find_sorted(cps.literal_array(self.keys, "int"), shown, cp, cps.probes(len(self.keys))), alone) \
+            if self.keys else alone
+        of = dict(zip(self.keys, values))
+        near = [of[c] if c in of else alone_of(c) for c in range(cps.DIRECT)]
+        near[ord(_SEP)] = ""  # the separator is set apart below
+        return F.when(cp == ord(_SEP), alone).otherwise(cps.direct(F.split(F.lit(_SEP.join(near)), _SEP), cp, far))
+
+    def _alone(self, cp: int, strategy: int) -> str:
+        at = _first(self.alphabet, cp)
+        inside = any(lo <= cp <= hi for lo, hi in self.alphabet[at:at + 1])
+        return chr(cp) if strategy == hg.STRATEGY_IGNORE or inside else ""
 
     def of_char(self, ch: Column, strategy: int) -> Column:
         """The variants of one character, sorted, as one string. Outside the alphabet IGNORE
         gives the character itself, REMOVE (and LOAD, once nothing more can be loaded) none."""
         cp = F.ascii(ch)
         alone = ch if strategy == hg.STRATEGY_IGNORE else F.when(cps.contains(self.alphabet, cp), ch).otherwise("")
-        return F.coalesce(self._values(cp, self.values), alone)
+        return self._values(cp, self.values, alone, lambda c: self._alone(c, strategy))
 
     def lattice(self, word: Column, strategy: int = hg.STRATEGY_IGNORE) -> Column:
         """ARRAY<STRING>: the variants of each character; removed characters leave no entry."""
@@ -58,9 +69,10 @@ class Variants:
         def of_char(ch: Column) -> Column:
             cp = F.ascii(ch)
             alone = F.when(cp.between(lo, hi), self.of_char(ch, strategy)).otherwise("")
-            gone = F.lit(False) if strategy == hg.STRATEGY_IGNORE else ~cps.contains(self.alphabet, cp)
+            gone = ~cps.contains(self.alphabet, cp)
             # a character that the strategy removes is no gap in the readings
-            return F.when(gone, F.lit(None)).otherwise(F.coalesce(self._values(cp, cut), alone))
+            value = self._values(cp, cut, alone, lambda c: self._alone(c, strategy) if lo <= c <= hi else "")
+            return value if strategy == hg.STRATEGY_IGNORE else F.when(~gone, value)
 
         lists = F.array_compact(F.transform(_chars(word), of_char))
         if ascii_strategy == hg.STRATEGY_IGNORE:
@@ -96,6 +108,36 @@ def n_spellings(lists: Column) -> Column:
     return F.when(F.size(lists) == 0, F.lit(0).cast("bigint")).otherwise(count)
 
 
+def segments(lists: Column) -> Column:
+    """ARRAY<ARRAY<STRING>>: neighbouring characters of a lattice taken together while they have at
+    most ``SEGMENT`` spellings, each with its spellings in order."""
+    none = F.array().cast("array<array<string>>")
+    start = F.struct(none.alias("done"), F.array(F.lit("")).alias("now"))
+
+    def longer(s: Column, v: Column) -> Column:
+        fits = F.size(s["now"]) * F.char_length(v) <= SEGMENT
+        before = F.when(fits, s["now"]).otherwise(F.array(F.lit("")))
+        grown = F.when(F.char_length(v) == 1, F.transform(before, lambda p: F.concat(p, v))).otherwise(
+            F.flatten(F.transform(before, lambda p: F.transform(_chars(v), lambda c: F.concat(p, c)))))
+        return F.struct(F.when(fits, s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))).alias("done"), grown.alias("now"))
+
+    cut = F.aggregate(lists, start, longer, lambda s: F.concat(s["done"], F.array(s["now"])))
+    return F.when(F.forall(lists, lambda v: F.char_length(v) == 1), F.array(F.array(F.array_join(lists, "")))).otherwise(cut)
+
+
+def nth_of_segments(parts: Column, n: Column) -> Column:
+    """Spelling ``n`` (from 0), by its digits from the last segment up."""
+    start = F.struct(n.cast("bigint").alias("rest"), F.lit("").alias("out"))
+
+    def digit(s: Column, part: Column) -> Column:
+        size = F.size(part).cast("bigint")
+        return F.struct(F.call_function("div", s["rest"], size).alias("rest"),
+                        F.concat(F.get(part, (s["rest"] % size).cast("int")), s["out"]).alias("out"))
+
+    return F.when(F.size(parts) == 1, F.get(F.get(parts, F.lit(0)), n.cast("int"))).otherwise(
+        F.aggregate(F.reverse(parts), start, digit, lambda s: s["out"]))
+
+
 def nth_spelling(lists: Column, n: Column) -> Column:
     """Spelling ``n`` (from 0) of a lattice, by its digits from the last character up."""
     start = F.struct(n.cast("bigint").alias("rest"), F.lit("").alias("out"))
@@ -114,22 +156,23 @@ def spelling_rows(lattices: DataFrame, lists_col: str, keep: list[str]) -> DataF
     are cut level by level into blocks; blocks of large words are dealt over the cluster.
     Words with more spellings than 64 bits can count are refused when they are reached."""
     # a generator is a barrier: the lattice is built once and read by name from here on
-    lattices = lattices.select(*keep, F.explode(F.array(lists_col)).alias(lists_col)) \
-        .select(*keep, lists_col, F.explode(F.array(n_spellings(F.col(lists_col)))).alias("_n"))
+    lattices = lattices.select(*keep, F.explode(F.array(lists_col)).alias("_l")) \
+        .select(*keep, F.explode(F.array(F.struct(n_spellings(F.col("_l")).alias("n"), segments(F.col("_l")).alias("parts")))).alias("_v")) \
+        .select(*keep, F.col("_v.n").alias("_n"), F.col("_v.parts").alias("_parts"))
     n = F.col("_n")
     total = F.when(n.isNull(), F.raise_error(F.lit("a word with more than 2^63 spellings")).cast("bigint")).otherwise(n)
-    rows = lattices.select(*keep, lists_col, F.lit(0).cast("bigint").alias("_lo"), total.alias("_hi")).where("_hi > 0")
+    rows = lattices.select(*keep, "_parts", F.lit(0).cast("bigint").alias("_lo"), total.alias("_hi")).where("_hi > 0")
     width = BLOCK ** 4
     while width >= 1:
         # an interval [lo, hi) of at most BLOCK * width numbers gives at most BLOCK parts
-        last = F.call_function("div", F.col("_hi") - F.col("_lo") - 1, F.lit(width).cast("bigint"))
-        parts = F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda k: F.col("_lo") + k * width)
+        step = F.lit(width).cast("bigint")
+        parts = F.sequence(F.col("_lo"), F.col("_hi") - 1, step)
         rows = rows.withColumn("_lo2", F.explode(parts)) \
             .withColumn("_hi", F.least(F.col("_hi"), F.col("_lo2") + width)).drop("_lo").withColumnRenamed("_lo2", "_lo")
         if width == BLOCK:  # blocks of a word with many spellings part here
             rows = rows.repartition(*keep, "_lo")
         width //= BLOCK
-    return rows.select(*keep, F.col("_lo").alias("n"), nth_spelling(F.col(lists_col), F.col("_lo")).alias("spelling"))
+    return rows.select(*keep, F.col("_lo").alias("n"), nth_of_segments(F.col("_parts"), F.col("_lo")).alias("spelling"))
 
 
-__all__ = ["Variants", "n_spellings", "nth_spelling", "spelling_rows", "variants"]
+__all__ = ["Variants", "n_spellings", "nth_of_segments", "nth_spelling", "segments", "spelling_rows", "variants"]

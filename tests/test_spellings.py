@@ -162,3 +162,39 @@ def test_lists_named_by_row_numbers(spark):
     assert "md5" not in by_row._jdf.queryExecution().executedPlan().toString()
     back = vb.decode_lists(by_row.select("r", "ids"), vocab, out_col="back", reserved=2, row="r")
     assert {r.r: r.back for r in back.collect()}[0] == ["a", "b", "<unk>"]
+
+
+def test_segments_hold_the_products_of_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(sp, "SEGMENT", 4)
+    rows = [["ab", "c", "de", "f", "ghijk", "l", "mn"], ["x", "y"], ["é😀", "z"], ["abcde"], ["ab"] * 7]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, l array<string>")
+    parts = {r.i: r.p for r in df.select("i", sp.segments(F.col("l")).alias("p")).collect()}
+    for i, lists in enumerate(rows):
+        assert ["".join(x) for x in itertools.product(*parts[i])] == ["".join(x) for x in itertools.product(*lists)]
+        assert all(len(p) <= 4 or len(p) == 5 for p in parts[i])
+    assert parts[1] == [["xy"]] and len(parts[4]) == 4  # two characters a segment: fewer steps a spelling
+    got = {}
+    for r in sp.spelling_rows(df, "l", ["i"]).collect():
+        got.setdefault(r.i, {})[r.n] = r.spelling
+    for i, lists in enumerate(rows):
+        assert [got[i][n] for n in range(len(got[i]))] == ["".join(x) for x in itertools.product(*lists)]
+
+
+def test_near_code_points_are_looked_up_by_place(spark):
+    table = cps.script_table(spark)
+    points = [0, 1, 9, 0x20, 0x41, 0xE9, 0x378, 0x430, cps.DIRECT - 1, cps.DIRECT, cps.DIRECT + 1, 0x4E00, 0x1F600, cps.MAX_CP]
+    df = spark.createDataFrame([(p,) for p in points], "cp int")
+    assert {r.cp: r.s for r in df.select("cp", table.lookup(F.col("cp")).alias("s")).collect()} == {p: table.find(p) for p in points}
+    assert df.select(table.lookup(F.lit(None).cast("int")).alias("s")).first().s is None
+    shown = sp.variants(spark, hg.alphabet_intervals(spark))
+    words = spark.createDataFrame([(c,) for c in ("\x01", "a", "1", "а", "ω", "漢", "é", "ｌ")], "w string")
+    alone = lambda w, strategy: w if strategy == hg.STRATEGY_IGNORE or table.find(ord(w)) in ("LATIN", "COMMON") else ""
+    for strategy in (hg.STRATEGY_IGNORE, hg.STRATEGY_REMOVE):
+        want = {w: dict(zip(shown.keys, shown.values)).get(ord(w), alone(w, strategy)) for (w,) in words.collect()}
+        assert {r.w: "".join(r.l) for r in words.select("w", shown.lattice(F.col("w"), strategy).alias("l")).collect()} == want
+
+
+def test_strategies_read_the_written_words(spark):
+    from greenscan.plans.queries import QUERIES
+    plan = QUERIES["variant_strategies"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "regexp_extract_all" not in plan and "Aggregate" not in plan
