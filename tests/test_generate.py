@@ -146,3 +146,19 @@ def test_sampler_matches_tempered_biased_softmax(spark):
         p2 = math.exp(s2) / (math.exp(s2) + math.exp(s3))
         freq = sum(1 for r in out if r[arm][0] == 2) / len(out)
         assert abs(freq - p2) < 0.035, (arm, freq, p2)
+
+
+def test_ids_are_written_once_and_keys_are_constants(spark):
+    from pyspark.sql import functions as F
+
+    from greenscan.operators.detect import green_flags
+    from greenscan.plans.common import CFG
+    from greenscan.plans.queries import QUERIES
+    V = CFG.vocab_size
+    rows = [([0, 1, V - 1, 7, 7],), ([5, V, 3, -1, 4, V + 9, None, 2],), ([],), ([1],), (None,), ([3 * 10 ** 9, 1, 2],)]
+    df = spark.createDataFrame(rows, "ids array<bigint>")
+    for cfg in (CFG, CFG.replace(select_green_tokens=False)):
+        both = df.select(green_flags(F.col("ids"), cfg).alias("a"), green_flags(F.col("ids"), cfg, True).alias("b"))
+        assert all(r.a == r.b for r in both.collect())
+    plan = QUERIES["generate_paired"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan
