@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id
 
     chain = buckets.where("before <> node").select(F.col("before").alias("u"), F.col("node").alias("v")).distinct()
     links = _verified(plausible(chain, nodes, params.percent), texts, params)
-    first = written(components(links), "components")
+    first = components(links)
 
     labelled = buckets.join(first, "node", "left") \
         .select("key", "place", "node", F.coalesce("component", "node").alias("component"))
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id
     named = more.join(first.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left") \
         .join(first.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left") \
         .select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-    second = components(named).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    second = components(written(named, "links")).select(F.col("node").alias("component"), F.col("component").alias("top"))
     # nodes linked first, then by the comparison across components, else alone
     every = nodes.select("n", "f1", "f2", "node").join(first, "node", "left") \
         .withColumn("component", F.coalesce("component", "node")).join(second, "component", "left") \

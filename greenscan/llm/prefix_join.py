@@ -276,7 +276,7 @@ def similar_documents(docs: DataFrame, params: JoinParams = JoinParams(), id_col
         .select(F.least("gid", "o.gid").alias("u"), F.greatest("gid", "o.gid").alias("v"))
     inside = members.where("gid <> node").select(F.col("gid").alias("u"), F.col("node").alias("v"))
     links = _verified(_plausible(group_pairs.unionByName(inside), nodes, params), rows, nodes, params)
-    label = written(components(links), "components")
+    label = components(links)
 
     # lists whose members lie in several components, expanded to members
     parts = members.join(label, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("comp"))
@@ -300,7 +300,7 @@ def similar_documents(docs: DataFrame, params: JoinParams = JoinParams(), id_col
     named = more.join(label.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left") \
         .join(label.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left") \
         .select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-    second = components(named).select(F.col("node").alias("comp"), F.col("component").alias("top"))
+    second = components(written(named, "links")).select(F.col("node").alias("comp"), F.col("component").alias("top"))
     every = nodes.select("node", "doc_id", "n", "f1", "f2").join(label, "node", "left") \
         .withColumn("comp", F.coalesce("component", "node")).join(second, "comp", "left") \
         .withColumn("top", F.coalesce("top", "comp"))

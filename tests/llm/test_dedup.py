@@ -159,3 +159,23 @@ def test_shingler_matches_plain_sets():
 def test_connected_components(spark, links, want):
     df = spark.createDataFrame(links, "u long, v long")
     assert {r["node"]: r["component"] for r in components(df).collect()} == want
+
+
+def test_components_are_written_once(spark, monkeypatch):
+    from greenscan.llm import components as module
+    names, write = [], module.written
+    monkeypatch.setattr(module, "written", lambda df, name: names.append(name) or write(df, name))
+    links = write(spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long"), "given")
+    assert {r["node"]: r["component"] for r in components(links).collect()} == {i: 0 for i in range(41)}
+    # the hooks, their ends after 3, 9, 27 and 81 steps, and the links that are left (none); not the links given
+    assert names == ["hooks"] * 5 + ["links"]
+
+
+def test_near_duplicates_write_no_table_twice(spark, monkeypatch):
+    names, write = [], minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, name: names.append(name) or write(df, name))
+    base = prose(21, 80)
+    rows = [(i, base + " end" * (i % 3)) for i in range(9)] + [(20, prose(22, 80))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: 0 for i in range(9)} | {20: 20}
+    assert "components" not in names and names.count("sketches") == 1
