@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from greenscan.operators import lookup
+from greenscan.operators import truecase as tc
 from greenscan.operators import vocab as vb
 
 LISTS = [["a", "b", "a", "c"], None, [], ["zz", None, "a"], ["c"] * 50, ["é😀", ""], ["d", "e", "f", "a"], [None], []]
@@ -69,3 +70,41 @@ def test_written_tables_let_shuffle_files_go(spark):
     before = collected()
     assert kept(spark.range(10).groupBy("id").count(), "counts").count() == 10
     assert collected() > before
+
+
+TEXTS = ["One cat sat. THE dog! saw", None, "", " \n", "?a b", "... x. y", "a", ".", "İstanbul ist. ΣΑΣ straße", "one.two\n three.  \nfour", "  lead and. Follow"]
+
+
+def plain_truecase(text, forms):
+    """Word by word, as the rule reads."""
+    if text is None:
+        return None
+    segs = re.findall(r"[^\W_]+|(?:[\W_])+", text.lower())
+    out = []
+    for i, s in enumerate(segs):
+        word = s[0].isalnum()
+        start = i == 0 or i == 1 and not segs[0][0].isalnum() or re.search(r"[.!?]\s*$", segs[i - 1])
+        s = forms.get(s, s) if word else s
+        out.append(s[:1].upper() + s[1:] if word and start else s)
+    return "".join(out)
+
+
+@pytest.mark.parametrize("size", [2, 5, 1 << 21])
+def test_truecasing_by_blocks(spark, monkeypatch, no_broadcast, size):
+    monkeypatch.setattr(lookup, "BLOCK", size)
+    texts = [t for t in TEXTS if t is None or "İ" not in t]
+    df = spark.createDataFrame([(i % 3 or None, t) for i, t in enumerate(texts)], "id long, text string").coalesce(1)
+    model = spark.createDataFrame([("cat", "Cat", 1, 1), ("y", "Y", 1, 1), ("two", "tWo", 1, 1)], "key string, form string, n_form long, n_total long")
+    out = tc.truecase_apply(df, model, "id", "text")
+    assert shuffled(out) and not [x for x in shuffled(out) if re.search("text#|_segs#", x)]
+    forms = {"cat": "Cat", "y": "Y", "two": "tWo"}
+    assert sorted(map(str, [tuple(r) for r in out.collect()])) == sorted(
+        str((i % 3 or None, plain_truecase(t, forms))) for i, t in enumerate(texts))
+
+
+@pytest.mark.parametrize("size", [1, 4, 1 << 21])
+def test_casing_is_counted_away_from_sentence_starts(spark, monkeypatch, size):
+    monkeypatch.setattr(lookup, "BLOCK", size)
+    df = spark.createDataFrame([(t,) for t in ["A cat. A Cat! The cat and a Cat, a CAT", "cat", None, "", "x Cat 1a é", ". b"]], "text string")
+    got = {r.key: (r.form, r.n_form, r.n_total) for r in tc.truecase_model(df.coalesce(2), "text").collect()}
+    assert got == {"cat": ("Cat", 3, 6), "and": ("and", 1, 1), "a": ("a", 2, 2), "é": ("é", 1, 1)}
